@@ -101,9 +101,9 @@ def parse_ts(df: DataFrame, candidates: Sequence[str] = TIMESTAMP_CANDIDATES, ou
             raise ValueError("no timestamp column and no order column for sequential timestamps")
         return sequential_ts(df, order_col, out)
     parsed = F.try_to_timestamp(F.col(_q(src)).cast("string"), F.lit(fmt))
-    res = df.withColumn("_ts_parsed", parsed)
-    if src != out:
-        res = res.drop(src)
+    res = df.withColumn("_ts_parsed", parsed).drop(src)
+    if out in res.columns:
+        res = res.drop(out)
     return res.withColumnRenamed("_ts_parsed", out)
 
 

@@ -119,3 +119,189 @@ def _family_q(n):
 for _n, _nm in [(5, "partition_by_family"), (3, "partition_by_family_n3"), (8, "partition_by_family_n8")]:
     query(_nm, f"SELECT client_id, label, count(*) AS n_samples, sum(event_id) AS key_sum "
                f"FROM ({S.family_part_sql(S.FLOWS, n=_n)}) GROUP BY 1, 2")(_family_q(_n))
+
+
+# ---------------------------------------------------------------------------------------------
+# cleaning / resolving / encoding
+from ..operators import split as split_ops  # noqa: E402
+
+
+@query("clean_inf", "SELECT event_id, CASE WHEN isinf(value) OR isnan(value) THEN NULL ELSE value END AS value "
+                    f"FROM ({T.DIRTY_FLOWS_SQL})")
+def q_clean_inf(spark, sf):
+    return clean.clean_inf(T.dirty_flows(spark, sf), ["value"]).select("event_id", "value")
+
+
+@query("drop_null_subset", "SELECT event_id, value FROM (SELECT event_id, CASE WHEN isinf(value) OR isnan(value) "
+                           f"THEN NULL ELSE value END AS value FROM ({T.DIRTY_FLOWS_SQL})) WHERE value IS NOT NULL")
+def q_drop_null_subset(spark, sf):
+    return clean.remove_infinite_values(T.dirty_flows(spark, sf), ["value"]).select("event_id", "value")
+
+
+@query("dedup_rows", f"SELECT label, count(*) AS n_rows, round(sum(value), 6) + 0.0 AS value_sum "
+                     f"FROM (SELECT DISTINCT * FROM ({T.DUP_FLOWS_SQL})) GROUP BY label")
+def q_dedup_rows(spark, sf):
+    from ..functions.exprs import r6
+    return clean.dedup_rows(T.dup_flows(spark, sf)).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), r6(F.sum("value")).alias("value_sum"))
+
+
+@query("dedup_report", f"SELECT 'dedup' AS step, rows_before, rows_after, rows_before - rows_after AS removed FROM "
+                       f"(SELECT count(*) AS rows_before FROM ({T.DUP_FLOWS_SQL})), "
+                       f"(SELECT count(*) AS rows_after FROM (SELECT DISTINCT * FROM ({T.DUP_FLOWS_SQL})))")
+def q_dedup_report(spark, sf):
+    d = T.dup_flows(spark, sf)
+    return clean.removed_count(d, clean.dedup_rows(d), "dedup")
+
+
+@query("parse_ts", "SELECT event_id, CAST(epoch(try_strptime(\"Timestamp\", '%d/%m/%Y %H:%M:%S')) AS BIGINT) AS ts_epoch "
+                   f"FROM ({T.TS_TEXT_SQL})")
+def q_parse_ts(spark, sf):
+    p = clean.parse_ts(T.ts_text_flows(spark, sf))
+    return p.select("event_id", F.unix_seconds(F.col("Timestamp")).alias("ts_epoch"))
+
+
+@query("sequential_ts", "SELECT event_id, CAST(epoch(TIMESTAMP '2017-01-01 00:00:00') AS BIGINT) + "
+                        f"row_number() OVER (ORDER BY event_id) - 1 AS ts_epoch FROM ({S.FLOWS})")
+def q_sequential_ts(spark, sf):
+    f = T.flows(spark, sf).drop("ts")
+    p = clean.parse_ts(f, order_col="event_id")
+    return p.select("event_id", F.unix_seconds(F.col("Timestamp")).alias("ts_epoch"))
+
+
+@query("label_encode", f"SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id, "
+                       f"count(*) AS n FROM ({S.FLOWS}) GROUP BY label")
+def q_label_encode(spark, sf):
+    enc, _ = clean.label_encode(T.flows(spark, sf), "label")
+    return enc.groupBy("label", "label_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("numeric_projection", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+                             "l_discount, l_tax FROM lineitem")
+def q_numeric_projection(spark, sf):
+    return clean.numeric_projection(T.wide_numeric(spark, sf))
+
+
+@query("cast_features", "SELECT l_orderkey, l_partkey, l_suppkey, "
+                        "CAST(l_quantity AS FLOAT) AS l_quantity, CAST(l_extendedprice AS FLOAT) AS l_extendedprice, "
+                        "CAST(l_discount AS FLOAT) AS l_discount, CAST(l_tax AS FLOAT) AS l_tax, "
+                        "CAST(l_linenumber AS FLOAT) AS l_linenumber, "
+                        "CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS label FROM lineitem")
+def q_cast_features(spark, sf):
+    w = T.wide_numeric(spark, sf)
+    enc, _ = clean.label_encode(w, "l_returnflag", "label")
+    return clean.cast_features(enc, T.WIDE_FEATURES, "label", keep=["l_orderkey", "l_partkey", "l_suppkey"])
+
+
+@query("synthetic_day", f"SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // greatest(count(*) OVER () // 8, 1) "
+                        f"AS VARCHAR) AS day, event_id FROM ({S.FLOWS})")
+def q_synthetic_day_rows(spark, sf):
+    return clean.synthetic_day(T.flows(spark, sf).select("event_id"), "event_id")
+
+
+ORACLE["synthetic_day"] = (f"SELECT day, count(*) AS n, sum(event_id) AS key_sum FROM ({ORACLE['synthetic_day']}) "
+                           "GROUP BY day")
+QUERIES["synthetic_day"] = lambda spark, sf: q_synthetic_day_rows(spark, sf).groupBy("day").agg(
+    F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
+@query("label_family", f"SELECT label, {S.family_sql('label')} AS family, count(*) AS n FROM ({S.FLOWS}) GROUP BY ALL")
+def q_label_family(spark, sf):
+    return clean.label_family(T.flows(spark, sf)).groupBy("label", "family").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("family_filter", f"SELECT family, count(*) AS n, sum(event_id) AS key_sum FROM (SELECT *, {S.family_sql('label')} "
+                        f"AS family FROM ({S.FLOWS})) WHERE family <> 'Normal' GROUP BY family")
+def q_family_filter(spark, sf):
+    fam = clean.family_filter(clean.label_family(T.flows(spark, sf)), normal=False)
+    return fam.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
+@query("head_n", f"SELECT event_id, label, value FROM ({S.FLOWS}) ORDER BY event_id LIMIT 5")
+def q_head_n(spark, sf):
+    return clean.head_n(T.flows(spark, sf).select("event_id", "label", "value"), 5, ["event_id"])
+
+
+# ---------------------------------------------------------------------------------------------
+# splits and partitioners
+STRAT = (f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {S.h('event_id')}, event_id) <= "
+         f"round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split FROM ({S.FLOWS})")
+
+
+@query("stratified_split", f"SELECT label, split, count(*) AS n, sum(event_id) AS key_sum FROM ({STRAT}) GROUP BY ALL")
+def q_stratified_split(spark, sf):
+    s = split_ops.stratified_split(T.flows(spark, sf), "event_id", "label", 0.2)
+    return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
+TRAINVAL = (f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY client_id ORDER BY {S.h('event_id')}, event_id) <= "
+            f"floor(count(*) OVER (PARTITION BY client_id) * 0.8) THEN 'train' ELSE 'val' END AS split FROM ({IID})")
+
+
+@query("client_train_val", f"SELECT client_id, split, count(*) AS n, sum(event_id) AS key_sum FROM ({TRAINVAL}) GROUP BY ALL")
+def q_client_train_val(spark, sf):
+    s = partition.client_train_val(iid_flows(spark, sf), "event_id")
+    return s.groupBy("client_id", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
+DIRICHLET_TH = partition.dirichlet_thresholds(5, 10, 0.5, seed=42)
+
+
+def _dirichlet_sql():
+    rows = ", ".join("[" + ", ".join(f"CAST('{x!r}' AS DOUBLE)" for x in r) + "]" for r in DIRICHLET_TH)
+    u = f"((('0x' || substr({S.h('event_id')}, 1, 8))::UBIGINT + 0.5) / 4294967296.0)"
+    return (f"SELECT CAST(list_position(list_transform(([{rows}])[label_id + 1], lambda t: t > {u}), true) - 1 AS INTEGER) "
+            f"AS client_id, label, event_id FROM (SELECT *, dense_rank() OVER (ORDER BY label) - 1 AS label_id "
+            f"FROM ({S.FLOWS}))")
+
+
+@query("partition_dirichlet", f"SELECT client_id, label, count(*) AS n, sum(event_id) AS key_sum FROM ({_dirichlet_sql()}) "
+                              "GROUP BY ALL")
+def q_partition_dirichlet(spark, sf):
+    enc, lm = clean.label_encode(T.flows(spark, sf), "label")
+    d = partition.partition_dirichlet(enc, "event_id", "label_id", n_labels=5, n_clients=10,
+                                      thresholds=DIRICHLET_TH)
+    return d.groupBy("client_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
+CLIENT_ROUNDS = "SELECT DISTINCT CAST(dayofmonth(ts) AS INTEGER) AS round, CAST(user_id % 5 AS INTEGER) AS client_id FROM events"
+
+
+def client_rounds(spark, sf):
+    ev = T.table(spark, sf, "events")
+    return ev.select(F.dayofmonth("ts").cast("int").alias("round"),
+                     (F.col("user_id") % 5).cast("int").alias("client_id")).distinct()
+
+
+@query("sample_clients", "SELECT round, client_id FROM (SELECT *, row_number() OVER (PARTITION BY round ORDER BY "
+                         "md5(CAST(client_id AS VARCHAR) || ':42:' || CAST(round AS VARCHAR)), client_id) AS _r, "
+                         f"count(*) OVER (PARTITION BY round) AS _n FROM ({CLIENT_ROUNDS})) "
+                         "WHERE _r <= greatest(floor(_n * 0.6), 2)")
+def q_sample_clients(spark, sf):
+    return partition.sample_clients(client_rounds(spark, sf), fraction=0.6, min_fit=2, min_available=2)
+
+
+@query("client_rows", f"SELECT count(*) AS n, sum(event_id) AS key_sum FROM ({IID}) WHERE client_id = 2")
+def q_client_rows(spark, sf):
+    return partition.client_rows(iid_flows(spark, sf), 2).agg(F.count(F.lit(1)).alias("n"),
+                                                               F.sum("event_id").alias("key_sum"))
+
+
+BIN = ("SELECT event_id, ts, CAST(event_type = 'error' AS INTEGER) AS label_bin, value, user_id FROM events")
+INJECT = (
+    f"WITH d AS (SELECT *, isodow(ts) - 1 AS _dow, label_bin = 0 AS _neg FROM ({BIN})), "
+    "t AS (SELECT _dow, count(*) AS _n, count_if(NOT _neg) AS _p FROM d GROUP BY _dow), "
+    f"r AS (SELECT d.*, row_number() OVER (PARTITION BY d._dow, d._neg ORDER BY {S.h('event_id')}, event_id) AS _pos, "
+    "t._n, t._p FROM d JOIN t USING (_dow)) "
+    "SELECT event_id, _dow, CAST(CASE WHEN _neg AND _pos <= greatest(floor(_n * (0.1 + 0.05 * _dow)) - _p, 0) "
+    "THEN 1 ELSE label_bin END AS INTEGER) AS label_bin FROM r")
+
+
+@query("inject_label_rate", f"SELECT CAST(_dow AS INTEGER) AS dow, count(*) AS n, sum(label_bin) AS positives, "
+                            f"sum(event_id * label_bin) AS key_sum FROM ({INJECT}) GROUP BY 1")
+def q_inject_label_rate(spark, sf):
+    b = T.binary_flows(spark, sf)
+    inj = partition.inject_label_rate(b, "event_id", "ts", "label_bin")
+    return inj.groupBy(F.weekday("ts").cast("int").alias("dow")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label_bin").alias("positives"),
+        F.sum(F.col("event_id") * F.col("label_bin")).alias("key_sum"))
