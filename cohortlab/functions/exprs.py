@@ -60,3 +60,15 @@ def f1_of(p, r) -> Column:
 def is_inf(c) -> Column:
     c = _c(c)
     return c.isin(float("inf"), float("-inf"))
+
+
+def combine_rows(*dfs):
+    """Glue one-row results side by side without a join: union by name, then take each
+    column's only non-NULL value."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    cols = []
+    for d in dfs:
+        cols += [c for c in d.columns if c not in cols]
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])

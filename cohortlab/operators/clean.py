@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..functions.exprs import is_inf
+from ..functions.exprs import combine_rows, is_inf
 from ..functions.ordering import ranked, with_value_bucket
 
 # Candidate column names, first present wins.
@@ -71,7 +71,7 @@ def removed_count(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
     """One-row report (step, rows_before, rows_after, removed); two count aggregates."""
     b = before.agg(F.count(F.lit(1)).alias("rows_before"))
     a = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    return b.join(a, how="inner").select(
+    return combine_rows(b, a).select(
         F.lit(name).alias("step"), "rows_before", "rows_after",
         (F.col("rows_before") - F.col("rows_after")).alias("removed"))
 

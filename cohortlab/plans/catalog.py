@@ -305,3 +305,173 @@ def q_inject_label_rate(spark, sf):
     return inj.groupBy(F.weekday("ts").cast("int").alias("dow")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label_bin").alias("positives"),
         F.sum(F.col("event_id") * F.col("label_bin")).alias("key_sum"))
+
+
+# ---------------------------------------------------------------------------------------------
+# scaling (F1-F4)
+from ..operators import profile, scale  # noqa: E402
+from .prep import prep_pipeline  # noqa: E402
+
+FEATS = ["value", "user_id", "k"]
+TRAIN_SQL = f"SELECT * FROM ({STRAT}) WHERE split = 'train'"
+FIT_SQL = ("SELECT feature, mean, CASE WHEN std = 0 OR std IS NULL THEN 1.0 ELSE std END AS std FROM (" +
+           " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std FROM ({TRAIN_SQL})"
+                              for c in FEATS) + ")")
+
+
+def _strat_flows(spark, sf):
+    return split_ops.stratified_split(T.flows(spark, sf), "event_id", "label", 0.2)
+
+
+@query("scaler_fit", f"SELECT feature, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM ({FIT_SQL})")
+def q_scaler_fit(spark, sf):
+    from ..functions.exprs import r6
+    st = scale.scaler_fit(_strat_flows(spark, sf).where("split = 'train'"), FEATS)
+    return st.select("feature", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+def _scaled_sql(src, fit):
+    cols = ", ".join(f"({c} - (SELECT mean FROM ({fit}) WHERE feature = '{c}')) / "
+                     f"(SELECT std FROM ({fit}) WHERE feature = '{c}') AS {c}" for c in FEATS)
+    return f"SELECT event_id, split, label, {cols} FROM ({src})"
+
+
+SCALED_SQL = _scaled_sql(STRAT, FIT_SQL)
+
+
+def _scaled_flows(spark, sf):
+    sp = _strat_flows(spark, sf)
+    st = scale.scaler_fit(sp.where("split = 'train'"), FEATS)
+    return scale.scaler_apply(sp, st)
+
+
+@query("scaler_apply", "SELECT event_id, split, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATS) +
+       f" FROM ({SCALED_SQL})")
+def q_scaler_apply(spark, sf):
+    from ..functions.exprs import r6
+    return _scaled_flows(spark, sf).select("event_id", "split", *[r6(c).alias(c) for c in FEATS])
+
+
+@query("scaler_check", "SELECT round((" + " + ".join(f"avg({c})" for c in FEATS) + f") / {len(FEATS)}, 6) + 0.0 "
+       "AS mean_of_means, round((" + " + ".join(f"stddev_samp({c})" for c in FEATS) + f") / {len(FEATS)}, 6) + 0.0 "
+       f"AS mean_of_stds FROM ({SCALED_SQL}) WHERE split = 'train'")
+def q_scaler_check(spark, sf):
+    return scale.scaler_check(_scaled_flows(spark, sf).where("split = 'train'"), FEATS)
+
+
+PREP_BASE = (f"SELECT *, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM ({CLEAN})")
+PREP_SPLIT = (f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY label_id ORDER BY {S.h('event_id')}, event_id) <= "
+              f"round(count(*) OVER (PARTITION BY label_id) * 0.2) THEN 'test' ELSE 'train' END AS split FROM ({PREP_BASE})")
+PREP_FIT = ("SELECT feature, mean, CASE WHEN std = 0 OR std IS NULL THEN 1.0 ELSE std END AS std FROM (" +
+            " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_pop({c}) AS std FROM ({PREP_SPLIT}) "
+                               "WHERE split = 'train'" for c in FEATS) + ")")
+
+
+@query("prep_pipeline", "SELECT event_id, split, label_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATS) +
+       " FROM (SELECT event_id, split, label_id, " + ", ".join(
+           f"({c} - (SELECT mean FROM ({PREP_FIT}) WHERE feature = '{c}')) / "
+           f"(SELECT std FROM ({PREP_FIT}) WHERE feature = '{c}') AS {c}" for c in FEATS) + f" FROM ({PREP_SPLIT}))")
+def q_prep_pipeline(spark, sf):
+    from ..functions.exprs import r6
+    res = prep_pipeline(T.dirty_flows(spark, sf), "event_id", "label", rate_cols=["value"])
+    return res.data.select("event_id", "split", "label_id", *[r6(c).alias(c) for c in res.features])
+
+
+@query("load_split", f"SELECT count(*) AS n, sum(event_id) AS key_sum FROM ({STRAT}) WHERE split = 'test'")
+def q_load_split(spark, sf):
+    """S7 semantics on the split table: only the 'test' partition is read back."""
+    return _strat_flows(spark, sf).where("split = 'test'").agg(F.count(F.lit(1)).alias("n"),
+                                                               F.sum("event_id").alias("key_sum"))
+
+
+# ---------------------------------------------------------------------------------------------
+# profiling
+WIDE_COLS = T.WIDE_FEATURES
+
+
+@query("profile_shape", f"SELECT count(*) AS n_rows, 6 AS n_columns FROM ({T.DIRTY_FLOWS_SQL})")
+def q_profile_shape(spark, sf):
+    return profile.profile_shape(T.dirty_flows(spark, sf))
+
+
+@query("profile_missing", "SELECT 'value' AS \"column\", count_if(value IS NULL) AS missing, "
+       f"round(count_if(value IS NULL) * 100.0 / count(*), 6) + 0.0 AS missing_pct FROM ({T.DIRTY_FLOWS_SQL})")
+def q_profile_missing(spark, sf):
+    return profile.profile_missing(T.dirty_flows(spark, sf))
+
+
+@query("profile_infinite", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count_if(abs(CAST({c} AS DOUBLE)) = CAST('inf' AS DOUBLE)) AS n_inf FROM ({T.DIRTY_FLOWS_SQL})"
+    for c in ["event_id", "value", "user_id", "k"]))
+def q_profile_infinite(spark, sf):
+    return profile.profile_infinite(T.dirty_flows(spark, sf))
+
+
+@query("profile_duplicates", f"SELECT n_rows - n_distinct AS n_duplicates, round((n_rows - n_distinct) * 100.0 / n_rows, 6) "
+       f"+ 0.0 AS duplicate_pct FROM (SELECT count(*) AS n_rows FROM ({T.DUP_FLOWS_SQL})), "
+       f"(SELECT count(*) AS n_distinct FROM (SELECT DISTINCT * FROM ({T.DUP_FLOWS_SQL})))")
+def q_profile_duplicates(spark, sf):
+    return profile.profile_duplicates(T.dup_flows(spark, sf))
+
+
+@query("class_distribution", f"SELECT label, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct "
+                             f"FROM ({S.FLOWS}) GROUP BY label")
+def q_class_distribution(spark, sf):
+    return profile.class_distribution(T.flows(spark, sf), "label")
+
+
+@query("imbalance_ratio", f"SELECT round(max(n) * 1.0 / min(n), 6) + 0.0 AS imbalance_ratio, count(*) AS n_classes "
+                          f"FROM (SELECT label, count(*) AS n FROM ({S.FLOWS}) GROUP BY label)")
+def q_imbalance_ratio(spark, sf):
+    return profile.imbalance_ratio(T.flows(spark, sf), "label")
+
+
+@query("profile_describe", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) + 0.0 AS mean, "
+    f"round(stddev_samp({c}), 6) + 0.0 AS std, round(min({c}), 6) + 0.0 AS min, "
+    f"round(quantile_cont({c}, 0.25), 6) + 0.0 AS p25, round(quantile_cont({c}, 0.5), 6) + 0.0 AS p50, "
+    f"round(quantile_cont({c}, 0.75), 6) + 0.0 AS p75, round(max({c}), 6) + 0.0 AS max FROM lineitem"
+    for c in WIDE_COLS))
+def q_profile_describe(spark, sf):
+    return profile.profile_describe(T.wide_numeric(spark, sf), WIDE_COLS)
+
+
+@query("profile_ranges", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(min({c}), 6) + 0.0 AS min, round(max({c}), 6) + 0.0 AS max, "
+    f"round(max({c}) - min({c}), 6) + 0.0 AS range, round(stddev_samp({c}), 6) + 0.0 AS std FROM lineitem"
+    for c in WIDE_COLS))
+def q_profile_ranges(spark, sf):
+    return profile.profile_ranges(T.wide_numeric(spark, sf), WIDE_COLS)
+
+
+@query("top_variance", "SELECT \"column\", round(variance, 6) + 0.0 AS variance FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", var_samp({c}) AS variance FROM lineitem" for c in WIDE_COLS) +
+    ") ORDER BY variance DESC, \"column\" LIMIT 3")
+def q_top_variance(spark, sf):
+    return profile.top_variance(T.wide_numeric(spark, sf), 3, WIDE_COLS)
+
+
+CORR_SQL = " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) + 0.0 AS corr FROM lineitem"
+    for i, a in enumerate(WIDE_COLS) for b in WIDE_COLS[i + 1:])
+
+
+@query("correlation_pairs", CORR_SQL)
+def q_correlation_pairs(spark, sf):
+    return profile.correlation_pairs(T.wide_numeric(spark, sf), WIDE_COLS)
+
+
+@query("max_correlation", f"SELECT round(max(abs(corr)), 6) + 0.0 AS max_abs_corr, count_if(abs(corr) > 0.9) AS n_high_pairs "
+                          f"FROM ({CORR_SQL})")
+def q_max_correlation(spark, sf):
+    return profile.max_correlation(profile.correlation_pairs(T.wide_numeric(spark, sf), WIDE_COLS))
+
+
+@query("profile_summary", f"SELECT n_rows, 4 AS n_features, 3 AS n_numeric, n_missing, n_duplicates, n_inf, n_classes FROM "
+       f"(SELECT count(*) AS n_rows, count_if(ts IS NULL) + count_if(label IS NULL) + count_if(value IS NULL) + "
+       f"count_if(user_id IS NULL) + count_if(k IS NULL) AS n_missing, count_if(abs(value) = CAST('inf' AS DOUBLE)) AS n_inf, "
+       f"count(DISTINCT label) AS n_classes FROM ({T.DIRTY_DUP_SQL})), "
+       f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({T.DIRTY_DUP_SQL}))) AS n_duplicates "
+       f"FROM ({T.DIRTY_DUP_SQL}))")
+def q_profile_summary(spark, sf):
+    return profile.profile_summary(T.dirty_dup_flows(spark, sf), "label")

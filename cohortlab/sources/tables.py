@@ -107,3 +107,13 @@ def wide_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIDE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+def dirty_dup_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyless dirty flows plus a copy of every row whose event_id % 10 = 0 (profile input)."""
+    d = dirty_flows(spark, sf_dir)
+    return d.drop("event_id").unionByName(d.where(F.col("event_id") % 10 == 0).drop("event_id"))
+
+
+DIRTY_DUP_SQL = (f"SELECT ts, label, value, user_id, k FROM ({DIRTY_FLOWS_SQL}) UNION ALL "
+                 f"SELECT ts, label, value, user_id, k FROM ({DIRTY_FLOWS_SQL}) WHERE event_id % 10 = 0")
