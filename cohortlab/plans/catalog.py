@@ -475,3 +475,214 @@ def q_max_correlation(spark, sf):
        f"FROM ({T.DIRTY_DUP_SQL}))")
 def q_profile_summary(spark, sf):
     return profile.profile_summary(T.dirty_dup_flows(spark, sf), "label")
+
+
+# ---------------------------------------------------------------------------------------------
+# remaining partition diagnostics (H1-H3, H6, H7) on binary-labelled IID clients
+BIN_IID = S.iid_sql(BIN)
+
+
+def bin_iid(spark, sf):
+    return partition.partition_iid(T.binary_flows(spark, sf), "event_id", n_clients=5)
+
+
+@query("client_sizes", f"SELECT client_id, count(*) AS n_samples FROM ({FAMILY}) GROUP BY 1")
+def q_client_sizes(spark, sf):
+    return hetero.client_sizes(family_flows(spark, sf))
+
+
+@query("client_label_balance", "SELECT client_id, count(*) AS total, count_if(label_bin = 1) AS positive, "
+       "count_if(label_bin = 0) AS negative, round(count_if(label_bin = 1) * 100.0 / count(*), 6) + 0.0 AS positive_pct "
+       f"FROM ({BIN_IID}) GROUP BY 1")
+def q_client_label_balance(spark, sf):
+    return hetero.client_label_balance(bin_iid(spark, sf), "client_id", "label_bin")
+
+
+@query("client_label_dist", "WITH c AS (SELECT client_id, label, count(*) AS n FROM (" + FAMILY + ") GROUP BY ALL), "
+       "labs AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM "
+       "(SELECT DISTINCT label FROM c)), cl AS (SELECT client_id, sum(n) AS tot FROM c GROUP BY 1) "
+       "SELECT cl.client_id, labs.label, labs.label_idx, round(coalesce(c.n, 0) * 1.0 / cl.tot, 6) + 0.0 AS share "
+       "FROM cl CROSS JOIN labs LEFT JOIN c ON c.client_id = cl.client_id AND c.label = labs.label")
+def q_client_label_dist(spark, sf):
+    return hetero.client_label_dist(family_flows(spark, sf))
+
+
+IMB_SQL = ("SELECT client_id, count_if(label_bin = 1) AS positive, count_if(label_bin = 0) AS negative, "
+           "round(CASE WHEN count_if(label_bin = 0) > 0 THEN count_if(label_bin = 1) / (count_if(label_bin = 0) + 1e-10) "
+           f"ELSE CAST('inf' AS DOUBLE) END, 6) + 0.0 AS imbalance FROM ({BIN_IID}) GROUP BY 1")
+
+
+@query("client_imbalance", IMB_SQL)
+def q_client_imbalance(spark, sf):
+    return hetero.client_imbalance(bin_iid(spark, sf), "client_id", "label_bin")
+
+
+@query("imbalance_stats", f"SELECT round(avg(imbalance), 6) + 0.0 AS mean_imbalance, "
+                          f"round(stddev_pop(imbalance), 6) + 0.0 AS std_imbalance FROM ({IMB_SQL})")
+def q_imbalance_stats(spark, sf):
+    return hetero.imbalance_stats(hetero.client_imbalance(bin_iid(spark, sf), "client_id", "label_bin"))
+
+
+@query("partition_totals", "SELECT count(DISTINCT client_id) AS n_clients, count(*) AS n_samples, "
+       "count_if(label_bin = 1) AS positive, count_if(label_bin = 0) AS negative, "
+       "round(count_if(label_bin = 1) * 100.0 / count(*), 6) + 0.0 AS positive_pct, "
+       f"round(count_if(label_bin = 0) * 100.0 / count(*), 6) + 0.0 AS negative_pct FROM ({BIN_IID})")
+def q_partition_totals(spark, sf):
+    return hetero.partition_totals(bin_iid(spark, sf), "client_id", "label_bin")
+
+
+# ---------------------------------------------------------------------------------------------
+# evaluation
+from ..operators import metrics as M  # noqa: E402
+
+MC = T.MC_PRED_SQL
+BP = T.binary_predictions_sql(True)
+BPU = T.binary_predictions_sql(False)
+LG = T.LOGITS_SQL
+LG_PRED = (f"SELECT *, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS y_pred, "
+           f"{S.lse_sql('logits')} - logits[y_true + 1] AS ce FROM ({LG})")
+
+
+@query("binary_confusion", f"SELECT count_if(y_pred = 1 AND y_true = 1) AS tp, count_if(y_pred = 0 AND y_true = 0) AS tn, "
+       f"count_if(y_pred = 1 AND y_true = 0) AS fp, count_if(y_pred = 0 AND y_true = 1) AS fn, count(*) AS total_samples "
+       f"FROM ({BP})")
+def q_binary_confusion(spark, sf):
+    return M.binary_confusion(T.binary_predictions(spark, sf)).drop("_correct")
+
+
+@query("binary_metrics", f"""
+WITH c AS (SELECT count_if(y_pred = 1 AND y_true = 1) AS tp, count_if(y_pred = 0 AND y_true = 0) AS tn,
+  count_if(y_pred = 1 AND y_true = 0) AS fp, count_if(y_pred = 0 AND y_true = 1) AS fn, count(*) AS total_samples,
+  count_if(y_pred = y_true) AS correct FROM ({BP})),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
+SELECT round(correct / total_samples, 6) + 0.0 AS accuracy, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall,
+  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END, 6) + 0.0 AS specificity,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) + 0.0 AS f1,
+  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6) + 0.0 AS fpr,
+  round(CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0.0 END, 6) + 0.0 AS fnr, tp, tn, fp, fn, total_samples FROM m""")
+def q_binary_metrics(spark, sf):
+    return M.binary_metrics(T.binary_predictions(spark, sf))
+
+
+@query("auc_roc_ties", S.auc_sql(BP))
+def q_auc_roc_ties(spark, sf):
+    return M.auc_roc(T.binary_predictions(spark, sf, tied=True))
+
+
+@query("auc_roc", S.auc_sql(BPU))
+def q_auc_roc(spark, sf):
+    return M.auc_roc(T.binary_predictions(spark, sf, tied=False))
+
+
+def _pc_out(sql, group=None):
+    g = f"{group}, " if group else ""
+    return (f"SELECT {g}CAST(class AS INTEGER) AS class, round(precision, 6) + 0.0 AS precision, "
+            f"round(recall, 6) + 0.0 AS recall, round(f1, 6) + 0.0 AS f1, CAST(support AS BIGINT) AS support FROM ({sql})")
+
+
+@query("per_class_true", _pc_out(S.pc_sql(MC, union=False)))
+def q_per_class_true(spark, sf):
+    return M.per_class_true(T.multiclass_predictions(spark, sf))
+
+
+@query("per_class_union", f"SELECT x.*, l.label AS class_name FROM ({_pc_out(S.pc_sql(MC))}) x LEFT JOIN "
+       f"(SELECT DISTINCT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM ({S.FLOWS})) l "
+       "ON l.label_id = x.class")
+def q_per_class_union(spark, sf):
+    _, lm = clean.label_encode(T.flows(spark, sf), "label")
+    return M.per_class_union(T.multiclass_predictions(spark, sf), label_map=lm)
+
+
+@query("macro_metrics", "SELECT round(macro_precision, 6) + 0.0 AS macro_precision, round(macro_recall, 6) + 0.0 AS "
+       f"macro_recall, round(macro_f1, 6) + 0.0 AS macro_f1 FROM ({S.av_sql(S.pc_sql(MC))})")
+def q_macro_metrics(spark, sf):
+    return M.macro_metrics(T.multiclass_predictions(spark, sf))
+
+
+@query("weighted_metrics", "SELECT round(weighted_precision, 6) + 0.0 AS weighted_precision, round(weighted_recall, 6) + 0.0 "
+       f"AS weighted_recall, round(weighted_f1, 6) + 0.0 AS weighted_f1 FROM ({S.av_sql(S.pc_sql(MC))})")
+def q_weighted_metrics(spark, sf):
+    return M.weighted_metrics(T.multiclass_predictions(spark, sf))
+
+
+@query("accuracy", f"SELECT round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) + 0.0 AS accuracy, count(*) AS n FROM ({MC})")
+def q_accuracy(spark, sf):
+    return M.accuracy(T.multiclass_predictions(spark, sf))
+
+
+CM_SQL = (f"WITH c AS (SELECT y_true, y_pred, count(*) AS n FROM ({MC}) GROUP BY ALL), "
+          "l AS (SELECT y_true AS v FROM c UNION SELECT y_pred FROM c) "
+          "SELECT CAST(a.v AS INTEGER) AS y_true, CAST(b.v AS INTEGER) AS y_pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n "
+          "FROM l a CROSS JOIN l b LEFT JOIN c ON c.y_true = a.v AND c.y_pred = b.v")
+
+
+@query("confusion_long", CM_SQL)
+def q_confusion_long(spark, sf):
+    return M.confusion_long(T.multiclass_predictions(spark, sf))
+
+
+@query("confusion_pivot", "SELECT y_true, " + ", ".join(f"sum(CASE WHEN y_pred = {k} THEN n END) AS pred_{k}" for k in range(5))
+       + f" FROM ({CM_SQL}) GROUP BY y_true")
+def q_confusion_pivot(spark, sf):
+    return M.confusion_pivot(T.multiclass_predictions(spark, sf))
+
+
+@query("softmax", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS idx, round(exp(logits[i] - list_max(logits)) / "
+       f"list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))), 6) + 0.0 AS proba "
+       f"FROM ({LG}), range(1, 11) t(i)")
+def q_softmax(spark, sf):
+    lg = T.logits(spark, sf)
+    return lg.select("vec_id", F.posexplode(M.softmax(F.col("logits"))).alias("idx", "proba")).select(
+        "vec_id", F.col("idx").cast("int").alias("idx"), S_r6("proba").alias("proba"))
+
+
+def S_r6(c):
+    from ..functions.exprs import r6
+    return r6(c)
+
+
+@query("argmax_class", f"SELECT vec_id, y_pred FROM ({LG_PRED})")
+def q_argmax_class(spark, sf):
+    return T.logits(spark, sf).select("vec_id", M.argmax(F.col("logits")).alias("y_pred"))
+
+
+@query("cross_entropy", f"SELECT round(avg(ce), 6) + 0.0 AS loss, count(*) AS n FROM ({LG_PRED})")
+def q_cross_entropy(spark, sf):
+    return M.cross_entropy(T.logits(spark, sf))
+
+
+PROBA = (f"SELECT list_transform(logits, lambda x: exp(x - list_max(logits)) / "
+         f"list_sum(list_transform(logits, lambda y: exp(y - list_max(logits))))) AS p FROM ({LG})")
+
+
+@query("proba_stats", "SELECT round(max(list_max(p)), 6) + 0.0 AS max_proba, round(min(list_min(p)), 6) + 0.0 AS min_proba, "
+       "round(sum(list_sum(p)) / sum(len(p)), 6) + 0.0 AS mean_proba, round(avg(list_sum(p)), 6) + 0.0 AS mean_row_sum, "
+       "round(max(abs(list_sum(p) - 1.0)), 6) + 0.0 AS max_row_sum_error, round(avg(list_max(p)), 6) + 0.0 AS mean_confidence "
+       f"FROM ({PROBA})")
+def q_proba_stats(spark, sf):
+    return M.proba_stats(T.logits(spark, sf))
+
+
+def _scored_logits(spark, sf):
+    lg = T.logits(spark, sf)
+    return lg.withColumn("y_pred", M.argmax(F.col("logits")))
+
+
+@query("client_eval", S.eval_sql(LG_PRED, "client_id", loss=True))
+def q_client_eval(spark, sf):
+    return M.client_eval(_scored_logits(spark, sf), logits="logits")
+
+
+@query("round_eval", f"SELECT CAST(client_id AS INTEGER) AS client_id, metric, value, 'client' AS scope FROM "
+       f"({S.eval_sql(LG_PRED, 'client_id', loss=True)}) UNION ALL SELECT CAST(NULL AS INTEGER) AS client_id, metric, value, "
+       f"'global' AS scope FROM ({S.eval_sql(LG_PRED, None, loss=True)})")
+def q_round_eval(spark, sf):
+    return M.round_eval(_scored_logits(spark, sf), logits="logits")
+
+
+@query("eval_report", f"SELECT 'metrics' AS section, metric AS name, value FROM ({S.eval_sql(MC)}) UNION ALL "
+       f"SELECT 'confusion' AS section, 'cm_' || CAST(y_true AS VARCHAR) || '_' || CAST(y_pred AS VARCHAR) AS name, "
+       f"CAST(n AS DOUBLE) AS value FROM ({CM_SQL}) UNION ALL SELECT 'support' AS section, "
+       f"'support_class_' || CAST(class AS VARCHAR) AS name, CAST(support AS DOUBLE) AS value FROM ({S.pc_sql(MC)})")
+def q_eval_report(spark, sf):
+    return M.eval_report(T.multiclass_predictions(spark, sf))

@@ -93,3 +93,66 @@ def emd_stats_sql(pairs: str) -> str:
 
 
 FLOWS = FLOWS_SQL
+
+
+def pc_sql(P: str, group: str | None = None, union: bool = True) -> str:
+    """Per-class tp/predicted/support/precision/recall/f1 over prediction relation P."""
+    g = f"{group}, " if group else ""
+    on = f"t.{group} = p.{group} AND " if group else ""
+    gsel = f"coalesce(t.{group}, p.{group}) AS {group}, " if group else ""
+    how = "FULL OUTER JOIN" if union else "LEFT JOIN"
+    return f"""
+WITH c AS (SELECT {g}y_true, y_pred, count(*) AS n FROM ({P}) GROUP BY ALL),
+t AS (SELECT {g}y_true AS class, sum(n) AS support, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp
+      FROM c GROUP BY ALL),
+p AS (SELECT {g}y_pred AS class, sum(n) AS predicted FROM c GROUP BY ALL),
+j AS (SELECT {gsel}coalesce(t.class, p.class) AS class, coalesce(t.tp, 0) AS tp, coalesce(p.predicted, 0) AS predicted,
+      coalesce(t.support, 0) AS support FROM t {how} p ON {on}t.class = p.class),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+      CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM j)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m
+"""
+
+
+def av_sql(pc: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    return (f"SELECT {g}avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1, "
+            "coalesce(sum(precision * support) / nullif(sum(support), 0), 0.0) AS weighted_precision, "
+            "coalesce(sum(recall * support) / nullif(sum(support), 0), 0.0) AS weighted_recall, "
+            f"coalesce(sum(f1 * support) / nullif(sum(support), 0), 0.0) AS weighted_f1 FROM ({pc}) GROUP BY ALL")
+
+
+EVAL_NAMES = ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall",
+              "weighted_f1", "n"]
+
+
+def eval_sql(P: str, group: str | None = None, loss: bool = False) -> str:
+    """Long (group, metric, value) table: same rows as metrics.eval_table."""
+    g = f"{group}, " if group else ""
+    pc = pc_sql(P, group)
+    names = (["loss"] if loss else []) + EVAL_NAMES
+    ce = ", avg(ce) AS loss" if loss else ""
+    join = f"JOIN av USING ({group})" if group else "CROSS JOIN av"
+    body = " UNION ALL ".join(f"SELECT {g}'{nm}' AS metric, CAST({nm} AS DOUBLE) AS value FROM w" for nm in names)
+    return f"""
+WITH pcs AS ({pc}), av AS ({av_sql('SELECT * FROM pcs', group)}),
+acc AS (SELECT {g}avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy, CAST(count(*) AS DOUBLE) AS n{ce}
+        FROM ({P}) GROUP BY ALL),
+w AS (SELECT * FROM acc {join})
+SELECT {g}metric, round(value, 6) + 0.0 AS value FROM ({body}
+  UNION ALL SELECT {g}'f1_class_' || CAST(class AS VARCHAR) AS metric, f1 AS value FROM pcs)
+"""
+
+
+def lse_sql(l: str) -> str:
+    return f"(list_max({l}) + ln(list_sum(list_transform({l}, lambda x: exp(x - list_max({l}))))))"
+
+
+def auc_sql(P: str) -> str:
+    return f"""
+WITH g AS (SELECT score, count_if(y_true = 1) AS pos, count_if(y_true <> 1) AS neg FROM ({P}) GROUP BY score),
+r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+      FROM g)
+SELECT round(CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (neg_below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))
+       END, 6) + 0.0 AS auc_roc FROM r
+"""

@@ -117,3 +117,47 @@ def dirty_dup_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIRTY_DUP_SQL = (f"SELECT ts, label, value, user_id, k FROM ({DIRTY_FLOWS_SQL}) UNION ALL "
                  f"SELECT ts, label, value, user_id, k FROM ({DIRTY_FLOWS_SQL}) WHERE event_id % 10 = 0")
+
+
+def multiclass_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: y_true = label id (sorted names), y_pred = (y_true+1) % 5 when event_id % 3 = 0,
+    client_id = user_id % 5."""
+    from ..operators.clean import label_encode
+
+    enc, _ = label_encode(flows(spark, sf_dir), "label", "y_true")
+    return enc.select(
+        "event_id", (F.col("user_id") % 5).cast("int").alias("client_id"), "y_true",
+        F.when(F.col("event_id") % 3 == 0, (F.col("y_true") + 1) % 5).otherwise(F.col("y_true")).cast("int").alias("y_pred"))
+
+
+MC_PRED_SQL = (
+    "SELECT event_id, CAST(user_id % 5 AS INTEGER) AS client_id, y_true, "
+    "CAST(CASE WHEN event_id % 3 = 0 THEN (y_true + 1) % 5 ELSE y_true END AS INTEGER) AS y_pred FROM "
+    "(SELECT event_id, user_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS y_true "
+    f"FROM ({FLOWS_SQL}))")
+
+
+def binary_predictions(spark: SparkSession, sf_dir: str, tied: bool = True) -> DataFrame:
+    """lineitem: y_true = returnflag 'R'; score = l_discount*10 (ties) or l_extendedprice."""
+    li = table(spark, sf_dir, "lineitem")
+    score = F.col("l_discount") * 10 if tied else F.col("l_extendedprice")
+    return li.select((F.col("l_returnflag") == "R").cast("int").alias("y_true"), score.alias("score"),
+                     (F.col("l_discount") * 10 > 0.5).cast("int").alias("y_pred"))
+
+
+def binary_predictions_sql(tied: bool = True) -> str:
+    score = "l_discount * 10" if tied else "l_extendedprice"
+    return (f"SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y_true, {score} AS score, "
+            "CAST(l_discount * 10 > 0.5 AS INTEGER) AS y_pred FROM lineitem")
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings: logits = first 10 dims, y_true = label, client_id = vec_id % 5."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", (F.col("vec_id") % 5).cast("int").alias("client_id"),
+                    F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
+                    F.col("label").cast("int").alias("y_true"))
+
+
+LOGITS_SQL = ("SELECT vec_id, CAST(vec_id % 5 AS INTEGER) AS client_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits, "
+              "CAST(label AS INTEGER) AS y_true FROM embeddings")
