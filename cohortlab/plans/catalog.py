@@ -686,3 +686,142 @@ def q_round_eval(spark, sf):
        f"'support_class_' || CAST(class AS VARCHAR) AS name, CAST(support AS DOUBLE) AS value FROM ({S.pc_sql(MC)})")
 def q_eval_report(spark, sf):
     return M.eval_report(T.multiclass_predictions(spark, sf))
+
+
+# ---------------------------------------------------------------------------------------------
+# parameter aggregation (M5-M10, M12, M13) and privacy ledger
+from ..functions.exprs import r6  # noqa: E402
+from ..operators import params as PM  # noqa: E402
+from ..operators import privacy  # noqa: E402
+
+UPD = T.UPDATES_SQL
+FEDAVG_SQL = f"SELECT round, tensor, idx, sum(num_examples * value) / sum(num_examples) AS value FROM ({UPD}) GROUP BY ALL"
+GLOBAL_SQL = (f"SELECT c.round, c.tensor, c.idx, coalesce(p.value, 0.0) AS value FROM (SELECT DISTINCT round, tensor, idx "
+              f"FROM ({UPD})) c LEFT JOIN (SELECT round + 1 AS round, tensor, idx, value FROM ({FEDAVG_SQL})) p "
+              "USING (round, tensor, idx)")
+UG_SQL = f"SELECT u.*, g.value AS w_g FROM ({UPD}) u JOIN ({GLOBAL_SQL}) g USING (round, tensor, idx)"
+
+
+def _r6_value(df, col="value"):
+    return df.withColumn(col, r6(col))
+
+
+@query("param_explode", f"SELECT round, client_id, tensor, idx, value FROM ({UPD})")
+def q_param_explode(spark, sf):
+    return T.client_updates(spark, sf).select("round", "client_id", "tensor", "idx", "value")
+
+
+@query("param_count", f"SELECT tensor, count(DISTINCT idx) AS numel, count(*) AS n_values FROM ({UPD}) GROUP BY tensor")
+def q_param_count(spark, sf):
+    return PM.param_count(T.client_updates(spark, sf))
+
+
+@query("fedavg", f"SELECT round, tensor, idx, round(value, 6) + 0.0 AS value FROM ({FEDAVG_SQL})")
+def q_fedavg(spark, sf):
+    return _r6_value(PM.fedavg(T.client_updates(spark, sf)))
+
+
+def _upd_global(spark, sf):
+    u = T.client_updates(spark, sf)
+    return u, PM.previous_round_global(u)
+
+
+@query("fedprox_penalty", f"SELECT round, client_id, round(0.005 * sum(pow(value - w_g, 2)), 6) + 0.0 AS penalty "
+                          f"FROM ({UG_SQL}) GROUP BY ALL")
+def q_fedprox_penalty(spark, sf):
+    u, g = _upd_global(spark, sf)
+    return _r6_value(PM.fedprox_penalty(u, g, mu=0.01), "penalty")
+
+
+@query("fednova", f"""
+WITH r AS (SELECT round, CAST(sum(num_examples) AS DOUBLE) AS nn, CAST(sum(num_examples * tau) AS DOUBLE) AS nt
+           FROM (SELECT DISTINCT round, client_id, num_examples, tau FROM ({UPD})) GROUP BY round),
+s AS (SELECT round, tensor, idx, first(w_g) AS w_g, sum(num_examples * (w_g - value) / tau) AS ss FROM ({UG_SQL}) GROUP BY ALL)
+SELECT round, tensor, idx, round(w_g - (nt / nn) * (ss / nn), 6) + 0.0 AS value FROM s JOIN r USING (round)""")
+def q_fednova(spark, sf):
+    u, g = _upd_global(spark, sf)
+    return _r6_value(PM.fednova(u, g))
+
+
+DELTA_SQL = (f"SELECT a.round, a.tensor, a.idx, a.value - g.value AS value FROM ({FEDAVG_SQL}) a "
+             f"JOIN ({GLOBAL_SQL}) g USING (round, tensor, idx)")
+
+
+@query("server_momentum", f"SELECT t.round, t.tensor, t.idx, round(sum(pow(0.9, t.round - s.round) * s.value), 6) + 0.0 "
+       f"AS velocity FROM ({DELTA_SQL}) t JOIN ({DELTA_SQL}) s ON s.tensor = t.tensor AND s.idx = t.idx AND s.round <= t.round "
+       "GROUP BY ALL")
+def q_server_momentum(spark, sf):
+    u, g = _upd_global(spark, sf)
+    d = PM.fedavg(u).join(g.withColumnRenamed("value", "_g"), PM.KEY).select(
+        *PM.KEY, (F.col("value") - F.col("_g")).alias("value"))
+    return _r6_value(PM.server_momentum(d, 0.9), "velocity")
+
+
+def _clip_sql(per_tensor: bool, C: float = 0.5):
+    grp = "round, client_id" + (", tensor" if per_tensor else "")
+    return (f"WITH u AS (SELECT *, value - w_g AS delta FROM ({UG_SQL})), "
+            f"nrm AS (SELECT {grp}, sqrt(sum(delta * delta)) AS nm FROM u GROUP BY ALL) "
+            f"SELECT u.round, u.client_id, u.num_examples, u.tensor, u.idx, u.w_g, "
+            f"u.delta * least(1.0, {C} / (nrm.nm + 1e-10)) AS delta FROM u JOIN nrm USING ({grp})")
+
+
+for _pt, _nm in [(False, "dp_clip_flat"), (True, "dp_clip_per_tensor")]:
+    def _mk(pt):
+        def fn(spark, sf):
+            u, g = _upd_global(spark, sf)
+            return _r6_value(PM.dp_clip(u, g, 0.5, "per_tensor" if pt else "flat").select(
+                "round", "client_id", "tensor", "idx", "delta"), "delta")
+        return fn
+    query(_nm, f"SELECT round, client_id, tensor, idx, round(delta, 6) + 0.0 AS delta FROM ({_clip_sql(_pt)})")(_mk(_pt))
+
+
+GAUSS_SQL = ("sqrt(-2 * ln(((('0x' || substr(hh, 1, 8))::UBIGINT + 0.5) / 4294967296.0))) * "
+             "cos(2 * pi() * ((('0x' || substr(hh, 9, 8))::UBIGINT + 0.5) / 4294967296.0))")
+
+
+@query("dp_noise_fixed_seed", f"""
+WITH c AS ({_clip_sql(False)}), m AS (SELECT round, count(DISTINCT client_id) AS mm FROM c GROUP BY round),
+s AS (SELECT round, tensor, idx, first(w_g) AS w_g, sum(delta) AS sd,
+      md5(concat_ws(':', '7', CAST(round AS VARCHAR), tensor, CAST(idx AS VARCHAR))) AS hh FROM c GROUP BY round, tensor, idx)
+SELECT round, tensor, idx, round(w_g + (sd + 0.5 * {GAUSS_SQL}) / mm, 6) + 0.0 AS value FROM s JOIN m USING (round)""")
+def q_dp_noise_fixed_seed(spark, sf):
+    u, g = _upd_global(spark, sf)
+    return _r6_value(PM.dp_fedavg(u, g, clip_norm=0.5, noise_multiplier=1.0, secret=7))
+
+
+CM_ = T.CLIENT_METRICS_SQL
+
+
+@query("weighted_client_metrics", f"SELECT s.round, s.metric, round(s.sv / t.tot, 6) + 0.0 AS value FROM "
+       f"(SELECT round, metric, sum(n * value) AS sv FROM ({CM_}) GROUP BY ALL) s JOIN "
+       f"(SELECT round, CAST(sum(n) AS DOUBLE) AS tot FROM (SELECT DISTINCT round, client_id, n FROM ({CM_})) GROUP BY round) t "
+       "USING (round)")
+def q_weighted_client_metrics(spark, sf):
+    return _r6_value(PM.weighted_client_metrics(T.client_metrics(spark, sf), "zero"))
+
+
+@query("weighted_client_metrics_skip_missing", f"SELECT round, metric, round(sum(n * value) / sum(n), 6) + 0.0 AS value "
+       f"FROM ({CM_}) GROUP BY ALL")
+def q_weighted_client_metrics_skip(spark, sf):
+    return _r6_value(PM.weighted_client_metrics(T.client_metrics(spark, sf), "skip"))
+
+
+LEDGER_SQL = f"""
+WITH r AS ({T.PRIVACY_ROUNDS_SQL}),
+a AS (SELECT r.*, alpha FROM r, range(2, {privacy.MAX_ORDER + 1}) t(alpha)),
+k AS (SELECT a.*, unnest(range(0, alpha + 1)) AS kk FROM a),
+t AS (SELECT *, lgamma(alpha + 1) - lgamma(kk + 1) - lgamma(alpha - kk + 1) + (alpha - kk) * ln(1 - sample_rate)
+        + kk * ln(sample_rate) + kk * (kk - 1) / (2.0 * noise_multiplier * noise_multiplier) AS term FROM k),
+m AS (SELECT *, max(term) OVER (PARTITION BY experiment, round, alpha) AS mx FROM t),
+rd AS (SELECT experiment, round, sample_rate, noise_multiplier, alpha,
+        (max(mx) + ln(sum(exp(term - mx)))) / (alpha - 1) AS rdp FROM m
+        GROUP BY experiment, round, sample_rate, noise_multiplier, alpha),
+c AS (SELECT *, sum(rdp) OVER (PARTITION BY experiment, alpha ORDER BY round ROWS UNBOUNDED PRECEDING) AS cum,
+        ln((alpha - 1.0) / alpha) - (ln(1e-5) + ln(alpha)) / (alpha - 1) AS conv FROM rd)
+SELECT experiment, round, sample_rate, noise_multiplier, round(min(rdp + conv), 6) + 0.0 AS epsilon_round,
+       round(min(cum + conv), 6) + 0.0 AS epsilon FROM c GROUP BY ALL"""
+
+
+@query("privacy_ledger", LEDGER_SQL)
+def q_privacy_ledger(spark, sf):
+    return privacy.privacy_ledger(T.privacy_rounds(spark, sf))

@@ -161,3 +161,95 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOGITS_SQL = ("SELECT vec_id, CAST(vec_id % 5 AS INTEGER) AS client_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits, "
               "CAST(label AS INTEGER) AS y_true FROM embeddings")
+
+
+# Parameter layout of the embedding-backed client updates (flat order).
+UPDATE_TENSORS = [("w", 48), ("b", 16)]
+
+
+def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as client updates: round = vec_id div 5, client_id = vec_id % 5,
+    num_examples = label + 1, tau = 1 + label % 3; vector exploded to (tensor, idx, value)."""
+    from ..operators.params import explode_params
+
+    e = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 5).cast("int").alias("round"), (F.col("vec_id") % 5).cast("int").alias("client_id"),
+        (F.col("label") + 1).cast("int").alias("num_examples"), (F.col("label") % 3 + 1).cast("int").alias("tau"),
+        "embedding")
+    return explode_params(e, "embedding", ["round", "client_id", "num_examples", "tau"], UPDATE_TENSORS)
+
+
+UPDATES_SQL = (
+    "SELECT round, client_id, num_examples, tau, CASE WHEN i < 48 THEN 'w' ELSE 'b' END AS tensor, "
+    "CAST(CASE WHEN i < 48 THEN i ELSE i - 48 END AS INTEGER) AS idx, CAST(embedding[i + 1] AS DOUBLE) AS value FROM "
+    "(SELECT CAST(vec_id // 5 AS INTEGER) AS round, CAST(vec_id % 5 AS INTEGER) AS client_id, "
+    "CAST(label + 1 AS INTEGER) AS num_examples, CAST(label % 3 + 1 AS INTEGER) AS tau, embedding, "
+    "unnest(range(0, len(embedding))) AS i FROM embeddings)")
+
+
+def client_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(round = day of month, client_id = user_id % 5, n, metric, value) with loss = avg(value),
+    accuracy = avg(value < 100); 'accuracy' is missing for client 3 in odd rounds."""
+    ev = table(spark, sf_dir, "events")
+    g = ev.groupBy(F.dayofmonth("ts").cast("int").alias("round"), (F.col("user_id") % 5).cast("int").alias("client_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("loss"), F.avg((F.col("value") < 100).cast("double")).alias("accuracy"))
+    loss = g.select("round", "client_id", "n", F.lit("loss").alias("metric"), F.col("loss").alias("value"))
+    acc = g.where(~((F.col("client_id") == 3) & (F.col("round") % 2 == 1))).select(
+        "round", "client_id", "n", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    return loss.unionByName(acc)
+
+
+CLIENT_METRICS_SQL = (
+    "WITH g AS (SELECT CAST(dayofmonth(ts) AS INTEGER) AS round, CAST(user_id % 5 AS INTEGER) AS client_id, count(*) AS n, "
+    "avg(value) AS loss, avg(CAST(value < 100 AS DOUBLE)) AS accuracy FROM events GROUP BY ALL) "
+    "SELECT round, client_id, n, 'loss' AS metric, loss AS value FROM g UNION ALL "
+    "SELECT round, client_id, n, 'accuracy' AS metric, accuracy AS value FROM g WHERE NOT (client_id = 3 AND round % 2 = 1)")
+
+
+def strategy_col():
+    return F.when(F.col("event_type") == "view", F.lit("baseline")).otherwise(F.col("event_type"))
+
+
+STRATEGY_SQL = "CASE WHEN event_type = 'view' THEN 'baseline' ELSE event_type END"
+
+
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(experiment, strategy, round, metric, value): strategy = event_type ('view' is the
+    baseline), round = day of month, loss = avg(value), accuracy = avg(value < 100), n."""
+    ev = table(spark, sf_dir, "events")
+    g = ev.groupBy(strategy_col().alias("strategy"), F.dayofmonth("ts").cast("int").alias("round")).agg(
+        F.avg("value").alias("loss"), F.avg((F.col("value") < 100).cast("double")).alias("accuracy"),
+        F.count(F.lit(1)).cast("double").alias("n"))
+    structs = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("loss", "accuracy", "n")]
+    return g.select(F.col("strategy").alias("experiment"), "strategy", "round",
+                    F.explode(F.array(*structs)).alias("s")).select("experiment", "strategy", "round", "s.metric", "s.value")
+
+
+RUN_HISTORY_SQL = (
+    f"WITH g AS (SELECT {STRATEGY_SQL} AS strategy, CAST(dayofmonth(ts) AS INTEGER) AS round, avg(value) AS loss, "
+    "avg(CAST(value < 100 AS DOUBLE)) AS accuracy, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL) "
+    "SELECT strategy AS experiment, strategy, round, 'loss' AS metric, loss AS value FROM g UNION ALL "
+    "SELECT strategy, strategy, round, 'accuracy', accuracy FROM g UNION ALL SELECT strategy, strategy, round, 'n', n FROM g")
+
+# Noise multiplier per experiment of the privacy fixture.
+NOISE_BY_STRATEGY = [("baseline", 0.5), ("click", 1.0), ("error", 2.0), ("purchase", 1.0), ("signup", 2.0)]
+
+
+def privacy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(experiment, round, sample_rate, noise_multiplier): sample_rate = the experiment's share
+    of that day's events (2 digits), multiplier from NOISE_BY_STRATEGY."""
+    ev = table(spark, sf_dir, "events")
+    g = ev.groupBy(strategy_col().alias("experiment"), F.dayofmonth("ts").cast("int").alias("round")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    day = ev.groupBy(F.dayofmonth("ts").cast("int").alias("round")).agg(F.count(F.lit(1)).alias("_d"))
+    z = F.create_map(*[x for s, v in NOISE_BY_STRATEGY for x in (F.lit(s), F.lit(v))])
+    return g.join(day, "round").select(
+        "experiment", "round", F.round(F.col("_c") / F.col("_d"), 2).alias("sample_rate"),
+        F.element_at(z, F.col("experiment")).alias("noise_multiplier"))
+
+
+PRIVACY_ROUNDS_SQL = (
+    f"SELECT g.experiment, g.round, round(g.c / d.d, 2) AS sample_rate, CASE g.experiment "
+    + " ".join(f"WHEN '{s}' THEN {v}" for s, v in NOISE_BY_STRATEGY) + " END AS noise_multiplier FROM "
+    f"(SELECT {STRATEGY_SQL} AS experiment, CAST(dayofmonth(ts) AS INTEGER) AS round, count(*) AS c FROM events GROUP BY ALL) g "
+    "JOIN (SELECT CAST(dayofmonth(ts) AS INTEGER) AS round, count(*) AS d FROM events GROUP BY ALL) d USING (round)")
