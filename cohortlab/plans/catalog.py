@@ -825,3 +825,141 @@ SELECT experiment, round, sample_rate, noise_multiplier, round(min(rdp + conv),
 @query("privacy_ledger", LEDGER_SQL)
 def q_privacy_ledger(spark, sf):
     return privacy.privacy_ledger(T.privacy_rounds(spark, sf))
+
+
+# ---------------------------------------------------------------------------------------------
+# run-history analytics
+from ..operators import history as H  # noqa: E402
+
+RH = T.RUN_HISTORY_SQL
+LV = f"SELECT experiment, strategy, metric, arg_max(value, round) AS value, max(round) AS round FROM ({RH}) GROUP BY ALL"
+
+
+@query("final_metrics", None)
+def q_final_metrics(spark, sf):
+    return H.final_metrics(T.run_history(spark, sf))
+
+
+ORACLE["final_metrics"] = (
+    f"WITH lv AS ({LV}), r AS (SELECT experiment, strategy, count(DISTINCT round) AS n_rounds FROM ({RH}) GROUP BY ALL) "
+    "SELECT r.experiment, r.strategy, r.n_rounds, " + ", ".join(
+        f"round(coalesce(max(CASE WHEN lv.metric = '{m}' THEN lv.value END), 0.0), 6) + 0.0 AS final_{m}"
+        for m in H.FINAL_METRICS) +
+    " FROM r LEFT JOIN lv USING (experiment) GROUP BY r.experiment, r.strategy, r.n_rounds")
+
+
+@query("compare_strategies", f"SELECT strategy, " + ", ".join(
+    f"round(coalesce(max(CASE WHEN metric = '{m}' THEN value END), 0.0), 6) + 0.0 AS {m}"
+    for m in ["accuracy", "f1", "auc_roc"]) + f" FROM ({LV}) GROUP BY strategy")
+def q_compare_strategies(spark, sf):
+    return H.compare_strategies(T.run_history(spark, sf))
+
+
+CMP_METRICS = ["accuracy", "loss", "n"]
+
+
+@query("comparison_table", "SELECT strategy, " + ", ".join(
+    f"round(max(CASE WHEN metric = '{m}' THEN value END), 6) + 0.0 AS {m}" for m in CMP_METRICS) +
+    f" FROM ({LV}) GROUP BY strategy")
+def q_comparison_table(spark, sf):
+    return H.comparison_table(T.run_history(spark, sf), CMP_METRICS)
+
+
+@query("best_by_metric", "SELECT metric, strategy AS best_strategy, round(value, 6) + 0.0 AS value FROM (SELECT *, "
+       "row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('accuracy', 'n') THEN value ELSE -value END "
+       f"DESC, strategy) AS rk FROM ({LV})) WHERE rk = 1")
+def q_best_by_metric(spark, sf):
+    return H.best_by_metric(T.run_history(spark, sf))
+
+
+@query("improvement_vs_baseline", f"SELECT l.strategy, l.metric, round((l.value - b.value) / abs(b.value) * 100.0, 6) + 0.0 "
+       f"AS improvement_pct FROM ({LV}) l JOIN (SELECT metric, value FROM ({LV}) WHERE strategy = 'baseline') b USING (metric) "
+       "WHERE l.strategy <> 'baseline'")
+def q_improvement_vs_baseline(spark, sf):
+    return H.improvement_vs_baseline(T.run_history(spark, sf))
+
+
+@query("history_long", f"SELECT strategy, CAST(rk AS INTEGER) AS round, metric, round(value, 6) + 0.0 AS value FROM "
+       f"(SELECT strategy, metric, value, row_number() OVER (PARTITION BY strategy, metric ORDER BY round) AS rk FROM ({RH}))")
+def q_history_long(spark, sf):
+    return H.history_long(H.history_arrays(T.run_history(spark, sf)))
+
+
+@query("convergence_stats", "SELECT strategy, metric, round(arg_min(value, round), 6) + 0.0 AS first_value, "
+       "round(arg_max(value, round), 6) + 0.0 AS last_value, round((arg_max(value, round) - arg_min(value, round)) / "
+       f"abs(arg_min(value, round)) * 100.0, 6) + 0.0 AS improvement_pct FROM ({RH}) GROUP BY ALL")
+def q_convergence_stats(spark, sf):
+    return H.convergence_stats(T.run_history(spark, sf))
+
+
+WCM_SQL = ORACLE["weighted_client_metrics"]
+
+
+@query("client_performance", f"SELECT c.round, round(max(c.value), 6) + 0.0 AS best, round(min(c.value), 6) + 0.0 AS worst, "
+       "round(avg(c.value), 6) + 0.0 AS mean, round(var_pop(c.value), 6) + 0.0 AS variance, "
+       f"count_if(c.value > g.value) AS n_above_global FROM ({CM_}) c JOIN (SELECT round, value FROM "
+       f"(SELECT s.round, s.metric, s.sv / t.tot AS value FROM (SELECT round, metric, sum(n * value) AS sv FROM ({CM_}) "
+       f"GROUP BY ALL) s JOIN (SELECT round, CAST(sum(n) AS DOUBLE) AS tot FROM (SELECT DISTINCT round, client_id, n "
+       f"FROM ({CM_})) GROUP BY round) t USING (round)) WHERE metric = 'accuracy') g USING (round) "
+       "WHERE c.metric = 'accuracy' GROUP BY c.round")
+def q_client_performance(spark, sf):
+    cm = T.client_metrics(spark, sf)
+    return H.client_performance(cm, PM.weighted_client_metrics(cm, "zero"))
+
+
+@query("radar_rows", f"""
+WITH c AS (SELECT l_linestatus AS grp, count_if(y_pred = 1 AND y_true = 1) AS tp, count_if(y_pred = 0 AND y_true = 0) AS tn,
+  count_if(y_pred = 1 AND y_true = 0) AS fp, count_if(y_pred = 0 AND y_true = 1) AS fn, count(*) AS total,
+  count_if(y_pred = y_true) AS correct FROM (SELECT l_linestatus, CAST(l_returnflag = 'R' AS INTEGER) AS y_true,
+  CAST(l_discount * 10 > 0.5 AS INTEGER) AS y_pred FROM lineitem) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
+SELECT grp AS l_linestatus, round(correct / total, 6) + 0.0 AS accuracy, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) + 0.0 AS f1,
+  round(1.0 - round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6), 6) + 0.0 AS specificity FROM m""")
+def q_radar_rows(spark, sf):
+    li = T.table(spark, sf, "lineitem").select(
+        "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y_true"),
+        (F.col("l_discount") * 10 > 0.5).cast("int").alias("y_pred"))
+    return H.radar_rows(binary_metrics_by(li, "l_linestatus"), "l_linestatus")
+
+
+def binary_metrics_by(df, group_col):
+    """binary_metrics per group value (one aggregate grouped by ``group_col``)."""
+    from ..functions.exprs import f1_of, safe_ratio
+    t, p = F.col("y_true"), F.col("y_pred")
+    c = df.groupBy(group_col).agg(F.count_if((p == 1) & (t == 1)).alias("tp"), F.count_if((p == 0) & (t == 0)).alias("tn"),
+                                  F.count_if((p == 1) & (t == 0)).alias("fp"), F.count_if((p == 0) & (t == 1)).alias("fn"),
+                                  F.count(F.lit(1)).alias("total"), F.count_if(p == t).alias("correct"))
+    prec = safe_ratio("tp", F.col("tp") + F.col("fp"))
+    rec = safe_ratio("tp", F.col("tp") + F.col("fn"))
+    return c.select(group_col, r6(safe_ratio("correct", "total")).alias("accuracy"), r6(prec).alias("precision"),
+                    r6(rec).alias("recall"), r6(f1_of(prec, rec)).alias("f1"),
+                    r6(safe_ratio("fp", F.col("fp") + F.col("tn"))).alias("fpr"))
+
+
+@query("privacy_utility", f"SELECT e.experiment, round(e.epsilon, 6) + 0.0 AS epsilon, round(a.value, 6) + 0.0 AS accuracy "
+       f"FROM (SELECT experiment, arg_max(epsilon, round) AS epsilon FROM ({LEDGER_SQL}) GROUP BY ALL) e JOIN "
+       f"(SELECT experiment, value FROM ({LV}) WHERE metric = 'accuracy') a USING (experiment)")
+def q_privacy_utility(spark, sf):
+    return H.privacy_utility(privacy.privacy_ledger(T.privacy_rounds(spark, sf)), T.run_history(spark, sf))
+
+
+@query("last_rounds", f"SELECT experiment, strategy, round, metric, round(value, 6) + 0.0 AS value FROM (SELECT *, "
+       f"row_number() OVER (PARTITION BY experiment, metric ORDER BY round DESC) AS rk FROM ({RH})) WHERE rk <= 5")
+def q_last_rounds(spark, sf):
+    return H.last_rounds(T.run_history(spark, sf), 5)
+
+
+@query("strategy_report", f"""
+WITH per AS (SELECT experiment, strategy, round, max(CASE WHEN metric = 'loss' THEN value END) AS loss,
+  max(CASE WHEN metric = 'accuracy' THEN value END) AS accuracy FROM ({RH}) GROUP BY ALL),
+b AS (SELECT experiment, arg_max(round, coalesce(accuracy, 0.0)) AS best_round, max(coalesce(accuracy, 0.0)) AS best_accuracy,
+  min(round) AS first_round FROM per GROUP BY experiment)
+SELECT p.experiment AS experiment_name, p.strategy, CAST(count(*) AS INTEGER) AS num_rounds,
+  round(coalesce(arg_max(p.loss, p.round), 0.0), 6) + 0.0 AS final_loss,
+  round(coalesce(arg_max(p.accuracy, p.round), 0.0), 6) + 0.0 AS final_accuracy,
+  min(CASE WHEN coalesce(p.accuracy, 0.0) = b.best_accuracy THEN p.round END) AS best_round,
+  round(max(b.best_accuracy), 6) + 0.0 AS best_accuracy
+FROM per p JOIN b USING (experiment) GROUP BY p.experiment, p.strategy""")
+def q_strategy_report(spark, sf):
+    return H.strategy_report(H.experiment_results(T.run_history(spark, sf), {"num_clients": 5}))
