@@ -963,3 +963,98 @@ SELECT p.experiment AS experiment_name, p.strategy, CAST(count(*) AS INTEGER) AS
 FROM per p JOIN b USING (experiment) GROUP BY p.experiment, p.strategy""")
 def q_strategy_report(spark, sf):
     return H.strategy_report(H.experiment_results(T.run_history(spark, sf), {"num_clients": 5}))
+
+
+# ---------------------------------------------------------------------------------------------
+# training (M1-M4, M14-M17): rows-only except the linear scoring / closed-form step
+from ..operators import train as TR  # noqa: E402
+from . import federated as FED  # noqa: E402
+
+
+def emb_clients(spark, sf, n=5):
+    e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"),
+                                                F.col("label").cast("int").alias("label"))
+    c = partition.partition_iid(e, "vec_id", n_clients=n)
+    return partition.client_train_val(c, "vec_id")
+
+
+@query("local_train", None)
+def q_local_train(spark, sf):
+    d = emb_clients(spark, sf)
+    model = TR.init_model(TR.layer_dims(64, 10, ()), 42)
+    p = TR.local_train(d.where("split = 'train'"), model, "vec_id", epochs=2, batch_size=32, lr=0.01)
+    return TR.combine_shards(p)
+
+
+@query("federated_train", None)
+def q_federated_train(spark, sf):
+    cfg = FED.FedConfig(strategy="fedavg", n_rounds=3, local_epochs=2, batch_size=32, lr=0.01)
+    return FED.federated_train(emb_clients(spark, sf), "vec_id", cfg).history
+
+
+@query("baseline_train", None)
+def q_baseline_train(spark, sf):
+    d = emb_clients(spark, sf)
+    model = TR.baseline_train(d.where("split = 'train'"), max_iter=50)
+    from pyspark.ml.functions import array_to_vector
+    ev = d.where("split = 'val'").select(array_to_vector(F.col("features").cast("array<double>")).alias("fv"),
+                                         F.col("label").alias("y_true"), "client_id")
+    pred = model.transform(ev).withColumn("y_pred", F.col("prediction").cast("int"))
+    return M.eval_table(pred, "y_true", "y_pred")
+
+
+CENTROIDS_SQL = ("SELECT label AS k, list_transform(range(0, 64), lambda j: avg(embedding[j + 1])) AS w FROM embeddings "
+                 "GROUP BY label")
+
+
+def class_centroids(spark, sf):
+    """(label, centroid) — K x F doubles, collected to build the linear model."""
+    e = T.table(spark, sf, "embeddings")
+    dims = e.select(F.size("embedding")).first()[0]
+    g = e.groupBy("label").agg(*[F.avg(F.element_at("embedding", j + 1)).alias(f"c{j}") for j in range(dims)])
+    rows = sorted(g.collect(), key=lambda r: r["label"])
+    return [r["label"] for r in rows], [[r[f"c{j}"] for j in range(dims)] for r in rows]
+
+
+@query("score_linear", """
+WITH x AS (SELECT vec_id, label, j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j)),
+c AS (SELECT label AS k, j, avg(v) AS w FROM x GROUP BY ALL),
+d AS (SELECT x.vec_id, c.k, sum(x.v * c.w) AS logit FROM x JOIN c USING (j) GROUP BY ALL)
+SELECT vec_id, CAST(arg_max(k, logit) AS INTEGER) AS y_pred, round(max(logit), 6) + 0.0 AS max_logit FROM d GROUP BY vec_id""")
+def q_score_linear(spark, sf):
+    labels, W = class_centroids(spark, sf)
+    e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"))
+    s = TR.score_linear(e, W)
+    lab = F.array(*[F.lit(int(x)) for x in labels])
+    return s.select("vec_id", F.element_at(lab, M.argmax(F.col("logits")) + 1).cast("int").alias("y_pred"),
+                    r6(F.array_max("logits")).alias("max_logit"))
+
+
+@query("sgd_step_zero_init", f"""
+WITH x AS (SELECT CAST(vec_id % 5 AS INTEGER) AS client_id, label, j - 1 AS j, CAST(embedding[j] AS DOUBLE) AS v
+           FROM embeddings, range(1, 65) t(j)),
+n AS (SELECT client_id, count(*) AS nc FROM embeddings_c GROUP BY client_id),
+s AS (SELECT client_id, j, sum(v) AS sj FROM x GROUP BY ALL),
+sk AS (SELECT client_id, label AS k, j, sum(v) AS skj FROM x GROUP BY ALL),
+kk AS (SELECT DISTINCT label AS k FROM embeddings),
+g AS (SELECT s.client_id, kk.k, s.j, (s.sj / (SELECT count(*) FROM kk) - coalesce(sk.skj, 0)) / n.nc AS grad, n.nc
+      FROM s JOIN n USING (client_id) CROSS JOIN kk LEFT JOIN sk ON sk.client_id = s.client_id AND sk.k = kk.k AND sk.j = s.j)
+SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, round(sum(nc * (-0.1 * grad)) / sum(nc), 6) + 0.0 AS value
+FROM g GROUP BY k, j""".replace("embeddings_c", "(SELECT CAST(vec_id % 5 AS INTEGER) AS client_id FROM embeddings)"))
+def q_sgd_step_zero_init(spark, sf):
+    """One full-batch SGD step (lr 0.1) of linear softmax from zero weights per client
+    (client = vec_id % 5), then FedAvg: W[k][j] = −lr·(S_j/K − S_kj)/n_c averaged by n_c."""
+    e = T.table(spark, sf, "embeddings").select((F.col("vec_id") % 5).cast("int").alias("client_id"), "label",
+                                                F.posexplode("embedding").alias("j", "v"))
+    labels = sorted(r[0] for r in e.select("label").distinct().collect())
+    K = len(labels)
+    n = T.table(spark, sf, "embeddings").groupBy((F.col("vec_id") % 5).cast("int").alias("client_id")).agg(
+        F.count(F.lit(1)).alias("nc"))
+    sk = e.groupBy("client_id", "label", "j").agg(F.sum("v").alias("skj"))
+    s = sk.groupBy("client_id", "j").agg(F.sum("skj").alias("sj"),
+                                         F.map_from_entries(F.collect_list(F.struct("label", "skj"))).alias("_m"))
+    g = s.join(n, "client_id").select("client_id", "j", "nc", F.explode(F.array(*[F.lit(k) for k in labels])).alias("k"),
+                                      "sj", "_m")
+    g = g.withColumn("grad", (F.col("sj") / K - F.coalesce(F.element_at("_m", F.col("k")), F.lit(0.0))) / F.col("nc"))
+    return g.groupBy(F.col("k").cast("int").alias("k"), F.col("j").cast("int").alias("j")).agg(
+        r6(F.sum(F.col("nc") * (F.lit(-0.1) * F.col("grad"))) / F.sum("nc")).alias("value"))
