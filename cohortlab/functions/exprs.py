@@ -41,9 +41,14 @@ def gaussian_from_hash(h: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+# Added before rounding so values that are exact decimal ties (x.xxxxxx5) do not round up in
+# one engine and down in another depending on summation order. Same in the DuckDB oracle.
+ROUND_NUDGE = 1e-9
+
+
 def r6(c) -> Column:
-    """Round to 6 digits and turn -0.0 into 0.0 (same in the DuckDB oracle: ``round(x, 6) + 0.0``)."""
-    return F.round(_c(c), 6) + F.lit(0.0)
+    """Round to 6 digits, -0.0 -> 0.0; DuckDB oracle: ``round(x + 1e-9, 6) + 0.0``."""
+    return F.round(_c(c) + F.lit(ROUND_NUDGE), 6) + F.lit(0.0)
 
 
 def safe_ratio(num, den) -> Column:

@@ -90,20 +90,20 @@ def q_scheme_comparison(spark, sf):
     })
 
 
-@query("partition_iid", f"SELECT client_id, count(*) AS n_samples, sum(event_id) AS key_sum FROM ({IID}) GROUP BY 1")
+@query("partition_iid", f"SELECT client_id, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({IID}) GROUP BY 1")
 def q_partition_iid(spark, sf):
     return iid_flows(spark, sf).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_samples"),
                                                           F.sum("event_id").alias("key_sum"))
 
 
-@query("partition_by_day", f"SELECT client_id, count(*) AS n_samples, sum(event_id) AS key_sum FROM ({DAY}) GROUP BY 1")
+@query("partition_by_day", f"SELECT client_id, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({DAY}) GROUP BY 1")
 def q_partition_by_day(spark, sf):
     return day_flows(spark, sf).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_samples"),
                                                           F.sum("event_id").alias("key_sum"))
 
 
 @query("partition_by_day_wide",
-       f"SELECT client_id, count(*) AS n_samples, sum(event_id) AS key_sum FROM ({S.day_sql(S.FLOWS, n=40)}) GROUP BY 1")
+       f"SELECT client_id, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({S.day_sql(S.FLOWS, n=40)}) GROUP BY 1")
 def q_partition_by_day_wide(spark, sf):
     return day_flows(spark, sf, n=40).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_samples"),
                                                                 F.sum("event_id").alias("key_sum"))
@@ -117,7 +117,7 @@ def _family_q(n):
 
 
 for _n, _nm in [(5, "partition_by_family"), (3, "partition_by_family_n3"), (8, "partition_by_family_n8")]:
-    query(_nm, f"SELECT client_id, label, count(*) AS n_samples, sum(event_id) AS key_sum "
+    query(_nm, f"SELECT client_id, label, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum "
                f"FROM ({S.family_part_sql(S.FLOWS, n=_n)}) GROUP BY 1, 2")(_family_q(_n))
 
 
@@ -138,7 +138,7 @@ def q_drop_null_subset(spark, sf):
     return clean.remove_infinite_values(T.dirty_flows(spark, sf), ["value"]).select("event_id", "value")
 
 
-@query("dedup_rows", f"SELECT label, count(*) AS n_rows, round(sum(value), 6) + 0.0 AS value_sum "
+@query("dedup_rows", f"SELECT label, count(*) AS n_rows, round(sum(value) + 1e-9, 6) + 0.0 AS value_sum "
                      f"FROM (SELECT DISTINCT * FROM ({T.DUP_FLOWS_SQL})) GROUP BY label")
 def q_dedup_rows(spark, sf):
     from ..functions.exprs import r6
@@ -199,7 +199,7 @@ def q_synthetic_day_rows(spark, sf):
     return clean.synthetic_day(T.flows(spark, sf).select("event_id"), "event_id")
 
 
-ORACLE["synthetic_day"] = (f"SELECT day, count(*) AS n, sum(event_id) AS key_sum FROM ({ORACLE['synthetic_day']}) "
+ORACLE["synthetic_day"] = (f"SELECT day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({ORACLE['synthetic_day']}) "
                            "GROUP BY day")
 QUERIES["synthetic_day"] = lambda spark, sf: q_synthetic_day_rows(spark, sf).groupBy("day").agg(
     F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
@@ -210,7 +210,7 @@ def q_label_family(spark, sf):
     return clean.label_family(T.flows(spark, sf)).groupBy("label", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("family_filter", f"SELECT family, count(*) AS n, sum(event_id) AS key_sum FROM (SELECT *, {S.family_sql('label')} "
+@query("family_filter", f"SELECT family, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM (SELECT *, {S.family_sql('label')} "
                         f"AS family FROM ({S.FLOWS})) WHERE family <> 'Normal' GROUP BY family")
 def q_family_filter(spark, sf):
     fam = clean.family_filter(clean.label_family(T.flows(spark, sf)), normal=False)
@@ -228,7 +228,7 @@ STRAT = (f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {S
          f"round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split FROM ({S.FLOWS})")
 
 
-@query("stratified_split", f"SELECT label, split, count(*) AS n, sum(event_id) AS key_sum FROM ({STRAT}) GROUP BY ALL")
+@query("stratified_split", f"SELECT label, split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({STRAT}) GROUP BY ALL")
 def q_stratified_split(spark, sf):
     s = split_ops.stratified_split(T.flows(spark, sf), "event_id", "label", 0.2)
     return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
@@ -238,7 +238,7 @@ TRAINVAL = (f"SELECT *, CASE WHEN row_number() OVER (PARTITION BY client_id ORDE
             f"floor(count(*) OVER (PARTITION BY client_id) * 0.8) THEN 'train' ELSE 'val' END AS split FROM ({IID})")
 
 
-@query("client_train_val", f"SELECT client_id, split, count(*) AS n, sum(event_id) AS key_sum FROM ({TRAINVAL}) GROUP BY ALL")
+@query("client_train_val", f"SELECT client_id, split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({TRAINVAL}) GROUP BY ALL")
 def q_client_train_val(spark, sf):
     s = partition.client_train_val(iid_flows(spark, sf), "event_id")
     return s.groupBy("client_id", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
@@ -255,7 +255,7 @@ def _dirichlet_sql():
             f"FROM ({S.FLOWS}))")
 
 
-@query("partition_dirichlet", f"SELECT client_id, label, count(*) AS n, sum(event_id) AS key_sum FROM ({_dirichlet_sql()}) "
+@query("partition_dirichlet", f"SELECT client_id, label, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({_dirichlet_sql()}) "
                               "GROUP BY ALL")
 def q_partition_dirichlet(spark, sf):
     enc, lm = clean.label_encode(T.flows(spark, sf), "label")
@@ -281,7 +281,7 @@ def q_sample_clients(spark, sf):
     return partition.sample_clients(client_rounds(spark, sf), fraction=0.6, min_fit=2, min_available=2)
 
 
-@query("client_rows", f"SELECT count(*) AS n, sum(event_id) AS key_sum FROM ({IID}) WHERE client_id = 2")
+@query("client_rows", f"SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({IID}) WHERE client_id = 2")
 def q_client_rows(spark, sf):
     return partition.client_rows(iid_flows(spark, sf), 2).agg(F.count(F.lit(1)).alias("n"),
                                                                F.sum("event_id").alias("key_sum"))
@@ -290,15 +290,15 @@ def q_client_rows(spark, sf):
 BIN = ("SELECT event_id, ts, CAST(event_type = 'error' AS INTEGER) AS label_bin, value, user_id FROM events")
 INJECT = (
     f"WITH d AS (SELECT *, isodow(ts) - 1 AS _dow, label_bin = 0 AS _neg FROM ({BIN})), "
-    "t AS (SELECT _dow, count(*) AS _n, count_if(NOT _neg) AS _p FROM d GROUP BY _dow), "
+    "t AS (SELECT _dow, count(*) AS _n, CAST(count_if(NOT _neg) AS BIGINT) AS _p FROM d GROUP BY _dow), "
     f"r AS (SELECT d.*, row_number() OVER (PARTITION BY d._dow, d._neg ORDER BY {S.h('event_id')}, event_id) AS _pos, "
     "t._n, t._p FROM d JOIN t USING (_dow)) "
     "SELECT event_id, _dow, CAST(CASE WHEN _neg AND _pos <= greatest(floor(_n * (0.1 + 0.05 * _dow)) - _p, 0) "
     "THEN 1 ELSE label_bin END AS INTEGER) AS label_bin FROM r")
 
 
-@query("inject_label_rate", f"SELECT CAST(_dow AS INTEGER) AS dow, count(*) AS n, sum(label_bin) AS positives, "
-                            f"sum(event_id * label_bin) AS key_sum FROM ({INJECT}) GROUP BY 1")
+@query("inject_label_rate", f"SELECT CAST(_dow AS INTEGER) AS dow, count(*) AS n, CAST(sum(label_bin) AS BIGINT) AS positives, "
+                            f"CAST(sum(event_id * label_bin) AS BIGINT) AS key_sum FROM ({INJECT}) GROUP BY 1")
 def q_inject_label_rate(spark, sf):
     b = T.binary_flows(spark, sf)
     inj = partition.inject_label_rate(b, "event_id", "ts", "label_bin")
@@ -323,7 +323,7 @@ def _strat_flows(spark, sf):
     return split_ops.stratified_split(T.flows(spark, sf), "event_id", "label", 0.2)
 
 
-@query("scaler_fit", f"SELECT feature, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM ({FIT_SQL})")
+@query("scaler_fit", f"SELECT feature, round(mean + 1e-9, 6) + 0.0 AS mean, round(std + 1e-9, 6) + 0.0 AS std FROM ({FIT_SQL})")
 def q_scaler_fit(spark, sf):
     from ..functions.exprs import r6
     st = scale.scaler_fit(_strat_flows(spark, sf).where("split = 'train'"), FEATS)
@@ -345,15 +345,15 @@ def _scaled_flows(spark, sf):
     return scale.scaler_apply(sp, st)
 
 
-@query("scaler_apply", "SELECT event_id, split, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATS) +
+@query("scaler_apply", "SELECT event_id, split, " + ", ".join(f"round({c} + 1e-9, 6) + 0.0 AS {c}" for c in FEATS) +
        f" FROM ({SCALED_SQL})")
 def q_scaler_apply(spark, sf):
     from ..functions.exprs import r6
     return _scaled_flows(spark, sf).select("event_id", "split", *[r6(c).alias(c) for c in FEATS])
 
 
-@query("scaler_check", "SELECT round((" + " + ".join(f"avg({c})" for c in FEATS) + f") / {len(FEATS)}, 6) + 0.0 "
-       "AS mean_of_means, round((" + " + ".join(f"stddev_samp({c})" for c in FEATS) + f") / {len(FEATS)}, 6) + 0.0 "
+@query("scaler_check", "SELECT round((" + " + ".join(f"avg({c})" for c in FEATS) + f") / {len(FEATS)} + 1e-9, 6) + 0.0 "
+       "AS mean_of_means, round((" + " + ".join(f"stddev_samp({c})" for c in FEATS) + f") / {len(FEATS)} + 1e-9, 6) + 0.0 "
        f"AS mean_of_stds FROM ({SCALED_SQL}) WHERE split = 'train'")
 def q_scaler_check(spark, sf):
     return scale.scaler_check(_scaled_flows(spark, sf).where("split = 'train'"), FEATS)
@@ -367,7 +367,7 @@ PREP_FIT = ("SELECT feature, mean, CASE WHEN std = 0 OR std IS NULL THEN 1.0 ELS
                                "WHERE split = 'train'" for c in FEATS) + ")")
 
 
-@query("prep_pipeline", "SELECT event_id, split, label_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATS) +
+@query("prep_pipeline", "SELECT event_id, split, label_id, " + ", ".join(f"round({c} + 1e-9, 6) + 0.0 AS {c}" for c in FEATS) +
        " FROM (SELECT event_id, split, label_id, " + ", ".join(
            f"({c} - (SELECT mean FROM ({PREP_FIT}) WHERE feature = '{c}')) / "
            f"(SELECT std FROM ({PREP_FIT}) WHERE feature = '{c}') AS {c}" for c in FEATS) + f" FROM ({PREP_SPLIT}))")
@@ -377,7 +377,7 @@ def q_prep_pipeline(spark, sf):
     return res.data.select("event_id", "split", "label_id", *[r6(c).alias(c) for c in res.features])
 
 
-@query("load_split", f"SELECT count(*) AS n, sum(event_id) AS key_sum FROM ({STRAT}) WHERE split = 'test'")
+@query("load_split", f"SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({STRAT}) WHERE split = 'test'")
 def q_load_split(spark, sf):
     """S7 semantics on the split table: only the 'test' partition is read back."""
     return _strat_flows(spark, sf).where("split = 'test'").agg(F.count(F.lit(1)).alias("n"),
@@ -394,21 +394,21 @@ def q_profile_shape(spark, sf):
     return profile.profile_shape(T.dirty_flows(spark, sf))
 
 
-@query("profile_missing", "SELECT 'value' AS \"column\", count_if(value IS NULL) AS missing, "
-       f"round(count_if(value IS NULL) * 100.0 / count(*), 6) + 0.0 AS missing_pct FROM ({T.DIRTY_FLOWS_SQL})")
+@query("profile_missing", "SELECT 'value' AS \"column\", CAST(count_if(value IS NULL) AS BIGINT) AS missing, "
+       f"round(count_if(value IS NULL) * 100.0 / count(*) + 1e-9, 6) + 0.0 AS missing_pct FROM ({T.DIRTY_FLOWS_SQL})")
 def q_profile_missing(spark, sf):
     return profile.profile_missing(T.dirty_flows(spark, sf))
 
 
 @query("profile_infinite", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count_if(abs(CAST({c} AS DOUBLE)) = CAST('inf' AS DOUBLE)) AS n_inf FROM ({T.DIRTY_FLOWS_SQL})"
+    f"SELECT '{c}' AS \"column\", CAST(count_if(abs(CAST({c} AS DOUBLE)) = CAST('inf' AS DOUBLE)) AS BIGINT) AS n_inf FROM ({T.DIRTY_FLOWS_SQL})"
     for c in ["event_id", "value", "user_id", "k"]))
 def q_profile_infinite(spark, sf):
     return profile.profile_infinite(T.dirty_flows(spark, sf))
 
 
-@query("profile_duplicates", f"SELECT n_rows - n_distinct AS n_duplicates, round((n_rows - n_distinct) * 100.0 / n_rows, 6) "
-       f"+ 0.0 AS duplicate_pct FROM (SELECT count(*) AS n_rows FROM ({T.DUP_FLOWS_SQL})), "
+@query("profile_duplicates", f"SELECT n_rows - n_distinct AS n_duplicates, round((n_rows - n_distinct) * 100.0 / n_rows "
+       f"+ 1e-9, 6) + 0.0 AS duplicate_pct FROM (SELECT count(*) AS n_rows FROM ({T.DUP_FLOWS_SQL})), "
        f"(SELECT count(*) AS n_distinct FROM (SELECT DISTINCT * FROM ({T.DUP_FLOWS_SQL})))")
 def q_profile_duplicates(spark, sf):
     return profile.profile_duplicates(T.dup_flows(spark, sf))
@@ -420,31 +420,31 @@ def q_class_distribution(spark, sf):
     return profile.class_distribution(T.flows(spark, sf), "label")
 
 
-@query("imbalance_ratio", f"SELECT round(max(n) * 1.0 / min(n), 6) + 0.0 AS imbalance_ratio, count(*) AS n_classes "
+@query("imbalance_ratio", f"SELECT round(max(n) * 1.0 / min(n) + 1e-9, 6) + 0.0 AS imbalance_ratio, count(*) AS n_classes "
                           f"FROM (SELECT label, count(*) AS n FROM ({S.FLOWS}) GROUP BY label)")
 def q_imbalance_ratio(spark, sf):
     return profile.imbalance_ratio(T.flows(spark, sf), "label")
 
 
 @query("profile_describe", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) + 0.0 AS mean, "
-    f"round(stddev_samp({c}), 6) + 0.0 AS std, round(min({c}), 6) + 0.0 AS min, "
-    f"round(quantile_cont({c}, 0.25), 6) + 0.0 AS p25, round(quantile_cont({c}, 0.5), 6) + 0.0 AS p50, "
-    f"round(quantile_cont({c}, 0.75), 6) + 0.0 AS p75, round(max({c}), 6) + 0.0 AS max FROM lineitem"
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}) + 1e-9, 6) + 0.0 AS mean, "
+    f"round(stddev_samp({c}) + 1e-9, 6) + 0.0 AS std, round(min({c}) + 1e-9, 6) + 0.0 AS min, "
+    f"round(quantile_cont({c}, 0.25) + 1e-9, 6) + 0.0 AS p25, round(quantile_cont({c}, 0.5) + 1e-9, 6) + 0.0 AS p50, "
+    f"round(quantile_cont({c}, 0.75) + 1e-9, 6) + 0.0 AS p75, round(max({c}) + 1e-9, 6) + 0.0 AS max FROM lineitem"
     for c in WIDE_COLS))
 def q_profile_describe(spark, sf):
     return profile.profile_describe(T.wide_numeric(spark, sf), WIDE_COLS)
 
 
 @query("profile_ranges", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", round(min({c}), 6) + 0.0 AS min, round(max({c}), 6) + 0.0 AS max, "
-    f"round(max({c}) - min({c}), 6) + 0.0 AS range, round(stddev_samp({c}), 6) + 0.0 AS std FROM lineitem"
+    f"SELECT '{c}' AS \"column\", round(min({c}) + 1e-9, 6) + 0.0 AS min, round(max({c}) + 1e-9, 6) + 0.0 AS max, "
+    f"round(max({c}) - min({c}) + 1e-9, 6) + 0.0 AS range, round(stddev_samp({c}) + 1e-9, 6) + 0.0 AS std FROM lineitem"
     for c in WIDE_COLS))
 def q_profile_ranges(spark, sf):
     return profile.profile_ranges(T.wide_numeric(spark, sf), WIDE_COLS)
 
 
-@query("top_variance", "SELECT \"column\", round(variance, 6) + 0.0 AS variance FROM (" + " UNION ALL ".join(
+@query("top_variance", "SELECT \"column\", round(variance + 1e-9, 6) + 0.0 AS variance FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", var_samp({c}) AS variance FROM lineitem" for c in WIDE_COLS) +
     ") ORDER BY variance DESC, \"column\" LIMIT 3")
 def q_top_variance(spark, sf):
@@ -452,7 +452,7 @@ def q_top_variance(spark, sf):
 
 
 CORR_SQL = " UNION ALL ".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) + 0.0 AS corr FROM lineitem"
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}) + 1e-9, 6) + 0.0 AS corr FROM lineitem"
     for i, a in enumerate(WIDE_COLS) for b in WIDE_COLS[i + 1:])
 
 
@@ -461,15 +461,15 @@ def q_correlation_pairs(spark, sf):
     return profile.correlation_pairs(T.wide_numeric(spark, sf), WIDE_COLS)
 
 
-@query("max_correlation", f"SELECT round(max(abs(corr)), 6) + 0.0 AS max_abs_corr, count_if(abs(corr) > 0.9) AS n_high_pairs "
+@query("max_correlation", f"SELECT round(max(abs(corr)) + 1e-9, 6) + 0.0 AS max_abs_corr, CAST(count_if(abs(corr) > 0.9) AS BIGINT) AS n_high_pairs "
                           f"FROM ({CORR_SQL})")
 def q_max_correlation(spark, sf):
     return profile.max_correlation(profile.correlation_pairs(T.wide_numeric(spark, sf), WIDE_COLS))
 
 
-@query("profile_summary", f"SELECT n_rows, 4 AS n_features, 3 AS n_numeric, n_missing, n_duplicates, n_inf, n_classes FROM "
+@query("profile_summary", f"SELECT n_rows, 4 AS n_features, 3 AS n_numeric, CAST(n_missing AS BIGINT) AS n_missing, n_duplicates, n_inf, n_classes FROM "
        f"(SELECT count(*) AS n_rows, count_if(ts IS NULL) + count_if(label IS NULL) + count_if(value IS NULL) + "
-       f"count_if(user_id IS NULL) + count_if(k IS NULL) AS n_missing, count_if(abs(value) = CAST('inf' AS DOUBLE)) AS n_inf, "
+       f"count_if(user_id IS NULL) + CAST(count_if(k IS NULL) AS BIGINT) AS n_missing, CAST(count_if(abs(value) = CAST('inf' AS DOUBLE)) AS BIGINT) AS n_inf, "
        f"count(DISTINCT label) AS n_classes FROM ({T.DIRTY_DUP_SQL})), "
        f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({T.DIRTY_DUP_SQL}))) AS n_duplicates "
        f"FROM ({T.DIRTY_DUP_SQL}))")
@@ -491,8 +491,8 @@ def q_client_sizes(spark, sf):
     return hetero.client_sizes(family_flows(spark, sf))
 
 
-@query("client_label_balance", "SELECT client_id, count(*) AS total, count_if(label_bin = 1) AS positive, "
-       "count_if(label_bin = 0) AS negative, round(count_if(label_bin = 1) * 100.0 / count(*), 6) + 0.0 AS positive_pct "
+@query("client_label_balance", "SELECT client_id, count(*) AS total, CAST(count_if(label_bin = 1) AS BIGINT) AS positive, "
+       "CAST(count_if(label_bin = 0) AS BIGINT) AS negative, round(count_if(label_bin = 1) * 100.0 / count(*) + 1e-9, 6) + 0.0 AS positive_pct "
        f"FROM ({BIN_IID}) GROUP BY 1")
 def q_client_label_balance(spark, sf):
     return hetero.client_label_balance(bin_iid(spark, sf), "client_id", "label_bin")
@@ -501,15 +501,15 @@ def q_client_label_balance(spark, sf):
 @query("client_label_dist", "WITH c AS (SELECT client_id, label, count(*) AS n FROM (" + FAMILY + ") GROUP BY ALL), "
        "labs AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM "
        "(SELECT DISTINCT label FROM c)), cl AS (SELECT client_id, sum(n) AS tot FROM c GROUP BY 1) "
-       "SELECT cl.client_id, labs.label, labs.label_idx, round(coalesce(c.n, 0) * 1.0 / cl.tot, 6) + 0.0 AS share "
+       "SELECT cl.client_id, labs.label, labs.label_idx, round(coalesce(c.n, 0) * 1.0 / cl.tot + 1e-9, 6) + 0.0 AS share "
        "FROM cl CROSS JOIN labs LEFT JOIN c ON c.client_id = cl.client_id AND c.label = labs.label")
 def q_client_label_dist(spark, sf):
     return hetero.client_label_dist(family_flows(spark, sf))
 
 
-IMB_SQL = ("SELECT client_id, count_if(label_bin = 1) AS positive, count_if(label_bin = 0) AS negative, "
+IMB_SQL = ("SELECT client_id, CAST(count_if(label_bin = 1) AS BIGINT) AS positive, CAST(count_if(label_bin = 0) AS BIGINT) AS negative, "
            "round(CASE WHEN count_if(label_bin = 0) > 0 THEN count_if(label_bin = 1) / (count_if(label_bin = 0) + 1e-10) "
-           f"ELSE CAST('inf' AS DOUBLE) END, 6) + 0.0 AS imbalance FROM ({BIN_IID}) GROUP BY 1")
+           f"ELSE CAST('inf' AS DOUBLE) END + 1e-9, 6) + 0.0 AS imbalance FROM ({BIN_IID}) GROUP BY 1")
 
 
 @query("client_imbalance", IMB_SQL)
@@ -517,16 +517,16 @@ def q_client_imbalance(spark, sf):
     return hetero.client_imbalance(bin_iid(spark, sf), "client_id", "label_bin")
 
 
-@query("imbalance_stats", f"SELECT round(avg(imbalance), 6) + 0.0 AS mean_imbalance, "
-                          f"round(stddev_pop(imbalance), 6) + 0.0 AS std_imbalance FROM ({IMB_SQL})")
+@query("imbalance_stats", f"SELECT round(avg(imbalance) + 1e-9, 6) + 0.0 AS mean_imbalance, "
+                          f"round(stddev_pop(imbalance) + 1e-9, 6) + 0.0 AS std_imbalance FROM ({IMB_SQL})")
 def q_imbalance_stats(spark, sf):
     return hetero.imbalance_stats(hetero.client_imbalance(bin_iid(spark, sf), "client_id", "label_bin"))
 
 
 @query("partition_totals", "SELECT count(DISTINCT client_id) AS n_clients, count(*) AS n_samples, "
-       "count_if(label_bin = 1) AS positive, count_if(label_bin = 0) AS negative, "
-       "round(count_if(label_bin = 1) * 100.0 / count(*), 6) + 0.0 AS positive_pct, "
-       f"round(count_if(label_bin = 0) * 100.0 / count(*), 6) + 0.0 AS negative_pct FROM ({BIN_IID})")
+       "CAST(count_if(label_bin = 1) AS BIGINT) AS positive, CAST(count_if(label_bin = 0) AS BIGINT) AS negative, "
+       "round(count_if(label_bin = 1) * 100.0 / count(*) + 1e-9, 6) + 0.0 AS positive_pct, "
+       f"round(count_if(label_bin = 0) * 100.0 / count(*) + 1e-9, 6) + 0.0 AS negative_pct FROM ({BIN_IID})")
 def q_partition_totals(spark, sf):
     return hetero.partition_totals(bin_iid(spark, sf), "client_id", "label_bin")
 
@@ -543,23 +543,23 @@ LG_PRED = (f"SELECT *, CAST(list_position(logits, list_max(logits)) - 1 AS INTEG
            f"{S.lse_sql('logits')} - logits[y_true + 1] AS ce FROM ({LG})")
 
 
-@query("binary_confusion", f"SELECT count_if(y_pred = 1 AND y_true = 1) AS tp, count_if(y_pred = 0 AND y_true = 0) AS tn, "
-       f"count_if(y_pred = 1 AND y_true = 0) AS fp, count_if(y_pred = 0 AND y_true = 1) AS fn, count(*) AS total_samples "
+@query("binary_confusion", f"SELECT CAST(count_if(y_pred = 1 AND y_true = 1) AS BIGINT) AS tp, CAST(count_if(y_pred = 0 AND y_true = 0) AS BIGINT) AS tn, "
+       f"CAST(count_if(y_pred = 1 AND y_true = 0) AS BIGINT) AS fp, CAST(count_if(y_pred = 0 AND y_true = 1) AS BIGINT) AS fn, count(*) AS total_samples "
        f"FROM ({BP})")
 def q_binary_confusion(spark, sf):
     return M.binary_confusion(T.binary_predictions(spark, sf)).drop("_correct")
 
 
 @query("binary_metrics", f"""
-WITH c AS (SELECT count_if(y_pred = 1 AND y_true = 1) AS tp, count_if(y_pred = 0 AND y_true = 0) AS tn,
-  count_if(y_pred = 1 AND y_true = 0) AS fp, count_if(y_pred = 0 AND y_true = 1) AS fn, count(*) AS total_samples,
-  count_if(y_pred = y_true) AS correct FROM ({BP})),
+WITH c AS (SELECT CAST(count_if(y_pred = 1 AND y_true = 1) AS BIGINT) AS tp, CAST(count_if(y_pred = 0 AND y_true = 0) AS BIGINT) AS tn,
+  CAST(count_if(y_pred = 1 AND y_true = 0) AS BIGINT) AS fp, CAST(count_if(y_pred = 0 AND y_true = 1) AS BIGINT) AS fn, count(*) AS total_samples,
+  CAST(count_if(y_pred = y_true) AS BIGINT) AS correct FROM ({BP})),
 m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
-SELECT round(correct / total_samples, 6) + 0.0 AS accuracy, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall,
-  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END, 6) + 0.0 AS specificity,
-  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) + 0.0 AS f1,
-  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6) + 0.0 AS fpr,
-  round(CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0.0 END, 6) + 0.0 AS fnr, tp, tn, fp, fn, total_samples FROM m""")
+SELECT round(correct / total_samples + 1e-9, 6) + 0.0 AS accuracy, round(p + 1e-9, 6) + 0.0 AS precision, round(r + 1e-9, 6) + 0.0 AS recall,
+  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END + 1e-9, 6) + 0.0 AS specificity,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END + 1e-9, 6) + 0.0 AS f1,
+  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END + 1e-9, 6) + 0.0 AS fpr,
+  round(CASE WHEN fn + tp > 0 THEN fn / (fn + tp) ELSE 0.0 END + 1e-9, 6) + 0.0 AS fnr, tp, tn, fp, fn, total_samples FROM m""")
 def q_binary_metrics(spark, sf):
     return M.binary_metrics(T.binary_predictions(spark, sf))
 
@@ -576,8 +576,8 @@ def q_auc_roc(spark, sf):
 
 def _pc_out(sql, group=None):
     g = f"{group}, " if group else ""
-    return (f"SELECT {g}CAST(class AS INTEGER) AS class, round(precision, 6) + 0.0 AS precision, "
-            f"round(recall, 6) + 0.0 AS recall, round(f1, 6) + 0.0 AS f1, CAST(support AS BIGINT) AS support FROM ({sql})")
+    return (f"SELECT {g}CAST(class AS INTEGER) AS class, round(precision + 1e-9, 6) + 0.0 AS precision, "
+            f"round(recall + 1e-9, 6) + 0.0 AS recall, round(f1 + 1e-9, 6) + 0.0 AS f1, CAST(support AS BIGINT) AS support FROM ({sql})")
 
 
 @query("per_class_true", _pc_out(S.pc_sql(MC, union=False)))
@@ -593,19 +593,19 @@ def q_per_class_union(spark, sf):
     return M.per_class_union(T.multiclass_predictions(spark, sf), label_map=lm)
 
 
-@query("macro_metrics", "SELECT round(macro_precision, 6) + 0.0 AS macro_precision, round(macro_recall, 6) + 0.0 AS "
-       f"macro_recall, round(macro_f1, 6) + 0.0 AS macro_f1 FROM ({S.av_sql(S.pc_sql(MC))})")
+@query("macro_metrics", "SELECT round(macro_precision + 1e-9, 6) + 0.0 AS macro_precision, round(macro_recall + 1e-9, 6) + 0.0 AS "
+       f"macro_recall, round(macro_f1 + 1e-9, 6) + 0.0 AS macro_f1 FROM ({S.av_sql(S.pc_sql(MC))})")
 def q_macro_metrics(spark, sf):
     return M.macro_metrics(T.multiclass_predictions(spark, sf))
 
 
-@query("weighted_metrics", "SELECT round(weighted_precision, 6) + 0.0 AS weighted_precision, round(weighted_recall, 6) + 0.0 "
-       f"AS weighted_recall, round(weighted_f1, 6) + 0.0 AS weighted_f1 FROM ({S.av_sql(S.pc_sql(MC))})")
+@query("weighted_metrics", "SELECT round(weighted_precision + 1e-9, 6) + 0.0 AS weighted_precision, round(weighted_recall + 1e-9, 6) + 0.0 "
+       f"AS weighted_recall, round(weighted_f1 + 1e-9, 6) + 0.0 AS weighted_f1 FROM ({S.av_sql(S.pc_sql(MC))})")
 def q_weighted_metrics(spark, sf):
     return M.weighted_metrics(T.multiclass_predictions(spark, sf))
 
 
-@query("accuracy", f"SELECT round(avg(CAST(y_true = y_pred AS DOUBLE)), 6) + 0.0 AS accuracy, count(*) AS n FROM ({MC})")
+@query("accuracy", f"SELECT round(avg(CAST(y_true = y_pred AS DOUBLE)) + 1e-9, 6) + 0.0 AS accuracy, count(*) AS n FROM ({MC})")
 def q_accuracy(spark, sf):
     return M.accuracy(T.multiclass_predictions(spark, sf))
 
@@ -621,14 +621,14 @@ def q_confusion_long(spark, sf):
     return M.confusion_long(T.multiclass_predictions(spark, sf))
 
 
-@query("confusion_pivot", "SELECT y_true, " + ", ".join(f"sum(CASE WHEN y_pred = {k} THEN n END) AS pred_{k}" for k in range(5))
+@query("confusion_pivot", "SELECT y_true, " + ", ".join(f"CAST(sum(CASE WHEN y_pred = {k} THEN n END) AS BIGINT) AS pred_{k}" for k in range(5))
        + f" FROM ({CM_SQL}) GROUP BY y_true")
 def q_confusion_pivot(spark, sf):
     return M.confusion_pivot(T.multiclass_predictions(spark, sf))
 
 
 @query("softmax", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS idx, round(exp(logits[i] - list_max(logits)) / "
-       f"list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))), 6) + 0.0 AS proba "
+       f"list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) + 1e-9, 6) + 0.0 AS proba "
        f"FROM ({LG}), range(1, 11) t(i)")
 def q_softmax(spark, sf):
     lg = T.logits(spark, sf)
@@ -646,7 +646,7 @@ def q_argmax_class(spark, sf):
     return T.logits(spark, sf).select("vec_id", M.argmax(F.col("logits")).alias("y_pred"))
 
 
-@query("cross_entropy", f"SELECT round(avg(ce), 6) + 0.0 AS loss, count(*) AS n FROM ({LG_PRED})")
+@query("cross_entropy", f"SELECT round(avg(ce) + 1e-9, 6) + 0.0 AS loss, count(*) AS n FROM ({LG_PRED})")
 def q_cross_entropy(spark, sf):
     return M.cross_entropy(T.logits(spark, sf))
 
@@ -655,9 +655,9 @@ PROBA = (f"SELECT list_transform(logits, lambda x: exp(x - list_max(logits)) / "
          f"list_sum(list_transform(logits, lambda y: exp(y - list_max(logits))))) AS p FROM ({LG})")
 
 
-@query("proba_stats", "SELECT round(max(list_max(p)), 6) + 0.0 AS max_proba, round(min(list_min(p)), 6) + 0.0 AS min_proba, "
-       "round(sum(list_sum(p)) / sum(len(p)), 6) + 0.0 AS mean_proba, round(avg(list_sum(p)), 6) + 0.0 AS mean_row_sum, "
-       "round(max(abs(list_sum(p) - 1.0)), 6) + 0.0 AS max_row_sum_error, round(avg(list_max(p)), 6) + 0.0 AS mean_confidence "
+@query("proba_stats", "SELECT round(max(list_max(p)) + 1e-9, 6) + 0.0 AS max_proba, round(min(list_min(p)) + 1e-9, 6) + 0.0 AS min_proba, "
+       "round(sum(list_sum(p)) / sum(len(p)) + 1e-9, 6) + 0.0 AS mean_proba, round(avg(list_sum(p)) + 1e-9, 6) + 0.0 AS mean_row_sum, "
+       "round(max(abs(list_sum(p) - 1.0)) + 1e-9, 6) + 0.0 AS max_row_sum_error, round(avg(list_max(p)) + 1e-9, 6) + 0.0 AS mean_confidence "
        f"FROM ({PROBA})")
 def q_proba_stats(spark, sf):
     return M.proba_stats(T.logits(spark, sf))
@@ -716,7 +716,7 @@ def q_param_count(spark, sf):
     return PM.param_count(T.client_updates(spark, sf))
 
 
-@query("fedavg", f"SELECT round, tensor, idx, round(value, 6) + 0.0 AS value FROM ({FEDAVG_SQL})")
+@query("fedavg", f"SELECT round, tensor, idx, round(value + 1e-9, 6) + 0.0 AS value FROM ({FEDAVG_SQL})")
 def q_fedavg(spark, sf):
     return _r6_value(PM.fedavg(T.client_updates(spark, sf)))
 
@@ -726,7 +726,7 @@ def _upd_global(spark, sf):
     return u, PM.previous_round_global(u)
 
 
-@query("fedprox_penalty", f"SELECT round, client_id, round(0.005 * sum(pow(value - w_g, 2)), 6) + 0.0 AS penalty "
+@query("fedprox_penalty", f"SELECT round, client_id, round(0.005 * sum(pow(value - w_g, 2)) + 1e-9, 6) + 0.0 AS penalty "
                           f"FROM ({UG_SQL}) GROUP BY ALL")
 def q_fedprox_penalty(spark, sf):
     u, g = _upd_global(spark, sf)
@@ -737,7 +737,7 @@ def q_fedprox_penalty(spark, sf):
 WITH r AS (SELECT round, CAST(sum(num_examples) AS DOUBLE) AS nn, CAST(sum(num_examples * tau) AS DOUBLE) AS nt
            FROM (SELECT DISTINCT round, client_id, num_examples, tau FROM ({UPD})) GROUP BY round),
 s AS (SELECT round, tensor, idx, first(w_g) AS w_g, sum(num_examples * (w_g - value) / tau) AS ss FROM ({UG_SQL}) GROUP BY ALL)
-SELECT round, tensor, idx, round(w_g - (nt / nn) * (ss / nn), 6) + 0.0 AS value FROM s JOIN r USING (round)""")
+SELECT round, tensor, idx, round(w_g - (nt / nn) * (ss / nn) + 1e-9, 6) + 0.0 AS value FROM s JOIN r USING (round)""")
 def q_fednova(spark, sf):
     u, g = _upd_global(spark, sf)
     return _r6_value(PM.fednova(u, g))
@@ -747,7 +747,7 @@ DELTA_SQL = (f"SELECT a.round, a.tensor, a.idx, a.value - g.value AS value FROM
              f"JOIN ({GLOBAL_SQL}) g USING (round, tensor, idx)")
 
 
-@query("server_momentum", f"SELECT t.round, t.tensor, t.idx, round(sum(pow(0.9, t.round - s.round) * s.value), 6) + 0.0 "
+@query("server_momentum", f"SELECT t.round, t.tensor, t.idx, round(sum(pow(0.9, t.round - s.round) * s.value) + 1e-9, 6) + 0.0 "
        f"AS velocity FROM ({DELTA_SQL}) t JOIN ({DELTA_SQL}) s ON s.tensor = t.tensor AND s.idx = t.idx AND s.round <= t.round "
        "GROUP BY ALL")
 def q_server_momentum(spark, sf):
@@ -772,7 +772,7 @@ for _pt, _nm in [(False, "dp_clip_flat"), (True, "dp_clip_per_tensor")]:
             return _r6_value(PM.dp_clip(u, g, 0.5, "per_tensor" if pt else "flat").select(
                 "round", "client_id", "tensor", "idx", "delta"), "delta")
         return fn
-    query(_nm, f"SELECT round, client_id, tensor, idx, round(delta, 6) + 0.0 AS delta FROM ({_clip_sql(_pt)})")(_mk(_pt))
+    query(_nm, f"SELECT round, client_id, tensor, idx, round(delta + 1e-9, 6) + 0.0 AS delta FROM ({_clip_sql(_pt)})")(_mk(_pt))
 
 
 GAUSS_SQL = ("sqrt(-2 * ln(((('0x' || substr(hh, 1, 8))::UBIGINT + 0.5) / 4294967296.0))) * "
@@ -783,7 +783,7 @@ GAUSS_SQL = ("sqrt(-2 * ln(((('0x' || substr(hh, 1, 8))::UBIGINT + 0.5) / 429496
 WITH c AS ({_clip_sql(False)}), m AS (SELECT round, count(DISTINCT client_id) AS mm FROM c GROUP BY round),
 s AS (SELECT round, tensor, idx, first(w_g) AS w_g, sum(delta) AS sd,
       md5(concat_ws(':', '7', CAST(round AS VARCHAR), tensor, CAST(idx AS VARCHAR))) AS hh FROM c GROUP BY round, tensor, idx)
-SELECT round, tensor, idx, round(w_g + (sd + 0.5 * {GAUSS_SQL}) / mm, 6) + 0.0 AS value FROM s JOIN m USING (round)""")
+SELECT round, tensor, idx, round(w_g + (sd + 0.5 * {GAUSS_SQL}) / mm + 1e-9, 6) + 0.0 AS value FROM s JOIN m USING (round)""")
 def q_dp_noise_fixed_seed(spark, sf):
     u, g = _upd_global(spark, sf)
     return _r6_value(PM.dp_fedavg(u, g, clip_norm=0.5, noise_multiplier=1.0, secret=7))
@@ -792,7 +792,7 @@ def q_dp_noise_fixed_seed(spark, sf):
 CM_ = T.CLIENT_METRICS_SQL
 
 
-@query("weighted_client_metrics", f"SELECT s.round, s.metric, round(s.sv / t.tot, 6) + 0.0 AS value FROM "
+@query("weighted_client_metrics", f"SELECT s.round, s.metric, round(s.sv / t.tot + 1e-9, 6) + 0.0 AS value FROM "
        f"(SELECT round, metric, sum(n * value) AS sv FROM ({CM_}) GROUP BY ALL) s JOIN "
        f"(SELECT round, CAST(sum(n) AS DOUBLE) AS tot FROM (SELECT DISTINCT round, client_id, n FROM ({CM_})) GROUP BY round) t "
        "USING (round)")
@@ -800,7 +800,7 @@ def q_weighted_client_metrics(spark, sf):
     return _r6_value(PM.weighted_client_metrics(T.client_metrics(spark, sf), "zero"))
 
 
-@query("weighted_client_metrics_skip_missing", f"SELECT round, metric, round(sum(n * value) / sum(n), 6) + 0.0 AS value "
+@query("weighted_client_metrics_skip_missing", f"SELECT round, metric, round(sum(n * value) / sum(n) + 1e-9, 6) + 0.0 AS value "
        f"FROM ({CM_}) GROUP BY ALL")
 def q_weighted_client_metrics_skip(spark, sf):
     return _r6_value(PM.weighted_client_metrics(T.client_metrics(spark, sf), "skip"))
@@ -818,8 +818,8 @@ rd AS (SELECT experiment, round, sample_rate, noise_multiplier, alpha,
         GROUP BY experiment, round, sample_rate, noise_multiplier, alpha),
 c AS (SELECT *, sum(rdp) OVER (PARTITION BY experiment, alpha ORDER BY round ROWS UNBOUNDED PRECEDING) AS cum,
         ln((alpha - 1.0) / alpha) - (ln(1e-5) + ln(alpha)) / (alpha - 1) AS conv FROM rd)
-SELECT experiment, round, sample_rate, noise_multiplier, round(min(rdp + conv), 6) + 0.0 AS epsilon_round,
-       round(min(cum + conv), 6) + 0.0 AS epsilon FROM c GROUP BY ALL"""
+SELECT experiment, round, sample_rate, noise_multiplier, round(min(rdp + conv) + 1e-9, 6) + 0.0 AS epsilon_round,
+       round(min(cum + conv) + 1e-9, 6) + 0.0 AS epsilon FROM c GROUP BY ALL"""
 
 
 @query("privacy_ledger", LEDGER_SQL)
@@ -843,13 +843,13 @@ def q_final_metrics(spark, sf):
 ORACLE["final_metrics"] = (
     f"WITH lv AS ({LV}), r AS (SELECT experiment, strategy, count(DISTINCT round) AS n_rounds FROM ({RH}) GROUP BY ALL) "
     "SELECT r.experiment, r.strategy, r.n_rounds, " + ", ".join(
-        f"round(coalesce(max(CASE WHEN lv.metric = '{m}' THEN lv.value END), 0.0), 6) + 0.0 AS final_{m}"
+        f"round(coalesce(max(CASE WHEN lv.metric = '{m}' THEN lv.value END), 0.0) + 1e-9, 6) + 0.0 AS final_{m}"
         for m in H.FINAL_METRICS) +
     " FROM r LEFT JOIN lv USING (experiment) GROUP BY r.experiment, r.strategy, r.n_rounds")
 
 
 @query("compare_strategies", f"SELECT strategy, " + ", ".join(
-    f"round(coalesce(max(CASE WHEN metric = '{m}' THEN value END), 0.0), 6) + 0.0 AS {m}"
+    f"round(coalesce(max(CASE WHEN metric = '{m}' THEN value END), 0.0) + 1e-9, 6) + 0.0 AS {m}"
     for m in ["accuracy", "f1", "auc_roc"]) + f" FROM ({LV}) GROUP BY strategy")
 def q_compare_strategies(spark, sf):
     return H.compare_strategies(T.run_history(spark, sf))
@@ -859,35 +859,35 @@ CMP_METRICS = ["accuracy", "loss", "n"]
 
 
 @query("comparison_table", "SELECT strategy, " + ", ".join(
-    f"round(max(CASE WHEN metric = '{m}' THEN value END), 6) + 0.0 AS {m}" for m in CMP_METRICS) +
+    f"round(max(CASE WHEN metric = '{m}' THEN value END) + 1e-9, 6) + 0.0 AS {m}" for m in CMP_METRICS) +
     f" FROM ({LV}) GROUP BY strategy")
 def q_comparison_table(spark, sf):
     return H.comparison_table(T.run_history(spark, sf), CMP_METRICS)
 
 
-@query("best_by_metric", "SELECT metric, strategy AS best_strategy, round(value, 6) + 0.0 AS value FROM (SELECT *, "
+@query("best_by_metric", "SELECT metric, strategy AS best_strategy, round(value + 1e-9, 6) + 0.0 AS value FROM (SELECT *, "
        "row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('accuracy', 'n') THEN value ELSE -value END "
        f"DESC, strategy) AS rk FROM ({LV})) WHERE rk = 1")
 def q_best_by_metric(spark, sf):
     return H.best_by_metric(T.run_history(spark, sf))
 
 
-@query("improvement_vs_baseline", f"SELECT l.strategy, l.metric, round((l.value - b.value) / abs(b.value) * 100.0, 6) + 0.0 "
+@query("improvement_vs_baseline", f"SELECT l.strategy, l.metric, round((l.value - b.value) / abs(b.value) * 100.0 + 1e-9, 6) + 0.0 "
        f"AS improvement_pct FROM ({LV}) l JOIN (SELECT metric, value FROM ({LV}) WHERE strategy = 'baseline') b USING (metric) "
        "WHERE l.strategy <> 'baseline'")
 def q_improvement_vs_baseline(spark, sf):
     return H.improvement_vs_baseline(T.run_history(spark, sf))
 
 
-@query("history_long", f"SELECT strategy, CAST(rk AS INTEGER) AS round, metric, round(value, 6) + 0.0 AS value FROM "
+@query("history_long", f"SELECT strategy, CAST(rk AS INTEGER) AS round, metric, round(value + 1e-9, 6) + 0.0 AS value FROM "
        f"(SELECT strategy, metric, value, row_number() OVER (PARTITION BY strategy, metric ORDER BY round) AS rk FROM ({RH}))")
 def q_history_long(spark, sf):
     return H.history_long(H.history_arrays(T.run_history(spark, sf)))
 
 
-@query("convergence_stats", "SELECT strategy, metric, round(arg_min(value, round), 6) + 0.0 AS first_value, "
-       "round(arg_max(value, round), 6) + 0.0 AS last_value, round((arg_max(value, round) - arg_min(value, round)) / "
-       f"abs(arg_min(value, round)) * 100.0, 6) + 0.0 AS improvement_pct FROM ({RH}) GROUP BY ALL")
+@query("convergence_stats", "SELECT strategy, metric, round(arg_min(value, round) + 1e-9, 6) + 0.0 AS first_value, "
+       "round(arg_max(value, round) + 1e-9, 6) + 0.0 AS last_value, round((arg_max(value, round) - arg_min(value, round)) / "
+       f"abs(arg_min(value, round)) * 100.0 + 1e-9, 6) + 0.0 AS improvement_pct FROM ({RH}) GROUP BY ALL")
 def q_convergence_stats(spark, sf):
     return H.convergence_stats(T.run_history(spark, sf))
 
@@ -895,9 +895,9 @@ def q_convergence_stats(spark, sf):
 WCM_SQL = ORACLE["weighted_client_metrics"]
 
 
-@query("client_performance", f"SELECT c.round, round(max(c.value), 6) + 0.0 AS best, round(min(c.value), 6) + 0.0 AS worst, "
-       "round(avg(c.value), 6) + 0.0 AS mean, round(var_pop(c.value), 6) + 0.0 AS variance, "
-       f"count_if(c.value > g.value) AS n_above_global FROM ({CM_}) c JOIN (SELECT round, value FROM "
+@query("client_performance", f"SELECT c.round, round(max(c.value) + 1e-9, 6) + 0.0 AS best, round(min(c.value) + 1e-9, 6) + 0.0 AS worst, "
+       "round(avg(c.value) + 1e-9, 6) + 0.0 AS mean, round(var_pop(c.value) + 1e-9, 6) + 0.0 AS variance, "
+       f"CAST(count_if(c.value > g.value) AS BIGINT) AS n_above_global FROM ({CM_}) c JOIN (SELECT round, value FROM "
        f"(SELECT s.round, s.metric, s.sv / t.tot AS value FROM (SELECT round, metric, sum(n * value) AS sv FROM ({CM_}) "
        f"GROUP BY ALL) s JOIN (SELECT round, CAST(sum(n) AS DOUBLE) AS tot FROM (SELECT DISTINCT round, client_id, n "
        f"FROM ({CM_})) GROUP BY round) t USING (round)) WHERE metric = 'accuracy') g USING (round) "
@@ -908,14 +908,14 @@ def q_client_performance(spark, sf):
 
 
 @query("radar_rows", f"""
-WITH c AS (SELECT l_linestatus AS grp, count_if(y_pred = 1 AND y_true = 1) AS tp, count_if(y_pred = 0 AND y_true = 0) AS tn,
-  count_if(y_pred = 1 AND y_true = 0) AS fp, count_if(y_pred = 0 AND y_true = 1) AS fn, count(*) AS total,
-  count_if(y_pred = y_true) AS correct FROM (SELECT l_linestatus, CAST(l_returnflag = 'R' AS INTEGER) AS y_true,
+WITH c AS (SELECT l_linestatus AS grp, CAST(count_if(y_pred = 1 AND y_true = 1) AS BIGINT) AS tp, CAST(count_if(y_pred = 0 AND y_true = 0) AS BIGINT) AS tn,
+  CAST(count_if(y_pred = 1 AND y_true = 0) AS BIGINT) AS fp, CAST(count_if(y_pred = 0 AND y_true = 1) AS BIGINT) AS fn, count(*) AS total,
+  CAST(count_if(y_pred = y_true) AS BIGINT) AS correct FROM (SELECT l_linestatus, CAST(l_returnflag = 'R' AS INTEGER) AS y_true,
   CAST(l_discount * 10 > 0.5 AS INTEGER) AS y_pred FROM lineitem) GROUP BY ALL),
 m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
-SELECT grp AS l_linestatus, round(correct / total, 6) + 0.0 AS accuracy, round(p, 6) + 0.0 AS precision, round(r, 6) + 0.0 AS recall,
-  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) + 0.0 AS f1,
-  round(1.0 - round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6), 6) + 0.0 AS specificity FROM m""")
+SELECT grp AS l_linestatus, round(correct / total + 1e-9, 6) + 0.0 AS accuracy, round(p + 1e-9, 6) + 0.0 AS precision, round(r + 1e-9, 6) + 0.0 AS recall,
+  round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END + 1e-9, 6) + 0.0 AS f1,
+  round(1.0 - round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6) + 1e-9, 6) + 0.0 AS specificity FROM m""")
 def q_radar_rows(spark, sf):
     li = T.table(spark, sf, "lineitem").select(
         "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y_true"),
@@ -937,14 +937,14 @@ def binary_metrics_by(df, group_col):
                     r6(safe_ratio("fp", F.col("fp") + F.col("tn"))).alias("fpr"))
 
 
-@query("privacy_utility", f"SELECT e.experiment, round(e.epsilon, 6) + 0.0 AS epsilon, round(a.value, 6) + 0.0 AS accuracy "
+@query("privacy_utility", f"SELECT e.experiment, round(e.epsilon + 1e-9, 6) + 0.0 AS epsilon, round(a.value + 1e-9, 6) + 0.0 AS accuracy "
        f"FROM (SELECT experiment, arg_max(epsilon, round) AS epsilon FROM ({LEDGER_SQL}) GROUP BY ALL) e JOIN "
        f"(SELECT experiment, value FROM ({LV}) WHERE metric = 'accuracy') a USING (experiment)")
 def q_privacy_utility(spark, sf):
     return H.privacy_utility(privacy.privacy_ledger(T.privacy_rounds(spark, sf)), T.run_history(spark, sf))
 
 
-@query("last_rounds", f"SELECT experiment, strategy, round, metric, round(value, 6) + 0.0 AS value FROM (SELECT *, "
+@query("last_rounds", f"SELECT experiment, strategy, round, metric, round(value + 1e-9, 6) + 0.0 AS value FROM (SELECT *, "
        f"row_number() OVER (PARTITION BY experiment, metric ORDER BY round DESC) AS rk FROM ({RH})) WHERE rk <= 5")
 def q_last_rounds(spark, sf):
     return H.last_rounds(T.run_history(spark, sf), 5)
@@ -956,10 +956,10 @@ WITH per AS (SELECT experiment, strategy, round, max(CASE WHEN metric = 'loss' T
 b AS (SELECT experiment, arg_max(round, coalesce(accuracy, 0.0)) AS best_round, max(coalesce(accuracy, 0.0)) AS best_accuracy,
   min(round) AS first_round FROM per GROUP BY experiment)
 SELECT p.experiment AS experiment_name, p.strategy, CAST(count(*) AS INTEGER) AS num_rounds,
-  round(coalesce(arg_max(p.loss, p.round), 0.0), 6) + 0.0 AS final_loss,
-  round(coalesce(arg_max(p.accuracy, p.round), 0.0), 6) + 0.0 AS final_accuracy,
+  round(coalesce(arg_max(p.loss, p.round), 0.0) + 1e-9, 6) + 0.0 AS final_loss,
+  round(coalesce(arg_max(p.accuracy, p.round), 0.0) + 1e-9, 6) + 0.0 AS final_accuracy,
   min(CASE WHEN coalesce(p.accuracy, 0.0) = b.best_accuracy THEN p.round END) AS best_round,
-  round(max(b.best_accuracy), 6) + 0.0 AS best_accuracy
+  round(max(b.best_accuracy) + 1e-9, 6) + 0.0 AS best_accuracy
 FROM per p JOIN b USING (experiment) GROUP BY p.experiment, p.strategy""")
 def q_strategy_report(spark, sf):
     return H.strategy_report(H.experiment_results(T.run_history(spark, sf), {"num_clients": 5}))
@@ -1020,7 +1020,7 @@ def class_centroids(spark, sf):
 WITH x AS (SELECT vec_id, label, j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j)),
 c AS (SELECT label AS k, j, avg(v) AS w FROM x GROUP BY ALL),
 d AS (SELECT x.vec_id, c.k, sum(x.v * c.w) AS logit FROM x JOIN c USING (j) GROUP BY ALL)
-SELECT vec_id, CAST(arg_max(k, logit) AS INTEGER) AS y_pred, round(max(logit), 6) + 0.0 AS max_logit FROM d GROUP BY vec_id""")
+SELECT vec_id, CAST(arg_max(k, logit) AS INTEGER) AS y_pred, round(max(logit) + 1e-9, 6) + 0.0 AS max_logit FROM d GROUP BY vec_id""")
 def q_score_linear(spark, sf):
     labels, W = class_centroids(spark, sf)
     e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"))
@@ -1039,7 +1039,7 @@ sk AS (SELECT client_id, label AS k, j, sum(v) AS skj FROM x GROUP BY ALL),
 kk AS (SELECT DISTINCT label AS k FROM embeddings),
 g AS (SELECT s.client_id, kk.k, s.j, (s.sj / (SELECT count(*) FROM kk) - coalesce(sk.skj, 0)) / n.nc AS grad, n.nc
       FROM s JOIN n USING (client_id) CROSS JOIN kk LEFT JOIN sk ON sk.client_id = s.client_id AND sk.k = kk.k AND sk.j = s.j)
-SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, round(sum(nc * (-0.1 * grad)) / sum(nc), 6) + 0.0 AS value
+SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, round(sum(nc * (-0.1 * grad)) / sum(nc) + 1e-9, 6) + 0.0 AS value
 FROM g GROUP BY k, j""".replace("embeddings_c", "(SELECT CAST(vec_id % 5 AS INTEGER) AS client_id FROM embeddings)"))
 def q_sgd_step_zero_init(spark, sf):
     """One full-batch SGD step (lr 0.1) of linear softmax from zero weights per client

@@ -79,17 +79,17 @@ byli AS (SELECT x.cid AS ci, y.cid AS cj, sum(abs(x.p - y.p)) AS l1,
 bysr AS (SELECT x.cid AS ci, y.cid AS cj, sum(abs(x.p - y.p)) AS ls
          FROM ps x JOIN ps y ON x.sr = y.sr AND x.cid < y.cid GROUP BY x.cid, y.cid)
 SELECT CAST(byli.ci AS INTEGER) AS client_i, CAST(byli.cj AS INTEGER) AS client_j,
-       round(bysr.ls / (SELECT k FROM kk), 6) + 0.0 AS emd_value,
-       round(byli.dcdf, 6) + 0.0 AS emd_label,
-       round(0.5 * byli.l1, 6) + 0.0 AS tv_distance
+       round(bysr.ls / (SELECT k FROM kk) + 1e-9, 6) + 0.0 AS emd_value,
+       round(byli.dcdf + 1e-9, 6) + 0.0 AS emd_label,
+       round(0.5 * byli.l1 + 1e-9, 6) + 0.0 AS tv_distance
 FROM byli JOIN bysr ON byli.ci = bysr.ci AND byli.cj = bysr.cj
 """
 
 
 def emd_stats_sql(pairs: str) -> str:
-    return (f"SELECT round(avg(emd_value), 6) + 0.0 AS mean_emd, round(max(emd_value), 6) + 0.0 AS max_emd, "
-            f"round(min(emd_value), 6) + 0.0 AS min_emd, round(avg(emd_label), 6) + 0.0 AS mean_emd_label, "
-            f"round(avg(tv_distance), 6) + 0.0 AS mean_tv, count(*) AS n_pairs FROM ({pairs})")
+    return (f"SELECT round(avg(emd_value) + 1e-9, 6) + 0.0 AS mean_emd, round(max(emd_value) + 1e-9, 6) + 0.0 AS max_emd, "
+            f"round(min(emd_value) + 1e-9, 6) + 0.0 AS min_emd, round(avg(emd_label) + 1e-9, 6) + 0.0 AS mean_emd_label, "
+            f"round(avg(tv_distance) + 1e-9, 6) + 0.0 AS mean_tv, count(*) AS n_pairs FROM ({pairs})")
 
 
 FLOWS = FLOWS_SQL
@@ -139,7 +139,7 @@ WITH pcs AS ({pc}), av AS ({av_sql('SELECT * FROM pcs', group)}),
 acc AS (SELECT {g}avg(CAST(y_true = y_pred AS DOUBLE)) AS accuracy, CAST(count(*) AS DOUBLE) AS n{ce}
         FROM ({P}) GROUP BY ALL),
 w AS (SELECT * FROM acc {join})
-SELECT {g}metric, round(value, 6) + 0.0 AS value FROM ({body}
+SELECT {g}metric, round(value + 1e-9, 6) + 0.0 AS value FROM ({body}
   UNION ALL SELECT {g}'f1_class_' || CAST(class AS VARCHAR) AS metric, f1 AS value FROM pcs)
 """
 
@@ -154,5 +154,5 @@ WITH g AS (SELECT score, count_if(y_true = 1) AS pos, count_if(y_true <> 1) AS n
 r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
       FROM g)
 SELECT round(CASE WHEN sum(pos) * sum(neg) > 0 THEN sum(pos * (neg_below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))
-       END, 6) + 0.0 AS auc_roc FROM r
+       END + 1e-9, 6) + 0.0 AS auc_roc FROM r
 """

@@ -250,6 +250,6 @@ def privacy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PRIVACY_ROUNDS_SQL = (
     f"SELECT g.experiment, g.round, round(g.c / d.d, 2) AS sample_rate, CASE g.experiment "
-    + " ".join(f"WHEN '{s}' THEN {v}" for s, v in NOISE_BY_STRATEGY) + " END AS noise_multiplier FROM "
+    + " ".join(f"WHEN '{s}' THEN CAST({v} AS DOUBLE)" for s, v in NOISE_BY_STRATEGY) + " END AS noise_multiplier FROM "
     f"(SELECT {STRATEGY_SQL} AS experiment, CAST(dayofmonth(ts) AS INTEGER) AS round, count(*) AS c FROM events GROUP BY ALL) g "
     "JOIN (SELECT CAST(dayofmonth(ts) AS INTEGER) AS round, count(*) AS d FROM events GROUP BY ALL) d USING (round)")
