@@ -19,9 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-REPLACEMENT_CHAR = "\ufffd"
-
-
 def _as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -33,7 +30,7 @@ def file_headers(spark: SparkSession, paths) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_pos"))
     per_file = txt.groupBy("file_path").agg(
         F.min_by(F.when(F.col("_blk") == 0, F.col("value")), F.when(F.col("_blk") == 0, F.col("_pos"))).alias("header"),
-        (~F.bool_or(F.col("value").contains(REPLACEMENT_CHAR))).alias("utf8_ok"))
+        F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8_ok"))
     return per_file
 
 

@@ -43,18 +43,19 @@ def read_round_history(spark: SparkSession, path: str, experiment: str | None =
 
 # S10 / S11 ----------------------------------------------------------------------------------
 def save_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Nested experiment results (config MAP, round_history ARRAY<STRUCT>) as JSON."""
-    results.write.mode(mode).json(path)
+    """Nested experiment results (config MAP, round_history ARRAY<STRUCT>) as JSON, one folder
+    (and so one document per file) per experiment, like the reference's one file per run."""
+    results.write.mode(mode).partitionBy("experiment_name").json(path)
 
 
-def read_results(spark: SparkSession, paths, schema=None) -> DataFrame:
+def read_results(spark: SparkSession, paths, schema=None, multi_line: bool = True) -> DataFrame:
     """Read result JSON files; paths that do not exist are skipped (as the reference does);
     ``source_file`` tells which file a row came from."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     existing = [p for p in paths if _exists(spark, p)]
     if not existing:
         return spark.createDataFrame([], schema or "source_file string")
-    r = spark.read.option("multiLine", True)
+    r = spark.read.option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     return r.json(existing).withColumn("source_file", F.col("_metadata.file_path"))
