@@ -24,9 +24,13 @@ def _with_hash(df: DataFrame, key: str, seed: int, *salt) -> DataFrame:
 
 # X3 -----------------------------------------------------------------------------------------
 def partition_iid(df: DataFrame, key: str, n_clients: int = 5, seed: int = 42,
-                  out: str = "client_id") -> DataFrame:
+                  out: str = "client_id", exact: bool = True) -> DataFrame:
     """Shuffle, then equal blocks of ``N div n``; the last client takes the remainder;
-    N < n puts every row on the last client."""
+    N < n puts every row on the last client. ``exact=False``: client = hash mod n, sizes
+    only approximately equal, but a pure projection (no shuffle, no rank)."""
+    if not exact:
+        u = F.conv(F.substring(hash_hex(key, seed), 1, 8), 16, 10).cast("long")
+        return df.withColumn(out, (u % F.lit(n_clients)).cast("int"))
     h = _with_hash(df, key, seed)
     r = ranked(h, ["_h", key], hash_bucket(F.col("_h")), rank_col="_pos", size_col="_n")
     size = F.floor(F.col("_n") / F.lit(n_clients)).cast("long")
