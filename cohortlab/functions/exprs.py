@@ -77,3 +77,15 @@ def combine_rows(*dfs):
     for d in dfs:
         cols += [c for c in d.columns if c not in cols]
     return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
+def materialize(df):
+    """Cut the lineage of a SMALL intermediate that several branches reuse (per-client label
+    counts, confusion counts): a reliable checkpoint into the cluster's spark.checkpoint.dir
+    when one is configured, else a memory+disk persist (recomputed from lineage if an executor
+    is lost). Either way the row-level work behind it runs once."""
+    from pyspark import StorageLevel
+
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

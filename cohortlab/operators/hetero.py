@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r6
-from .clean import sorted_labels
+from ..functions.exprs import materialize, r6
+from .clean import MAX_LABELS
 
 
 # H1 -----------------------------------------------------------------------------------------
@@ -31,13 +31,27 @@ def client_label_balance(df: DataFrame, client_col: str = "client_id", label_col
 
 
 # H3 -----------------------------------------------------------------------------------------
+def label_counts(df: DataFrame, client_col: str = "client_id", label_col: str = "label") -> DataFrame:
+    """(client, _lab, _cnt): the ONLY row-level work of the distance operators, materialised
+    once (clients x labels rows) so labels, vectors and both sides of the pair join reuse it."""
+    c = df.groupBy(F.col(client_col).alias(client_col), F.col(label_col).cast("string").alias("_lab")).agg(
+        F.count(F.lit(1)).alias("_cnt"))
+    return materialize(c)
+
+
+def _labels_of(counts: DataFrame) -> list:
+    rows = counts.select("_lab").where(F.col("_lab").isNotNull()).distinct().limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} distinct labels")
+    return sorted(r[0] for r in rows)
+
+
 def client_vectors(df: DataFrame, client_col: str = "client_id", label_col: str = "label",
-                   labels: Sequence | None = None) -> tuple[DataFrame, list]:
+                   labels: Sequence | None = None, counts: DataFrame | None = None) -> tuple[DataFrame, list]:
     """(client_id, p ARRAY<DOUBLE>) with p in sorted-label order over the union of labels,
     zeros for labels a client lacks, renormalised by ``sum + 1e-10`` as the reference does."""
-    labels = list(labels) if labels is not None else sorted_labels(df, label_col)
-    counts = df.groupBy(client_col, F.col(label_col).cast("string").alias("_lab")).agg(
-        F.count(F.lit(1)).alias("_cnt"))
+    counts = counts if counts is not None else label_counts(df, client_col, label_col)
+    labels = list(labels) if labels is not None else _labels_of(counts)
     per_client = counts.groupBy(client_col).agg(
         F.map_from_entries(F.collect_list(F.struct("_lab", "_cnt"))).alias("_m"),
         F.sum("_cnt").alias("_tot"))
@@ -50,12 +64,12 @@ def client_vectors(df: DataFrame, client_col: str = "client_id", label_col: str
 
 
 def client_label_dist(df: DataFrame, client_col: str = "client_id", label_col: str = "label") -> DataFrame:
-    """Long form (client_id, label, share) densified with zeros; share is count / client total."""
-    labels = sorted_labels(df, label_col)
+    """Long form (client_id, label, label_idx, share) densified with zeros; share = count / client total."""
+    counts = label_counts(df, client_col, label_col)
+    labels = _labels_of(counts)
     lab_arr = F.array(*[F.lit(str(x)) for x in labels])
-    raw = (df.groupBy(client_col, F.col(label_col).cast("string").alias("_lab")).agg(F.count(F.lit(1)).alias("_c"))
-           .groupBy(client_col).agg(F.map_from_entries(F.collect_list(F.struct("_lab", "_c"))).alias("_m"),
-                                    F.sum("_c").alias("_tot")))
+    raw = counts.groupBy(client_col).agg(F.map_from_entries(F.collect_list(F.struct("_lab", "_cnt"))).alias("_m"),
+                                         F.sum("_cnt").alias("_tot"))
     z = raw.select(client_col, "_tot", F.posexplode(lab_arr).alias("label_idx", "label"), "_m")
     return z.select(client_col, "label", "label_idx",
                     r6(F.coalesce(F.element_at(F.col("_m"), F.col("label")), F.lit(0)) / F.col("_tot")).alias("share"))

@@ -182,32 +182,50 @@ def proba_stats(df, logits="logits") -> DataFrame:
 
 
 # V14 / V15 / V16 ----------------------------------------------------------------------------
-def eval_table(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = (), logits: str | None = None) -> DataFrame:
-    """Long (group..., metric, value): loss (if logits), accuracy, macro/weighted P/R/F1,
-    f1_class_k and n — the per-client evaluation dictionary as rows."""
+EVAL_NAMES = ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall",
+              "weighted_f1", "n"]
+
+
+def eval_counts(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = (), logits: str | None = None) -> DataFrame:
+    """The single row-level aggregate behind every evaluation table: (group..., y_true, y_pred,
+    n[, ce_sum]) — at most groups x K^2 rows, materialised so all metrics (and any coarser
+    grouping, e.g. global from per-client) reuse it without rescoring the rows."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if logits:
+        aggs.append(F.sum(cross_entropy_col(F.col(logits), F.col(y_true))).alias("ce_sum"))
+    c = df.groupBy(*group_cols, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(*aggs)
+    from ..functions.exprs import materialize
+    return materialize(c)
+
+
+def eval_from_counts(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Long (group..., metric, value) from an ``eval_counts`` table."""
     g = list(group_cols)
-    counts = confusion_counts(df, y_true, y_pred, g)
+    has_loss = "ce_sum" in counts.columns
     pc = per_class_from_counts(counts, g)
     av = averages_from_per_class(pc, g)
-    acc = counts.groupBy(*g).agg(
-        (F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-        F.sum("n").cast("double").alias("n"))
-    wide = acc.join(av, g) if g else None
-    if not g:
+    acc_aggs = [(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
+                F.sum("n").cast("double").alias("n")]
+    if has_loss:
+        acc_aggs.append((F.sum("ce_sum") / F.sum("n")).alias("loss"))
+    acc = counts.groupBy(*g).agg(*acc_aggs)
+    if g:
+        wide = acc.join(av, g)
+    else:
         from ..functions.exprs import combine_rows
         wide = combine_rows(acc, av)
-    names = ["accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall",
-             "weighted_f1", "n"]
-    if logits:
-        ce = df.groupBy(*g).agg(F.avg(cross_entropy_col(F.col(logits), F.col(y_true))).alias("loss"))
-        wide = wide.join(ce, g) if g else combine_rows(wide, ce)
-        names = ["loss"] + names
+    names = (["loss"] if has_loss else []) + EVAL_NAMES
     structs = [F.struct(F.lit(nm).alias("metric"), F.col(nm).cast("double").alias("value")) for nm in names]
     rows = wide.select(*g, F.explode(F.array(*structs)).alias("s")).select(*g, "s.metric", "s.value")
     per_cls = pc.select(*g, F.concat(F.lit("f1_class_"), F.col("class").cast("string")).alias("metric"),
                         F.col("f1").alias("value"))
-    out = rows.unionByName(per_cls)
-    return out.select(*g, "metric", r6("value").alias("value"))
+    return rows.unionByName(per_cls).select(*g, "metric", r6("value").alias("value"))
+
+
+def eval_table(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = (), logits: str | None = None) -> DataFrame:
+    """Long (group..., metric, value): loss (if logits), accuracy, macro/weighted P/R/F1,
+    f1_class_k and n — the per-client evaluation dictionary as rows."""
+    return eval_from_counts(eval_counts(df, y_true, y_pred, group_cols, logits), group_cols)
 
 
 def client_eval(df, y_true="y_true", y_pred="y_pred", client_col="client_id", logits: str | None = None) -> DataFrame:
@@ -215,9 +233,12 @@ def client_eval(df, y_true="y_true", y_pred="y_pred", client_col="client_id", lo
 
 
 def round_eval(df, y_true="y_true", y_pred="y_pred", client_col="client_id", logits: str | None = None) -> DataFrame:
-    """Global metrics (client_id NULL, scope 'global') plus one block per client."""
-    per_client = eval_table(df, y_true, y_pred, [client_col], logits).withColumn("scope", F.lit("client"))
-    glob = eval_table(df, y_true, y_pred, [], logits).select(
+    """Global metrics (client_id NULL, scope 'global') plus one block per client; the rows are
+    scored and aggregated once, the global block is re-aggregated from the per-client counts."""
+    cc = eval_counts(df, y_true, y_pred, [client_col], logits)
+    per_client = eval_from_counts(cc, [client_col]).withColumn("scope", F.lit("client"))
+    sums = [F.sum("n").alias("n")] + ([F.sum("ce_sum").alias("ce_sum")] if "ce_sum" in cc.columns else [])
+    glob = eval_from_counts(cc.groupBy("y_true", "y_pred").agg(*sums), []).select(
         F.lit(None).cast("int").alias(client_col), "metric", "value").withColumn("scope", F.lit("global"))
     return per_client.select(F.col(client_col).cast("int").alias(client_col), "metric", "value", "scope").unionByName(glob)
 
