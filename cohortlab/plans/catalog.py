@@ -1058,3 +1058,17 @@ def q_sgd_step_zero_init(spark, sf):
     g = g.withColumn("grad", (F.col("sj") / K - F.coalesce(F.element_at("_m", F.col("k")), F.lit(0.0))) / F.col("nc"))
     return g.groupBy(F.col("k").cast("int").alias("k"), F.col("j").cast("int").alias("j")).agg(
         r6(F.sum(F.col("nc") * (F.lit(-0.1) * F.col("grad"))) / F.sum("nc")).alias("value"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Outer union by name of two differently shaped sources
+from ..sources import csv as CSV  # noqa: E402
+
+
+@query("union_by_name", "SELECT id, value, event_type, l_returnflag FROM (SELECT event_id AS id, value, event_type FROM events "
+                        "UNION ALL BY NAME SELECT l_orderkey AS id, l_extendedprice AS value, l_returnflag FROM lineitem)")
+def q_union_by_name(spark, sf):
+    ev = T.table(spark, sf, "events").select(F.col("event_id").alias("id"), "value", "event_type")
+    li = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("value"),
+                                               "l_returnflag")
+    return CSV.union_by_name([ev, li])

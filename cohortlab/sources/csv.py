@@ -53,6 +53,16 @@ def _parse_header(line: str) -> list[str]:
     return next(csv.reader(io.StringIO(line)))
 
 
+def union_by_name(dfs: Sequence[DataFrame]) -> DataFrame:
+    """Outer union by column name; columns a part lacks are NULL (pandas concat)."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+
+
+def rows_per_file(df: DataFrame) -> DataFrame:
+    """E1 per-file row counts of a file-backed DataFrame (one row per input file)."""
+    return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def read_flow_csvs(spark: SparkSession, paths, infer_numeric: bool = True) -> DataFrame:
     """Read every CSV under ``paths`` (files, dirs or globs) into one DataFrame.
 
@@ -78,7 +88,7 @@ def read_flow_csvs(spark: SparkSession, paths, infer_numeric: bool = True) -> Da
               .option("encoding", enc).option("mode", "PERMISSIVE").csv(files))
         df = df.where(F.col("_extra").isNull()).drop("_extra")
         parts.append(df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)]))
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = union_by_name(parts)
     return cast_numeric(out) if infer_numeric else out
 
 

@@ -85,3 +85,25 @@ def test_stream_rowwise_prep(spark, tmp_path):
     expected = T.dirty_flows(spark, SF_SMALL).where("value IS NOT NULL AND NOT isnan(value) AND abs(value) != 'Infinity'")
     assert out.count() == expected.count()
     assert out.where("label_id IS NULL").count() == 0
+
+
+def test_label_column_resolution(spark):
+    from cohortlab.operators import clean
+    d = spark.createDataFrame([(1, "x")], "a int, Attack_Type string")
+    assert clean.resolve_label_column(d) == "Attack_Type"
+    with pytest.raises(ValueError, match="no label column"):
+        clean.resolve_label_column(d.drop("Attack_Type"))
+
+
+def test_json_sinks_and_rows_per_file(spark, tmp_path):
+    from cohortlab.operators import clean
+    _, lm = clean.label_encode(T.flows(spark, SF_SMALL), "label")
+    sinks.write_label_map(lm, str(tmp_path / "lm"), single_file=True)
+    back = spark.read.json(str(tmp_path / "lm"))
+    assert sorted((r.label, r.label_id) for r in back.collect()) == sorted((r.label, r.label_id) for r in lm.collect())
+    d = tmp_path / "two"
+    d.mkdir()
+    _write(d / "a.csv", "x,Label\n1,A\n2,B\n")
+    _write(d / "b.csv", "x,Label\n3,A\n")
+    counts = {r.file_path.rsplit("/", 1)[-1]: r.n_rows for r in C.rows_per_file(spark.read.option("header", True).csv(str(d))).collect()}
+    assert counts == {"a.csv": 2, "b.csv": 1}

@@ -63,3 +63,13 @@ def test_score_matches_linear_expression(spark):
     b = {r.vec_id: r.logits for r in TR.score_linear(e, model[0][1].tolist(), model[1][1].tolist()).collect()}
     for k in a:
         assert a[k] == pytest.approx(b[k], abs=1e-5)
+
+
+def test_round_overrides_and_sweep(spark):
+    data = emb_clients(spark, SF_SMALL)
+    cfgs = [FED.FedConfig(strategy="fedavg", n_rounds=1, experiment="a", round_overrides={1: {"local_epochs": 2}}),
+            FED.FedConfig(strategy="FedNova", n_rounds=1, experiment="b")]
+    h = FED.sweep(data, "vec_id", cfgs)
+    assert {r.experiment for r in h.select("experiment").distinct().collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        FED.federated_train(data, "vec_id", FED.FedConfig(strategy="nope"))
