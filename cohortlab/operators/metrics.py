@@ -59,19 +59,29 @@ def confusion_counts(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pre
 
 
 def per_class_from_counts(counts: DataFrame, group_cols: Sequence[str] = (), classes: str = "union") -> DataFrame:
-    """(group..., class, tp, predicted, support, precision, recall, f1); 0 when undefined.
-    ``classes='true'``: only classes present in y_true; ``'union'``: y_true ∪ y_pred."""
+    """(group..., class, tp, predicted, support, precision, recall, f1[, ce_sum]); 0 when
+    undefined. ``classes='true'``: only classes present in y_true; ``'union'``: y_true ∪ y_pred.
+
+    One aggregate: every (y_true, y_pred, n) row contributes a true-side record for class
+    y_true (support, tp, cross-entropy) and a predicted-side record for class y_pred."""
     g = list(group_cols)
-    t = counts.groupBy(*g, F.col("y_true").alias("class")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("tp"))
-    p = counts.groupBy(*g, F.col("y_pred").alias("class")).agg(F.sum("n").alias("predicted"))
-    how = "full_outer" if classes == "union" else "left"
-    j = t.join(p, [*g, "class"], how)
-    j = j.select(*g, "class", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted"),
-                 F.coalesce("support", F.lit(0)).alias("support"))
+    has_ce = "ce_sum" in counts.columns
+    ce = F.col("ce_sum") if has_ce else F.lit(0.0)
+    sides = F.array(
+        F.struct(F.col("y_true").alias("class"), F.col("n").alias("support"),
+                 F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp"),
+                 F.lit(0).cast("long").alias("predicted"), ce.cast("double").alias("ce")),
+        F.struct(F.col("y_pred").alias("class"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
+                 F.col("n").alias("predicted"), F.lit(0.0).alias("ce")))
+    e = counts.select(*g, F.explode(sides).alias("s")).select(*g, "s.*")
+    j = e.groupBy(*g, "class").agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"),
+                                   F.sum("support").alias("support"), F.sum("ce").alias("ce_sum"))
+    if classes == "true":
+        j = j.where(F.col("support") > 0)
     prec = safe_ratio("tp", "predicted")
     rec = safe_ratio("tp", "support")
-    return j.select("*", prec.alias("precision"), rec.alias("recall"), f1_of(prec, rec).alias("f1"))
+    out = j.select("*", prec.alias("precision"), rec.alias("recall"), f1_of(prec, rec).alias("f1"))
+    return out if has_ce else out.drop("ce_sum")
 
 
 def _rounded_per_class(pc: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -199,21 +209,21 @@ def eval_counts(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str]
 
 
 def eval_from_counts(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Long (group..., metric, value) from an ``eval_counts`` table."""
+    """Long (group..., metric, value) from an ``eval_counts`` table: one per-class aggregate,
+    one per-group aggregate (macro/weighted averages, accuracy = Σtp/Σsupport, n, loss)."""
     g = list(group_cols)
     has_loss = "ce_sum" in counts.columns
     pc = per_class_from_counts(counts, g)
-    av = averages_from_per_class(pc, g)
-    acc_aggs = [(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-                F.sum("n").cast("double").alias("n")]
+    sup = F.sum("support")
+    aggs = [F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
+            F.avg("f1").alias("macro_f1"),
+            F.coalesce(F.try_divide(F.sum(F.col("precision") * F.col("support")), sup), F.lit(0.0)).alias("weighted_precision"),
+            F.coalesce(F.try_divide(F.sum(F.col("recall") * F.col("support")), sup), F.lit(0.0)).alias("weighted_recall"),
+            F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), sup), F.lit(0.0)).alias("weighted_f1"),
+            (F.sum("tp") / sup).alias("accuracy"), sup.cast("double").alias("n")]
     if has_loss:
-        acc_aggs.append((F.sum("ce_sum") / F.sum("n")).alias("loss"))
-    acc = counts.groupBy(*g).agg(*acc_aggs)
-    if g:
-        wide = acc.join(av, g)
-    else:
-        from ..functions.exprs import combine_rows
-        wide = combine_rows(acc, av)
+        aggs.append((F.sum("ce_sum") / sup).alias("loss"))
+    wide = pc.groupBy(*g).agg(*aggs)
     names = (["loss"] if has_loss else []) + EVAL_NAMES
     structs = [F.struct(F.lit(nm).alias("metric"), F.col(nm).cast("double").alias("value")) for nm in names]
     rows = wide.select(*g, F.explode(F.array(*structs)).alias("s")).select(*g, "s.metric", "s.value")

@@ -20,6 +20,19 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import hash_hex
 
+
+def _ship_by_value() -> None:
+    # the numpy helpers below run inside Python workers; pickling this module by value means
+    # executors need only numpy/pandas, not this package on their PYTHONPATH
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
+
 PARAM_SCHEMA = ("client_id int, shard_id int, tensor string, idx int, value double, "
                 "num_examples long, tau long, loss double")
 
