@@ -79,13 +79,13 @@ def combine_rows(*dfs):
     return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
-def materialize(df):
-    """Cut the lineage of a SMALL intermediate that several branches reuse (per-client label
-    counts, confusion counts): a reliable checkpoint into the cluster's spark.checkpoint.dir
-    when one is configured, else a memory+disk persist (recomputed from lineage if an executor
-    is lost). Either way the row-level work behind it runs once."""
+def materialize(df, reliable: bool = False):
+    """Keep a SMALL intermediate that several branches reuse (per-client label counts,
+    confusion counts) so the row-level work behind it runs once: memory+disk persist by
+    default (rebuilt from lineage if an executor is lost); ``reliable=True`` checkpoints it
+    into the cluster's spark.checkpoint.dir instead, cutting the lineage."""
     from pyspark import StorageLevel
 
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    if reliable and df.sparkSession.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -3,8 +3,8 @@
 Every per-column statistic is computed in ONE aggregate over all columns (one scan,
 partial aggregation) and then unpivoted into a long (column, stat...) table. Exact
 quantiles avoid ``percentile()`` (which buffers a whole column in one task): values are
-unpivoted, bucketed by per-feature quantile bounds, ranked with the bucketed global rank,
-and only the 2 rows per requested probability are kept and interpolated.
+unpivoted, bucketed by per-feature quantile bounds, and only the rows of the buckets holding
+the target ranks are sorted; the 2 rows per requested probability are interpolated.
 """
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import combine_rows, r6
-from ..functions.ordering import ranked
 from .clean import numeric_columns
 
 
@@ -78,38 +77,58 @@ def imbalance_ratio(df: DataFrame, label_col: str = "label") -> DataFrame:
 # E6 -----------------------------------------------------------------------------------------
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
                     n_buckets: int = 1024) -> DataFrame:
-    """(column, p, q): linear-interpolated exact quantiles of the non-NULL values."""
+    """(column, p, q): linear-interpolated exact quantiles of the non-NULL, non-NaN values.
+
+    Quantile selection instead of a full sort: (1) ``approxQuantile`` bounds cut each column
+    into ~n_buckets value buckets; (2) one aggregate counts values per (column, bucket) — a
+    table of at most F x n_buckets rows; (3) the driver finds the bucket holding each target
+    rank; (4) only the rows of those few buckets are ranked (window per (column, bucket))."""
     from pyspark.ml.feature import Bucketizer
+    from pyspark.sql import Window
 
     spark = df.sparkSession
+    cols = list(cols)
     vals = df.select(*[F.col(_q(c)).cast("double").alias(c) for c in cols])
     bprobs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = vals.approxQuantile(list(cols), bprobs, 1e-3)
-    splits = [[float("-inf")] + sorted(set(b for b in bs if b is not None)) + [float("inf")] for bs in bounds]
-    bk = Bucketizer(splitsArray=splits, inputCols=list(cols), outputCols=[f"b__{c}" for c in cols],
-                    handleInvalid="keep")
-    b = bk.transform(vals)
+    bounds = vals.approxQuantile(cols, bprobs, 1e-3)   # bounds need only be roughly even
+    splits = [[float("-inf")] + sorted(set(b for b in bs if b is not None and b == b)) + [float("inf")] for bs in bounds]
+    bk = Bucketizer(splitsArray=splits, inputCols=cols, outputCols=[f"b__{c}" for c in cols], handleInvalid="keep")
     structs = [F.struct(F.lit(c).alias("column"), F.col(_q(c)).alias("v"), F.col(_q(f"b__{c}")).cast("int").alias("bk"))
                for c in cols]
-    long = b.select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(
+    long = bk.transform(vals).select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(
         F.col("v").isNotNull() & ~F.isnan("v"))
-    r = ranked(long, ["v"], F.col("bk"), partition_by=["column"], rank_col="rn", broadcast_offsets=True)
-    counts = {row["column"]: row["n"] for row in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    need = []
-    for c in cols:
-        n = counts.get(c, 0)
-        if not n:
-            continue
+    counts = long.groupBy("column", "bk").agg(F.count(F.lit(1)).alias("n")).collect()   # <= F x n_buckets rows
+    per_col: dict[str, list[tuple[int, int]]] = {}
+    for r in counts:
+        per_col.setdefault(r["column"], []).append((r["bk"], r["n"]))
+    need = []   # (column, bucket, rank within bucket, p, weight)
+    for c, lst in per_col.items():
+        lst.sort()
+        total = sum(n for _, n in lst)
+        starts, acc = [], 0
+        for b, n in lst:
+            starts.append((b, acc, n))
+            acc += n
+
+        def locate(rank0: int):
+            for b, st, n in starts:
+                if st <= rank0 < st + n:
+                    return b, rank0 - st + 1
+            raise AssertionError("rank outside the counted range")
+
         for p in probs:
-            pos = (n - 1) * p
+            pos = (total - 1) * p
             lo = int(pos)
             frac = pos - lo
-            need.append((c, float(p), lo + 1, 1.0 - frac))
+            need.append((c, *locate(lo), float(p), 1.0 - frac))
             if frac > 0:
-                need.append((c, float(p), lo + 2, frac))
-    needed = spark.createDataFrame(need, "column string, p double, rn long, w double")
-    # 2 x |probs| x |cols| rows at most: bounded broadcast
-    picked = r.select("column", "rn", "v").join(F.broadcast(needed), ["column", "rn"])
+                need.append((c, *locate(lo + 1), float(p), frac))
+    needed = spark.createDataFrame(need, "column string, bk int, rn int, p double, w double")
+    wanted = needed.select("column", "bk").distinct()
+    # at most 2 x |probs| x F buckets survive the semi-join; only they are sorted
+    few = long.join(F.broadcast(wanted), ["column", "bk"], "left_semi")
+    ranked_ = few.withColumn("rn", F.row_number().over(Window.partitionBy("column", "bk").orderBy("v")))
+    picked = ranked_.join(F.broadcast(needed), ["column", "bk", "rn"])
     return picked.groupBy("column", "p").agg(F.sum(F.col("v") * F.col("w")).alias("q"))
 
 

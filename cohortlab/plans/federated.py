@@ -63,8 +63,9 @@ def federated_train(data: DataFrame, key: str, cfg: FedConfig, features: str = "
     strategy = cfg.strategy.lower()
     if strategy not in PM.STRATEGIES:
         raise ValueError(f"unknown strategy {cfg.strategy!r}; expected one of {sorted(PM.STRATEGIES)}")
-    n_features = len(data.select(features).first()[0])
-    n_classes = int(data.agg(F.max(label)).first()[0]) + 1
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)   # read by the size probes below and both splits
+    meta = data.agg(F.max(F.size(features)).alias("f"), F.max(label).alias("k")).first()
+    n_features, n_classes = int(meta["f"]), int(meta["k"]) + 1
     model = TR.init_model(TR.layer_dims(n_features, n_classes, cfg.hidden), cfg.seed)
     train = TR.with_shards(data.where(F.col(split_col) == "train"), key, client_col, cfg.max_rows_per_shard, cfg.seed)
     evald = data.where(F.col(split_col) != "train").select(client_col, features, label)
@@ -98,6 +99,7 @@ def federated_train(data: DataFrame, key: str, cfg: FedConfig, features: str = "
         rows += [(rnd, *r) for r in _evaluate(evald, model, features, label, client_col)]
     train.unpersist()
     evald.unpersist()
+    data.unpersist()
     hist = spark.createDataFrame(
         [(cfg.experiment, strategy, int(r), scope, None if c is None else int(c), m, float(v) if v is not None else None)
          for r, c, m, v, scope in rows],
