@@ -4,7 +4,8 @@ Every per-column statistic is computed in ONE aggregate over all columns (one sc
 partial aggregation) and then unpivoted into a long (column, stat...) table. Exact
 quantiles avoid ``percentile()`` (which buffers a whole column in one task): values are
 unpivoted, bucketed by per-feature quantile bounds, and only the rows of the buckets holding
-the target ranks are sorted; the 2 rows per requested probability are interpolated.
+the target ranks are looked at (as distinct values with counts); the 2 values per requested
+probability are interpolated.
 """
 from __future__ import annotations
 
@@ -125,10 +126,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
                 need.append((c, *locate(lo + 1), float(p), frac))
     needed = spark.createDataFrame(need, "column string, bk int, rn int, p double, w double")
     wanted = needed.select("column", "bk").distinct()
-    # at most 2 x |probs| x F buckets survive the semi-join; only they are sorted
+    # Only the <= 2 x |probs| x F target buckets survive the semi-join. Inside them rows are
+    # first collapsed to (value, count) with a map-side partial aggregate, so a value held by a
+    # third of all rows is one row here; the running count then runs over distinct values only.
     few = long.join(F.broadcast(wanted), ["column", "bk"], "left_semi")
-    ranked_ = few.withColumn("rn", F.row_number().over(Window.partitionBy("column", "bk").orderBy("v")))
-    picked = ranked_.join(F.broadcast(needed), ["column", "bk", "rn"])
+    dv = few.groupBy("column", "bk", "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("column", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    dv = dv.withColumn("cum", F.sum("c").over(w))
+    nd = F.broadcast(needed.select(F.col("column").alias("n_column"), F.col("bk").alias("n_bk"), "rn", "p", "w"))
+    picked = dv.join(nd, (F.col("column") == F.col("n_column")) & (F.col("bk") == F.col("n_bk"))
+                     & (F.col("rn") > F.col("cum") - F.col("c")) & (F.col("rn") <= F.col("cum")))
     return picked.groupBy("column", "p").agg(F.sum(F.col("v") * F.col("w")).alias("q"))
 
 

@@ -108,3 +108,15 @@ def test_reference_model_parameter_count():
     assert n == 20815
     assert n + 2 * (128 + 64 + 32) == 21263
     assert TR.n_params(TR.init_model([64, 10])) == 650
+
+
+def test_exact_quantiles_with_a_hot_value(spark):
+    import numpy as np
+
+    from cohortlab.operators import profile
+    rng = np.random.default_rng(0)
+    vals = np.concatenate([np.full(5000, 0.05), rng.normal(size=5000)])
+    d = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = {r.p: r.q for r in profile.exact_quantiles(d, ["x"], (0.1, 0.25, 0.5, 0.75, 0.9)).collect()}
+    for p, q in got.items():
+        assert q == pytest.approx(np.percentile(vals, p * 100), abs=1e-12)
