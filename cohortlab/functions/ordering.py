@@ -9,7 +9,8 @@ group holding a third of all rows is still spread over all of its buckets.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 # Hex digits of the md5 prefix used as bucket; 4 digits = 65,536 buckets, i.e. about
 # 1.5 M rows per ranking task at 10^11 rows.
 HASH_BUCKET_DIGITS = 4
+# rank_cuts broadcasts its per-group tables; they may hold at most this many rows
+# (groups x cut ranks), checked inside the plan
+MAX_CUT_ROWS = 1 << 20
 
 
 def hash_bucket(h: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -24,21 +28,45 @@ def hash_bucket(h: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
 
 
 def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int = 4096,
-                      rel_err: float = 1e-3) -> DataFrame:
+                      rel_err: float = 1e-3, tiebreak: str | None = None) -> DataFrame:
     """Add ``out`` = bucket id monotone in ``col`` (ml ``Bucketizer``: JVM-side binary search).
 
-    Bounds come from ``approxQuantile`` (at most ``n_buckets`` doubles on the driver). Equal
-    values always land in the same bucket, which running sums over ties rely on.
+    Bounds come from ``approxQuantile`` (at most ``n_buckets`` doubles on the driver). A value
+    that repeats among the bounds holds at least ~1/n_buckets of all rows; it gets a bucket of
+    its own, and with ``tiebreak`` (a hex string column; order ties by it) that bucket is
+    split again by the tiebreak's 4-hex-digit prefix, so a value held by a third of all rows
+    is spread over 65,536 tasks. Without ``tiebreak`` equal values share one bucket, which
+    running sums over ties rely on. ``out`` is a BIGINT.
     """
+    from collections import Counter
+
     from pyspark.ml.feature import Bucketizer
 
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(float(x) for x in df.approxQuantile(col, probs, rel_err) if x is not None))
-    splits = [float("-inf")] + [b for b in bounds if b not in (float("-inf"), float("inf"))] + [float("inf")]
+    raw = [float(x) for x in df.approxQuantile(col, probs, rel_err) if x is not None]
+    finite = [b for b in raw if math.isfinite(b)]
+    heavy = sorted(v for v, c in Counter(finite).items() if c > 1)
+    bounds = sorted(set(finite) | {math.nextafter(v, math.inf) for v in heavy})
+    splits = [float("-inf")] + [b for b in bounds if math.isfinite(b)] + [float("inf")]
     tmp = f"{out}_in"
     bk = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
     res = bk.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
-    return res.withColumn(out, F.col(out).cast("int"))
+    vb = F.col(out).cast("long") * F.lit(65536)
+    if tiebreak is not None and heavy:
+        sub = F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
+        vb = vb + F.when(F.col(col).cast("double").isin(*heavy), sub).otherwise(F.lit(0))
+    return res.withColumn(out, vb)
+
+
+def row_tiebreak(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
+    """Deterministic hex tiebreak from the row's values (xxhash64, 16 hex digits): rows that
+    tie on the order key are ordered the same way on every run and every partitioning;
+    fully identical rows are interchangeable."""
+    from pyspark.sql.types import MapType
+
+    if cols is None:   # hashing cannot take MAP columns
+        cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in cols])), 16, "0")
 
 
 def ranked(df: DataFrame, order_by: Sequence[Column | str], bucket: Column,
@@ -65,6 +93,110 @@ def ranked(df: DataFrame, order_by: Sequence[Column | str], bucket: Column,
     return out.withColumn(rank_col, F.col("_r") + F.col("_off")).drop("_bkt", "_r", "_off")
 
 
+def rank_cuts(df: DataFrame, h: str, key: str, targets: Callable[[], Sequence[Column]],
+              partition_by: Sequence[str] = (), out: str = "_passed", group_info: DataFrame | None = None,
+              digits: int = HASH_BUCKET_DIGITS, max_rows: int = MAX_CUT_ROWS) -> DataFrame:
+    """Add ``out`` = #{t in targets : rank > t}, rank = row_number() OVER (PARTITION BY
+    partition_by ORDER BY h, key), WITHOUT ranking (or shuffling) the rows.
+
+    Positional cuts (equal blocks, a test fraction, the first n of a group) need only the
+    rows sitting AT the cut ranks. So: (1) count rows per (group, hash-prefix bucket) — a
+    partial aggregate, at most groups x 16^digits rows leave the map side; (2) running sums
+    over that table place every target rank in one bucket; (3) only those few buckets are
+    ranked to find the threshold rows; (4) every row compares its (h, key) with the
+    thresholds. Without groups the thresholds ride on the per-bucket table (16^digits rows,
+    broadcast, joined on the bucket); with groups on a one-row-per-group table. It all stays
+    one lazy plan, and the per-row work is plain CASE expressions (whole-stage codegen).
+
+    ``h``: hex hash string column (its prefix is the bucket); (h, key) must be unique.
+    ``targets()``: list of BIGINT expressions (the cut ranks), evaluated per group; they may
+    use ``_gn`` (the group's row count), the group keys, and columns of ``group_info`` (a small
+    table joined on the group keys it shares). Targets <= 0 are passed by every row.
+
+    The per-group tables (target buckets, thresholds) are broadcast: they hold groups x
+    len(targets) entries, which the plan itself checks against ``max_rows`` (``raise_error``)
+    before anything is broadcast, so the row side is never shuffled.
+    """
+    ts = list(targets())
+    if not ts:
+        return df.withColumn(out, F.lit(0))
+    k = len(ts)
+    g = list(partition_by)
+    d = df.withColumn("_bkt", F.substring(F.col(h), 1, digits))
+    cnt = d.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    grp = Window.partitionBy(*g)
+    before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select(*g, "_bkt", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_c").over(grp).alias("_gn"))
+    if group_info is not None:
+        off = _join_null_safe(off, group_info, [c for c in g if c in group_info.columns])
+    off = off.select(*g, "_bkt", "_c", "_off", *[t.cast("long").alias(f"_t{i}") for i, t in enumerate(ts)])
+    tc = [F.col(f"_t{i}") for i in range(k)]
+
+    def inside(t):   # target rank t lies in this bucket: off < t <= off + c
+        return (t > F.col("_off")) & (t <= F.col("_off") + F.col("_c"))
+
+    any_inside = inside(tc[0])
+    for t in tc[1:]:
+        any_inside = any_inside | inside(t)
+    hits = (off.where(any_inside)
+            .select(*g, "_bkt", "_off", "_c", F.explode(F.array(*[
+                F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(tc)])).alias("_e"))
+            .select(*g, "_bkt", "_off", "_c", F.col("_e.i").alias("_i"), F.col("_e.t").alias("_t"))
+            .where(inside(F.col("_t"))).drop("_c"))
+    hb = _bounded(hits.select(*g, "_bkt", "_off").distinct(), max_rows)
+    sel = _join_null_safe(d, hb, [*g, "_bkt"], broadcast=True)   # only rows of the target buckets
+    sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bkt").orderBy(h, key)) + F.col("_off"))
+    at = (_join_null_safe(sel, hits.select(*g, "_bkt", "_i", "_t"), [*g, "_bkt"], broadcast=True)
+          .where(F.col("_r") == F.col("_t"))
+          .select(*g, "_bkt", "_i", F.struct(F.col(h).alias("h"), F.col(key).alias("k")).alias("_x")))
+    slots = [F.first(F.when(F.col("_i") == i, F.col("_x")), ignorenulls=True).alias(f"_x{i}") for i in range(k)]
+
+    def n_true(conds):
+        tot = F.lit(0)
+        for c in conds:
+            tot = tot + F.when(c, F.lit(1)).otherwise(F.lit(0))
+        return tot
+
+    if not g:
+        # per bucket: targets at or before its offset are passed by all its rows; the few
+        # thresholds inside it are compared row by row. 16^digits rows: bounded, broadcast.
+        per = off.select("_bkt", n_true([t <= F.col("_off") for t in tc]).alias("_always"))
+        per = per.join(at.groupBy("_bkt").agg(*slots), "_bkt", "left")
+        res = d.join(F.broadcast(per), "_bkt")
+    else:
+        always = off.groupBy(*g).agg(F.first(n_true([t <= 0 for t in tc])).alias("_always"))
+        per = _bounded(_join_null_safe(always, at.groupBy(*g).agg(*slots), g, "left"), max_rows)
+        res = _join_null_safe(d, per, g, broadcast=True)
+    hc, kc = F.col(h), F.col(key)
+    xs = [F.col(f"_x{i}") for i in range(k)]
+    passed = F.col("_always") + n_true([x.isNotNull() & ((hc > x["h"]) | ((hc == x["h"]) & (kc > x["k"]))) for x in xs])
+    return res.withColumn(out, passed.cast("int")).drop("_always", "_bkt", *[f"_x{i}" for i in range(k)])
+
+
+def _bounded(small: DataFrame, max_rows: int) -> DataFrame:
+    """Fail the job if ``small`` has more than ``max_rows`` rows (checked in the plan, before
+    the table is broadcast). The count is a window over the small table itself."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    chk = F.when(n > F.lit(max_rows), F.raise_error(F.lit(
+        f"more than {max_rows} rows in a table meant for broadcast; too many groups"))).otherwise(F.lit(None))
+    # filtering on the check keeps it in the plan (an unused column would be pruned away)
+    return small.withColumn("_chk", chk).where(F.col("_chk").isNull()).drop("_chk")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                    broadcast: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (a NULL label is still a group); the
+    result keeps the left side's key columns only."""
+    r = right.select(*[F.col(c).alias(f"_rk_{c}") for c in keys], *[c for c in right.columns if c not in keys])
+    r = F.broadcast(r) if broadcast else r
+    cond = None
+    for c in keys:
+        e = left[c].eqNullSafe(r[f"_rk_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_rk_{c}" for c in keys])
+
+
 def running_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], bucket: Column,
                  partition_by: Sequence[str] = (), suffix: str = "_below") -> DataFrame:
     """For each row add ``<c><suffix>`` = sum of ``c`` over rows strictly before it in the order.

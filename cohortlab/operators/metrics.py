@@ -133,12 +133,22 @@ def accuracy(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = (
                                        F.count(F.lit(1)).alias("n"))
 
 
+def _bounded_labels(col_df: DataFrame) -> list:
+    """Sorted distinct values of a one-column frame; K x K grids need K on the driver, so K
+    is checked against the label limit before anything is collected."""
+    from .clean import MAX_LABELS
+
+    rows = col_df.distinct().limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} distinct classes")
+    return sorted(r[0] for r in rows if r[0] is not None)
+
+
 # V9 -----------------------------------------------------------------------------------------
 def confusion_long(df, y_true="y_true", y_pred="y_pred") -> DataFrame:
     """K x K over the sorted union of labels, zeros included (labels: bounded driver list)."""
     counts = confusion_counts(df, y_true, y_pred)
-    labels = sorted(r[0] for r in counts.select(F.col("y_true").alias("l")).union(counts.select("y_pred"))
-                    .distinct().collect())
+    labels = _bounded_labels(counts.select(F.col("y_true").alias("l")).union(counts.select("y_pred")))
     arr = F.array(*[F.lit(x) for x in labels])
     grid = (counts.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
             .select("y_true", F.explode(arr).alias("y_pred")))
@@ -149,7 +159,7 @@ def confusion_long(df, y_true="y_true", y_pred="y_pred") -> DataFrame:
 
 def confusion_pivot(df, y_true="y_true", y_pred="y_pred") -> DataFrame:
     long = confusion_long(df, y_true, y_pred)
-    labels = sorted(r[0] for r in long.select("y_pred").distinct().collect())
+    labels = _bounded_labels(long.select("y_pred"))
     return long.groupBy("y_true").pivot("y_pred", labels).agg(F.sum("n")) \
         .select("y_true", *[F.col(f"`{x}`").alias(f"pred_{x}") for x in labels])
 

@@ -2,7 +2,8 @@
 
 Every scheme is one ``client_id INT`` column on the same DataFrame (never a list of
 DataFrames). Shuffle order is ``md5(key:seed)``: deterministic and independent of how the
-input is partitioned. Exact cut points use the bucketed global rank of ``ordering.ranked``.
+input is partitioned. Exact cut points use ``ordering.rank_cuts``: only the rows at the cut
+ranks are ranked; every other row is assigned by comparing its hash with the thresholds.
 """
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_hex, hex8_to_unit
-from ..functions.ordering import hash_bucket, ranked
+from ..functions.ordering import rank_cuts
 from .clean import family_expr, family_index_expr
 
 MAX_DAYS = 100_000
@@ -31,12 +32,12 @@ def partition_iid(df: DataFrame, key: str, n_clients: int = 5, seed: int = 42,
     if not exact:
         u = F.conv(F.substring(hash_hex(key, seed), 1, 8), 16, 10).cast("long")
         return df.withColumn(out, (u % F.lit(n_clients)).cast("int"))
-    h = _with_hash(df, key, seed)
-    r = ranked(h, ["_h", key], hash_bucket(F.col("_h")), rank_col="_pos", size_col="_n")
-    size = F.floor(F.col("_n") / F.lit(n_clients)).cast("long")
-    client = F.when(size == 0, F.lit(n_clients - 1)).otherwise(
-        F.least(F.floor((F.col("_pos") - 1) / size).cast("long"), F.lit(n_clients - 1)))
-    return r.withColumn(out, client.cast("int")).drop("_h", "_pos", "_n")
+    # client = #{c in 1..n-1 : pos > c * (N div n)} = least((pos - 1) div size, n - 1);
+    # size 0 makes every cut 0, so every row passes all n - 1 of them (last client)
+    size = F.floor(F.col("_gn") / F.lit(n_clients)).cast("long")
+    r = rank_cuts(_with_hash(df, key, seed), "_h", key,
+                  lambda: [size * F.lit(c) for c in range(1, n_clients)], out=out)
+    return r.drop("_h")
 
 
 # X4 -----------------------------------------------------------------------------------------
@@ -78,10 +79,10 @@ def partition_by_family(df: DataFrame, key: str, label_col: str = "label", n_cli
     attacks = base.where(F.col("_fam") != "Normal").withColumn(
         out, (family_index_expr(F.col("_fam")) % F.lit(n_clients)).cast("int"))
     normal = _with_hash(base.where(F.col("_fam") == "Normal"), key, seed)
-    r = ranked(normal, ["_h", key], hash_bucket(F.col("_h")), rank_col="_pos", size_col="_m")
-    r = r.withColumn(out, F.least(F.floor((F.col("_pos") * n_clients - 1) / F.col("_m")).cast("int"),
-                                  F.lit(n_clients - 1)))
-    return attacks.drop("_fam").unionByName(r.drop("_fam", "_h", "_pos", "_m"))
+    # client i's last position is (i+1)*M div n, so client = #{c in 1..n-1 : pos > c*M div n}
+    r = rank_cuts(normal, "_h", key, lambda: [
+        F.floor(F.col("_gn") * F.lit(c) / F.lit(n_clients)).cast("long") for c in range(1, n_clients)], out=out)
+    return attacks.drop("_fam").unionByName(r.drop("_fam", "_h"))
 
 
 # X6 -----------------------------------------------------------------------------------------
@@ -122,11 +123,10 @@ def dirichlet_sql_thresholds(th) -> str:
 def client_train_val(df: DataFrame, key: str, client_col: str = "client_id", train_frac: float = 0.8,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """First ``int(n_c * 0.8)`` rows of each client's shuffled order are train."""
-    h = _with_hash(df, key, seed)
-    r = ranked(h, ["_h", key], hash_bucket(F.col("_h")), partition_by=[client_col],
-               rank_col="_pos", size_col="_n")
-    cut = F.floor(F.col("_n") * F.lit(train_frac)).cast("long")
-    return r.withColumn(out, F.when(F.col("_pos") <= cut, "train").otherwise("val")).drop("_h", "_pos", "_n")
+    r = rank_cuts(_with_hash(df, key, seed), "_h", key,
+                  lambda: [F.floor(F.col("_gn") * F.lit(train_frac)).cast("long")],
+                  partition_by=[client_col], out="_past")
+    return r.withColumn(out, F.when(F.col("_past") == 0, "train").otherwise("val")).drop("_h", "_past")
 
 
 # X8 -----------------------------------------------------------------------------------------
@@ -164,13 +164,13 @@ def inject_label_rate(df: DataFrame, key: str, ts_col: str, label_col: str, base
     # per-weekday totals: at most 7 rows, so the broadcast is bounded by construction
     per_day = d.groupBy("_dow").agg(F.count(F.lit(1)).alias("_n"),
                                     F.count_if(~F.col("_neg")).alias("_p"))
-    r = ranked(d, ["_h", key], hash_bucket(F.col("_h")), partition_by=["_dow", "_neg"], rank_col="_pos")
-    r = r.join(F.broadcast(per_day), "_dow")
     need = F.greatest(F.floor(F.col("_n") * (F.lit(base) + F.lit(step) * F.col("_dow"))).cast("long")
                       - F.col("_p"), F.lit(0))
-    flip = F.col("_neg") & (F.col("_pos") <= need)
+    r = rank_cuts(d, "_h", key, lambda: [need], partition_by=["_dow", "_neg"],
+                  group_info=F.broadcast(per_day), out="_past")
+    flip = F.col("_neg") & (F.col("_past") == 0)
     return r.withColumn(label_col, F.when(flip, F.lit(1)).otherwise(F.col(label_col)).cast("int")) \
-            .drop("_dow", "_h", "_neg", "_pos", "_n", "_p")
+            .drop("_dow", "_h", "_neg", "_past")
 
 
 REGISTRY = {"iid", "day", "family", "dirichlet"}

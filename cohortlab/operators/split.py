@@ -1,8 +1,10 @@
 """Stratified train/test split.
 
 Per class c with n_c rows, the first ``round(n_c * test_size)`` rows in md5(key:seed) order
-are test. Ranks come from ``ordering.ranked`` grouped by label, so a class holding a third of
-all rows is still ranked across all of its hash buckets, not in one task.
+are test. ``ordering.rank_cuts`` finds each class's cut row from per-(class, hash-bucket)
+counts and ranks only the one bucket holding it; every other row is placed by comparing its
+hash with that threshold, so no row is shuffled and a class holding a third of all rows costs
+no more than any other.
 """
 from __future__ import annotations
 
@@ -10,19 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_hex
-from ..functions.ordering import hash_bucket, ranked
+from ..functions.ordering import rank_cuts
 
 
 def stratified_split(df: DataFrame, key: str, label_col: str, test_size: float = 0.2, seed: int = 42,
                      out: str = "split", check_min_class: bool = True) -> DataFrame:
     h = df.withColumn("_h", hash_hex(key, seed))
-    r = ranked(h, ["_h", key], hash_bucket(F.col("_h")), partition_by=[label_col],
-               rank_col="_pos", size_col="_nc")
+    r = rank_cuts(h, "_h", key, lambda: [F.round(F.col("_gn") * F.lit(test_size)).cast("long")],
+                  partition_by=[label_col], out="_past")
     if check_min_class:
         small = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2)
                  .limit(1).collect())
         if small:
             raise ValueError(f"class {small[0][0]!r} has fewer than 2 rows; cannot stratify")
-    cut = F.round(F.col("_nc") * F.lit(test_size)).cast("long")
-    return r.withColumn(out, F.when(F.col("_pos") <= cut, F.lit("test")).otherwise(F.lit("train"))) \
-            .drop("_h", "_pos", "_nc")
+    return r.withColumn(out, F.when(F.col("_past") == 0, F.lit("test")).otherwise(F.lit("train"))) \
+            .drop("_h", "_past")
