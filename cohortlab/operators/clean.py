@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.exprs import combine_rows, is_inf
-from ..functions.ordering import ranked, with_value_bucket
+from ..functions.ordering import ranked, row_tiebreak, with_value_bucket
 
 # Candidate column names, first present wins.
 TIMESTAMP_CANDIDATES = ["Timestamp", "Flow Start Time", "Datetime"]
@@ -110,8 +110,9 @@ def parse_ts(df: DataFrame, candidates: Sequence[str] = TIMESTAMP_CANDIDATES, ou
 def sequential_ts(df: DataFrame, order_col: str, out: str = "Timestamp",
                   start: str = SEQUENTIAL_TS_START) -> DataFrame:
     """``start + (rank-1) seconds`` with rank the global position in ``order_col`` order."""
-    b = with_value_bucket(df, order_col, "_ob")
-    r = ranked(b, [order_col], F.col("_ob"), rank_col="_pos").drop("_ob")
+    b = df.withColumn("_tb", row_tiebreak(df))
+    b = with_value_bucket(b, order_col, "_ob", tiebreak="_tb")
+    r = ranked(b, [order_col, "_tb"], F.col("_ob"), rank_col="_pos").drop("_ob", "_tb")
     return r.withColumn(out, F.timestamp_add("SECOND", F.col("_pos") - 1,
                                              F.to_timestamp(F.lit(start)))).drop("_pos")
 
@@ -172,8 +173,9 @@ def cast_features(df: DataFrame, feature_cols: Sequence[str], label_col: str,
 def synthetic_day(df: DataFrame, order_col: str, n_chunks: int = 8, out: str = "day") -> DataFrame:
     """No timestamp: day = (position div (N div n_chunks)) as text. N % n_chunks != 0 gives an
     extra chunk, as in the reference; N < n_chunks -> one row per chunk."""
-    b = with_value_bucket(df, order_col, "_ob")
-    r = ranked(b, [order_col], F.col("_ob"), rank_col="_pos", size_col="_n").drop("_ob")
+    b = df.withColumn("_tb", row_tiebreak(df))
+    b = with_value_bucket(b, order_col, "_ob", tiebreak="_tb")
+    r = ranked(b, [order_col, "_tb"], F.col("_ob"), rank_col="_pos", size_col="_n").drop("_ob", "_tb")
     per = F.greatest(F.floor(F.col("_n") / F.lit(n_chunks)).cast("long"), F.lit(1))
     return r.withColumn(out, F.floor((F.col("_pos") - 1) / per).cast("long").cast("string")).drop("_pos", "_n")
 

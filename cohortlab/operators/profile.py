@@ -9,6 +9,7 @@ probability are interpolated.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -77,13 +78,19 @@ def imbalance_ratio(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 # E6 -----------------------------------------------------------------------------------------
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    n_buckets: int = 1024) -> DataFrame:
+                    n_buckets: int = 1024, max_rows_per_task: int = 4_000_000,
+                    sub_buckets: int = 1024, max_refinements: int = 8) -> DataFrame:
     """(column, p, q): linear-interpolated exact quantiles of the non-NULL, non-NaN values.
 
-    Quantile selection instead of a full sort: (1) ``approxQuantile`` bounds cut each column
-    into ~n_buckets value buckets; (2) one aggregate counts values per (column, bucket) — a
-    table of at most F x n_buckets rows; (3) the driver finds the bucket holding each target
-    rank; (4) only the rows of those few buckets are ranked (window per (column, bucket))."""
+    Quantile SELECTION instead of a full sort: (1) ``approxQuantile`` bounds cut each column
+    into ~n_buckets value buckets; (2) one aggregate counts values (and their min/max) per
+    (column, bucket) — at most F x n_buckets rows reach the driver; (3) the driver places each
+    target rank in one bucket, i.e. in a value interval [lo, hi] with a rank inside it;
+    (4) while such an interval still holds more than ``max_rows_per_task`` values it is cut
+    into ``sub_buckets`` equal-width sub-ranges by one more aggregate (targets x sub_buckets
+    rows to the driver), so no final interval is bigger than one task should sort;
+    (5) only the values of the final intervals are collapsed to (value, count) — a hot value
+    held by a third of all rows is one row — and ranked with a running count."""
     from pyspark.ml.feature import Bucketizer
     from pyspark.sql import Window
 
@@ -98,45 +105,92 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
                for c in cols]
     long = bk.transform(vals).select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(
         F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = long.groupBy("column", "bk").agg(F.count(F.lit(1)).alias("n")).collect()   # <= F x n_buckets rows
-    per_col: dict[str, list[tuple[int, int]]] = {}
-    for r in counts:
-        per_col.setdefault(r["column"], []).append((r["bk"], r["n"]))
-    need = []   # (column, bucket, rank within bucket, p, weight)
-    for c, lst in per_col.items():
-        lst.sort()
-        total = sum(n for _, n in lst)
-        starts, acc = [], 0
-        for b, n in lst:
-            starts.append((b, acc, n))
+    counts = long.groupBy("column", "bk").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                              F.max("v").alias("hi")).collect()   # <= F x n_buckets rows
+
+    def locate(parts, rank0):
+        """parts: [(n, lo, hi)] in value order -> (lo, hi, 1-based rank inside, n) of rank0."""
+        acc = 0
+        for n, lo, hi in parts:
+            if acc <= rank0 < acc + n:
+                return lo, hi, rank0 - acc + 1, n
             acc += n
+        raise AssertionError("rank outside the counted range")
 
-        def locate(rank0: int):
-            for b, st, n in starts:
-                if st <= rank0 < st + n:
-                    return b, rank0 - st + 1
-            raise AssertionError("rank outside the counted range")
-
+    per_col: dict[str, list] = {}
+    for r in counts:
+        per_col.setdefault(r["column"], []).append((r["bk"], r["n"], r["lo"], r["hi"]))
+    need = []   # [column, p, weight, lo, hi, rank inside [lo, hi], values in [lo, hi]]
+    for c, lst in per_col.items():
+        parts = [(n, lo, hi) for _, n, lo, hi in sorted(lst, key=lambda x: x[0])]
+        total = sum(n for n, _, _ in parts)
         for p in probs:
             pos = (total - 1) * p
-            lo = int(pos)
-            frac = pos - lo
-            need.append((c, *locate(lo), float(p), 1.0 - frac))
+            lo_rank = int(pos)
+            frac = pos - lo_rank
+            need.append([c, float(p), 1.0 - frac, *locate(parts, lo_rank)])
             if frac > 0:
-                need.append((c, *locate(lo + 1), float(p), frac))
-    needed = spark.createDataFrame(need, "column string, bk int, rn int, p double, w double")
-    wanted = needed.select("column", "bk").distinct()
-    # Only the <= 2 x |probs| x F target buckets survive the semi-join. Inside them rows are
-    # first collapsed to (value, count) with a map-side partial aggregate, so a value held by a
-    # third of all rows is one row here; the running count then runs over distinct values only.
-    few = long.join(F.broadcast(wanted), ["column", "bk"], "left_semi")
-    dv = few.groupBy("column", "bk", "v").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("column", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    dv = dv.withColumn("cum", F.sum("c").over(w))
-    nd = F.broadcast(needed.select(F.col("column").alias("n_column"), F.col("bk").alias("n_bk"), "rn", "p", "w"))
-    picked = dv.join(nd, (F.col("column") == F.col("n_column")) & (F.col("bk") == F.col("n_bk"))
-                     & (F.col("rn") > F.col("cum") - F.col("c")) & (F.col("rn") <= F.col("cum")))
-    return picked.groupBy("column", "p").agg(F.sum(F.col("v") * F.col("w")).alias("q"))
+                need.append([c, float(p), frac, *locate(parts, lo_rank + 1)])
+
+    lv = long.select("column", "v")
+
+    def in_intervals(ivs):
+        """Values of the given (id, column, lo, hi) intervals: an equi-join on the column with
+        a range condition against a broadcast table of <= len(probs) x 2 x F rows."""
+        t = F.broadcast(spark.createDataFrame(ivs, "iv int, icol string, ilo double, ihi double"))
+        return lv.join(t, (F.col("column") == F.col("icol")) & (F.col("v") >= F.col("ilo")) & (F.col("v") <= F.col("ihi")))
+
+    def refinable(e):
+        return e[6] > max_rows_per_task and e[3] < e[4] and math.isfinite(e[3]) and math.isfinite(e[4])
+
+    for _ in range(max_refinements):
+        ivs = sorted({(e[0], e[3], e[4]) for e in need if refinable(e)})
+        if not ivs:
+            break
+        rows = [(i, c, lo, hi) for i, (c, lo, hi) in enumerate(ivs)]
+        j = in_intervals(rows)
+        sb = F.least(F.floor((F.col("v") - F.col("ilo")) / (F.col("ihi") - F.col("ilo")) * F.lit(sub_buckets)),
+                     F.lit(sub_buckets - 1)).cast("int")
+        sub = j.groupBy("iv", sb.alias("sb")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                                  F.max("v").alias("hi")).collect()   # <= |ivs| x sub_buckets rows
+        per_iv: dict[int, list] = {}
+        for r in sub:
+            per_iv.setdefault(r["iv"], []).append((r["sb"], r["n"], r["lo"], r["hi"]))
+        index = {iv: i for i, iv in enumerate(ivs)}
+        progressed = False
+        for e in need:
+            i = index.get((e[0], e[3], e[4]))
+            if i is None or not refinable(e):
+                continue
+            parts = [(n, lo, hi) for _, n, lo, hi in sorted(per_iv[i], key=lambda x: x[0])]
+            lo, hi, r, n = locate(parts, e[5] - 1)
+            progressed |= n < e[6]
+            e[3], e[4], e[5], e[6] = lo, hi, r, n
+        if not progressed:
+            break
+
+    # a one-value interval is its own answer; the others: rank distinct values inside them
+    fixed = [(e[0], e[1], e[2] * e[3]) for e in need if e[3] == e[4]]
+    open_ = [e for e in need if e[3] != e[4]]
+    parts = []
+    if fixed:
+        parts.append(spark.createDataFrame(fixed, "column string, p double, wv double"))
+    if open_:
+        ivs = sorted({(e[0], e[3], e[4]) for e in open_})
+        index = {iv: i for i, iv in enumerate(ivs)}
+        dv = in_intervals([(i, c, lo, hi) for i, (c, lo, hi) in enumerate(ivs)]).groupBy("iv", "column", "v").agg(
+            F.count(F.lit(1)).alias("c"))
+        w = Window.partitionBy("iv").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        dv = dv.withColumn("cum", F.sum("c").over(w))
+        nd = F.broadcast(spark.createDataFrame([(index[(e[0], e[3], e[4])], e[5], e[1], e[2]) for e in open_],
+                                               "n_iv int, rn long, p double, w double"))
+        picked = dv.join(nd, (F.col("iv") == F.col("n_iv")) & (F.col("rn") > F.col("cum") - F.col("c"))
+                         & (F.col("rn") <= F.col("cum")))
+        parts.append(picked.select("column", "p", (F.col("v") * F.col("w")).alias("wv")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("column", "p").agg(F.sum("wv").alias("q"))
 
 
 def profile_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

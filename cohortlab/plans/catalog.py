@@ -1046,7 +1046,8 @@ def q_sgd_step_zero_init(spark, sf):
     (client = vec_id % 5), then FedAvg: W[k][j] = −lr·(S_j/K − S_kj)/n_c averaged by n_c."""
     e = T.table(spark, sf, "embeddings").select((F.col("vec_id") % 5).cast("int").alias("client_id"), "label",
                                                 F.posexplode("embedding").alias("j", "v"))
-    labels = sorted(r[0] for r in e.select("label").distinct().collect())
+    labels = clean.sorted_labels(e, "label")   # size-checked (<= MAX_LABELS)
+    labels = sorted(int(x) for x in labels)
     K = len(labels)
     n = T.table(spark, sf, "embeddings").groupBy((F.col("vec_id") % 5).cast("int").alias("client_id")).agg(
         F.count(F.lit(1)).alias("nc"))
@@ -1072,3 +1073,30 @@ def q_union_by_name(spark, sf):
     li = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("value"),
                                                "l_returnflag")
     return CSV.union_by_name([ev, li])
+
+
+def staged_event_csvs(spark, sf):
+    """S1-S4 fixture derived from the whole ``events`` table: written as CSV part files into the
+    shared checkpoint folder in two header layouts — padded names (S3), and click/view rows
+    without ``user_id`` (S4 fills NULL). Returns the two folders."""
+    import hashlib
+
+    from ..session import ensure_checkpoint_dir
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_stage/{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+    ev = T.table(spark, sf, "events")
+    short = F.col("event_type").isin("click", "view")
+    ev.where(short).select(F.col("event_id").alias(" event_id"), F.col("value").alias("value "),
+                           F.col("event_type").alias(" event_type ")) \
+        .write.mode("overwrite").option("header", True).csv(f"{base}/a")
+    ev.where(~short).select("event_id", "event_type", F.col("value").alias(" value"), "user_id") \
+        .write.mode("overwrite").option("header", True).csv(f"{base}/b")
+    return [f"{base}/a", f"{base}/b"]
+
+
+@query("csv_scan", "SELECT event_id, value, event_type, CASE WHEN event_type IN ('click', 'view') THEN NULL "
+                   "ELSE user_id END AS user_id FROM events")
+def q_csv_scan(spark, sf):
+    df = CSV.read_flow_csvs(spark, staged_event_csvs(spark, sf))
+    return df.select(F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"),
+                     "event_type", F.col("user_id").cast("long").alias("user_id"))
