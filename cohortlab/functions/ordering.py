@@ -21,6 +21,10 @@ HASH_BUCKET_DIGITS = 4
 # rank_cuts broadcasts its per-group tables; they may hold at most this many rows
 # (groups x cut ranks), checked inside the plan
 MAX_CUT_ROWS = 1 << 20
+# up to this many cut ranks without groups become literal comparisons
+MAX_LITERAL_CUTS = 64
+# up to this many groups come back to the driver as a local table (else a lazy broadcast)
+MAX_LOCAL_GROUPS = 65536
 
 
 def hash_bucket(h: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -104,9 +108,14 @@ def rank_cuts(df: DataFrame, h: str, key: str, targets: Callable[[], Sequence[Co
     partial aggregate, at most groups x 16^digits rows leave the map side; (2) running sums
     over that table place every target rank in one bucket; (3) only those few buckets are
     ranked to find the threshold rows; (4) every row compares its (h, key) with the
-    thresholds. Without groups the thresholds ride on the per-bucket table (16^digits rows,
-    broadcast, joined on the bucket); with groups on a one-row-per-group table. It all stays
-    one lazy plan, and the per-row work is plain CASE expressions (whole-stage codegen).
+    thresholds, with plain CASE expressions (whole-stage codegen, no lambdas).
+
+    Steps 1-3 run once, eagerly, and return little: without groups <= len(targets) threshold
+    rows become literals; with groups one row per group comes back as a local table that is
+    broadcast-joined on the group keys. The returned plan is the input plus that projection
+    or join, so reading it again (training passes, evaluation) never replays the search.
+    Beyond MAX_LITERAL_CUTS cuts / MAX_LOCAL_GROUPS groups the same tables stay lazy: the
+    per-bucket table (16^digits rows) or the per-group table, broadcast either way.
 
     ``h``: hex hash string column (its prefix is the bucket); (h, key) must be unique.
     ``targets()``: list of BIGINT expressions (the cut ranks), evaluated per group; they may
@@ -158,19 +167,40 @@ def rank_cuts(df: DataFrame, h: str, key: str, targets: Callable[[], Sequence[Co
             tot = tot + F.when(c, F.lit(1)).otherwise(F.lit(0))
         return tot
 
+    hc, kc = F.col(h), F.col(key)
+
+    def beyond(th, tk):
+        return (hc > th) | ((hc == th) & (kc > tk))
+
+    if not g and k <= MAX_LITERAL_CUTS:
+        # the thresholds (<= k rows) and the count of targets <= 0 come back in ONE small job;
+        # the returned plan is the input plus literal comparisons, so re-reading it later
+        # (training passes, evaluation) never replays the threshold search
+        always = off.agg(F.first(n_true([t <= 0 for t in tc])).alias("_always"))
+        both = always.select("_always", F.lit(None).cast(at.schema["_x"].dataType).alias("_x")).unionByName(
+            at.select(F.lit(None).cast("int").alias("_always"), "_x")).collect()
+        passed = F.lit(sum(int(r["_always"]) for r in both if r["_always"] is not None))
+        for r in both:
+            if r["_x"] is not None:
+                passed = passed + F.when(beyond(F.lit(r["_x"]["h"]), F.lit(r["_x"]["k"])), 1).otherwise(0)
+        return df.withColumn(out, passed.cast("int"))
+    xs = [F.col(f"_x{i}") for i in range(k)]
+    passed = F.col("_always") + n_true([x.isNotNull() & beyond(x["h"], x["k"]) for x in xs])
     if not g:
-        # per bucket: targets at or before its offset are passed by all its rows; the few
-        # thresholds inside it are compared row by row. 16^digits rows: bounded, broadcast.
+        # many cuts: per bucket, targets at or before its offset are passed by all its rows;
+        # the few thresholds inside it are compared row by row. 16^digits rows, broadcast.
         per = off.select("_bkt", n_true([t <= F.col("_off") for t in tc]).alias("_always"))
         per = per.join(at.groupBy("_bkt").agg(*slots), "_bkt", "left")
         res = d.join(F.broadcast(per), "_bkt")
     else:
         always = off.groupBy(*g).agg(F.first(n_true([t <= 0 for t in tc])).alias("_always"))
         per = _bounded(_join_null_safe(always, at.groupBy(*g).agg(*slots), g, "left"), max_rows)
-        res = _join_null_safe(d, per, g, broadcast=True)
-    hc, kc = F.col(h), F.col(key)
-    xs = [F.col(f"_x{i}") for i in range(k)]
-    passed = F.col("_always") + n_true([x.isNotNull() & ((hc > x["h"]) | ((hc == x["h"]) & (kc > x["k"]))) for x in xs])
+        local = per.limit(MAX_LOCAL_GROUPS + 1).collect()
+        if len(local) <= MAX_LOCAL_GROUPS:
+            # one row per group, back as a local table: the returned plan no longer holds the
+            # threshold search, only a broadcast of this small relation
+            per = df.sparkSession.createDataFrame(local, per.schema)
+        res = _join_null_safe(df, per, g, broadcast=True)
     return res.withColumn(out, passed.cast("int")).drop("_always", "_bkt", *[f"_x{i}" for i in range(k)])
 
 

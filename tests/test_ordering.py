@@ -84,3 +84,21 @@ def test_sequential_ts_with_hot_order_value(spark):
     vals = sorted(order.values())
     for p, r in ranks.items():
         assert bisect.bisect_left(vals, order[p]) < r <= bisect.bisect_right(vals, order[p])
+
+
+def test_rank_cuts_lazy_fallbacks(spark, monkeypatch):
+    """Past the literal / local-table limits the per-bucket and per-group tables stay lazy
+    (broadcast joins); same answers."""
+    import cohortlab.functions.ordering as O
+
+    monkeypatch.setattr(O, "MAX_LITERAL_CUTS", 0)
+    monkeypatch.setattr(O, "MAX_LOCAL_GROUPS", 0)
+    df = _frame(spark)
+
+    def cuts():
+        n = F.col("_gn")
+        return [F.floor(n / 3) * c for c in range(1, 3)] + [F.lit(0), n]
+
+    for digits in (1, 2):
+        assert _got(df, [], cuts, digits) == _expected(df, [], cuts)
+        assert _got(df, ["grp"], cuts, digits) == _expected(df, ["grp"], cuts)
