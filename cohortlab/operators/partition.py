@@ -131,9 +131,11 @@ def client_train_val(df: DataFrame, key: str, client_col: str = "client_id", tra
 
 # X8 -----------------------------------------------------------------------------------------
 def sample_clients(clients: DataFrame, round_col: str = "round", client_col: str = "client_id",
-                   fraction: float = 1.0, min_fit: int = 2, min_available: int = 2, seed: int = 42) -> DataFrame:
+                   fraction: float = 1.0, min_fit: int = 2, min_available: int = 2, seed: int = 42,
+                   check: bool = True) -> DataFrame:
     """Per round keep ``max(int(n*fraction), min_fit)`` clients in md5(client:seed:round) order.
-    Error if a round has fewer than ``min_available`` clients. The clients table is small
+    Error if a round has fewer than ``min_available`` clients (one small job; ``check=False``
+    skips it when the caller already checked the same clients table). The clients table is small
     (rounds x clients) but is ranked per round, never globally."""
     from pyspark.sql import Window
 
@@ -141,8 +143,7 @@ def sample_clients(clients: DataFrame, round_col: str = "round", client_col: str
     h = hash_hex(client_col, seed, F.col(round_col))
     ranked_ = (clients.withColumn("_n", F.count(F.lit(1)).over(w))
                .withColumn("_r", F.row_number().over(w.orderBy(h, F.col(client_col)))))
-    bad = ranked_.where(F.col("_n") < min_available).limit(1).count()
-    if bad:
+    if check and ranked_.where(F.col("_n") < min_available).limit(1).count():
         raise ValueError(f"a round has fewer than min_available={min_available} clients")
     quota = F.greatest(F.floor(F.col("_n") * F.lit(fraction)).cast("long"), F.lit(min_fit))
     return ranked_.where(F.col("_r") <= quota).drop("_n", "_r")

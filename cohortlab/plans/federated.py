@@ -80,7 +80,8 @@ def federated_train(data: DataFrame, key: str, cfg: FedConfig, features: str = "
         ov = cfg.round_overrides.get(rnd, {})
         epochs, mu = ov.get("local_epochs", cfg.local_epochs), ov.get("mu", cfg.mu if strategy == "fedprox" else 0.0)
         sampled = partition.sample_clients(clients.withColumn("round", F.lit(rnd)), "round", client_col,
-                                           cfg.fraction_fit, cfg.min_fit_clients, cfg.min_available_clients, cfg.seed)
+                                           cfg.fraction_fit, cfg.min_fit_clients, cfg.min_available_clients, cfg.seed,
+                                           check=rnd == 1)   # same clients every round
         part = train.join(F.broadcast(sampled.select(client_col)), client_col, "left_semi")  # one row per client
         shard_params = TR.local_train(part, model, key, features, label, client_col, epochs, cfg.batch_size,
                                       cfg.lr, mu, cfg.seed, rnd)
