@@ -18,12 +18,24 @@ from ..functions.ordering import rank_cuts
 def stratified_split(df: DataFrame, key: str, label_col: str, test_size: float = 0.2, seed: int = 42,
                      out: str = "split", check_min_class: bool = True) -> DataFrame:
     h = df.withColumn("_h", hash_hex(key, seed))
-    r = rank_cuts(h, "_h", key, lambda: [F.round(F.col("_gn") * F.lit(test_size)).cast("long")],
-                  partition_by=[label_col], out="_past")
-    if check_min_class:
-        small = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < 2)
-                 .limit(1).collect())
-        if small:
-            raise ValueError(f"class {small[0][0]!r} has fewer than 2 rows; cannot stratify")
+
+    def cuts():
+        n = F.col("_gn")   # class size, known to the cut search anyway
+        cut = F.round(n * F.lit(test_size)).cast("long")
+        if check_min_class:   # sklearn refuses classes with fewer than 2 rows
+            cut = F.when(n < 2, F.raise_error(F.concat(F.lit(_TOO_SMALL), F.col(label_col).cast("string")))) \
+                .otherwise(cut)
+        return [cut]
+
+    try:
+        r = rank_cuts(h, "_h", key, cuts, partition_by=[label_col], out="_past")
+    except Exception as e:  # noqa: BLE001 - the check fails inside the Spark job
+        if _TOO_SMALL in str(e):
+            cls = str(e).split(_TOO_SMALL, 1)[1].split()[0].rstrip("'\".,")
+            raise ValueError(f"class {cls!r} has fewer than 2 rows; cannot stratify") from None
+        raise
     return r.withColumn(out, F.when(F.col("_past") == 0, F.lit("test")).otherwise(F.lit("train"))) \
             .drop("_h", "_past")
+
+
+_TOO_SMALL = "stratified split: class with fewer than 2 rows: "

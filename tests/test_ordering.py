@@ -102,3 +102,15 @@ def test_rank_cuts_lazy_fallbacks(spark, monkeypatch):
     for digits in (1, 2):
         assert _got(df, [], cuts, digits) == _expected(df, [], cuts)
         assert _got(df, ["grp"], cuts, digits) == _expected(df, ["grp"], cuts)
+
+
+def test_stratified_split_rejects_singleton_class(spark):
+    import pytest
+
+    from cohortlab.operators.split import stratified_split
+
+    df = spark.createDataFrame([(i, "a" if i < 9 else "lonely") for i in range(10)], "id long, label string")
+    with pytest.raises(ValueError, match="lonely"):
+        stratified_split(df, "id", "label")
+    ok = stratified_split(df.where("label = 'a'"), "id", "label").groupBy("split").count()
+    assert {r["split"]: r["count"] for r in ok.collect()} == {"test": 2, "train": 7}
