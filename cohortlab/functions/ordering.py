@@ -38,9 +38,11 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     Bounds come from ``approxQuantile`` (at most ``n_buckets`` doubles on the driver). A value
     that repeats among the bounds holds at least ~1/n_buckets of all rows; it gets a bucket of
     its own, and with ``tiebreak`` (a hex string column; order ties by it) that bucket is
-    split again by the tiebreak's 4-hex-digit prefix, so a value held by a third of all rows
-    is spread over 65,536 tasks. Without ``tiebreak`` equal values share one bucket, which
-    running sums over ties rely on. ``out`` is a BIGINT.
+    split again into as many sub-buckets as bounds it spans — ``prefix * c // 65536`` of the
+    tiebreak's 4-hex-digit prefix, monotone in the tiebreak — so every sub-bucket holds about
+    1/n_buckets of the rows and the bucket count stays below ~2 x n_buckets. Without
+    ``tiebreak`` equal values share one bucket, which running sums over ties rely on.
+    ``out`` is a BIGINT.
     """
     from collections import Counter
 
@@ -49,7 +51,8 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     probs = [i / n_buckets for i in range(1, n_buckets)]
     raw = [float(x) for x in df.approxQuantile(col, probs, rel_err) if x is not None]
     finite = [b for b in raw if math.isfinite(b)]
-    heavy = sorted(v for v, c in Counter(finite).items() if c > 1)
+    spans = {v: c for v, c in Counter(finite).items() if c > 1}
+    heavy = sorted(spans)
     bounds = sorted(set(finite) | {math.nextafter(v, math.inf) for v in heavy})
     splits = [float("-inf")] + [b for b in bounds if math.isfinite(b)] + [float("inf")]
     tmp = f"{out}_in"
@@ -57,8 +60,10 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     res = bk.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
     vb = F.col(out).cast("long") * F.lit(65536)
     if tiebreak is not None and heavy:
-        sub = F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
-        vb = vb + F.when(F.col(col).cast("double").isin(*heavy), sub).otherwise(F.lit(0))
+        prefix = F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
+        span = F.element_at(F.create_map(*[x for v in heavy for x in (F.lit(v), F.lit(spans[v]))]),
+                            F.col(col).cast("double"))
+        vb = vb + F.coalesce(F.floor(prefix * span / F.lit(65536)).cast("long"), F.lit(0))
     return res.withColumn(out, vb)
 
 
