@@ -158,11 +158,12 @@ def rank_cuts(df: DataFrame, h: str, key: str, targets: Callable[[], Sequence[Co
                 F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(tc)])).alias("_e"))
             .select(*g, "_bkt", "_off", "_c", F.col("_e.i").alias("_i"), F.col("_e.t").alias("_t"))
             .where(inside(F.col("_t"))).drop("_c"))
-    hb = _bounded(hits.select(*g, "_bkt", "_off").distinct(), max_rows)
-    sel = _join_null_safe(d, hb, [*g, "_bkt"], broadcast=True)   # only rows of the target buckets
-    sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bkt").orderBy(h, key)) + F.col("_off"))
-    at = (_join_null_safe(sel, hits.select(*g, "_bkt", "_i", "_t"), [*g, "_bkt"], broadcast=True)
-          .where(F.col("_r") == F.col("_t"))
+    # only rows of the target buckets survive this broadcast join (<= groups x k rows, checked);
+    # a bucket holding several targets is ranked once per target
+    sel = _join_null_safe(d, _bounded(hits, max_rows), [*g, "_bkt"], broadcast=True)
+    sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bkt", "_i").orderBy(h, key))
+                         + F.col("_off"))
+    at = (sel.where(F.col("_r") == F.col("_t"))
           .select(*g, "_bkt", "_i", F.struct(F.col(h).alias("h"), F.col(key).alias("k")).alias("_x")))
     slots = [F.first(F.when(F.col("_i") == i, F.col("_x")), ignorenulls=True).alias(f"_x{i}") for i in range(k)]
 
