@@ -114,3 +114,21 @@ def test_stratified_split_rejects_singleton_class(spark):
         stratified_split(df, "id", "label")
     ok = stratified_split(df.where("label = 'a'"), "id", "label").groupBy("split").count()
     assert {r["split"]: r["count"] for r in ok.collect()} == {"test": 2, "train": 7}
+
+
+def test_cut_plans_do_not_shuffle_rows(spark, capsys):
+    """After the one-shot threshold search the returned plans are scan + projection (no groups)
+    or scan + broadcast join of a local table (groups): no row-side exchange."""
+    from cohortlab.operators import partition
+
+    from .conftest import SF_SMALL
+
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "value")
+    iid = partition.partition_iid(ev, "event_id")
+    tv = partition.client_train_val(iid, "event_id")
+    for df, want_broadcast in ((iid, False), (tv, True)):
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan, plan
+        assert ("BroadcastExchange" in plan) == want_broadcast, plan
