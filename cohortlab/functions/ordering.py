@@ -51,7 +51,10 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     probs = [i / n_buckets for i in range(1, n_buckets)]
     raw = [float(x) for x in df.approxQuantile(col, probs, rel_err) if x is not None]
     finite = [b for b in raw if math.isfinite(b)]
-    spans = {v: c for v, c in Counter(finite).items() if c > 1}
+    # approxQuantile may repeat a bound up to ~rel_err x n_buckets times by itself; only a value
+    # repeated beyond that really holds several buckets' worth of rows
+    noise = max(1, math.ceil(2 * rel_err * n_buckets))
+    spans = {v: c for v, c in Counter(finite).items() if c > noise}
     heavy = sorted(spans)
     bounds = sorted(set(finite) | {math.nextafter(v, math.inf) for v in heavy})
     splits = [float("-inf")] + [b for b in bounds if math.isfinite(b)] + [float("inf")]
@@ -60,10 +63,12 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     res = bk.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
     vb = F.col(out).cast("long") * F.lit(65536)
     if tiebreak is not None and heavy:
+        # bucket i is [splits[i], splits[i+1]); a heavy value v starts its own bucket. The span
+        # per bucket is an array literal indexed by bucket id: O(1) per row, no map scan.
+        span_of = [spans.get(lo, 0) for lo in splits[:-1]]
+        span = F.try_element_at(F.array(*[F.lit(x) for x in span_of]), F.col(out).cast("int") + 1)
         prefix = F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
-        span = F.element_at(F.create_map(*[x for v in heavy for x in (F.lit(v), F.lit(spans[v]))]),
-                            F.col(col).cast("double"))
-        vb = vb + F.coalesce(F.floor(prefix * span / F.lit(65536)).cast("long"), F.lit(0))
+        vb = vb + F.when(span > 0, F.floor(prefix * span / F.lit(65536)).cast("long")).otherwise(F.lit(0))
     return res.withColumn(out, vb)
 
 
