@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import curriculum, line_runs, quality, shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,99 @@ def op3_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         q["base_failed"].alias("base_failed"), q["kept"].alias("kept"))
+
+
+# --- 4: mixing sources -----------------------------------------------------------------------
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'),
+                                               lambda x: x <> '')) AS size,
+         substr(md5('curriculum:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+r AS (
+  SELECT *, 3.0 * source_size / w AS ratio, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
+         sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS cs,
+         sum(w) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS cw FROM s),
+levels AS (
+  SELECT CAST(any_value(total) AS DOUBLE) / CAST(any_value(all_w) AS DOUBLE) AS lv, 0.0 AS least_ratio FROM r
+  UNION ALL SELECT CAST(total - cs AS DOUBLE) / CAST(all_w - cw AS DOUBLE), ratio FROM r WHERE all_w > cw),
+lv AS (
+  SELECT lv FROM levels l
+  WHERE l.lv >= l.least_ratio
+    AND abs((SELECT sum(least(3.0 * source_size, l.lv * w)) FROM s) - (SELECT sum(source_size) FROM s))
+        <= 1e-9 * (SELECT sum(source_size) FROM s) + 1e-6
+  ORDER BY lv LIMIT 1),
+t AS (SELECT source, source_size, least(3.0 * source_size, lv * w) AS target FROM s, lv),
+c AS (
+  SELECT d.*, t.source_size, t.target,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS mid
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(size * ((mid <= target)::INT + (mid + source_size <= target)::INT + (mid + 2 * source_size <= target)::INT)
+            AS BIGINT) AS taken
+FROM c"""
+
+
+@query("op4_curriculum_mix", OP4_SQL)
+def op4_curriculum_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    m = F.col("mix")
+    mixed = curriculum.mix_sources(docs).select("doc_id", "mix")
+    return curriculum.by_position(mixed).select(
+        "doc_id", *[m[c].alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+# --- 9: sharding -----------------------------------------------------------------------------
+@query("op9_jump_shards")
+def op9_jump_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = F.col("shard_info")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    return shards.shard(docs.withColumn("text_crc32", crc)).select(
+        "doc_id", s["size"].alias("size"), "text_crc32", F.lit("key").alias("law"), s["shard"].alias("shard"),
+        s["slot"].cast("long").alias("slot"), s["grown_shard"].alias("grown_shard"))
+
+
+# --- 5: line dedup ---------------------------------------------------------------------------
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
+l AS (
+  SELECT doc_id, i, line, lower_ascii AS k FROM (
+    SELECT doc_id, i, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+    FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line
+          FROM (SELECT doc_id, string_split(txt, chr(10)) AS ls FROM d)))),
+heavy AS (
+  SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT l.*, keeper IS NOT NULL AND doc_id < keeper AS gone FROM l LEFT JOIN heavy USING (k))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id"""
+
+
+@query("op5_line_runs", OP5_SQL)
+def op5_line_runs(spark, sf_dir):
+    x = F.col("lines")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.dedup_lines(docs).select(
+        "doc_id", x["n_lines"].alias("n_lines"), x["n_dropped"].alias("n_dropped"),
+        F.sha2(x["text"], 256).alias("kept_sha256"))
+
+
+# --- 1: URL filters --------------------------------------------------------------------------
+@query("op1_url_rules")
+def op1_url_rules(spark, sf_dir):
+    """A page's URL ends in the id of the document that it shows; its labels teach the rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = F.try_to_number(F.regexp_extract(F.col("url"), "://[^?#]*/([0-9]{1,18})", 1), F.lit("9" * 18)).cast("long")
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("shown"),
+        F.when((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+    labelled = pages.select("url", shown.alias("shown")).join(labels, "shown").select("url", "verdict")
+    v = F.col("url_verdict")
+    return url_rules.judge_urls(pages, labelled).select(
+        "page_id", v["host"].alias("host"), v["path"].alias("path"), v["rule"].alias("rule"),
+        v["verdict"].alias("verdict"), F.array_join(v["mined"], " ").alias("mined_rule"))
