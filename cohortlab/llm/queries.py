@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, line_runs, quality, shards, url_rules
+from . import curriculum, line_runs, parity_join, quality, shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -179,3 +179,9 @@ def op1_url_rules(spark, sf_dir):
     return url_rules.judge_urls(pages, labelled).select(
         "page_id", v["host"].alias("host"), v["path"].alias("path"), v["rule"].alias("rule"),
         v["verdict"].alias("verdict"), F.array_join(v["mined"], " ").alias("mined_rule"))
+
+
+# --- 10: n-gram Jaccard join -----------------------------------------------------------------
+@query("op10_parity_join")
+def op10_parity_join(spark, sf_dir):
+    return parity_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

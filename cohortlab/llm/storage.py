@@ -1,10 +1,17 @@
 """Cutting lineage in the folder that the cluster shares."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: rows of two or three numbers that are sent to every task at most
+BROADCAST_ROWS = 1_000_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the session's ``spark.checkpoint.dir`` and go on from the files, so
@@ -12,3 +19,29 @@ def cut(df: DataFrame) -> DataFrame:
     them any more (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def staged(spark: SparkSession):
+    """Give a function that writes a table as Parquet beside the checkpoints and reads it back:
+    for tables too large for ``cut``. At the end the files are replaced by empty ones, so all
+    that follows from them has to be written by then."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid4().hex}"
+    paths = []
+
+    def stage(df: DataFrame) -> DataFrame:
+        paths.append(f"{root}/{len(paths)}")
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield stage
+    finally:
+        for p in paths:
+            spark.range(0).write.mode("overwrite").parquet(p)
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` for the small side of a join: sent to every task if it has ``limit`` rows or fewer
+    (counted), else left to a shuffle. Only for narrow rows that are cheap to count."""
+    return F.broadcast(df) if df.count() <= limit else df
