@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, line_runs, parity_join, quality, shards, url_rules
+from . import curriculum, line_runs, parity_join, quality, secret_scan, shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -185,3 +185,20 @@ def op1_url_rules(spark, sf_dir):
 @query("op10_parity_join")
 def op10_parity_join(spark, sf_dir):
     return parity_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- 8: secret scans -------------------------------------------------------------------------
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.select("doc_id", "spans")
+    kinds = [r.kind for r in secret_scan.BASE]
+
+    def listed(spans):
+        each = F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+        return F.array_join(each, ",")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return found.select("doc_id", *[F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}")
+                                    for k in kinds],
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
