@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, line_runs, parity_join, quality, secret_scan, shards, url_rules
+from . import curriculum, embed_cells, line_runs, parity_join, quality, secret_scan, shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -202,3 +202,9 @@ def op8_secret_scan(spark, sf_dir):
     return found.select("doc_id", *[F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}")
                                     for k in kinds],
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+# --- 6: embedding near-dedup -----------------------------------------------------------------
+@query("op6_embedding_cells")
+def op6_embedding_cells(spark, sf_dir):
+    return embed_cells.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
