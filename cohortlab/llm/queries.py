@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, embed_cells, line_runs, parity_join, quality, secret_scan, shards, url_rules
+from . import curriculum, embed_cells, lang_gru, line_runs, parity_join, quality, secret_scan, shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -208,3 +208,12 @@ def op8_secret_scan(spark, sf_dir):
 @query("op6_embedding_cells")
 def op6_embedding_cells(spark, sf_dir):
     return embed_cells.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# --- 2: language identification --------------------------------------------------------------
+@query("op2_language_gru")
+def op2_language_gru(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found, x = lang_gru.identify_language(docs), F.col("language")
+    return found.select("doc_id", lang_gru.held_out(F.col("doc_id")).alias("held_out"),
+                        x["lang_pred"].alias("lang_pred"), x["score"].alias("score"))
