@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, embed_cells, lang_gru, line_runs, parity_join, quality, secret_scan, shards, url_rules
+from . import curriculum, embed_cells, lang_gru, line_runs, parity_join, pieces, quality, secret_scan, shards, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -217,3 +217,11 @@ def op2_language_gru(spark, sf_dir):
     found, x = lang_gru.identify_language(docs), F.col("language")
     return found.select("doc_id", lang_gru.held_out(F.col("doc_id")).alias("held_out"),
                         x["lang_pred"].alias("lang_pred"), x["score"].alias("score"))
+
+
+# --- 7: SentencePiece ------------------------------------------------------------------------
+@query("op7_sampled_pieces")
+def op7_sampled_pieces(spark, sf_dir):
+    p = F.col("pieces")
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", p["n"].alias("n_pieces"), p["lossless"].alias("lossless"), p["ids"].alias("ids"))
