@@ -284,12 +284,11 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
                     F.col(text).alias("_pc_text"))
     kind = "struct<ids:array<int>,n:long,lossless:boolean>"
     schema = docs.select(*others, F.lit(None).cast(kind).alias(out)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model, sharpness))
+    v = Vocabulary.load(model, sharpness)
 
     def run(batches):
         import pyarrow as pa
 
-        v = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             raw, offs = arrow_bytes(texts)
@@ -313,7 +312,7 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "text") -> DataFrame:
     """Add ``out``, the text that the piece ids stand for; null ids give a null text."""
     others = [c for c in encoded.columns if c.lower() != out.lower()]
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    v = Vocabulary.load(model)
     schema = encoded.select(*others, F.lit(None).cast("string").alias(out)).schema
     d = encoded.select(*others, F.col(ids).alias("_pc_ids"))
 
@@ -323,7 +322,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, out: str =
         for batch in batches:
             lists = batch.column(batch.num_columns - 1).to_pylist()
             flat = np.concatenate([np.array(x or [], np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
-            raw, at = decode_pieces(flat, np.array([len(x or []) for x in lists], np.int64), shared.value)
+            raw, at = decode_pieces(flat, np.array([len(x or []) for x in lists], np.int64), v)
             data = raw.tobytes()
             texts = [None if x is None else data[at[i]:at[i + 1]].decode() for i, x in enumerate(lists)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, type=pa.string())], names=[*others, out])
