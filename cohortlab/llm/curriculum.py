@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .order import before_in_bucket, bucket_of, bucket_sums, offsets, order_hash, positions
 from .storage import cut
-from .text import let, n_words
+from .text import let, n_words, others, quoted
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -95,36 +95,36 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     sources = cut(share_out(sources.withColumn("weight", by_turn.cast("long")), max_repeats))
     start = offsets(table, group, "_mix_b", "_mix_words", "_mix_start")
     few = sources.count() <= BROADCAST_SOURCES
+    sources = sources.select(*group, "_mix_at", F.col("source_size").alias("_mix_all"), F.col("target").alias("_mix_target"))
     start = start.join(F.broadcast(sources) if few else sources, group)
     first = before_in_bucket(F.col("_mix_size"), group, "_mix_b", ["_mix_h", key, "_mix_text", "_mix_size"])
     d = d.withColumn("_mix_in", first).join(start, [*group, "_mix_b"])
     middle = F.col("_mix_start") + F.col("_mix_in") + F.col("_mix_size") / F.lit(2.0)
-    size, target = F.col("_mix_size"), F.col("target")
+    size, target, whole = F.col("_mix_size"), F.col("_mix_target"), F.col("_mix_all")
 
     def repeats(m):
         due_by_turn = lambda share: F.element_at(F.array(*[due(share, s) for s in schedules]), (
             F.col("_mix_at") % len(schedules) + 1).cast("int"))
-        shares = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: m + e * F.col("source_size"))
+        shares = F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: m + e * whole)
         taken = F.filter(shares, lambda x: (x <= target) & (size > 0))
         return F.transform(taken, lambda x: due_by_turn(x / target))
 
     mixed = let(let(middle, repeats), lambda p: F.struct(
-        size.alias("size"), F.col("source_size"), target.alias("target"), p.alias("positions"),
+        size.alias("size"), whole.alias("source_size"), target.alias("target"), p.alias("positions"),
         (size * F.size(p)).cast("long").alias("taken")))
-    return d.select(*[c for c in docs.columns if c.lower() != out.lower()], mixed.alias(out))
+    return d.select(*others(docs, out), mixed.alias(out))
 
 
 def by_position(mixed: DataFrame, out: str = "mix", key: str = "doc_id") -> DataFrame:
     """Range-sort one row per document by its first training time. Documents that aren't taken
     follow, spread evenly by their hash, as a reserve."""
     reserve = F.lit(1.0) + order_hash(F.col(key), SEED) / F.lit(float(1 << 60))
-    at = F.coalesce(F.get(F.col(out)["positions"], F.lit(0)), reserve)
+    at = F.coalesce(F.get(quoted(out)["positions"], F.lit(0)), reserve)
     d = mixed.withColumn("_mix_pos", at)
     return d.repartitionByRange(F.col("_mix_pos")).sortWithinPartitions("_mix_pos", key).drop("_mix_pos")
 
 
 def training_rows(mixed: DataFrame, out: str = "mix", key: str = "doc_id") -> DataFrame:
     """The mix itself: one row per document and repeat, range-sorted by training time."""
-    kept = [c for c in mixed.columns if c != out]
-    d = mixed.select(*kept, F.explode(F.col(out)["positions"]).alias("_mix_pos"))
-    return d.repartitionByRange(F.col("_mix_pos")).sortWithinPartitions("_mix_pos", key).select(*kept)
+    d = mixed.select(*others(mixed, out), F.explode(quoted(out)["positions"]).alias("_mix_pos"))
+    return d.repartitionByRange(F.col("_mix_pos")).sortWithinPartitions("_mix_pos", key).drop("_mix_pos")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import arrow_bytes, slices
-from .ship import by_value
+from .ship import by_value, map_batches
+from .text import others
 
 by_value(__name__)
 
@@ -49,7 +50,10 @@ class Network:
 def new_network(languages: list, hidden: int, seed: int) -> Network:
     rng = np.random.default_rng(seed)
     k = len(languages)
-    return Network([rng.normal(0, 0.3, (3 * hidden, 257)).astype(np.float32) for _ in range(2)],
+    inputs = [rng.normal(0, 0.3, (3 * hidden, 257)).astype(np.float32) for _ in range(2)]
+    for w in inputs:  # after the end of a text the state stays as it is, 0 for the reader from the right
+        w[:hidden, PAD] = 200.0
+    return Network(inputs,
                    [rng.normal(0, 0.3, (3 * hidden, hidden)).astype(np.float32) for _ in range(2)],
                    rng.normal(0, 0.3, (k, 2 * hidden)).astype(np.float32), np.zeros((k, 1), np.float32), languages)
 
@@ -259,14 +263,14 @@ def identify_language(docs: DataFrame, text: str = "text", lang: str = "lang", k
     stay; one called ``out`` is replaced.
     """
     x, y, languages = training_windows(docs, text, lang, key)
-    others = [c for c in docs.columns if c.lower() != out.lower()]
+    own = others(docs, out)
     empty = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not len(x):
-        return docs.select(*others, empty.alias(out))
+        return docs.select(*own, empty.alias(out))
     reader = Reader(train(x, y, languages, **training))
     read = F.when(F.col(text).rlike("\\p{L}"), F.col(text)).otherwise(F.lit("")).alias("_lg_text")
-    d = docs.select(*others, read)
-    schema = docs.select(*others, empty.alias(out)).schema
+    d = docs.select(*own, read)
+    schema = docs.select(*own, empty.alias(out)).schema
 
     def run(batches):
         import pyarrow as pa
@@ -280,6 +284,6 @@ def identify_language(docs: DataFrame, text: str = "text", lang: str = "lang", k
                 named = pa.array(["und" if e else languages[k] for e, k in zip(none, best)], type=pa.string())
                 score = np.where(none, 0.0, np.clip(p[np.arange(len(p)), best], 0.0, 1.0))
                 struct = pa.StructArray.from_arrays([named, pa.array(score)], names=["lang_pred", "score"])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], struct], names=[*others, out])
+                yield [*batch.slice(a, b - a).columns[:-1], struct]
 
-    return d.mapInArrow(run, schema)
+    return map_batches(d, run, schema)

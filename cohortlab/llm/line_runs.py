@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import WHITE_SPACE, ascii_lower, hash128, let
+from .text import WHITE_SPACE, ascii_lower, hash128, let, others
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -116,5 +116,4 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
             F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(stay)).cast("long").alias("n_dropped"),
             F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n").alias("text")))
 
-    return d.select(*[c for c in docs.columns if c.lower() != out.lower()],
-                    let(_lines(F.col(text)), rebuilt).alias(out))
+    return d.select(*others(docs, out), let(_lines(F.col(text)), rebuilt).alias(out))

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import arrow_bytes, mix, slices
-from .ship import by_value
+from .ship import by_value, map_batches
+from .text import others
 
 by_value(__name__)
 
@@ -279,11 +280,11 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
     repeated rows encode alike; null keys count as one key. ``model`` is read by the driver only.
     Other columns stay; one called ``out`` is replaced.
     """
-    others = [c for c in docs.columns if c.lower() != out.lower()]
-    d = docs.select(*others, F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_pc_seed"),
+    own = others(docs, out)
+    d = docs.select(*own, F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_pc_seed"),
                     F.col(text).alias("_pc_text"))
     kind = "struct<ids:array<int>,n:long,lossless:boolean>"
-    schema = docs.select(*others, F.lit(None).cast(kind).alias(out)).schema
+    schema = docs.select(*own, F.lit(None).cast(kind).alias(out)).schema
     v = Vocabulary.load(model, sharpness)
 
     def run(batches):
@@ -304,17 +305,17 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", model: str
                     same = np.array([np.array_equal(back[at[i]:at[i + 1]], part[was[i]:was[i + 1]]) for i in range(b - a)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
                 struct = pa.StructArray.from_arrays([lists, pa.array(n), pa.array(same)], names=["ids", "n", "lossless"])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-2], struct], names=[*others, out])
+                yield [*batch.slice(a, b - a).columns[:-2], struct]
 
-    return d.mapInArrow(run, schema)
+    return map_batches(d, run, schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "text") -> DataFrame:
     """Add ``out``, the text that the piece ids stand for; null ids give a null text."""
-    others = [c for c in encoded.columns if c.lower() != out.lower()]
+    own = others(encoded, out)
     v = Vocabulary.load(model)
-    schema = encoded.select(*others, F.lit(None).cast("string").alias(out)).schema
-    d = encoded.select(*others, F.col(ids).alias("_pc_ids"))
+    schema = encoded.select(*own, F.lit(None).cast("string").alias(out)).schema
+    d = encoded.select(*own, F.col(ids).alias("_pc_ids"))
 
     def run(batches):
         import pyarrow as pa
@@ -325,6 +326,6 @@ def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, out: str =
             raw, at = decode_pieces(flat, np.array([len(x or []) for x in lists], np.int64), v)
             data = raw.tobytes()
             texts = [None if x is None else data[at[i]:at[i + 1]].decode() for i, x in enumerate(lists)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, type=pa.string())], names=[*others, out])
+            yield [*batch.columns[:-1], pa.array(texts, type=pa.string())]
 
-    return d.mapInArrow(run, schema)
+    return map_batches(d, run, schema)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .automaton import compiled
 from .shingles import arrow_bytes, slices
-from .ship import by_value
+from .ship import by_value, map_batches
+from .text import others
 
 by_value(__name__)
 
@@ -129,10 +130,10 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
     called ``out`` is replaced.
     """
     scanner = Scanner(rules)
-    others = [c for c in docs.columns if c.lower() != out.lower()]
-    d = docs.select(*others)
+    own = others(docs, out)
+    d = docs.select(*own)
     schema = d.withColumn(out, F.lit(None).cast("array<struct<kind:string,start:long,end:long>>")).schema
-    position = others.index(text)
+    position = d.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
@@ -143,7 +144,6 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RU
             for a, b in slices(offs):
                 found = scanner.spans(raw, offs[a:b + 1])
                 spans = [[(scanner.rules[r].kind, s, e) for s, r, e in found.get(i, ())] for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns, pa.array(spans, type=pa.list_(item))], names=[*others, out])
+                yield [*batch.slice(a, b - a).columns, pa.array(spans, type=pa.list_(item))]
 
-    return d.mapInArrow(run, schema)
+    return map_batches(d, run, schema)

@@ -10,6 +10,7 @@ from pyspark.sql.types import IntegerType
 
 from .order import before_in_bucket, bucket_of, bucket_sums, offsets, order_hash
 from .ship import by_value
+from .text import others
 
 by_value(__name__)
 
@@ -66,7 +67,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str =
     d = d.withColumn("_sh_in", before_in_bucket(one, ["_sh_at"], "_sh_b", order)).join(start, ["_sh_at", "_sh_b"])
     info = F.struct(F.col("_sh_at").alias("shard"), F.col("_sh_grown").alias("grown_shard"),
                     (F.col("_sh_start") + F.col("_sh_in")).alias("slot"), F.col("_sh_size").alias("size"))
-    return d.select(*[c for c in docs.columns if c.lower() != out.lower()], info.alias(out))
+    return d.select(*others(docs, out), info.alias(out))
 
 
 def write_shards(sharded: DataFrame, path: str, out: str = "shard_info") -> None:

@@ -41,6 +41,16 @@ def hash128(*cols) -> list[Column]:
     return [F.xxhash64(*[_c(c) for c in cols]), F.xxhash64(F.lit("second"), *[_c(c) for c in cols])]
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df, out: str) -> list[Column]:
+    """All columns but ``out``."""
+    return [quoted(c) for c in df.columns if c.lower() != out.lower()]
+
+
 def free_name(df, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` is called so (names are
     compared without case, as Spark resolves them)."""

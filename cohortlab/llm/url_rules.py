@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import let
+from .text import let, others
 
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with its path
 RULES = (
@@ -144,6 +144,6 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, url: str = "
         undecided = F.when(fixed.isNull(), F.array_join("_url_tokens", " "))
         d = d.withColumn("_url_set", undecided).join(best, "_url_set", "left")
     m = F.col("_url_mined")
-    return d.select(*[c for c in pages.columns if c.lower() != out.lower()], F.struct(
+    return d.select(*others(pages, out), F.struct(
         hp["host"].alias("host"), hp["path"].alias("path"), fixed["rule"].alias("rule"), m["rule"].alias("mined"),
         F.coalesce(fixed["verdict"], m["verdict"], F.lit(default)).alias("verdict")).alias(out))
