@@ -10,21 +10,18 @@ group holding a third of all rows is still spread over all of its buckets.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # Hex digits of the md5 prefix used as bucket; 4 digits = 65,536 buckets, i.e. about
 # 1.5 M rows per ranking task at 10^11 rows.
 HASH_BUCKET_DIGITS = 4
-# rank_cuts broadcasts its per-group tables; they may hold at most this many rows
-# (groups x cut ranks), checked inside the plan
-MAX_CUT_ROWS = 1 << 20
-# up to this many cut ranks without groups become literal comparisons
-MAX_LITERAL_CUTS = 64
-# up to this many groups come back to the driver as a local table (else a lazy broadcast)
-MAX_LOCAL_GROUPS = 65536
+# per-group tables of up to this many rows (counted) are broadcast; larger ones are shuffled
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def hash_bucket(h: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
@@ -107,122 +104,74 @@ def ranked(df: DataFrame, order_by: Sequence[Column | str], bucket: Column,
     return out.withColumn(rank_col, F.col("_r") + F.col("_off")).drop("_bkt", "_r", "_off")
 
 
-def rank_cuts(df: DataFrame, h: str, key: str, targets: Callable[[], Sequence[Column]],
-              partition_by: Sequence[str] = (), out: str = "_passed", group_info: DataFrame | None = None,
-              digits: int = HASH_BUCKET_DIGITS, max_rows: int = MAX_CUT_ROWS) -> DataFrame:
+def rank_cuts(df: DataFrame, h: str, key: str, targets: Column, partition_by: Sequence[str] = (),
+              out: str = "_passed", group_info: DataFrame | None = None, digits: int = HASH_BUCKET_DIGITS) -> DataFrame:
     """Add ``out`` = #{t in targets : rank > t}, rank = row_number() OVER (PARTITION BY
     partition_by ORDER BY h, key), WITHOUT ranking (or shuffling) the rows.
 
     Positional cuts (equal blocks, a test fraction, the first n of a group) need only the
-    rows sitting AT the cut ranks. So: (1) count rows per (group, hash-prefix bucket) — a
-    partial aggregate, at most groups x 16^digits rows leave the map side; (2) running sums
-    over that table place every target rank in one bucket; (3) only those few buckets are
-    ranked to find the threshold rows; (4) every row compares its (h, key) with the
-    thresholds, with plain CASE expressions (whole-stage codegen, no lambdas).
-
-    Steps 1-3 run once, eagerly, and return little: without groups <= len(targets) threshold
-    rows become literals; with groups one row per group comes back as a local table that is
-    broadcast-joined on the group keys. The returned plan is the input plus that projection
-    or join, so reading it again (training passes, evaluation) never replays the search.
-    Beyond MAX_LITERAL_CUTS cuts / MAX_LOCAL_GROUPS groups the same tables stay lazy: the
-    per-bucket table (16^digits rows) or the per-group table, broadcast either way.
+    rows sitting AT the cut ranks. So: (1) count rows per (group, hash-prefix bucket), a
+    partial aggregate; (2) explode the cut ranks, one row each, and sort them among the
+    buckets' offsets: a running ``last`` places every cut in its bucket, a running count tells how
+    many cuts lie before a bucket; (3) only the buckets that hold a cut are ranked, to find
+    the threshold rows; (4) every row takes its bucket's (without groups: 16^digits rows) or
+    group's (with groups: one row each) count and short list of thresholds by a join, and
+    compares its (h, key) with them. The plan's size doesn't depend on the number of cuts.
+
+    Steps 1-3 run once; what they find is written to the checkpoint folder, so reading the
+    result again (training passes, evaluation) never replays the search. The side joined in
+    step 4 is broadcast if it has ``MAX_BROADCAST_ROWS`` rows or fewer (counted), else left to a
+    shuffle join.
 
     ``h``: hex hash string column (its prefix is the bucket); (h, key) must be unique.
-    ``targets()``: list of BIGINT expressions (the cut ranks), evaluated per group; they may
-    use ``_gn`` (the group's row count), the group keys, and columns of ``group_info`` (a small
-    table joined on the group keys it shares). Targets <= 0 are passed by every row.
-
-    The per-group tables (target buckets, thresholds) are broadcast: they hold groups x
-    len(targets) entries, which the plan itself checks against ``max_rows`` (``raise_error``)
-    before anything is broadcast, so the row side is never shuffled.
+    ``targets``: ARRAY<BIGINT> of cut ranks, evaluated per group; it may use ``_gn`` (the group's
+    row count), the group keys, and columns of ``group_info`` (a small table joined on the
+    group keys it shares). Cuts <= 0 are passed by every row, cuts beyond the group by none.
     """
-    ts = list(targets())
-    if not ts:
-        return df.withColumn(out, F.lit(0))
-    k = len(ts)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     g = list(partition_by)
     d = df.withColumn("_bkt", F.substring(F.col(h), 1, digits))
-    cnt = d.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
-    grp = Window.partitionBy(*g)
-    before = grp.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(*g, "_bkt", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_c").over(grp).alias("_gn"))
+    cnt = d.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("_c")).checkpoint()
+    before = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select(*g, "_bkt", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    sizes = cnt.groupBy(*g).agg(F.sum("_c").alias("_gn"))
     if group_info is not None:
-        off = _join_null_safe(off, group_info, [c for c in g if c in group_info.columns])
-    off = off.select(*g, "_bkt", "_c", "_off", *[t.cast("long").alias(f"_t{i}") for i, t in enumerate(ts)])
-    tc = [F.col(f"_t{i}") for i in range(k)]
-
-    def inside(t):   # target rank t lies in this bucket: off < t <= off + c
-        return (t > F.col("_off")) & (t <= F.col("_off") + F.col("_c"))
-
-    any_inside = inside(tc[0])
-    for t in tc[1:]:
-        any_inside = any_inside | inside(t)
-    hits = (off.where(any_inside)
-            .select(*g, "_bkt", "_off", "_c", F.explode(F.array(*[
-                F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(tc)])).alias("_e"))
-            .select(*g, "_bkt", "_off", "_c", F.col("_e.i").alias("_i"), F.col("_e.t").alias("_t"))
-            .where(inside(F.col("_t"))).drop("_c"))
-    # only rows of the target buckets survive this broadcast join (<= groups x k rows, checked);
-    # a bucket holding several targets is ranked once per target
-    sel = _join_null_safe(d, _bounded(hits, max_rows), [*g, "_bkt"], broadcast=True)
-    sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bkt", "_i").orderBy(h, key))
-                         + F.col("_off"))
-    at = (sel.where(F.col("_r") == F.col("_t"))
-          .select(*g, "_bkt", "_i", F.struct(F.col(h).alias("h"), F.col(key).alias("k")).alias("_x")))
-    slots = [F.first(F.when(F.col("_i") == i, F.col("_x")), ignorenulls=True).alias(f"_x{i}") for i in range(k)]
-
-    def n_true(conds):
-        tot = F.lit(0)
-        for c in conds:
-            tot = tot + F.when(c, F.lit(1)).otherwise(F.lit(0))
-        return tot
-
-    hc, kc = F.col(h), F.col(key)
-
-    def beyond(th, tk):
-        return (hc > th) | ((hc == th) & (kc > tk))
-
-    if not g and k <= MAX_LITERAL_CUTS:
-        # the thresholds (<= k rows) and the count of targets <= 0 come back in ONE small job;
-        # the returned plan is the input plus literal comparisons, so re-reading it later
-        # (training passes, evaluation) never replays the threshold search
-        always = off.agg(F.first(n_true([t <= 0 for t in tc])).alias("_always"))
-        both = always.select("_always", F.lit(None).cast(at.schema["_x"].dataType).alias("_x")).unionByName(
-            at.select(F.lit(None).cast("int").alias("_always"), "_x")).collect()
-        passed = F.lit(sum(int(r["_always"]) for r in both if r["_always"] is not None))
-        for r in both:
-            if r["_x"] is not None:
-                passed = passed + F.when(beyond(F.lit(r["_x"]["h"]), F.lit(r["_x"]["k"])), 1).otherwise(0)
-        return df.withColumn(out, passed.cast("int"))
-    xs = [F.col(f"_x{i}") for i in range(k)]
-    passed = F.col("_always") + n_true([x.isNotNull() & beyond(x["h"], x["k"]) for x in xs])
+        sizes = _join_null_safe(sizes, group_info, [c for c in g if c in group_info.columns])
+    cuts = sizes.select(*g, F.explode(targets.cast("array<long>")).alias("_t"), "_gn").where("_t <= _gn").drop("_gn")
+    # buckets start at rank off + 1; a cut at the same rank lies inside, so buckets sort first
+    marks = off.select(*g, (F.col("_off") + 1).alias("_at"), F.lit(0).alias("_cut"), "_bkt", "_off").unionByName(
+        cuts.select(*g, F.col("_t").alias("_at"), F.lit(1).alias("_cut"), F.lit(None).cast("string").alias("_bkt"),
+                    F.lit(None).cast("long").alias("_off")))
+    upto = Window.partitionBy(*g).orderBy("_at", "_cut").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.select(*g, "_at", "_cut", F.last("_bkt", ignorenulls=True).over(upto).alias("_bkt"),
+                         F.last("_off", ignorenulls=True).over(upto).alias("_off"),
+                         F.sum("_cut").over(upto).alias("_base")).checkpoint()
+    hits = marks.where("_cut = 1 and _bkt is not null").groupBy(*g, "_bkt").agg(
+        F.collect_list((F.col("_at") - F.col("_off")).cast("int")).alias("_ranks"))
+    sel = _join_null_safe(d.select(*g, "_bkt", F.col(h).alias("_xh"), F.col(key).alias("_xk")), _small(hits.checkpoint()), [*g, "_bkt"])
+    sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bkt").orderBy("_xh", "_xk")))
+    at = sel.select(*g, "_bkt", F.struct("_xh", "_xk").alias("_x"),
+                    F.size(F.filter("_ranks", lambda x: x == F.col("_r"))).alias("_times")).where("_times > 0")
+    at = at.select(*g, "_bkt", F.explode(F.array_repeat("_x", F.col("_times"))).alias("_x"))
     if not g:
-        # many cuts: per bucket, targets at or before its offset are passed by all its rows;
-        # the few thresholds inside it are compared row by row. 16^digits rows, broadcast.
-        per = off.select("_bkt", n_true([t <= F.col("_off") for t in tc]).alias("_always"))
-        per = per.join(at.groupBy("_bkt").agg(*slots), "_bkt", "left")
+        found = at.groupBy("_bkt").agg(F.collect_list("_x").alias("_xs"))
+        per = marks.where("_cut = 0").select("_bkt", F.col("_base").cast("int").alias("_base")).join(found, "_bkt", "left").checkpoint()
         res = d.join(F.broadcast(per), "_bkt")
     else:
-        always = off.groupBy(*g).agg(F.first(n_true([t <= 0 for t in tc])).alias("_always"))
-        per = _bounded(_join_null_safe(always, at.groupBy(*g).agg(*slots), g, "left"), max_rows)
-        local = per.limit(MAX_LOCAL_GROUPS + 1).collect()
-        if len(local) <= MAX_LOCAL_GROUPS:
-            # one row per group, back as a local table: the returned plan no longer holds the
-            # threshold search, only a broadcast of this small relation
-            per = df.sparkSession.createDataFrame(local, per.schema)
-        res = _join_null_safe(df, per, g, broadcast=True)
-    return res.withColumn(out, passed.cast("int")).drop("_always", "_bkt", *[f"_x{i}" for i in range(k)])
-
-
-def _bounded(small: DataFrame, max_rows: int) -> DataFrame:
-    """Fail the job if ``small`` has more than ``max_rows`` rows (checked in the plan, before
-    the table is broadcast). The count is a window over the small table itself."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    chk = F.when(n > F.lit(max_rows), F.raise_error(F.lit(
-        f"more than {max_rows} rows in a table meant for broadcast; too many groups"))).otherwise(F.lit(None))
-    # filtering on the check keeps it in the plan (an unused column would be pruned away)
-    return small.withColumn("_chk", chk).where(F.col("_chk").isNull()).drop("_chk")
+        found = at.groupBy(*g).agg(F.collect_list("_x").alias("_xs"))
+        base = cuts.groupBy(*g).agg(F.count_if(F.col("_t") <= 0).cast("int").alias("_base"))
+        per = _join_null_safe(base, found, g, "left").checkpoint()
+        res = _join_null_safe(d, _small(per), g, "left")
+    beyond = F.filter("_xs", lambda x: (F.col(h) > x["_xh"]) | ((F.col(h) == x["_xh"]) & (F.col(key) > x["_xk"])))
+    passed = F.coalesce(F.col("_base"), F.lit(0)) + F.coalesce(F.size(beyond), F.lit(0))
+    passed = F.when(F.col("_xs").isNull(), F.coalesce(F.col("_base"), F.lit(0))).otherwise(passed)
+    return res.withColumn(out, passed.cast("int")).drop("_bkt", "_base", "_xs")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast hint behind a count; beyond the limit the planner joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_hex, hex8_to_unit
@@ -23,6 +23,13 @@ def _with_hash(df: DataFrame, key: str, seed: int, *salt) -> DataFrame:
     return df.withColumn("_h", hash_hex(key, seed, *salt))
 
 
+def _block_ends(n: int, end) -> Column:
+    """The n - 1 inner block ends as one array column, so the plan doesn't grow with n."""
+    if n < 2:
+        return F.array().cast("array<long>")
+    return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(n - 1).cast("long")), end)
+
+
 # X3 -----------------------------------------------------------------------------------------
 def partition_iid(df: DataFrame, key: str, n_clients: int = 5, seed: int = 42,
                   out: str = "client_id", exact: bool = True) -> DataFrame:
@@ -36,7 +43,7 @@ def partition_iid(df: DataFrame, key: str, n_clients: int = 5, seed: int = 42,
     # size 0 makes every cut 0, so every row passes all n - 1 of them (last client)
     size = F.floor(F.col("_gn") / F.lit(n_clients)).cast("long")
     r = rank_cuts(_with_hash(df, key, seed), "_h", key,
-                  lambda: [size * F.lit(c) for c in range(1, n_clients)], out=out)
+                  _block_ends(n_clients, lambda c: size * c), out=out)
     return r.drop("_h")
 
 
@@ -76,13 +83,15 @@ def partition_by_family(df: DataFrame, key: str, label_col: str = "label", n_cli
     """Attack rows: ``family_index mod n`` (row-wise, never shuffled). Normal rows: shuffled,
     client i gets positions [i*M div n, (i+1)*M div n) of the M normal rows."""
     base = df.withColumn("_fam", family_expr(F.col(label_col)))
-    attacks = base.where(F.col("_fam") != "Normal").withColumn(
-        out, (family_index_expr(F.col("_fam")) % F.lit(n_clients)).cast("int"))
-    normal = _with_hash(base.where(F.col("_fam") == "Normal"), key, seed)
-    # client i's last position is (i+1)*M div n, so client = #{c in 1..n-1 : pos > c*M div n}
-    r = rank_cuts(normal, "_h", key, lambda: [
-        F.floor(F.col("_gn") * F.lit(c) / F.lit(n_clients)).cast("long") for c in range(1, n_clients)], out=out)
-    return attacks.drop("_fam").unionByName(r.drop("_fam", "_h"))
+    normal = F.col("_fam") == "Normal"
+    base = _with_hash(base.withColumn("_normal", normal), key, seed)
+    # client i's last position is (i+1)*M div n, so client = #{c in 1..n-1 : pos > c*M div n};
+    # attack rows are a group of their own without cuts, so one pass places both
+    ends = _block_ends(n_clients, lambda c: F.call_function("div", F.col("_gn") * c, F.lit(n_clients).cast("long")))
+    r = rank_cuts(base, "_h", key, F.when(F.col("_normal"), ends), partition_by=["_normal"], out="_block")
+    attack = (family_index_expr(F.col("_fam")) % F.lit(n_clients)).cast("int")
+    return r.withColumn(out, F.when(F.col("_normal"), F.col("_block")).otherwise(attack)).drop(
+        "_fam", "_h", "_normal", "_block")
 
 
 # X6 -----------------------------------------------------------------------------------------
@@ -114,17 +123,12 @@ def partition_dirichlet(df: DataFrame, key: str, label_id_col: str, n_labels: in
     return df.withColumn(out, first.cast("int"))
 
 
-def dirichlet_sql_thresholds(th) -> str:
-    rows = ", ".join("[" + ", ".join(repr(x) for x in r) + "]" for r in th)
-    return f"[{rows}]"
-
-
 # X2 -----------------------------------------------------------------------------------------
 def client_train_val(df: DataFrame, key: str, client_col: str = "client_id", train_frac: float = 0.8,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """First ``int(n_c * 0.8)`` rows of each client's shuffled order are train."""
     r = rank_cuts(_with_hash(df, key, seed), "_h", key,
-                  lambda: [F.floor(F.col("_gn") * F.lit(train_frac)).cast("long")],
+                  F.array(F.floor(F.col("_gn") * F.lit(train_frac)).cast("long")),
                   partition_by=[client_col], out="_past")
     return r.withColumn(out, F.when(F.col("_past") == 0, "train").otherwise("val")).drop("_h", "_past")
 
@@ -167,7 +171,7 @@ def inject_label_rate(df: DataFrame, key: str, ts_col: str, label_col: str, base
                                     F.count_if(~F.col("_neg")).alias("_p"))
     need = F.greatest(F.floor(F.col("_n") * (F.lit(base) + F.lit(step) * F.col("_dow"))).cast("long")
                       - F.col("_p"), F.lit(0))
-    r = rank_cuts(d, "_h", key, lambda: [need], partition_by=["_dow", "_neg"],
+    r = rank_cuts(d, "_h", key, F.array(need), partition_by=["_dow", "_neg"],
                   group_info=F.broadcast(per_day), out="_past")
     flip = F.col("_neg") & (F.col("_past") == 0)
     return r.withColumn(label_col, F.when(flip, F.lit(1)).otherwise(F.col(label_col)).cast("int")) \

@@ -25,10 +25,10 @@ def stratified_split(df: DataFrame, key: str, label_col: str, test_size: float =
         if check_min_class:   # sklearn refuses classes with fewer than 2 rows
             cut = F.when(n < 2, F.raise_error(F.concat(F.lit(_TOO_SMALL), F.col(label_col).cast("string")))) \
                 .otherwise(cut)
-        return [cut]
+        return F.array(cut)
 
     try:
-        r = rank_cuts(h, "_h", key, cuts, partition_by=[label_col], out="_past")
+        r = rank_cuts(h, "_h", key, cuts(), partition_by=[label_col], out="_past")
     except Exception as e:  # noqa: BLE001 - the check fails inside the Spark job
         if _TOO_SMALL in str(e):
             cls = str(e).split(_TOO_SMALL, 1)[1].split()[0].rstrip("'\".,")

@@ -22,7 +22,7 @@ def _expected(df, partition_by, cuts):
 
 
 def _got(df, partition_by, cuts, digits):
-    out = rank_cuts(df, "_h", "id", cuts, partition_by=partition_by, out="p", digits=digits)
+    out = rank_cuts(df, "_h", "id", F.array(*[c.cast("long") for c in cuts()]), partition_by=partition_by, out="p", digits=digits)
     return {r["id"]: r["p"] for r in out.select("id", "p").collect()}
 
 
@@ -54,7 +54,7 @@ def test_rank_cuts_groups_with_null_key(spark):
 def test_rank_cuts_group_info(spark):
     df = _frame(spark).withColumn("par", (F.col("id") % 2).cast("int"))
     info = spark.createDataFrame([(0, 10), (1, 25)], "par int, quota long")
-    out = rank_cuts(df, "_h", "id", lambda: [F.col("quota")], partition_by=["par"], out="p",
+    out = rank_cuts(df, "_h", "id", F.array(F.col("quota")), partition_by=["par"], out="p",
                     group_info=info, digits=1)
     got = {r["id"]: r["p"] for r in out.select("id", "p").collect()}
     w = Window.partitionBy("par").orderBy("_h", "id")
@@ -86,13 +86,11 @@ def test_sequential_ts_with_hot_order_value(spark):
         assert bisect.bisect_left(vals, order[p]) < r <= bisect.bisect_right(vals, order[p])
 
 
-def test_rank_cuts_lazy_fallbacks(spark, monkeypatch):
-    """Past the literal / local-table limits the per-bucket and per-group tables stay lazy
-    (broadcast joins); same answers."""
+def test_rank_cuts_by_shuffle(spark, monkeypatch):
+    """Past the broadcast limit the tables are joined by a shuffle; same answers."""
     import cohortlab.functions.ordering as O
 
-    monkeypatch.setattr(O, "MAX_LITERAL_CUTS", 0)
-    monkeypatch.setattr(O, "MAX_LOCAL_GROUPS", 0)
+    monkeypatch.setattr(O, "MAX_BROADCAST_ROWS", -1)
     df = _frame(spark)
 
     def cuts():
@@ -104,6 +102,22 @@ def test_rank_cuts_lazy_fallbacks(spark, monkeypatch):
         assert _got(df, ["grp"], cuts, digits) == _expected(df, ["grp"], cuts)
 
 
+def test_plan_does_not_grow_with_the_clients(spark):
+    """1,000 clients are planned and placed like 5."""
+    import time
+
+    from cohortlab.operators import partition
+
+    df = spark.range(3000).withColumnRenamed("id", "event_id")
+    seconds = []
+    for n in (5, 1000):
+        t = time.time()
+        sizes = [r["count"] for r in partition.partition_iid(df, "event_id", n_clients=n).groupBy("client_id").count().collect()]
+        assert sorted(sizes) == [3000 // n] * n
+        seconds.append(time.time() - t)
+    assert seconds[1] < 3 * seconds[0] + 5
+
+
 def test_stratified_split_rejects_singleton_class(spark):
     import pytest
 
@@ -117,8 +131,8 @@ def test_stratified_split_rejects_singleton_class(spark):
 
 
 def test_cut_plans_do_not_shuffle_rows(spark, capsys):
-    """After the one-shot threshold search the returned plans are scan + projection (no groups)
-    or scan + broadcast join of a local table (groups): no row-side exchange."""
+    """After the threshold search the returned plan is the scan and a broadcast join of the small
+    table of thresholds: no row-side exchange."""
     from cohortlab.operators import partition
 
     from .conftest import SF_SMALL
@@ -126,9 +140,9 @@ def test_cut_plans_do_not_shuffle_rows(spark, capsys):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("event_id", "value")
     iid = partition.partition_iid(ev, "event_id")
     tv = partition.client_train_val(iid, "event_id")
-    for df, want_broadcast in ((iid, False), (tv, True)):
+    for df in (iid, tv):
         capsys.readouterr()
         df.explain()
         plan = capsys.readouterr().out
         assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan, plan
-        assert ("BroadcastExchange" in plan) == want_broadcast, plan
+        assert "BroadcastExchange" in plan, plan
