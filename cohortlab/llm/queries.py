@@ -199,8 +199,10 @@ def op8_secret_scan(spark, sf_dir):
         return F.array_join(each, ",")
 
     base = F.filter("spans", lambda x: x["kind"].isin(*kinds))
-    return found.select("doc_id", *[F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}")
-                                    for k in kinds],
+    def number(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[number(k) for k in kinds],
                         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
