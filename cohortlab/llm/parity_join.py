@@ -17,6 +17,7 @@ from .graph import components
 from .shingles import constants, each_slice, folded, mix
 from .ship import by_value
 from .storage import cut, sized, staged
+from .text import quoted
 
 by_value(__name__)
 
@@ -91,19 +92,32 @@ def bit_sketch(flat: np.ndarray, offs: np.ndarray, bits: int = BITS) -> np.ndarr
     return out.reshape(-1, words)
 
 
+SKETCH = [f"k{k}" for k in range(BITS // 64)]
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
-    """One row a document: id, n_shingles and a 128-bit hash of the set."""
+    """One row a document: id, n_shingles, a 128-bit hash of the set, the bit sketch, and for a
+    larger set a sketch of its own size."""
     def run(batches):
         import pyarrow as pa
 
         for rows, flat, offs, _ in each_slice(batches, "text"):
+            bits = bit_sketch(flat, offs).view(np.int64)
+            long = [None] * rows.num_rows
+            for i in np.flatnonzero(np.diff(offs) > BITS).tolist():
+                own = flat[offs[i]:offs[i + 1]]
+                wide = BITS << int(np.ceil(np.log2(len(own) / BITS)))
+                long[i] = bit_sketch(own, np.array([0, len(own)]), wide)[0].view(np.int64)
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), pa.array(np.diff(offs)),
                 pa.array(folded(mix(flat ^ np.uint64(3)), offs, np.bitwise_xor).view(np.int64)),
                 pa.array(folded(mix(flat ^ np.uint64(5)), offs, np.add).view(np.int64)),
-            ], names=["id", "n", "c1", "c2"])
+                *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(SKETCH))],
+                pa.array(long, type=pa.list_(pa.int64())),
+            ], names=["id", "n", "c1", "c2", *SKETCH, "wide"])
 
-    return docs.mapInArrow(run, "id long, n long, c1 long, c2 long")
+    return docs.mapInArrow(run, "id long, n long, c1 long, c2 long, " + ", ".join(f"{k} long" for k in SKETCH)
+                           + ", wide array<long>")
 
 
 def _signature_rows(docs: DataFrame, bands: Bands) -> DataFrame:
@@ -132,21 +146,45 @@ def _signature_rows(docs: DataFrame, bands: Bands) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, n, set, k0 ... k7): shingle set and bit sketch of each document."""
-    words = BITS // 64
-
+    """(id, n, set): shingle set of each document."""
     def run(batches):
         import pyarrow as pa
 
         for rows, flat, offs, _ in each_slice(batches, "text"):
-            bits = bit_sketch(flat, offs).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(np.diff(offs)),
-                 pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat.view(np.int64))),
-                 *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(words)]],
-                names=["id", "n", "set", *[f"k{k}" for k in range(words)]])
+            lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offs)), lists], names=["id", "n", "set"])
+
+    return docs.mapInArrow(run, "id long, n long, set array<long>")
+
+
+def _may_be_similar(a: str, b: str, percent: int):
+    """Whether sizes and bit sketches of two rows leave room for a link."""
+    differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in SKETCH), F.lit(0))
+    low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return (100 * low >= percent * high) & (differ * (100 + percent) <= (low + high) * (100 - percent))
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sketches may belong to similar sets."""
+    both = pairs.join(sketches.alias("a"), F.col("u") == F.col("a.id")).join(sketches.alias("b"), F.col("v") == F.col("b.id"))
+    return both.where(_may_be_similar("a", "b", percent)).select("u", "v").distinct()
+
+
+def _likely_wide(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The same by the sketches of larger sets, which short ones can't tell apart. The longer one is
+    folded to the length of the shorter: halves of a parity sketch XOR to the sketch of half the size."""
+    a, b = (wide.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("wide").alias(f"w{i}")) for i in "uv")
+    both = pairs.join(a, "u", "left").join(b, "v", "left")
+    size = F.least(F.size("wu"), F.size("wv"))
+
+    def folded_to(c):
+        halves = F.zip_with(F.slice(c, F.lit(1), size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) > size, halves).otherwise(F.col(c))
 
-    return docs.mapInArrow(run, "id long, n long, set array<long>, " + ", ".join(f"k{k} long" for k in range(words)))
+    differ = F.aggregate(F.zip_with(folded_to("wu"), folded_to("wv"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda t, x: t + x)
+    room = differ * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)
+    return both.where(F.col("wu").isNull() | F.col("wv").isNull() | room).select("u", "v").distinct()
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -171,9 +209,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     hash. ``docs`` may have any other columns.
 
     Equal sets form a class first, and only its smallest id goes on. In each bucket of equal
-    signatures the smallest id is compared with all others, and links join components; a bucket
-    then still in several components has the pairs across them compared if their bit sketches
-    differ in few enough bits. Pairs within a component are never made.
+    signatures the smallest id meets all others; then, in buckets still in several components, the
+    pairs across these meet. Of the pairs met, those whose sizes and bit sketches allow it are
+    verified. Pairs within a component are never made.
     """
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     known = d.where(F.col("id").isNotNull())
@@ -182,15 +220,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     bands = Bands(int(largest), percent)
     group = ["n", "c1", "c2"]
     filled = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
+    slim = rows.select("id", *group)
     classes = cut(filled.groupBy(*group).agg(F.min("id").alias("rep"), F.max("id").alias("_last"))
                   .where("rep < _last").drop("_last"))
-    of_class = rows.join(classes, group, "left").withColumn("rep", F.coalesce("rep", "id"))
+    of_class = slim.join(classes, group, "left").withColumn("rep", F.coalesce("rep", "id"))
     moved = cut(of_class.where("id <> rep and n > 0").select("id", "rep").distinct())
     # an id with several texts ties their classes together
     several = filled.groupBy("id").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a <> b").select("id")
     ties = of_class.join(several, "id", "left_semi").where("n > 0").select("id", "rep")
     low = ties.groupBy("id").agg(F.min("rep").alias("v"))
     tied = ties.join(low, "id").select(F.col("rep").alias("u"), "v")
+    sketches = rows.where("id is not null and n > 0").select("id", "n", *SKETCH).distinct()
+    wide = rows.where("id is not null and wide is not null").select("id", "n", "wide").join(several, "id", "left_anti")
     with staged(docs.sparkSession) as stage:
         bucket = Window.partitionBy("sig")
         sent = _signature_rows(known, bands)
@@ -199,26 +240,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         shared = shared.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket))
         shared = stage(shared.where("low < high").select("sig", "id", "low"))
         stars = shared.where("id > low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
-        links = cut(_verified(known, stars, percent).unionByName(tied))
+        links = cut(_verified(known, _likely_wide(_likely(stars, sketches, percent), wide, percent), percent).unionByName(tied))
         first = cut(components(links))
-        sorted_out = shared.join(first, F.col("id") == F.col("node"), "left").select(
+        placed = shared.join(first, F.col("id") == F.col("node"), "left").select(
             "sig", "id", F.coalesce("component", "id").alias("c"))
-        sorted_out = sorted_out.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket))
-        open_ = stage(sorted_out.where("lo < hi").select("sig", "id", "c"))
-        sketches = _sets(known.join(sized(open_.select("id").distinct()), "id", "left_semi")).drop("set")
-        sides = stage(open_.join(sketches, "id"))
+        placed = placed.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket))
+        sides = stage(placed.where("lo < hi").select("sig", "id", "c").join(sketches, "id"))
         a, b = sides.alias("a"), sides.alias("b")
-        words = range(BITS // 64)
-        differ = sum((F.bit_count(F.col(f"a.k{k}").bitwiseXOR(F.col(f"b.k{k}"))) for k in words), F.lit(0))
-        most = (F.col("a.n") + F.col("b.n")) * (100 - percent)
-        near = ((F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
-                & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-                & (differ * (100 + percent) <= most))
-        across = a.join(b, near).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+        met = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
+        across = a.join(b, met & _may_be_similar("a", "b", percent)).select(
+            F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
         across = across.join(stars, ["u", "v"], "left_anti")
-        found = cut(components(links.unionByName(_verified(known, across, percent))))
+        found = cut(components(links.unionByName(_verified(known, _likely_wide(across, wide, percent), percent))))
     out = of_class.join(found, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
+    component = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
@@ -237,5 +272,5 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", percent:
     single = stay.join(again, stay[key] == F.col("_pj_again"), "left_anti")
     repeated = stay.join(again, stay[key] == F.col("_pj_again"), "left_semi")
     one = repeated.groupBy(F.col(key).alias("_pj_key")).agg(
-        F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_pj_row"))
+        F.min(F.struct(*[quoted(c) for c in docs.columns])).alias("_pj_row"))
     return single.unionByName(one.select("_pj_row.*"))

@@ -9,7 +9,7 @@ by_value(__name__)
 
 SHINGLE = 5
 #: texts are taken in slices of about so many bytes; one longer text is a slice by itself
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
