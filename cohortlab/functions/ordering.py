@@ -39,7 +39,7 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     tiebreak's 4-hex-digit prefix, monotone in the tiebreak — so every sub-bucket holds about
     1/n_buckets of the rows and the bucket count stays below ~2 x n_buckets. Without
     ``tiebreak`` equal values share one bucket, which running sums over ties rely on.
-    ``out`` is a BIGINT.
+    ``out`` is a BIGINT and never NULL: NULLs come first, in buckets by the tiebreak.
     """
     from collections import Counter
 
@@ -59,14 +59,15 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     bk = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
     res = bk.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
     vb = F.col(out).cast("long") * F.lit(65536)
+    prefix = F.lit(0) if tiebreak is None else F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
     if tiebreak is not None and heavy:
         # bucket i is [splits[i], splits[i+1]); a heavy value v starts its own bucket. The span
         # per bucket is an array literal indexed by bucket id: O(1) per row, no map scan.
         span_of = [spans.get(lo, 0) for lo in splits[:-1]]
         span = F.try_element_at(F.array(*[F.lit(x) for x in span_of]), F.col(out).cast("int") + 1)
-        prefix = F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
         vb = vb + F.when(span > 0, F.floor(prefix * span / F.lit(65536)).cast("long")).otherwise(F.lit(0))
-    return res.withColumn(out, vb)
+    # NULLs sort first: buckets of their own below all others
+    return res.withColumn(out, F.coalesce(vb, prefix - F.lit(65536)))
 
 
 def row_tiebreak(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
@@ -149,7 +150,7 @@ def rank_cuts(df: DataFrame, h: str, key: str, targets: Column, partition_by: Se
                          F.sum("_cut").over(upto).alias("_base")).checkpoint()
     hits = marks.where("_cut = 1 and _bkt is not null").groupBy(*g, "_bkt").agg(
         F.collect_list((F.col("_at") - F.col("_off")).cast("int")).alias("_ranks"))
-    sel = _join_null_safe(d.select(*g, "_bkt", F.col(h).alias("_xh"), F.col(key).alias("_xk")), _small(hits.checkpoint()), [*g, "_bkt"])
+    sel = _join_null_safe(d.select(*g, "_bkt", F.col(h).alias("_xh"), F.col(key).alias("_xk")), small(hits.checkpoint()), [*g, "_bkt"])
     sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bkt").orderBy("_xh", "_xk")))
     at = sel.select(*g, "_bkt", F.struct("_xh", "_xk").alias("_x"),
                     F.size(F.filter("_ranks", lambda x: x == F.col("_r"))).alias("_times")).where("_times > 0")
@@ -162,14 +163,14 @@ def rank_cuts(df: DataFrame, h: str, key: str, targets: Column, partition_by: Se
         found = at.groupBy(*g).agg(F.collect_list("_x").alias("_xs"))
         base = cuts.groupBy(*g).agg(F.count_if(F.col("_t") <= 0).cast("int").alias("_base"))
         per = _join_null_safe(base, found, g, "left").checkpoint()
-        res = _join_null_safe(d, _small(per), g, "left")
+        res = _join_null_safe(d, small(per), g, "left")
     beyond = F.filter("_xs", lambda x: (F.col(h) > x["_xh"]) | ((F.col(h) == x["_xh"]) & (F.col(key) > x["_xk"])))
     passed = F.coalesce(F.col("_base"), F.lit(0)) + F.coalesce(F.size(beyond), F.lit(0))
     passed = F.when(F.col("_xs").isNull(), F.coalesce(F.col("_base"), F.lit(0))).otherwise(passed)
     return res.withColumn(out, passed.cast("int")).drop("_bkt", "_base", "_xs")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Broadcast hint behind a count; beyond the limit the planner joins by a shuffle."""
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 

@@ -1,18 +1,19 @@
 """Cleaning, resolving and encoding flow rows.
 
-All row-wise operators are column expressions; the only driver round-trip is the label map
-(K distinct labels, size-checked), which then becomes a literal map so encoding needs no join.
+All row-wise operators are column expressions. The label map is a table of K rows that encoding
+joins, broadcast when it is small.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.exprs import combine_rows, is_inf
-from ..functions.ordering import ranked, row_tiebreak, with_value_bucket
+from ..functions.ordering import ranked, row_tiebreak, small, with_value_bucket
+from ..session import ensure_checkpoint_dir
 
 # Candidate column names, first present wins.
 TIMESTAMP_CANDIDATES = ["Timestamp", "Flow Start Time", "Datetime"]
@@ -32,8 +33,6 @@ ATTACK_FAMILIES = [
 ]
 NORMAL_NAMES = ["normal", "benign", "legitimate"]
 
-MAX_LABELS = 65536
-
 
 def _q(name: str) -> str:
     return f"`{name.replace('`', '``')}`"
@@ -77,10 +76,14 @@ def removed_count(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
 
 
 # P3 -----------------------------------------------------------------------------------------
-def dedup_rows(df: DataFrame) -> DataFrame:
-    """Full-row dedup: hash aggregate with map-side combine, so a hot duplicate group
-    collapses before the shuffle."""
-    return df.dropDuplicates()
+def dedup_rows(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows alike in all columns become one: hash aggregate with map-side combine, so a hot
+    duplicate group collapses before the shuffle. A unique row ``key`` isn't compared; of rows
+    alike otherwise the one with the smallest key stays."""
+    if key is None:
+        return df.dropDuplicates()
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(*[_q(c) for c in rest]).agg(F.min(_q(key)).alias(key)).select(*[_q(c) for c in df.columns])
 
 
 # P4 / P5 -------------------------------------------------------------------------------------
@@ -127,21 +130,21 @@ def resolve_label_column(df: DataFrame, candidates: Sequence[str] = LABEL_CANDID
 
 # P7 -----------------------------------------------------------------------------------------
 def label_map(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """(label, label_id): ids 0..K-1 in sorted label order. K rows only."""
-    labels = sorted_labels(df, label_col)
-    spark = df.sparkSession
-    return spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], "label string, label_id int")
+    """(label, label_id): ids 0..K-1 in sorted label order, one row per label; written to the
+    checkpoint folder once, since every use of the map needs it."""
+    labels = df.select(F.col(_q(label_col)).cast("string").alias("label")).where(F.col("label").isNotNull()).distinct()
+    ids = (F.row_number().over(Window.orderBy("label")) - 1).cast("int")   # over the K labels, not the rows
+    ensure_checkpoint_dir(df.sparkSession)
+    return labels.select("label", ids.alias("label_id")).checkpoint()
 
 
 def sorted_labels(df: DataFrame, label_col: str = "label") -> list[str]:
-    rows = (df.select(F.col(_q(label_col)).cast("string").alias("l")).where(F.col("l").isNotNull())
-            .distinct().limit(MAX_LABELS + 1).collect())
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct labels; use ml.feature.StringIndexer")
-    return sorted(r[0] for r in rows)
+    """The labels on the driver, for models that need their number of classes."""
+    return [r["label"] for r in label_map(df, label_col).orderBy("label_id").collect()]
 
 
 def encode_expr(labels: Sequence[str], label_col: str) -> Column:
+    """The id as an expression, for a given short list of labels (streams, where no map is fitted)."""
     if not labels:
         return F.lit(None).cast("int")
     m = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
@@ -150,11 +153,15 @@ def encode_expr(labels: Sequence[str], label_col: str) -> Column:
 
 def label_encode(df: DataFrame, label_col: str = "label", out: str = "label_id",
                  labels: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (df + ``out``, label map). The map is applied as a literal map expression."""
-    labels = list(labels) if labels is not None else sorted_labels(df, label_col)
-    spark = df.sparkSession
-    lm = spark.createDataFrame([(lab, i) for i, lab in enumerate(labels)], "label string, label_id int")
-    return df.withColumn(out, encode_expr(labels, label_col)), lm
+    """Returns (df + ``out``, label map). The map is joined: broadcast if it is small (counted),
+    else by a shuffle; labels outside the map, and NULL, get a NULL id."""
+    if labels is None:
+        lm = label_map(df, label_col)
+    else:
+        lm = df.sparkSession.createDataFrame([(lab, i) for i, lab in enumerate(labels)], "label string, label_id int")
+    ids = small(lm.select(F.col("label").alias("_lab"), F.col("label_id").alias("_lab_id")))
+    joined = df.join(ids, F.col(_q(label_col)).cast("string") == F.col("_lab"), "left")
+    return joined.withColumn(out, F.col("_lab_id")).drop("_lab", "_lab_id"), lm
 
 
 # P9 / P10 -------------------------------------------------------------------------------------

@@ -1,19 +1,22 @@
 """Partition diagnostics (H1-H8): how different are the clients' label mixes?
 
 Row-level work is one ``groupBy(client, label).count()`` (partial aggregation, so a hot
-client collapses map-side). Everything after that runs on a clients x labels table.
-Client pairs i<j come from ``explode(sequence(i+1, max_id))`` plus an equi-join, never a
-cross or nested-loop join.
+client collapses map-side). Everything after that runs on a clients x labels table. All pairs of
+clients are the result asked for; they are made block by block with an equi-join on the pair
+of blocks, so no task holds more than two blocks of clients. Labels that are NULL count for
+nothing; client ids may be of any type.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import materialize, r6
-from .clean import MAX_LABELS
+from ..functions.exprs import materialize
+
+#: clients in a block of the pair join
+BLOCK_CLIENTS = 512
 
 
 # H1 -----------------------------------------------------------------------------------------
@@ -27,71 +30,78 @@ def client_label_balance(df: DataFrame, client_col: str = "client_id", label_col
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(label_col) == 1).alias("positive"),
         F.count_if(F.col(label_col) == 0).alias("negative"),
-    ).withColumn("positive_pct", r6(F.col("positive") * 100.0 / F.col("total")))
+    ).withColumn("positive_pct", (F.col("positive") * 100.0 / F.col("total")))
 
 
 # H3 -----------------------------------------------------------------------------------------
 def label_counts(df: DataFrame, client_col: str = "client_id", label_col: str = "label") -> DataFrame:
-    """(client, _lab, _cnt): the ONLY row-level work of the distance operators, materialised
-    once (clients x labels rows) so labels, vectors and both sides of the pair join reuse it."""
-    c = df.groupBy(F.col(client_col).alias(client_col), F.col(label_col).cast("string").alias("_lab")).agg(
+    """(client, _lab, _cnt) without NULL labels: the ONLY row-level work of the distance operators,
+    materialised once (clients x labels rows) so that labels and vectors reuse it."""
+    c = df.where(F.col(label_col).isNotNull()).groupBy(F.col(client_col), F.col(label_col).cast("string").alias("_lab")).agg(
         F.count(F.lit(1)).alias("_cnt"))
     return materialize(c)
 
 
-def _labels_of(counts: DataFrame) -> list:
-    rows = counts.select("_lab").where(F.col("_lab").isNotNull()).distinct().limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct labels")
-    return sorted(r[0] for r in rows)
+def _indexed_labels(counts: DataFrame) -> DataFrame:
+    """(_lab, _lix): the K labels numbered in order (a window over K rows)."""
+    return counts.select("_lab").distinct().select(
+        "_lab", (F.row_number().over(Window.orderBy("_lab")) - 1).cast("int").alias("_lix"))
 
 
 def client_vectors(df: DataFrame, client_col: str = "client_id", label_col: str = "label",
-                   labels: Sequence | None = None, counts: DataFrame | None = None) -> tuple[DataFrame, list]:
-    """(client_id, p ARRAY<DOUBLE>) with p in sorted-label order over the union of labels,
+                   counts: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """((client, p ARRAY<DOUBLE>), K) with p in sorted-label order over the union of labels,
     zeros for labels a client lacks, renormalised by ``sum + 1e-10`` as the reference does."""
     counts = counts if counts is not None else label_counts(df, client_col, label_col)
-    labels = list(labels) if labels is not None else _labels_of(counts)
-    per_client = counts.groupBy(client_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("_lab", "_cnt"))).alias("_m"),
-        F.sum("_cnt").alias("_tot"))
-    lab_arr = F.array(*[F.lit(str(x)) for x in labels])
-    p = F.transform(lab_arr, lambda l: F.coalesce(F.element_at(F.col("_m"), l), F.lit(0)) / F.col("_tot"))
-    vec = per_client.select(client_col, p.alias("_p"))
-    vec = vec.select(client_col, F.transform(
-        "_p", lambda x: x / (F.aggregate("_p", F.lit(0.0), lambda a, b: a + b) + F.lit(1e-10))).alias("p"))
-    return vec, labels
+    labels = _indexed_labels(counts)
+    k = labels.count()
+    per_client = counts.join(labels, "_lab").groupBy(client_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("_lix", "_cnt"))).alias("_m"), F.sum("_cnt").alias("_tot"))
+    every = F.sequence(F.lit(0), F.lit(k - 1)) if k else F.array().cast("array<int>")
+    vec = per_client.select(client_col, F.transform(
+        every, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)) / F.col("_tot")).alias("_p"))
+    vec = vec.withColumn("_s", F.aggregate("_p", F.lit(0.0), lambda a, b: a + b) + F.lit(1e-10))
+    return vec.select(client_col, F.transform("_p", lambda x: x / F.col("_s")).alias("p")), k
 
 
 def client_label_dist(df: DataFrame, client_col: str = "client_id", label_col: str = "label") -> DataFrame:
-    """Long form (client_id, label, label_idx, share) densified with zeros; share = count / client total."""
+    """Long form (client, label, label_idx, share) densified with zeros; share = count / client total."""
     counts = label_counts(df, client_col, label_col)
-    labels = _labels_of(counts)
-    lab_arr = F.array(*[F.lit(str(x)) for x in labels])
-    raw = counts.groupBy(client_col).agg(F.map_from_entries(F.collect_list(F.struct("_lab", "_cnt"))).alias("_m"),
-                                         F.sum("_cnt").alias("_tot"))
-    z = raw.select(client_col, "_tot", F.posexplode(lab_arr).alias("label_idx", "label"), "_m")
-    return z.select(client_col, "label", "label_idx",
-                    r6(F.coalesce(F.element_at(F.col("_m"), F.col("label")), F.lit(0)) / F.col("_tot")).alias("share"))
+    labels = _indexed_labels(counts)
+    listed = labels.agg(F.array_sort(F.collect_list(F.struct("_lix", "_lab"))).alias("_all"))   # one row of K labels
+    totals = counts.groupBy(client_col).agg(F.sum("_cnt").alias("_tot"),
+                                            F.map_from_entries(F.collect_list(F.struct("_lab", "_cnt"))).alias("_m"))
+    dense = totals.withColumn("_one", F.lit(1)).join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one")
+    z = dense.select(client_col, "_tot", "_m", F.explode("_all").alias("_l"))
+    return z.select(client_col, F.col("_l._lab").alias("label"), F.col("_l._lix").alias("label_idx"),
+                    (F.coalesce(F.element_at("_m", F.col("_l._lab")), F.lit(0)) / F.col("_tot")).alias("share"))
 
 
 # H4 -----------------------------------------------------------------------------------------
-def _pairs(vec: DataFrame, client_col: str) -> DataFrame:
-    # the clients table has one row per client, so a global window over it is tiny
-    left = vec.withColumn("_mx", F.max(client_col).over(Window.partitionBy()))
-    left = left.select(F.col(client_col).alias("client_i"), F.col("p").alias("p_i"),
-                       F.explode(F.sequence(F.col(client_col) + 1, F.greatest(F.col("_mx"), F.col(client_col) + 1)))
-                       .alias("client_j"))
-    right = vec.select(F.col(client_col).alias("client_j"), F.col("p").alias("p_j"))
-    return left.join(right, "client_j").select("client_i", "client_j", "p_i", "p_j")
+def _pairs(vec: DataFrame, client_col: str, n_clients: int, block: int = BLOCK_CLIENTS) -> DataFrame:
+    """All pairs of clients i < j: every client goes to the block pairs that its block is in."""
+    blocks = max(1, math.ceil(n_clients / block))
+    own = F.pmod(F.xxhash64(client_col), F.lit(blocks)).cast("int")
+    v = vec.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = v.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+    a = v.select("_lo", "_hi", F.col("_own").alias("_oi"), F.col(client_col).alias("client_i"), F.col("p").alias("p_i"),
+                 F.col("q").alias("q_i"))
+    b = v.select("_lo", "_hi", F.col("_own").alias("_oj"), F.col(client_col).alias("client_j"), F.col("p").alias("p_j"),
+                 F.col("q").alias("q_j"))
+    meets = (F.col("_lo") == F.col("_hi")) | (F.col("_oi") != F.col("_oj"))
+    return a.join(b, ["_lo", "_hi"]).where(meets & (F.col("client_i") < F.col("client_j")))
 
 
 def _abs_sum(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def _cumulative(p):
-    return F.transform(p, lambda x, i: F.aggregate(F.slice(p, 1, i + 1), F.lit(0.0), lambda s, v: s + v))
+def _cdf_distance(a, b):
+    """Sum of |running sum of a - b| over all labels but the last."""
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0.0).alias("before"), F.lit(0.0).alias("all"))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x - y), start, lambda s, d: F.struct(
+        (s["cum"] + d).alias("cum"), s["all"].alias("before"), (s["all"] + F.abs(s["cum"] + d)).alias("all")),
+        lambda s: s["before"])
 
 
 def pair_distances(df: DataFrame, client_col: str = "client_id", label_col: str = "label") -> DataFrame:
@@ -99,25 +109,21 @@ def pair_distances(df: DataFrame, client_col: str = "client_id", label_col: str
 
     emd_value: the reference formula, 1-D Wasserstein between the *sorted share values*
     (1/K)·Σ|sort p − sort q| (label-blind). emd_label: Wasserstein on label ids, Σ|ΔCDF|.
-    tv_distance: ½Σ|p − q|."""
-    vec, labels = client_vectors(df, client_col, label_col)
-    k = len(labels)
-    pr = _pairs(vec, client_col)
-    emd_value = _abs_sum(F.array_sort("p_i"), F.array_sort("p_j")) / F.lit(float(max(k, 1)))
-    ci, cj = _cumulative(F.col("p_i")), _cumulative(F.col("p_j"))
-    emd_label = _abs_sum(F.slice(ci, 1, max(k - 1, 1)), F.slice(cj, 1, max(k - 1, 1))) if k > 1 else F.lit(0.0)
-    tv = F.lit(0.5) * _abs_sum(F.col("p_i"), F.col("p_j"))
-    return pr.select(F.col("client_i").cast("int").alias("client_i"), F.col("client_j").cast("int").alias("client_j"),
-                     r6(emd_value).alias("emd_value"), r6(emd_label).alias("emd_label"),
-                     r6(tv).alias("tv_distance"))
+    tv_distance: ½Σ|p − q|. Vectors are sorted once per client, and each pair costs O(K)."""
+    vec, k = client_vectors(df, client_col, label_col)
+    vec = materialize(vec.withColumn("q", F.array_sort("p")))
+    pr = _pairs(vec, client_col, vec.count())
+    return pr.select("client_i", "client_j", (_abs_sum(F.col("q_i"), F.col("q_j")) / F.lit(float(max(k, 1)))).alias("emd_value"),
+                     _cdf_distance(F.col("p_i"), F.col("p_j")).alias("emd_label"),
+                     (F.lit(0.5) * _abs_sum(F.col("p_i"), F.col("p_j"))).alias("tv_distance"))
 
 
 # H5 -----------------------------------------------------------------------------------------
 def emd_stats(pairs: DataFrame) -> DataFrame:
     return pairs.agg(
-        r6(F.avg("emd_value")).alias("mean_emd"), r6(F.max("emd_value")).alias("max_emd"),
-        r6(F.min("emd_value")).alias("min_emd"), r6(F.avg("emd_label")).alias("mean_emd_label"),
-        r6(F.avg("tv_distance")).alias("mean_tv"), F.count(F.lit(1)).alias("n_pairs"))
+        F.avg("emd_value").alias("mean_emd"), F.max("emd_value").alias("max_emd"),
+        F.min("emd_value").alias("min_emd"), F.avg("emd_label").alias("mean_emd_label"),
+        F.avg("tv_distance").alias("mean_tv"), F.count(F.lit(1)).alias("n_pairs"))
 
 
 # H6 -----------------------------------------------------------------------------------------
@@ -126,12 +132,12 @@ def client_imbalance(df: DataFrame, client_col: str = "client_id", label_col: st
                                    F.count_if(F.col(label_col) == 0).alias("negative"))
     imb = F.when(F.col("negative") > 0, F.col("positive") / (F.col("negative") + F.lit(1e-10))) \
         .otherwise(F.lit(float("inf")))
-    return b.select(client_col, "positive", "negative", r6(imb).alias("imbalance"))
+    return b.select(client_col, "positive", "negative", imb.alias("imbalance"))
 
 
 def imbalance_stats(imb: DataFrame) -> DataFrame:
-    return imb.agg(r6(F.avg("imbalance")).alias("mean_imbalance"),
-                   r6(F.stddev_pop("imbalance")).alias("std_imbalance"))
+    return imb.agg(F.avg("imbalance").alias("mean_imbalance"),
+                   F.stddev_pop("imbalance").alias("std_imbalance"))
 
 
 # H7 -----------------------------------------------------------------------------------------
@@ -139,8 +145,8 @@ def partition_totals(df: DataFrame, client_col: str = "client_id", label_col: st
     t = df.agg(F.countDistinct(client_col).alias("n_clients"), F.count(F.lit(1)).alias("n_samples"),
                F.count_if(F.col(label_col) == 1).alias("positive"),
                F.count_if(F.col(label_col) == 0).alias("negative"))
-    return t.select("*", r6(F.col("positive") * 100.0 / F.col("n_samples")).alias("positive_pct"),
-                    r6(F.col("negative") * 100.0 / F.col("n_samples")).alias("negative_pct"))
+    return t.select("*", (F.col("positive") * 100.0 / F.col("n_samples")).alias("positive_pct"),
+                    (F.col("negative") * 100.0 / F.col("n_samples")).alias("negative_pct"))
 
 
 # H8 -----------------------------------------------------------------------------------------

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r6
-
+# metrics whose smaller values are better; all others are maximised
+LOWER_IS_BETTER = ("loss", "fpr", "fnr", "epsilon", "epsilon_round")
 FINAL_METRICS = ["loss", "accuracy", "macro_f1", "weighted_f1"]
 
 
@@ -30,7 +30,7 @@ def final_metrics(history: DataFrame, metrics: Sequence[str] = FINAL_METRICS) ->
     rounds = history.groupBy("experiment", "strategy").agg(F.countDistinct("round").alias("n_rounds"))
     return rounds.join(wide, ["experiment", "strategy"], "left").select(
         "experiment", "strategy", "n_rounds",
-        *[r6(F.coalesce(F.col(m), F.lit(0.0))).alias(f"final_{m}") for m in metrics])
+        *[F.coalesce(F.col(m), F.lit(0.0)).alias(f"final_{m}") for m in metrics])
 
 
 # R1 -----------------------------------------------------------------------------------------
@@ -38,25 +38,25 @@ def compare_strategies(history: DataFrame) -> DataFrame:
     """(strategy, accuracy, f1, auc_roc) from final values, 0 if a metric is absent."""
     lv = last_values(history)
     wide = lv.groupBy("strategy").pivot("metric", ["accuracy", "f1", "auc_roc"]).agg(F.first("value"))
-    return wide.select("strategy", *[r6(F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in ["accuracy", "f1", "auc_roc"]])
+    return wide.select("strategy", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in ["accuracy", "f1", "auc_roc"]])
 
 
 # R2 -----------------------------------------------------------------------------------------
 def comparison_table(history: DataFrame, metrics: Sequence[str]) -> DataFrame:
     lv = last_values(history)
     wide = lv.groupBy("strategy").pivot("metric", list(metrics)).agg(F.first("value"))
-    return wide.select("strategy", *[r6(m).alias(m) for m in metrics])
+    return wide.select("strategy", *[F.col(m).alias(m) for m in metrics])
 
 
 # R3 -----------------------------------------------------------------------------------------
-def best_by_metric(history: DataFrame, higher_is_better: Sequence[str] = ("accuracy", "n")) -> DataFrame:
-    """Per metric the strategy with the best final value (max, or min for losses); ties go to
-    the first strategy name."""
+def best_by_metric(history: DataFrame, lower_is_better: Sequence[str] = LOWER_IS_BETTER) -> DataFrame:
+    """Per metric the strategy with the best final value (max, or min for the metrics named);
+    ties go to the first strategy name."""
     lv = last_values(history)
-    key = F.when(F.col("metric").isin(*higher_is_better), F.col("value")).otherwise(-F.col("value"))
+    key = F.when(F.col("metric").isin(*lower_is_better), -F.col("value")).otherwise(F.col("value"))
     w = Window.partitionBy("metric").orderBy(key.desc(), F.col("strategy"))
     return lv.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        "metric", F.col("strategy").alias("best_strategy"), r6("value").alias("value"))
+        "metric", F.col("strategy").alias("best_strategy"), F.col("value").alias("value"))
 
 
 # R4 -----------------------------------------------------------------------------------------
@@ -64,7 +64,7 @@ def improvement_vs_baseline(history: DataFrame, baseline: str = "baseline") -> D
     lv = last_values(history)
     base = lv.where(F.col("strategy") == baseline).select("metric", F.col("value").alias("_b"))
     return lv.where(F.col("strategy") != baseline).join(base, "metric").select(
-        "strategy", "metric", r6(F.try_divide(F.col("value") - F.col("_b"), F.abs(F.col("_b"))) * 100.0)
+        "strategy", "metric", (F.try_divide(F.col("value") - F.col("_b"), F.abs(F.col("_b"))) * 100.0)
         .alias("improvement_pct"))
 
 
@@ -80,15 +80,19 @@ def history_long(arrays: DataFrame) -> DataFrame:
     NULL entries (missing metric) are skipped."""
     return arrays.select("strategy", "metric", F.posexplode("values").alias("pos", "value")).where(
         F.col("value").isNotNull()).select("strategy", (F.col("pos") + 1).cast("int").alias("round"), "metric",
-                                           r6("value").alias("value"))
+                                           F.col("value").alias("value"))
 
 
 # R6 -----------------------------------------------------------------------------------------
-def convergence_stats(history: DataFrame) -> DataFrame:
+def convergence_stats(history: DataFrame, lower_is_better: Sequence[str] = LOWER_IS_BETTER) -> DataFrame:
+    """First and last value and the improvement in percent of the first: positive when a loss
+    falls or any other metric rises."""
     g = history.groupBy("strategy", "metric").agg(F.min_by("value", "round").alias("first"),
                                                   F.max_by("value", "round").alias("last"))
-    return g.select("strategy", "metric", r6("first").alias("first_value"), r6("last").alias("last_value"),
-                    r6(F.try_divide(F.col("last") - F.col("first"), F.abs(F.col("first"))) * 100.0).alias("improvement_pct"))
+    gain = F.when(F.col("metric").isin(*lower_is_better), F.col("first") - F.col("last")).otherwise(
+        F.col("last") - F.col("first"))
+    return g.select("strategy", "metric", F.col("first").alias("first_value"), F.col("last").alias("last_value"),
+                    (F.try_divide(gain, F.abs(F.col("first"))) * 100.0).alias("improvement_pct"))
 
 
 # R7 -----------------------------------------------------------------------------------------
@@ -99,29 +103,28 @@ def client_performance(client_metrics: DataFrame, global_metrics: DataFrame, met
     g = global_metrics.where(F.col("metric") == metric).select("round", F.col("value").alias("_g"))
     j = c.join(g, "round")
     return j.groupBy("round").agg(
-        r6(F.max("value")).alias("best"), r6(F.min("value")).alias("worst"), r6(F.avg("value")).alias("mean"),
-        r6(F.var_pop("value")).alias("variance"), F.count_if(F.col("value") > F.col("_g")).alias("n_above_global"))
+        F.max("value").alias("best"), F.min("value").alias("worst"), F.avg("value").alias("mean"),
+        F.var_pop("value").alias("variance"), F.count_if(F.col("value") > F.col("_g")).alias("n_above_global"))
 
 
 # R8 -----------------------------------------------------------------------------------------
 def radar_rows(binary_metrics_by_group: DataFrame, group_col: str) -> DataFrame:
     return binary_metrics_by_group.select(group_col, "accuracy", "precision", "recall", "f1",
-                                          r6(F.lit(1.0) - F.col("fpr")).alias("specificity"))
+                                          (F.lit(1.0) - F.col("fpr")).alias("specificity"))
 
 
 # R9 -----------------------------------------------------------------------------------------
 def privacy_utility(ledger: DataFrame, history: DataFrame, metric: str = "accuracy") -> DataFrame:
     eps = ledger.groupBy("experiment").agg(F.max_by("epsilon", "round").alias("epsilon"))
     acc = last_values(history).where(F.col("metric") == metric).select("experiment", F.col("value").alias(metric))
-    return eps.join(acc, "experiment").select("experiment", r6("epsilon").alias("epsilon"), r6(metric).alias(metric)) \
+    return eps.join(acc, "experiment").select("experiment", F.col("epsilon").alias("epsilon"), F.col(metric).alias(metric)) \
         .orderBy("epsilon", "experiment")
 
 
 # R10 ----------------------------------------------------------------------------------------
 def last_rounds(history: DataFrame, n: int = 5) -> DataFrame:
     w = Window.partitionBy("experiment", "metric").orderBy(F.desc("round"))
-    return history.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r") \
-        .withColumn("value", r6("value"))
+    return history.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
 # R12 / S10 ------------------------------------------------------------------------------------
@@ -145,6 +148,6 @@ def strategy_report(results: DataFrame) -> DataFrame:
                                              F.struct(F.coalesce(r["accuracy"], F.lit(0.0)).alias("acc"),
                                                       r["round"].alias("round"))).otherwise(acc))
     return results.select("experiment_name", "strategy", "num_rounds",
-                          r6(F.coalesce(last["loss"], F.lit(0.0))).alias("final_loss"),
-                          r6(F.coalesce(last["accuracy"], F.lit(0.0))).alias("final_accuracy"),
-                          best["round"].alias("best_round"), r6(best["acc"]).alias("best_accuracy"))
+                          F.coalesce(last["loss"], F.lit(0.0)).alias("final_loss"),
+                          F.coalesce(last["accuracy"], F.lit(0.0)).alias("final_accuracy"),
+                          best["round"].alias("best_round"), best["acc"].alias("best_accuracy"))

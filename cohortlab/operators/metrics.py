@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import f1_of, r6, safe_ratio
+from ..functions.exprs import f1_of, safe_ratio
 from ..functions.ordering import running_sums, with_value_bucket
 
 
@@ -30,10 +30,10 @@ def binary_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred"
     prec = safe_ratio("tp", F.col("tp") + F.col("fp"))
     rec = safe_ratio("tp", F.col("tp") + F.col("fn"))
     return c.select(
-        r6(safe_ratio("_correct", "total_samples")).alias("accuracy"), r6(prec).alias("precision"),
-        r6(rec).alias("recall"), r6(safe_ratio("tn", F.col("tn") + F.col("fp"))).alias("specificity"),
-        r6(f1_of(prec, rec)).alias("f1"), r6(safe_ratio("fp", F.col("fp") + F.col("tn"))).alias("fpr"),
-        r6(safe_ratio("fn", F.col("fn") + F.col("tp"))).alias("fnr"),
+        safe_ratio("_correct", "total_samples").alias("accuracy"), prec.alias("precision"),
+        rec.alias("recall"), safe_ratio("tn", F.col("tn") + F.col("fp")).alias("specificity"),
+        f1_of(prec, rec).alias("f1"), safe_ratio("fp", F.col("fp") + F.col("tn")).alias("fpr"),
+        safe_ratio("fn", F.col("fn") + F.col("tp")).alias("fnr"),
         "tp", "tn", "fp", "fn", "total_samples")
 
 
@@ -47,8 +47,8 @@ def auc_roc(df: DataFrame, y_true: str = "y_true", score: str = "score", n_bucke
     rs = running_sums(b, "score", ["neg"], F.col("_sb"))
     agg = rs.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_num"),
                  F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return agg.select(r6(F.when(F.col("_p") * F.col("_n") > 0,
-                                F.col("_num") / (F.col("_p").cast("double") * F.col("_n")))).alias("auc_roc"))
+    return agg.select(F.when(F.col("_p") * F.col("_n") > 0,
+                                F.col("_num") / (F.col("_p").cast("double") * F.col("_n"))).alias("auc_roc"))
 
 
 # shared multiclass core ---------------------------------------------------------------------
@@ -84,25 +84,22 @@ def per_class_from_counts(counts: DataFrame, group_cols: Sequence[str] = (), cla
     return out if has_ce else out.drop("ce_sum")
 
 
-def _rounded_per_class(pc: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    return pc.select(*group_cols, F.col("class").cast("int").alias("class"), r6("precision").alias("precision"),
-                     r6("recall").alias("recall"), r6("f1").alias("f1"), F.col("support").cast("long").alias("support"))
+def _per_class_columns(pc: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    return pc.select(*group_cols, F.col("class").cast("int").alias("class"), "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
 
 
 # V4 / V5 ------------------------------------------------------------------------------------
 def per_class_true(df: DataFrame, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = ()) -> DataFrame:
     pc = per_class_from_counts(confusion_counts(df, y_true, y_pred, group_cols), group_cols, "true")
-    return _rounded_per_class(pc, group_cols)
+    return _per_class_columns(pc, group_cols)
 
 
 def per_class_union(df: DataFrame, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = (),
                     label_map: DataFrame | None = None) -> DataFrame:
-    pc = _rounded_per_class(per_class_from_counts(confusion_counts(df, y_true, y_pred, group_cols), group_cols),
+    pc = _per_class_columns(per_class_from_counts(confusion_counts(df, y_true, y_pred, group_cols), group_cols),
                             group_cols)
     if label_map is not None:
-        # K rows: bounded by the label-map size check in clean.sorted_labels
-        pc = pc.join(F.broadcast(label_map.select(F.col("label_id").alias("class"), F.col("label").alias("class_name"))),
-                     "class", "left")
+        pc = pc.join(label_map.select(F.col("label_id").alias("class"), F.col("label").alias("class_name")), "class", "left")
     return pc
 
 
@@ -119,48 +116,44 @@ def averages_from_per_class(pc: DataFrame, group_cols: Sequence[str] = ()) -> Da
 def macro_metrics(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = ()) -> DataFrame:
     a = averages_from_per_class(per_class_from_counts(confusion_counts(df, y_true, y_pred, group_cols), group_cols),
                                 group_cols)
-    return a.select(*group_cols, *[r6(c).alias(c) for c in ["macro_precision", "macro_recall", "macro_f1"]])
+    return a.select(*group_cols, *[F.col(c).alias(c) for c in ["macro_precision", "macro_recall", "macro_f1"]])
 
 
 def weighted_metrics(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = ()) -> DataFrame:
     a = averages_from_per_class(per_class_from_counts(confusion_counts(df, y_true, y_pred, group_cols), group_cols),
                                 group_cols)
-    return a.select(*group_cols, *[r6(c).alias(c) for c in ["weighted_precision", "weighted_recall", "weighted_f1"]])
+    return a.select(*group_cols, *[F.col(c).alias(c) for c in ["weighted_precision", "weighted_recall", "weighted_f1"]])
 
 
 def accuracy(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*group_cols).agg(r6(F.avg((F.col(y_true) == F.col(y_pred)).cast("double"))).alias("accuracy"),
+    return df.groupBy(*group_cols).agg(F.avg((F.col(y_true) == F.col(y_pred)).cast("double")).alias("accuracy"),
                                        F.count(F.lit(1)).alias("n"))
 
 
-def _bounded_labels(col_df: DataFrame) -> list:
-    """Sorted distinct values of a one-column frame; K x K grids need K on the driver, so K
-    is checked against the label limit before anything is collected."""
-    from .clean import MAX_LABELS
-
-    rows = col_df.distinct().limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct classes")
-    return sorted(r[0] for r in rows if r[0] is not None)
-
-
 # V9 -----------------------------------------------------------------------------------------
-def confusion_long(df, y_true="y_true", y_pred="y_pred") -> DataFrame:
-    """K x K over the sorted union of labels, zeros included (labels: bounded driver list)."""
-    counts = confusion_counts(df, y_true, y_pred)
-    labels = _bounded_labels(counts.select(F.col("y_true").alias("l")).union(counts.select("y_pred")))
-    arr = F.array(*[F.lit(x) for x in labels])
-    grid = (counts.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
-            .select("y_true", F.explode(arr).alias("y_pred")))
+def confusion_grid(counts: DataFrame) -> DataFrame:
+    """K x K over the sorted union of labels, zeros included, from a table of counts. One row of
+    K labels is exploded, spread over the tasks and exploded again."""
+    counts = counts.groupBy("y_true", "y_pred").agg(F.sum("n").alias("n"))
+    labels = counts.select(F.explode(F.array("y_true", "y_pred")).alias("l")).where(F.col("l").isNotNull())
+    every = labels.agg(F.sort_array(F.collect_set("l")).alias("_all"))
+    grid = every.select(F.explode("_all").alias("y_true"), "_all").repartition("y_true").select(
+        "y_true", F.explode("_all").alias("y_pred"))
     return grid.join(counts, ["y_true", "y_pred"], "left").select(
         F.col("y_true").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def confusion_long(df, y_true="y_true", y_pred="y_pred") -> DataFrame:
+    return confusion_grid(eval_counts(df, y_true, y_pred))
+
+
 def confusion_pivot(df, y_true="y_true", y_pred="y_pred") -> DataFrame:
-    long = confusion_long(df, y_true, y_pred)
-    labels = _bounded_labels(long.select("y_pred"))
-    return long.groupBy("y_true").pivot("y_pred", labels).agg(F.sum("n")) \
+    """One column per predicted label, so the labels come to the driver."""
+    counts = eval_counts(df, y_true, y_pred)
+    listed = counts.select(F.explode(F.array("y_true", "y_pred")).alias("l")).where(F.col("l").isNotNull()).distinct()
+    labels = sorted(r[0] for r in listed.collect())
+    return confusion_grid(counts).groupBy("y_true").pivot("y_pred", labels).agg(F.sum("n")) \
         .select("y_true", *[F.col(f"`{x}`").alias(f"pred_{x}") for x in labels])
 
 
@@ -186,7 +179,7 @@ def cross_entropy_col(logits: Column, y: Column) -> Column:
 
 
 def cross_entropy(df, logits="logits", y_true="y_true", group_cols: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*group_cols).agg(r6(F.avg(cross_entropy_col(F.col(logits), F.col(y_true)))).alias("loss"),
+    return df.groupBy(*group_cols).agg(F.avg(cross_entropy_col(F.col(logits), F.col(y_true))).alias("loss"),
                                        F.count(F.lit(1)).alias("n"))
 
 
@@ -195,10 +188,10 @@ def proba_stats(df, logits="logits") -> DataFrame:
     d = df.select(p.alias("p"))
     d = d.select(F.array_max("p").alias("pmax"), F.array_min("p").alias("pmin"),
                  F.aggregate("p", F.lit(0.0), lambda a, b: a + b).alias("psum"), F.size("p").alias("k"))
-    return d.agg(r6(F.max("pmax")).alias("max_proba"), r6(F.min("pmin")).alias("min_proba"),
-                 r6(F.sum("psum") / F.sum("k")).alias("mean_proba"), r6(F.avg("psum")).alias("mean_row_sum"),
-                 r6(F.max(F.abs(F.col("psum") - 1.0))).alias("max_row_sum_error"),
-                 r6(F.avg("pmax")).alias("mean_confidence"))
+    return d.agg(F.max("pmax").alias("max_proba"), F.min("pmin").alias("min_proba"),
+                 (F.sum("psum") / F.sum("k")).alias("mean_proba"), F.avg("psum").alias("mean_row_sum"),
+                 F.max(F.abs(F.col("psum") - 1.0)).alias("max_row_sum_error"),
+                 F.avg("pmax").alias("mean_confidence"))
 
 
 # V14 / V15 / V16 ----------------------------------------------------------------------------
@@ -239,7 +232,7 @@ def eval_from_counts(counts: DataFrame, group_cols: Sequence[str] = ()) -> DataF
     rows = wide.select(*g, F.explode(F.array(*structs)).alias("s")).select(*g, "s.metric", "s.value")
     per_cls = pc.select(*g, F.concat(F.lit("f1_class_"), F.col("class").cast("string")).alias("metric"),
                         F.col("f1").alias("value"))
-    return rows.unionByName(per_cls).select(*g, "metric", r6("value").alias("value"))
+    return rows.unionByName(per_cls).select(*g, "metric", F.col("value").alias("value"))
 
 
 def eval_table(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str] = (), logits: str | None = None) -> DataFrame:
@@ -264,14 +257,15 @@ def round_eval(df, y_true="y_true", y_pred="y_pred", client_col="client_id", log
 
 
 def eval_report(df, y_true="y_true", y_pred="y_pred") -> DataFrame:
-    """Full report as one long table (section, name, value): metrics, per-class, confusion."""
-    metrics = eval_table(df, y_true, y_pred).select(F.lit("metrics").alias("section"), F.col("metric").alias("name"), "value")
-    cm = confusion_long(df, y_true, y_pred).select(
+    """Full report as one long table (section, name, value): metrics, confusion, support, all
+    from one materialised table of counts."""
+    counts = eval_counts(df, y_true, y_pred)
+    metrics = eval_from_counts(counts).select(F.lit("metrics").alias("section"), F.col("metric").alias("name"), "value")
+    cm = confusion_grid(counts).select(
         F.lit("confusion").alias("section"),
         F.concat(F.lit("cm_"), F.col("y_true").cast("string"), F.lit("_"), F.col("y_pred").cast("string")).alias("name"),
         F.col("n").cast("double").alias("value"))
-    pc = per_class_union(df, y_true, y_pred)
-    sup = pc.select(F.lit("support").alias("section"),
-                    F.concat(F.lit("support_class_"), F.col("class").cast("string")).alias("name"),
-                    F.col("support").cast("double").alias("value"))
+    sup = per_class_from_counts(counts).select(
+        F.lit("support").alias("section"), F.concat(F.lit("support_class_"), F.col("class").cast("string")).alias("name"),
+        F.col("support").cast("double").alias("value"))
     return metrics.unionByName(cm).unionByName(sup)

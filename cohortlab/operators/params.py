@@ -94,26 +94,25 @@ def fednova(updates: DataFrame, global_model: DataFrame) -> DataFrame:
 
 # M8 -----------------------------------------------------------------------------------------
 def server_momentum(deltas: DataFrame, momentum: float) -> DataFrame:
-    """v_t = m·v_{t−1} + Δ_t over rounds, i.e. v_t = m^t · Σ_{s≤t} m^{−s}·Δ_s: a running sum
-    per coordinate (window over that coordinate's rounds only)."""
+    """v_t = m·v_{t−1} + Δ_t over rounds, for histories of any length.
+
+    Rounds are cut into blocks short enough that m^(rounds of a block) stays far above the
+    smallest double. In a block v is a running sum scaled by powers of m; the velocity at its
+    start is the sum that the block before ends with. What blocks further back would add is
+    below 1e-120 of that, less than a double can show."""
     if momentum == 0.0:
         return deltas.select(*KEY, F.col("value").alias("velocity"))
-    max_round = deltas.agg(F.max("round")).first()[0] or 0
-    if max_round * math.log(1.0 / momentum) > 600:
-        raise ValueError("history too long for the closed form; carry the velocity round by round (plans.federated)")
-    w = Window.partitionBy("tensor", "idx").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    length = max(1, int(280 / math.log(1.0 / momentum))) if momentum < 1.0 else 1 << 40
     m = F.lit(float(momentum))
-    scaled = F.sum(F.col("value") * F.pow(m, -F.col("round"))).over(w)
-    return deltas.select(*KEY, (F.pow(m, F.col("round")) * scaled).alias("velocity"))
-
-
-def momentum_step(prev_velocity: DataFrame | None, delta: DataFrame, momentum: float) -> DataFrame:
-    """One round of v = m·v_prev + Δ (the in-loop form; joins two model-sized tables)."""
-    if prev_velocity is None:
-        return delta.select("tensor", "idx", F.col("value").alias("velocity"))
-    pv = prev_velocity.select("tensor", "idx", F.col("velocity").alias("_v"))
-    return delta.join(pv, ["tensor", "idx"], "left").select(
-        "tensor", "idx", (F.lit(momentum) * F.coalesce("_v", F.lit(0.0)) + F.col("value")).alias("velocity"))
+    d = deltas.select(*KEY, "value", F.floor(F.col("round") / F.lit(length)).cast("long").alias("_b"))
+    at = F.col("round") - F.col("_b") * F.lit(length)
+    w = Window.partitionBy("tensor", "idx", "_b").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_v", F.pow(m, at) * F.sum(F.col("value") * F.pow(m, -at)).over(w))
+    # the sum of a block carried to the round before the next block starts
+    ends = d.groupBy("tensor", "idx", (F.col("_b") + 1).alias("_b")).agg(
+        F.max_by(F.col("_v") * F.pow(m, F.lit(length - 1) - at), "round").alias("_carry"))
+    j = d.join(ends, ["tensor", "idx", "_b"], "left")
+    return j.select(*KEY, (F.col("_v") + F.coalesce("_carry", F.lit(0.0)) * F.pow(m, at + 1)).alias("velocity"))
 
 
 # M9 -----------------------------------------------------------------------------------------

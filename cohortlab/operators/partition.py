@@ -9,16 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_hex, hex8_to_unit
-from ..functions.ordering import rank_cuts
+from ..functions.ordering import rank_cuts, small
+from ..session import ensure_checkpoint_dir
 from .clean import family_expr, family_index_expr
 
-MAX_DAYS = 100_000
-
-
 def _with_hash(df: DataFrame, key: str, seed: int, *salt) -> DataFrame:
     return df.withColumn("_h", hash_hex(key, seed, *salt))
 
@@ -48,33 +46,26 @@ def partition_iid(df: DataFrame, key: str, n_clients: int = 5, seed: int = 42,
 
 
 # X4 -----------------------------------------------------------------------------------------
-def distinct_days(df: DataFrame, day_col: str) -> list:
-    rows = df.select(day_col).where(F.col(day_col).isNotNull()).distinct().limit(MAX_DAYS + 1).collect()
-    if len(rows) > MAX_DAYS:
-        raise ValueError(f"more than {MAX_DAYS} distinct days")
-    return sorted(r[0] for r in rows)
-
-
 def partition_by_day(df: DataFrame, ts_col: str | None = "ts", n_clients: int = 5,
                      day_col: str | None = None, out: str = "client_id") -> DataFrame:
     """D sorted days; n >= D: one client per day; else client i gets day indices
     [i*D div n, (i+1)*D div n), the last one to the end. Closed form per day index d:
-    ``least(n-1, ((d+1)*n - 1) div D)``, so rows need no join, only a literal day map."""
-    if day_col is None:
-        df = df.withColumn("_day", F.to_date(F.col(ts_col)))
-        day_col = "_day"
-    days = distinct_days(df, day_col)
-    D = len(days)
-    if D == 0:
-        return df.withColumn(out, F.lit(None).cast("int"))
-    lit = F.create_map(*[x for i, d in enumerate(days) for x in (F.lit(d), F.lit(i))])
-    d = F.element_at(lit, F.col(day_col))
-    if n_clients >= D:
-        client = d
-    else:
-        client = F.least(F.floor(((d + 1) * n_clients - 1) / F.lit(D)).cast("int"), F.lit(n_clients - 1))
-    res = df.withColumn(out, client.cast("int"))
-    return res.drop("_day") if day_col == "_day" else res
+    ``least(n-1, ((d+1)*n - 1) div D)``. The days (one row each) are joined, broadcast when few.
+    Rows without a day go to the last client."""
+    day = F.to_date(F.col(ts_col)) if day_col is None else F.col(day_col)
+    df = df.withColumn("_day", day)
+    ensure_checkpoint_dir(df.sparkSession)
+    days = df.select(F.col("_day").alias("_dd")).where(F.col("_dd").isNotNull()).distinct()
+    # over the D days, not the rows
+    days = days.select("_dd", (F.row_number().over(Window.orderBy("_dd")) - 1).alias("_dix")).checkpoint()
+    n_days = days.count()
+    if n_days == 0:
+        return df.withColumn(out, F.lit(None).cast("int")).drop("_day")
+    last = min(n_clients, n_days) - 1
+    client = F.col("_dix") if n_clients >= n_days else F.least(
+        F.floor(((F.col("_dix") + 1) * n_clients - 1) / F.lit(n_days)).cast("int"), F.lit(last))
+    res = df.join(small(days), F.col("_day") == F.col("_dd"), "left")
+    return res.withColumn(out, F.coalesce(client, F.lit(last)).cast("int")).drop("_day", "_dd", "_dix")
 
 
 # X5 -----------------------------------------------------------------------------------------
@@ -141,8 +132,6 @@ def sample_clients(clients: DataFrame, round_col: str = "round", client_col: str
     Error if a round has fewer than ``min_available`` clients (one small job; ``check=False``
     skips it when the caller already checked the same clients table). The clients table is small
     (rounds x clients) but is ranked per round, never globally."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(round_col)
     h = hash_hex(client_col, seed, F.col(round_col))
     ranked_ = (clients.withColumn("_n", F.count(F.lit(1)).over(w))

@@ -13,7 +13,6 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import r6
 
 MAX_ORDER = 64
 
@@ -57,4 +56,4 @@ def privacy_ledger(rounds: DataFrame, delta: float = 1e-5, max_order: int = MAX_
     out = a.groupBy(experiment_col, "round", "sample_rate", "noise_multiplier").agg(
         F.min(F.col("rdp") + conv).alias("epsilon_round"), F.min(F.col("cum_rdp") + conv).alias("epsilon"))
     return out.select(experiment_col, "round", "sample_rate", "noise_multiplier",
-                      r6("epsilon_round").alias("epsilon_round"), r6("epsilon").alias("epsilon"))
+                      "epsilon_round", "epsilon")

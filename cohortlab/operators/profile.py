@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import combine_rows, r6
+from ..functions.exprs import combine_rows
 from .clean import numeric_columns
 
 
@@ -23,6 +23,12 @@ def _q(c: str) -> str:
     return f"`{c}`"
 
 
+def finite(c: str):
+    """The column as DOUBLE where it is a finite number, else NULL: what all statistics are taken of."""
+    x = F.col(_q(c)).cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def _long(wide: DataFrame, cols: Sequence[str], stats: Sequence[str]) -> DataFrame:
     structs = [F.struct(F.lit(c).alias("column"), *[F.col(_q(f"{s}__{c}")).alias(s) for s in stats]) for c in cols]
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
@@ -41,7 +47,7 @@ def profile_missing(df: DataFrame) -> DataFrame:
     structs = [F.struct(F.lit(c).alias("column"), F.col(_q(f"missing__{c}")).alias("missing")) for c in cols]
     long = wide.select("_n", F.explode(F.array(*structs)).alias("s")).select("s.*", "_n")
     return (long.where(F.col("missing") > 0)
-            .select("column", "missing", r6(F.col("missing") * 100.0 / F.col("_n")).alias("missing_pct"))
+            .select("column", "missing", (F.col("missing") * 100.0 / F.col("_n")).alias("missing_pct"))
             .orderBy(F.desc("missing"), "column"))
 
 
@@ -58,29 +64,27 @@ def profile_duplicates(df: DataFrame) -> DataFrame:
     g = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
     t = g.agg(F.sum("_c").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
     return t.select((F.col("n_rows") - F.col("n_distinct")).alias("n_duplicates"),
-                    r6((F.col("n_rows") - F.col("n_distinct")) * 100.0 / F.col("n_rows")).alias("duplicate_pct"))
+                    ((F.col("n_rows") - F.col("n_distinct")) * 100.0 / F.col("n_rows")).alias("duplicate_pct"))
 
 
 # E5 / E11 -----------------------------------------------------------------------------------
 def class_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
     """(label, n, pct) with pct rounded half-even to 2 digits like pandas; most frequent first."""
     c = df.groupBy(F.col(_q(label_col)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-    # one row per class: a global window over K rows
-    tot = F.sum("n").over(Window.partitionBy())
-    return c.select("label", "n", F.bround(F.col("n") * 100.0 / tot, 2).alias("pct")).orderBy(F.desc("n"), "label")
+    tot = max(1, df.count())
+    return c.select("label", "n", F.bround(F.col("n") * 100.0 / F.lit(tot), 2).alias("pct")).orderBy(F.desc("n"), "label")
 
 
 def imbalance_ratio(df: DataFrame, label_col: str = "label") -> DataFrame:
     c = df.groupBy(_q(label_col)).agg(F.count(F.lit(1)).alias("n"))
-    return c.agg(r6(F.max("n") / F.min("n")).alias("imbalance_ratio"), F.count(F.lit(1)).alias("n_classes"))
+    return c.agg((F.max("n") / F.min("n")).alias("imbalance_ratio"), F.count(F.lit(1)).alias("n_classes"))
 
 
 # E6 -----------------------------------------------------------------------------------------
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
                     n_buckets: int = 1024, max_rows_per_task: int = 4_000_000,
                     sub_buckets: int = 1024, max_refinements: int = 8) -> DataFrame:
-    """(column, p, q): linear-interpolated exact quantiles of the non-NULL, non-NaN values.
+    """(column, p, q): linear-interpolated exact quantiles of the finite values.
 
     Quantile SELECTION instead of a full sort: (1) ``approxQuantile`` bounds cut each column
     into ~n_buckets value buckets; (2) one aggregate counts values (and their min/max) per
@@ -96,7 +100,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
 
     spark = df.sparkSession
     cols = list(cols)
-    vals = df.select(*[F.col(_q(c)).cast("double").alias(c) for c in cols])
+    vals = df.select(*[finite(c).alias(c) for c in cols])
     bprobs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = vals.approxQuantile(cols, bprobs, 1e-3)   # bounds need only be roughly even
     splits = [[float("-inf")] + sorted(set(b for b in bs if b is not None and b == b)) + [float("inf")] for bs in bounds]
@@ -104,7 +108,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     structs = [F.struct(F.lit(c).alias("column"), F.col(_q(c)).alias("v"), F.col(_q(f"b__{c}")).cast("int").alias("bk"))
                for c in cols]
     long = bk.transform(vals).select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(
-        F.col("v").isNotNull() & ~F.isnan("v"))
+        F.col("v").isNotNull())
     counts = long.groupBy("column", "bk").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                               F.max("v").alias("hi")).collect()   # <= F x n_buckets rows
 
@@ -194,18 +198,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
 
 
 def profile_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25%, 50%, 75%, max per numeric column."""
+    """count, mean, std (ddof 1), min, 25%, 50%, 75%, max of the finite values per numeric column,
+    and beside them how many values were infinite."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for c in cols:
-        x = F.col(_q(c)).cast("double")
+        x = finite(c)
         aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}"),
-                 F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}")]
-    basic = _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
+                 F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"),
+                 F.count_if(F.abs(F.col(_q(c)).cast("double")) == float("inf")).alias(f"n_inf__{c}")]
+    basic = _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max", "n_inf"])
     qs = exact_quantiles(df, cols).groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
     qs = qs.select("column", F.col("`0.25`").alias("p25"), F.col("`0.5`").alias("p50"), F.col("`0.75`").alias("p75"))
     out = basic.join(qs, "column", "left")
-    return out.select("column", "count", *[r6(c).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
+    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "n_inf")
 
 
 # E7 -----------------------------------------------------------------------------------------
@@ -213,47 +219,46 @@ def profile_ranges(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     cols = list(cols) if cols is not None else numeric_columns(df)
     aggs = []
     for c in cols:
-        x = F.col(_q(c)).cast("double")
+        x = finite(c)
         aggs += [F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"), F.stddev_samp(x).alias(f"std__{c}")]
     long = _long(df.agg(*aggs), cols, ["min", "max", "std"])
-    return long.select("column", r6("min").alias("min"), r6("max").alias("max"),
-                       r6(F.col("max") - F.col("min")).alias("range"), r6("std").alias("std"))
+    return long.select("column", F.col("min").alias("min"), F.col("max").alias("max"),
+                       (F.col("max") - F.col("min")).alias("range"), F.col("std").alias("std"))
 
 
 # E8 -----------------------------------------------------------------------------------------
 def feature_variances(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else numeric_columns(df)
-    return _long(df.agg(*[F.var_samp(F.col(_q(c)).cast("double")).alias(f"variance__{c}") for c in cols]),
+    return _long(df.agg(*[F.var_samp(finite(c)).alias(f"variance__{c}") for c in cols]),
                  cols, ["variance"])
 
 
 def top_variance(df: DataFrame, k: int = 15, cols: Sequence[str] | None = None) -> DataFrame:
     """Top-k columns by sample variance (TakeOrdered over F rows)."""
     v = feature_variances(df, cols)
-    return v.orderBy(F.desc("variance"), "column").limit(k).select("column", r6("variance").alias("variance"))
+    return v.orderBy(F.desc("variance"), "column").limit(k).select("column", F.col("variance").alias("variance"))
 
 
 # E9 / E10 -----------------------------------------------------------------------------------
-def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 15) -> DataFrame:
-    """Pearson r for every pair a<b (column order) in ONE aggregate; > 5 columns -> only the
-    top ``max_cols`` by variance, as the reference does."""
+def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int | None = None) -> DataFrame:
+    """Pearson r for every pair a<b (column order) in ONE aggregate, over the rows where both are
+    finite. All columns unless ``max_cols`` asks for those of largest variance only."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    if len(cols) > 5:
+    if max_cols is not None:
         keep = {r["column"] for r in top_variance(df, max_cols, cols).collect()}
         cols = [c for c in cols if c in keep]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    wide = df.agg(*[F.corr(F.col(_q(a)).cast("double"), F.col(_q(b)).cast("double")).alias(f"c{i}")
-                    for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[F.corr(finite(a), finite(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
                for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.explode(F.array(*structs)).alias("s")).select(
-        F.col("s.col_a").alias("col_a"), F.col("s.col_b").alias("col_b"), r6("s.corr").alias("corr"))
+    return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.col_a", "s.col_b", "s.corr")
 
 
 def max_correlation(pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    return pairs.agg(r6(F.max(F.abs("corr"))).alias("max_abs_corr"),
+    """The largest r, the largest |r| and the number of pairs with |r| above ``threshold``."""
+    return pairs.agg(F.max("corr").alias("max_corr"), F.max(F.abs("corr")).alias("max_abs_corr"),
                      F.count_if(F.abs("corr") > threshold).alias("n_high_pairs"))
 
 

@@ -5,12 +5,16 @@ registered with ``@query(name, sql)``; ``sql=None`` means not SQL-expressible (r
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, hetero, partition
+from ..session import ensure_checkpoint_dir
+from ..sources import sinks
 from ..sources import tables as T
 from . import sqlparts as S
 
@@ -27,10 +31,15 @@ def query(name: str, sql: str | None):
     return deco
 
 
+def staging_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, so that sessions don't write over each other."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
 # ---------------------------------------------------------------------------------------------
 # shared Spark building blocks
 def cleaned_flows(spark, sf):
-    return clean.dedup_rows(clean.remove_infinite_values(T.dirty_flows(spark, sf), ["value"]))
+    return clean.dedup_rows(clean.remove_infinite_values(T.repeated_dirty_flows(spark, sf), ["value"]), "event_id")
 
 
 def iid_flows(spark, sf, n=5):
@@ -73,14 +82,14 @@ def q_tv_distance(spark, sf):
     return hetero.pair_distances(family_flows(spark, sf)).select("client_i", "client_j", "tv_distance")
 
 
-@query("emd_stats", S.emd_stats_sql(S.dist_sql(DAY)))
+@query("emd_stats", S.emd_stats_sql(S.dist_sql(DAY, digits=False)))
 def q_emd_stats(spark, sf):
     return hetero.emd_stats(hetero.pair_distances(day_flows(spark, sf)))
 
 
 @query("scheme_comparison",
        "SELECT * FROM (" + " UNION ALL ".join(
-           f"SELECT '{nm}' AS scheme, mean_emd, mean_emd_label, mean_tv FROM ({S.emd_stats_sql(S.dist_sql(src))})"
+           f"SELECT '{nm}' AS scheme, mean_emd, mean_emd_label, mean_tv FROM ({S.emd_stats_sql(S.dist_sql(src, digits=False))})"
            for nm, src in [("iid", IID), ("day", DAY), ("family", FAMILY)]) + ")")
 def q_scheme_comparison(spark, sf):
     return hetero.scheme_comparison({
@@ -96,6 +105,23 @@ def q_partition_iid(spark, sf):
                                                           F.sum("event_id").alias("key_sum"))
 
 
+def _iid_q(n):
+    def fn(spark, sf):
+        return iid_flows(spark, sf, n).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_samples"), F.sum("event_id").alias("key_sum"))
+    return fn
+
+
+for _n in (20, 100, 1000):
+    query(f"partition_iid_n{_n}", "SELECT client_id, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum "
+                                  f"FROM ({S.iid_sql(CLEAN, n=_n)}) GROUP BY 1")(_iid_q(_n))
+
+
+@query("pair_distances_text_ids", S.dist_sql(T.FLOWS_WITHOUT_SOME_LABELS_SQL, id_type="VARCHAR"))
+def q_pair_distances_text_ids(spark, sf):
+    """Clients with text ids, some labels NULL."""
+    return hetero.pair_distances(T.flows_without_some_labels(spark, sf))
+
+
 @query("partition_by_day", f"SELECT client_id, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({DAY}) GROUP BY 1")
 def q_partition_by_day(spark, sf):
     return day_flows(spark, sf).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_samples"),
@@ -116,7 +142,7 @@ def _family_q(n):
     return fn
 
 
-for _n, _nm in [(5, "partition_by_family"), (3, "partition_by_family_n3"), (8, "partition_by_family_n8")]:
+for _n, _nm in [(5, "partition_by_family"), (3, "partition_by_family_n3"), (8, "partition_by_family_n8"), (20, "partition_by_family_n20")]:
     query(_nm, f"SELECT client_id, label, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum "
                f"FROM ({S.family_part_sql(S.FLOWS, n=_n)}) GROUP BY 1, 2")(_family_q(_n))
 
@@ -169,6 +195,19 @@ def q_sequential_ts(spark, sf):
     return p.select("event_id", F.unix_seconds(F.col("Timestamp")).alias("ts_epoch"))
 
 
+@query("sequential_ts_null_order", "SELECT event_id, CAST(epoch(TIMESTAMP '2017-01-01 00:00:00') AS BIGINT) + pos - 1 AS ts_epoch, n_rows FROM "
+       "(SELECT event_id, o, count(*) OVER () AS n_rows, row_number() OVER (ORDER BY o NULLS FIRST) AS pos FROM "
+       f"(SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN event_id END AS o FROM ({S.FLOWS}))) WHERE o IS NOT NULL")
+def q_sequential_ts_null_order(spark, sf):
+    """Rows without an order value come first and aren't lost: n_rows counts them, and the others'
+    positions follow theirs."""
+    f = T.flows(spark, sf).select("event_id", F.when(F.col("event_id") % 11 != 0, F.col("event_id")).alias("o"))
+    p = clean.sequential_ts(f, "o")
+    n = p.count()
+    return p.where("o is not null").select("event_id", F.unix_seconds(F.col("Timestamp")).alias("ts_epoch"),
+                                           F.lit(n).cast("long").alias("n_rows"))
+
+
 @query("label_encode", f"SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id, "
                        f"count(*) AS n FROM ({S.FLOWS}) GROUP BY label")
 def q_label_encode(spark, sf):
@@ -373,15 +412,29 @@ PREP_FIT = ("SELECT feature, mean, CASE WHEN std = 0 OR std IS NULL THEN 1.0 ELS
            f"(SELECT std FROM ({PREP_FIT}) WHERE feature = '{c}') AS {c}" for c in FEATS) + f" FROM ({PREP_SPLIT}))")
 def q_prep_pipeline(spark, sf):
     from ..functions.exprs import r6
-    res = prep_pipeline(T.dirty_flows(spark, sf), "event_id", "label", rate_cols=["value"])
+    res = prep_pipeline(T.repeated_dirty_flows(spark, sf), "event_id", "label", rate_cols=["value"])
     return res.data.select("event_id", "split", "label_id", *[r6(c).alias(c) for c in res.features])
 
 
 @query("load_split", f"SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({STRAT}) WHERE split = 'test'")
 def q_load_split(spark, sf):
-    """S7 semantics on the split table: only the 'test' partition is read back."""
-    return _strat_flows(spark, sf).where("split = 'test'").agg(F.count(F.lit(1)).alias("n"),
-                                                               F.sum("event_id").alias("key_sum"))
+    """Written partitioned by split; only the 'test' partition is read back."""
+    path = staging_dir(spark, "processed")
+    sinks.write_processed(_strat_flows(spark, sf), path)
+    return sinks.load_split(spark, path, "test").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
+@query("round_history_roundtrip", f"SELECT experiment, kind, metric, count(*) AS n, round(sum(value) + 1e-9, 6) + 0.0 AS total FROM "
+       f"(SELECT experiment, 'eval' AS kind, metric, value FROM ({T.RUN_HISTORY_SQL}) WHERE metric <> 'n' UNION ALL "
+       f"SELECT experiment, 'fit', metric, value FROM ({T.RUN_HISTORY_SQL}) WHERE metric = 'n') WHERE experiment <> 'click' GROUP BY ALL")
+def q_round_history_roundtrip(spark, sf):
+    """Two appends of round rows, read back by experiment."""
+    path, h = staging_dir(spark, "rounds"), T.run_history(spark, sf)
+    kind = F.when(F.col("metric") == "n", "fit").otherwise("eval")
+    for rounds in ("round % 2 = 0", "round % 2 <> 0"):
+        sinks.append_round_history(h.where(rounds).withColumn("kind", kind), path)
+    back = sinks.read_round_history(spark, path).where("experiment <> 'click'")
+    return back.groupBy("experiment", "kind", "metric").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -430,12 +483,43 @@ def q_imbalance_ratio(spark, sf):
     f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}) + 1e-9, 6) + 0.0 AS mean, "
     f"round(stddev_samp({c}) + 1e-9, 6) + 0.0 AS std, round(min({c}) + 1e-9, 6) + 0.0 AS min, "
     f"round(quantile_cont({c}, 0.25) + 1e-9, 6) + 0.0 AS p25, round(quantile_cont({c}, 0.5) + 1e-9, 6) + 0.0 AS p50, "
-    f"round(quantile_cont({c}, 0.75) + 1e-9, 6) + 0.0 AS p75, round(max({c}) + 1e-9, 6) + 0.0 AS max FROM lineitem"
+    f"round(quantile_cont({c}, 0.75) + 1e-9, 6) + 0.0 AS p75, round(max({c}) + 1e-9, 6) + 0.0 AS max, CAST(0 AS BIGINT) AS n_inf FROM lineitem"
     for c in WIDE_COLS))
 def q_profile_describe(spark, sf):
     return profile.profile_describe(T.wide_numeric(spark, sf), WIDE_COLS)
 
 
+DIRTY_COLS = ["value", "user_id", "k"]
+DIRTY_FINITE = ("SELECT CASE WHEN isfinite(value) THEN value END AS value, CAST(user_id AS DOUBLE) AS user_id, CAST(k AS DOUBLE) AS k, "
+                f"CAST(coalesce(isinf(value), false) AS INTEGER) AS inf_value, 0 AS inf_user_id, 0 AS inf_k FROM ({T.DIRTY_FLOWS_SQL})")
+
+
+@query("profile_describe_dirty", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}) + 1e-9, 6) + 0.0 AS mean, "
+    f"round(stddev_samp({c}) + 1e-9, 6) + 0.0 AS std, round(min({c}) + 1e-9, 6) + 0.0 AS min, "
+    f"round(quantile_cont({c}, 0.25) + 1e-9, 6) + 0.0 AS p25, round(quantile_cont({c}, 0.5) + 1e-9, 6) + 0.0 AS p50, "
+    f"round(quantile_cont({c}, 0.75) + 1e-9, 6) + 0.0 AS p75, round(max({c}) + 1e-9, 6) + 0.0 AS max, "
+    f"CAST(sum(inf_{c}) AS BIGINT) AS n_inf FROM ({DIRTY_FINITE})" for c in DIRTY_COLS))
+def q_profile_describe_dirty(spark, sf):
+    """Infinite and missing values are left out and counted."""
+    return profile.profile_describe(T.dirty_flows(spark, sf), DIRTY_COLS)
+
+
+@query("profile_ranges_dirty", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(min({c}) + 1e-9, 6) + 0.0 AS min, round(max({c}) + 1e-9, 6) + 0.0 AS max, "
+    f"round(max({c}) - min({c}) + 1e-9, 6) + 0.0 AS range, round(stddev_samp({c}) + 1e-9, 6) + 0.0 AS std FROM ({DIRTY_FINITE})"
+    for c in DIRTY_COLS))
+def q_profile_ranges_dirty(spark, sf):
+    return profile.profile_ranges(T.dirty_flows(spark, sf), DIRTY_COLS)
+
+
+@query("correlation_dirty", " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}) + 1e-9, 6) + 0.0 AS corr FROM ({DIRTY_FINITE})"
+    for i, a in enumerate(DIRTY_COLS) for b in DIRTY_COLS[i + 1:]))
+def q_correlation_dirty(spark, sf):
+    return profile.correlation_pairs(T.dirty_flows(spark, sf), DIRTY_COLS)
+
+
 @query("profile_ranges", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", round(min({c}) + 1e-9, 6) + 0.0 AS min, round(max({c}) + 1e-9, 6) + 0.0 AS max, "
     f"round(max({c}) - min({c}) + 1e-9, 6) + 0.0 AS range, round(stddev_samp({c}) + 1e-9, 6) + 0.0 AS std FROM lineitem"
@@ -451,18 +535,17 @@ def q_top_variance(spark, sf):
     return profile.top_variance(T.wide_numeric(spark, sf), 3, WIDE_COLS)
 
 
-CORR_SQL = " UNION ALL ".join(
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}) + 1e-9, 6) + 0.0 AS corr FROM lineitem"
-    for i, a in enumerate(WIDE_COLS) for b in WIDE_COLS[i + 1:])
+CORR_RAW = " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS corr FROM lineitem"
+                              for i, a in enumerate(WIDE_COLS) for b in WIDE_COLS[i + 1:])
 
 
-@query("correlation_pairs", CORR_SQL)
+@query("correlation_pairs", f"SELECT col_a, col_b, round(corr + 1e-9, 6) + 0.0 AS corr FROM ({CORR_RAW})")
 def q_correlation_pairs(spark, sf):
     return profile.correlation_pairs(T.wide_numeric(spark, sf), WIDE_COLS)
 
 
-@query("max_correlation", f"SELECT round(max(abs(corr)) + 1e-9, 6) + 0.0 AS max_abs_corr, CAST(count_if(abs(corr) > 0.9) AS BIGINT) AS n_high_pairs "
-                          f"FROM ({CORR_SQL})")
+@query("max_correlation", "SELECT round(max(corr) + 1e-9, 6) + 0.0 AS max_corr, round(max(abs(corr)) + 1e-9, 6) + 0.0 AS max_abs_corr, "
+                          f"CAST(count_if(abs(corr) > 0.9) AS BIGINT) AS n_high_pairs FROM ({CORR_RAW})")
 def q_max_correlation(spark, sf):
     return profile.max_correlation(profile.correlation_pairs(T.wide_numeric(spark, sf), WIDE_COLS))
 
@@ -507,18 +590,18 @@ def q_client_label_dist(spark, sf):
     return hetero.client_label_dist(family_flows(spark, sf))
 
 
-IMB_SQL = ("SELECT client_id, CAST(count_if(label_bin = 1) AS BIGINT) AS positive, CAST(count_if(label_bin = 0) AS BIGINT) AS negative, "
-           "round(CASE WHEN count_if(label_bin = 0) > 0 THEN count_if(label_bin = 1) / (count_if(label_bin = 0) + 1e-10) "
-           f"ELSE CAST('inf' AS DOUBLE) END + 1e-9, 6) + 0.0 AS imbalance FROM ({BIN_IID}) GROUP BY 1")
+IMB_RAW = ("SELECT client_id, CAST(count_if(label_bin = 1) AS BIGINT) AS positive, CAST(count_if(label_bin = 0) AS BIGINT) AS negative, "
+           "CASE WHEN count_if(label_bin = 0) > 0 THEN count_if(label_bin = 1) / (count_if(label_bin = 0) + 1e-10) "
+           f"ELSE CAST('inf' AS DOUBLE) END AS imbalance FROM ({BIN_IID}) GROUP BY 1")
 
 
-@query("client_imbalance", IMB_SQL)
+@query("client_imbalance", f"SELECT client_id, positive, negative, round(imbalance + 1e-9, 6) + 0.0 AS imbalance FROM ({IMB_RAW})")
 def q_client_imbalance(spark, sf):
     return hetero.client_imbalance(bin_iid(spark, sf), "client_id", "label_bin")
 
 
 @query("imbalance_stats", f"SELECT round(avg(imbalance) + 1e-9, 6) + 0.0 AS mean_imbalance, "
-                          f"round(stddev_pop(imbalance) + 1e-9, 6) + 0.0 AS std_imbalance FROM ({IMB_SQL})")
+                          f"round(stddev_pop(imbalance) + 1e-9, 6) + 0.0 AS std_imbalance FROM ({IMB_RAW})")
 def q_imbalance_stats(spark, sf):
     return hetero.imbalance_stats(hetero.client_imbalance(bin_iid(spark, sf), "client_id", "label_bin"))
 
@@ -629,7 +712,7 @@ def q_confusion_pivot(spark, sf):
 
 @query("softmax", f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS idx, round(exp(logits[i] - list_max(logits)) / "
        f"list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))) + 1e-9, 6) + 0.0 AS proba "
-       f"FROM ({LG}), range(1, 11) t(i)")
+       f"FROM (SELECT *, unnest(range(1, len(logits) + 1)) AS i FROM ({LG}))")
 def q_softmax(spark, sf):
     lg = T.logits(spark, sf)
     return lg.select("vec_id", F.posexplode(M.softmax(F.col("logits"))).alias("idx", "proba")).select(
@@ -818,11 +901,12 @@ rd AS (SELECT experiment, round, sample_rate, noise_multiplier, alpha,
         GROUP BY experiment, round, sample_rate, noise_multiplier, alpha),
 c AS (SELECT *, sum(rdp) OVER (PARTITION BY experiment, alpha ORDER BY round ROWS UNBOUNDED PRECEDING) AS cum,
         ln((alpha - 1.0) / alpha) - (ln(1e-5) + ln(alpha)) / (alpha - 1) AS conv FROM rd)
-SELECT experiment, round, sample_rate, noise_multiplier, round(min(rdp + conv) + 1e-9, 6) + 0.0 AS epsilon_round,
-       round(min(cum + conv) + 1e-9, 6) + 0.0 AS epsilon FROM c GROUP BY ALL"""
+SELECT experiment, round, sample_rate, noise_multiplier, min(rdp + conv) AS epsilon_round, min(cum + conv) AS epsilon
+FROM c GROUP BY ALL"""
 
 
-@query("privacy_ledger", LEDGER_SQL)
+@query("privacy_ledger", "SELECT experiment, round, sample_rate, noise_multiplier, round(epsilon_round + 1e-9, 6) + 0.0 AS epsilon_round, "
+                         f"round(epsilon + 1e-9, 6) + 0.0 AS epsilon FROM ({LEDGER_SQL})")
 def q_privacy_ledger(spark, sf):
     return privacy.privacy_ledger(T.privacy_rounds(spark, sf))
 
@@ -866,13 +950,13 @@ def q_comparison_table(spark, sf):
 
 
 @query("best_by_metric", "SELECT metric, strategy AS best_strategy, round(value + 1e-9, 6) + 0.0 AS value FROM (SELECT *, "
-       "row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('accuracy', 'n') THEN value ELSE -value END "
-       f"DESC, strategy) AS rk FROM ({LV})) WHERE rk = 1")
+       "row_number() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('loss', 'fpr', 'fnr', 'epsilon') THEN value ELSE -value END, "
+       f"strategy) AS rk FROM ({LV})) WHERE rk = 1")
 def q_best_by_metric(spark, sf):
     return H.best_by_metric(T.run_history(spark, sf))
 
 
-@query("improvement_vs_baseline", f"SELECT l.strategy, l.metric, round((l.value - b.value) / abs(b.value) * 100.0 + 1e-9, 6) + 0.0 "
+@query("improvement_vs_baseline", f"SELECT l.strategy, l.metric, round((l.value - b.value) / nullif(abs(b.value), 0) * 100.0 + 1e-9, 6) + 0.0 "
        f"AS improvement_pct FROM ({LV}) l JOIN (SELECT metric, value FROM ({LV}) WHERE strategy = 'baseline') b USING (metric) "
        "WHERE l.strategy <> 'baseline'")
 def q_improvement_vs_baseline(spark, sf):
@@ -885,9 +969,9 @@ def q_history_long(spark, sf):
     return H.history_long(H.history_arrays(T.run_history(spark, sf)))
 
 
-@query("convergence_stats", "SELECT strategy, metric, round(arg_min(value, round) + 1e-9, 6) + 0.0 AS first_value, "
-       "round(arg_max(value, round) + 1e-9, 6) + 0.0 AS last_value, round((arg_max(value, round) - arg_min(value, round)) / "
-       f"abs(arg_min(value, round)) * 100.0 + 1e-9, 6) + 0.0 AS improvement_pct FROM ({RH}) GROUP BY ALL")
+@query("convergence_stats", "SELECT strategy, metric, round(a + 1e-9, 6) + 0.0 AS first_value, round(z + 1e-9, 6) + 0.0 AS last_value, "
+       "round(CASE WHEN metric IN ('loss', 'fpr') THEN a - z ELSE z - a END / nullif(abs(a), 0) * 100.0 + 1e-9, 6) + 0.0 AS improvement_pct "
+       f"FROM (SELECT strategy, metric, arg_min(value, round) AS a, arg_max(value, round) AS z FROM ({RH}) GROUP BY ALL)")
 def q_convergence_stats(spark, sf):
     return H.convergence_stats(T.run_history(spark, sf))
 
@@ -915,7 +999,7 @@ WITH c AS (SELECT l_linestatus AS grp, CAST(count_if(y_pred = 1 AND y_true = 1)
 m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
 SELECT grp AS l_linestatus, round(correct / total + 1e-9, 6) + 0.0 AS accuracy, round(p + 1e-9, 6) + 0.0 AS precision, round(r + 1e-9, 6) + 0.0 AS recall,
   round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END + 1e-9, 6) + 0.0 AS f1,
-  round(1.0 - round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6) + 1e-9, 6) + 0.0 AS specificity FROM m""")
+  round(1.0 - CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END + 1e-9, 6) + 0.0 AS specificity FROM m""")
 def q_radar_rows(spark, sf):
     li = T.table(spark, sf, "lineitem").select(
         "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y_true"),
@@ -932,9 +1016,9 @@ def binary_metrics_by(df, group_col):
                                   F.count(F.lit(1)).alias("total"), F.count_if(p == t).alias("correct"))
     prec = safe_ratio("tp", F.col("tp") + F.col("fp"))
     rec = safe_ratio("tp", F.col("tp") + F.col("fn"))
-    return c.select(group_col, r6(safe_ratio("correct", "total")).alias("accuracy"), r6(prec).alias("precision"),
-                    r6(rec).alias("recall"), r6(f1_of(prec, rec)).alias("f1"),
-                    r6(safe_ratio("fp", F.col("fp") + F.col("tn"))).alias("fpr"))
+    return c.select(group_col, safe_ratio("correct", "total").alias("accuracy"), prec.alias("precision"),
+                    rec.alias("recall"), f1_of(prec, rec).alias("f1"),
+                    safe_ratio("fp", F.col("fp") + F.col("tn")).alias("fpr"))
 
 
 @query("privacy_utility", f"SELECT e.experiment, round(e.epsilon + 1e-9, 6) + 0.0 AS epsilon, round(a.value + 1e-9, 6) + 0.0 AS accuracy "
@@ -950,6 +1034,14 @@ def q_last_rounds(spark, sf):
     return H.last_rounds(T.run_history(spark, sf), 5)
 
 
+@query("results_roundtrip", "")
+def q_results_roundtrip(spark, sf):
+    """Nested results written as JSON, one folder a run, and read again with their schema."""
+    path, res = staging_dir(spark, "results"), H.experiment_results(T.run_history(spark, sf), {"num_clients": 5})
+    sinks.save_results(res, path)
+    return H.strategy_report(sinks.read_results(spark, [path, path + "-not-there"], res.schema))
+
+
 @query("strategy_report", f"""
 WITH per AS (SELECT experiment, strategy, round, max(CASE WHEN metric = 'loss' THEN value END) AS loss,
   max(CASE WHEN metric = 'accuracy' THEN value END) AS accuracy FROM ({RH}) GROUP BY ALL),
@@ -965,6 +1057,9 @@ def q_strategy_report(spark, sf):
     return H.strategy_report(H.experiment_results(T.run_history(spark, sf), {"num_clients": 5}))
 
 
+ORACLE["results_roundtrip"] = ORACLE["strategy_report"]
+
+
 # ---------------------------------------------------------------------------------------------
 # training (M1-M4, M14-M17): rows-only except the linear scoring / closed-form step
 from ..operators import train as TR  # noqa: E402
@@ -1003,26 +1098,13 @@ def q_baseline_train(spark, sf):
     return M.eval_table(pred, "y_true", "y_pred")
 
 
-CENTROIDS_SQL = ("SELECT label AS k, list_transform(range(0, 64), lambda j: avg(embedding[j + 1])) AS w FROM embeddings "
-                 "GROUP BY label")
-
-
-def class_centroids(spark, sf):
-    """(label, centroid) — K x F doubles, collected to build the linear model."""
-    e = T.table(spark, sf, "embeddings")
-    dims = e.select(F.size("embedding")).first()[0]
-    g = e.groupBy("label").agg(*[F.avg(F.element_at("embedding", j + 1)).alias(f"c{j}") for j in range(dims)])
-    rows = sorted(g.collect(), key=lambda r: r["label"])
-    return [r["label"] for r in rows], [[r[f"c{j}"] for j in range(dims)] for r in rows]
-
-
 @query("score_linear", """
 WITH x AS (SELECT vec_id, label, j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j)),
 c AS (SELECT label AS k, j, avg(v) AS w FROM x GROUP BY ALL),
 d AS (SELECT x.vec_id, c.k, sum(x.v * c.w) AS logit FROM x JOIN c USING (j) GROUP BY ALL)
 SELECT vec_id, CAST(arg_max(k, logit) AS INTEGER) AS y_pred, round(max(logit) + 1e-9, 6) + 0.0 AS max_logit FROM d GROUP BY vec_id""")
 def q_score_linear(spark, sf):
-    labels, W = class_centroids(spark, sf)
+    labels, W = T.class_centroids(spark, sf)
     e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"))
     s = TR.score_linear(e, W)
     lab = F.array(*[F.lit(int(x)) for x in labels])
@@ -1046,7 +1128,7 @@ def q_sgd_step_zero_init(spark, sf):
     (client = vec_id % 5), then FedAvg: W[k][j] = −lr·(S_j/K − S_kj)/n_c averaged by n_c."""
     e = T.table(spark, sf, "embeddings").select((F.col("vec_id") % 5).cast("int").alias("client_id"), "label",
                                                 F.posexplode("embedding").alias("j", "v"))
-    labels = clean.sorted_labels(e, "label")   # size-checked (<= MAX_LABELS)
+    labels = clean.sorted_labels(e, "label")   # classes of the model
     labels = sorted(int(x) for x in labels)
     K = len(labels)
     n = T.table(spark, sf, "embeddings").groupBy((F.col("vec_id") % 5).cast("int").alias("client_id")).agg(
@@ -1079,11 +1161,7 @@ def staged_event_csvs(spark, sf):
     """S1-S4 fixture derived from the whole ``events`` table: written as CSV part files into the
     shared checkpoint folder in two header layouts — padded names (S3), and click/view rows
     without ``user_id`` (S4 fills NULL). Returns the two folders."""
-    import hashlib
-
-    from ..session import ensure_checkpoint_dir
-
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv_stage/{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+    base = staging_dir(spark, "csv")
     ev = T.table(spark, sf, "events")
     short = F.col("event_type").isin("click", "view")
     ev.where(short).select(F.col("event_id").alias(" event_id"), F.col("value").alias("value "),
@@ -1100,3 +1178,21 @@ def q_csv_scan(spark, sf):
     df = CSV.read_flow_csvs(spark, staged_event_csvs(spark, sf))
     return df.select(F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"),
                      "event_type", F.col("user_id").cast("long").alias("user_id"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Operators return full precision; a query rounds the columns that its oracle rounds.
+ROUNDED = re.compile(r"1e-9, 6\)\s*\+ 0\.0\s+AS\s+\"?(\w+)")
+
+
+def _rounded(fn, names: set):
+    def run(spark, sf):
+        df = fn(spark, sf)
+        return df.select(*[r6(F.col(f"`{c}`")).alias(c) if c in names and t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    run.__doc__, run.__name__ = fn.__doc__, getattr(fn, "__name__", "query")
+    return run
+
+
+for _name, _sql in ORACLE.items():
+    if _found := set(ROUNDED.findall(_sql)):
+        QUERIES[_name] = _rounded(QUERIES[_name], _found)

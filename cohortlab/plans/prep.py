@@ -20,11 +20,11 @@ class PrepResult:
 
 def prep_pipeline(df: DataFrame, key: str, label_col: str | None = None,
                   rate_cols=clean.RATE_COLUMNS, test_size: float = 0.2, seed: int = 42,
-                  passthrough=("ts",), output_dir: str | None = None, materialize: str | None = None) -> PrepResult:
+                  passthrough=("ts",), output_dir: str | None = None, materialize: str | None = "persist") -> PrepResult:
     """``materialize``: None (lazy), "persist" (memory+disk, recomputed from lineage if an
     executor is lost) or "checkpoint" (reliable copy in spark.checkpoint.dir, lineage cut)."""
     label_col = label_col or clean.resolve_label_column(df)
-    d = clean.dedup_rows(clean.remove_infinite_values(df, rate_cols))
+    d = clean.dedup_rows(clean.remove_infinite_values(df, rate_cols), key)
     if clean.resolve_column(d, clean.TIMESTAMP_CANDIDATES) is not None:
         d = clean.parse_ts(d)
     if materialize == "persist":

@@ -6,7 +6,7 @@ fine for an oracle at sf0.01); nothing here runs on Spark.
 from __future__ import annotations
 
 from ..operators.clean import ATTACK_FAMILIES, NORMAL_NAMES
-from ..sources.tables import DIRTY_FLOWS_SQL, FLOWS_SQL
+from ..sources.tables import FLOWS_SQL, REPEATED_DIRTY_SQL
 
 
 def family_sql(label: str = "label") -> str:
@@ -28,10 +28,11 @@ def h(key: str, seed: int = 42) -> str:
 
 
 def cleaned_flows_sql() -> str:
-    """Dirty flows -> inf/NaN to NULL in value -> drop NULL value -> dedup."""
-    return ("SELECT DISTINCT event_id, ts, label, value, user_id, k FROM ("
+    """Dirty, repeated flows -> inf/NaN to NULL in value -> drop NULL value -> rows alike but for
+    the key become the one with the smallest key."""
+    return ("SELECT min(event_id) AS event_id, ts, label, value, user_id, k FROM ("
             "SELECT event_id, ts, label, CASE WHEN isinf(value) OR isnan(value) THEN NULL ELSE value END AS value, "
-            f"user_id, k FROM ({DIRTY_FLOWS_SQL})) WHERE value IS NOT NULL")
+            f"user_id, k FROM ({REPEATED_DIRTY_SQL})) WHERE value IS NOT NULL GROUP BY ts, label, value, user_id, k")
 
 
 def iid_sql(src: str, key: str = "event_id", n: int = 5, seed: int = 42) -> str:
@@ -59,10 +60,14 @@ def family_part_sql(src: str, key: str = "event_id", label: str = "label", n: in
         f"CAST(least((_pos * {n} - 1) // _m, {n - 1}) AS INTEGER) AS client_id FROM nr")
 
 
-def dist_sql(assign: str, client: str = "client_id", label: str = "label") -> str:
-    """(client_i, client_j, emd_value, emd_label, tv_distance) from an assignment relation."""
+def dist_sql(assign: str, client: str = "client_id", label: str = "label", digits: bool = True, id_type: str = "INTEGER") -> str:
+    """(client_i, client_j, emd_value, emd_label, tv_distance) from an assignment relation; NULL
+    labels count for nothing. ``digits=False``: unrounded, for what is computed from them."""
+    def shown(x):
+        return f"round({x} + 1e-9, 6) + 0.0" if digits else x
+
     return f"""
-WITH A AS (SELECT {client} AS cid, CAST({label} AS VARCHAR) AS lab FROM ({assign})),
+WITH A AS (SELECT {client} AS cid, CAST({label} AS VARCHAR) AS lab FROM ({assign}) WHERE {label} IS NOT NULL),
 c AS (SELECT cid, lab, count(*) AS cnt FROM A GROUP BY cid, lab),
 labs AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS li FROM (SELECT DISTINCT lab FROM A)),
 kk AS (SELECT count(*) AS k FROM labs),
@@ -78,10 +83,10 @@ byli AS (SELECT x.cid AS ci, y.cid AS cj, sum(abs(x.p - y.p)) AS l1,
          FROM ps x JOIN ps y ON x.li = y.li AND x.cid < y.cid GROUP BY x.cid, y.cid),
 bysr AS (SELECT x.cid AS ci, y.cid AS cj, sum(abs(x.p - y.p)) AS ls
          FROM ps x JOIN ps y ON x.sr = y.sr AND x.cid < y.cid GROUP BY x.cid, y.cid)
-SELECT CAST(byli.ci AS INTEGER) AS client_i, CAST(byli.cj AS INTEGER) AS client_j,
-       round(bysr.ls / (SELECT k FROM kk) + 1e-9, 6) + 0.0 AS emd_value,
-       round(byli.dcdf + 1e-9, 6) + 0.0 AS emd_label,
-       round(0.5 * byli.l1 + 1e-9, 6) + 0.0 AS tv_distance
+SELECT CAST(byli.ci AS {id_type}) AS client_i, CAST(byli.cj AS {id_type}) AS client_j,
+       {shown("bysr.ls / (SELECT k FROM kk)")} AS emd_value,
+       {shown("byli.dcdf")} AS emd_label,
+       {shown("0.5 * byli.l1")} AS tv_distance
 FROM byli JOIN bysr ON byli.ci = bysr.ci AND byli.cj = bysr.cj
 """
 

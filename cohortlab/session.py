@@ -30,9 +30,10 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (tests, local runs) do we create a scratch folder.
+    Only where it is unset and the session is local (tests) is a scratch folder made; on a
+    cluster a folder that the executors don't share would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -40,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="cohortlab-ckpt-")
     sc.setCheckpointDir(path)
-    return path
+    return sc.getCheckpointDir()

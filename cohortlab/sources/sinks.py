@@ -2,8 +2,7 @@
 is partitioned by the column readers filter on, so reads prune partitions."""
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,22 +47,26 @@ def save_results(results: DataFrame, path: str, mode: str = "overwrite") -> None
     results.write.mode(mode).partitionBy("experiment_name").json(path)
 
 
-def read_results(spark: SparkSession, paths, schema=None, multi_line: bool = True) -> DataFrame:
-    """Read result JSON files; paths that do not exist are skipped (as the reference does);
-    ``source_file`` tells which file a row came from."""
+def read_results(spark: SparkSession, paths, schema=None, multi_line: bool = False) -> DataFrame:
+    """Read result JSON files or folders; paths that do not exist are skipped (as the reference
+    does); ``source_file`` tells which file a row came from. Whether a path exists is asked of
+    the file system that Spark reads it from."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    existing = [p for p in paths if _exists(spark, p)]
-    if not existing:
+    found = [df for p in paths if (df := _read_json(spark, p, schema, multi_line)) is not None]
+    if not found:
         return spark.createDataFrame([], schema or "source_file string")
-    r = spark.read.option("multiLine", multi_line)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(existing).withColumn("source_file", F.col("_metadata.file_path"))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(path.replace("file://", ""))
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _read_json(spark: SparkSession, path: str, schema, multi_line: bool) -> DataFrame | None:
+    r = spark.read.option("multiLine", multi_line)
+    try:
+        df = (r.schema(schema) if schema is not None else r).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return df.withColumn("source_file", F.col("_metadata.file_path"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import safe_ratio
+
 # The event_type -> flow-label rule used by every flow fixture (first match wins).
 EVENT_LABELS = [
     ("error", "DDoS"),
@@ -109,6 +111,32 @@ def wide_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
+# added to the key of a repeated row, so that keys stay unique
+REPEAT_KEY = 1_000_000_000_000
+
+
+def repeated_dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty flows, and every row with event_id % 10 = 0 once more under another key."""
+    d = dirty_flows(spark, sf_dir)
+    again = d.where(F.col("event_id") % 10 == 0).withColumn("event_id", F.col("event_id") + F.lit(REPEAT_KEY))
+    return d.unionByName(again)
+
+
+REPEATED_DIRTY_SQL = (f"SELECT * FROM ({DIRTY_FLOWS_SQL}) UNION ALL SELECT event_id + {REPEAT_KEY}, ts, label, value, user_id, k "
+                      f"FROM ({DIRTY_FLOWS_SQL}) WHERE event_id % 10 = 0")
+
+
+def flows_without_some_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows on clients with text ids; the label is NULL where event_id % 7 = 0."""
+    f = flows(spark, sf_dir)
+    return f.select("event_id", F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("client_id"),
+                    F.when(F.col("event_id") % 7 != 0, F.col("label")).alias("label"))
+
+
+FLOWS_WITHOUT_SOME_LABELS_SQL = ("SELECT event_id, 'c' || CAST(user_id % 7 AS VARCHAR) AS client_id, "
+                                 f"CASE WHEN event_id % 7 <> 0 THEN label END AS label FROM ({FLOWS_SQL})")
+
+
 def dirty_dup_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyless dirty flows plus a copy of every row whose event_id % 10 = 0 (profile input)."""
     d = dirty_flows(spark, sf_dir)
@@ -151,16 +179,32 @@ def binary_predictions_sql(tied: bool = True) -> str:
             "CAST(l_discount * 10 > 0.5 AS INTEGER) AS y_pred FROM lineitem")
 
 
+def class_centroids(spark: SparkSession, sf_dir: str) -> tuple[list, list]:
+    """(labels, mean vector of each): K x F doubles, the weights of a linear model."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("j", "v"))
+    g = e.groupBy("label", "j").agg(F.avg("v").alias("w")).groupBy("label").agg(
+        F.array_sort(F.collect_list(F.struct("j", "w"))).alias("ws"))
+    rows = sorted(g.collect(), key=lambda r: r["label"])
+    return [r["label"] for r in rows], [[x["w"] for x in r["ws"]] for r in rows]
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings: logits = first 10 dims, y_true = label, client_id = vec_id % 5."""
+    """embeddings scored by the linear model of the class centroids, over all dimensions:
+    (vec_id, client_id = vec_id % 5, logits by class, y_true = label)."""
+    from ..operators.train import score_linear
+
+    _, weights = class_centroids(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (F.col("vec_id") % 5).cast("int").alias("client_id"),
-                    F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
-                    F.col("label").cast("int").alias("y_true"))
+    return score_linear(e, weights, features="embedding").select(
+        "vec_id", (F.col("vec_id") % 5).cast("int").alias("client_id"), "logits", F.col("label").cast("int").alias("y_true"))
 
 
-LOGITS_SQL = ("SELECT vec_id, CAST(vec_id % 5 AS INTEGER) AS client_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits, "
-              "CAST(label AS INTEGER) AS y_true FROM embeddings")
+LOGITS_SQL = (
+    "WITH x AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), "
+    "c AS (SELECT label AS k, j, avg(v) AS w FROM x GROUP BY ALL), "
+    "d AS (SELECT x.vec_id, any_value(x.label) AS label, c.k, sum(x.v * c.w) AS logit FROM x JOIN c USING (j) GROUP BY x.vec_id, c.k) "
+    "SELECT vec_id, CAST(vec_id % 5 AS INTEGER) AS client_id, list(logit ORDER BY k) AS logits, "
+    "CAST(any_value(label) AS INTEGER) AS y_true FROM d GROUP BY vec_id")
 
 
 # Parameter layout of the embedding-backed client updates (flat order).
@@ -215,21 +259,30 @@ STRATEGY_SQL = "CASE WHEN event_type = 'view' THEN 'baseline' ELSE event_type EN
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(experiment, strategy, round, metric, value): strategy = event_type ('view' is the
-    baseline), round = day of month, loss = avg(value), accuracy = avg(value < 100), n."""
+    baseline), round = day of month, loss = avg(value), accuracy = avg(value < 100), n; f1 and fpr
+    of the prediction value < 100 for an even user_id."""
     ev = table(spark, sf_dir, "events")
+    even, low = F.col("user_id") % 2 == 0, F.col("value") < 100
     g = ev.groupBy(strategy_col().alias("strategy"), F.dayofmonth("ts").cast("int").alias("round")).agg(
-        F.avg("value").alias("loss"), F.avg((F.col("value") < 100).cast("double")).alias("accuracy"),
-        F.count(F.lit(1)).cast("double").alias("n"))
-    structs = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("loss", "accuracy", "n")]
+        F.avg("value").alias("loss"), F.avg(low.cast("double")).alias("accuracy"), F.count(F.lit(1)).cast("double").alias("n"),
+        F.count_if(even & low).alias("tp"), F.count_if(~even & low).alias("fp"), F.count_if(even & ~low).alias("fn"),
+        F.count_if(~even & ~low).alias("tn"))
+    g = g.withColumn("f1", safe_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))).withColumn(
+        "fpr", safe_ratio("fp", F.col("fp") + F.col("tn")))
+    structs = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in HISTORY_METRICS]
     return g.select(F.col("strategy").alias("experiment"), "strategy", "round",
                     F.explode(F.array(*structs)).alias("s")).select("experiment", "strategy", "round", "s.metric", "s.value")
 
 
+HISTORY_METRICS = ("loss", "accuracy", "n", "f1", "fpr")
 RUN_HISTORY_SQL = (
-    f"WITH g AS (SELECT {STRATEGY_SQL} AS strategy, CAST(dayofmonth(ts) AS INTEGER) AS round, avg(value) AS loss, "
-    "avg(CAST(value < 100 AS DOUBLE)) AS accuracy, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY ALL) "
-    "SELECT strategy AS experiment, strategy, round, 'loss' AS metric, loss AS value FROM g UNION ALL "
-    "SELECT strategy, strategy, round, 'accuracy', accuracy FROM g UNION ALL SELECT strategy, strategy, round, 'n', n FROM g")
+    f"WITH h AS (SELECT {STRATEGY_SQL} AS strategy, CAST(dayofmonth(ts) AS INTEGER) AS round, value, user_id % 2 = 0 AS even, "
+    "value < 100 AS low FROM events), "
+    "g AS (SELECT strategy, round, avg(value) AS loss, avg(CAST(low AS DOUBLE)) AS accuracy, CAST(count(*) AS DOUBLE) AS n, "
+    "coalesce(2.0 * count_if(even AND low) / nullif(2 * count_if(even AND low) + count_if(NOT even AND low) + count_if(even AND NOT low), 0), 0.0) AS f1, "
+    "coalesce(1.0 * count_if(NOT even AND low) / nullif(count_if(NOT even), 0), 0.0) AS fpr FROM h GROUP BY ALL) "
+    + " UNION ALL ".join(f"SELECT strategy AS experiment, strategy, round, '{m}' AS metric, {m} AS value FROM g"
+                         for m in HISTORY_METRICS))
 
 # Noise multiplier per experiment of the privacy fixture.
 NOISE_BY_STRATEGY = [("baseline", 0.5), ("click", 1.0), ("error", 2.0), ("purchase", 1.0), ("signup", 2.0)]
