@@ -236,13 +236,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         bucket = Window.partitionBy("sig")
         sent = _signature_rows(known, bands)
         shared = sent.withColumn("k", F.count(F.lit(1)).over(bucket)).where("k > 1").select("sig", "id")
-        shared = shared.join(moved, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
+        shared = shared.join(sized(moved), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
         shared = shared.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket))
         shared = stage(shared.where("low < high").select("sig", "id", "low"))
         stars = shared.where("id > low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
         links = cut(_verified(known, _likely_wide(_likely(stars, sketches, percent), wide, percent), percent).unionByName(tied))
         first = cut(components(links))
-        placed = shared.join(first, F.col("id") == F.col("node"), "left").select(
+        placed = shared.join(sized(first), F.col("id") == F.col("node"), "left").select(
             "sig", "id", F.coalesce("component", "id").alias("c"))
         placed = placed.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket))
         sides = stage(placed.where("lo < hi").select("sig", "id", "c").join(sketches, "id"))
