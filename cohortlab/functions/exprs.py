@@ -79,13 +79,11 @@ def combine_rows(*dfs):
     return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
-def materialize(df, reliable: bool = False):
-    """Keep a SMALL intermediate that several branches reuse (per-client label counts,
-    confusion counts) so the row-level work behind it runs once: memory+disk persist by
-    default (rebuilt from lineage if an executor is lost); ``reliable=True`` checkpoints it
-    into the cluster's spark.checkpoint.dir instead, cutting the lineage."""
-    from pyspark import StorageLevel
-
-    if reliable and df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def materialize(df):
+    """Keep a SMALL intermediate that several branches reuse (per-client label counts, confusion
+    counts) so the row-level work behind it runs once: written to the checkpoint folder, which
+    outlives a lost executor and which Spark cleans when nothing refers to it any more."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

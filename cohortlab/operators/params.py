@@ -130,7 +130,7 @@ def dp_clip(updates: DataFrame, global_model: DataFrame, clip_norm: float, scope
 
 # M10 ----------------------------------------------------------------------------------------
 def noise_hash(secret, round_col="round", tensor_col="tensor", idx_col="idx"):
-    return F.md5(F.concat_ws(":", F.lit(str(secret)), F.col(round_col).cast("string"), F.col(tensor_col),
+    return F.md5(F.concat_ws(":", secret, F.col(round_col).cast("string"), F.col(tensor_col),
                              F.col(idx_col).cast("string")))
 
 
@@ -138,15 +138,19 @@ def dp_fedavg(updates: DataFrame, global_model: DataFrame, clip_norm: float, noi
               secret: int | None = None, scope: str = "flat") -> DataFrame:
     """DP-FedAvg (McMahan et al. 2018): w = w_g + (Σ_i clip(Δ_i) + N(0, (z·C)²)) / m with m the
     round's participants (uniform weighting). Noise is a hash-keyed Gaussian per
-    (secret, round, tensor, idx): identical under any repartitioning or task retry. A fixed
-    ``secret`` is for tests only; by default a fresh one is drawn from the OS RNG."""
+    (secret, round, tensor, idx): identical under any repartitioning or task retry. The secret
+    is a value in a one-row table, not a literal, so neither plans nor event logs show it. A
+    fixed one is for tests only; by default a fresh one is drawn from the OS RNG."""
     if secret is None:
         import secrets
         secret = secrets.randbits(63)
     c = dp_clip(updates, global_model, clip_norm, scope)
     m = c.groupBy("round").agg(F.countDistinct("client_id").alias("_m"))
     s = c.groupBy(*KEY).agg(F.first("w_g").alias("w_g"), F.sum("delta").alias("_sum"))
-    noise = F.lit(float(noise_multiplier) * float(clip_norm)) * gaussian_from_hash(noise_hash(secret))
+    spark = updates.sparkSession
+    hidden = spark.createDataFrame(spark.sparkContext.parallelize([(0, str(secret))], 1), "_zero int, _secret string")
+    s = s.withColumn("_zero", F.lit(0)).join(F.broadcast(hidden), "_zero")
+    noise = F.lit(float(noise_multiplier) * float(clip_norm)) * gaussian_from_hash(noise_hash(F.col("_secret")))
     return s.join(m, "round").select(*KEY, (F.col("w_g") + (F.col("_sum") + noise) / F.col("_m")).alias("value"))
 
 

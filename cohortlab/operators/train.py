@@ -2,7 +2,7 @@
 
 The model is a small list of numpy tensors (F·H doubles, bounded by the architecture, never
 by the data). Local training runs in ``groupBy(client_id, shard_id).applyInPandas``: each
-task holds one shard of one client (``max_rows_per_shard`` bounds task memory, so a client
+task holds one shard of one client (``n_shards`` bounds task memory, so a client
 holding a third of all rows is split over many tasks) and returns its parameters as rows of
 the long parameter table. Shards of a client are then n-weighted-averaged with a plain
 aggregate. Scoring is an Arrow-batched pandas UDF (one matmul per batch).
@@ -139,17 +139,12 @@ def model_from_table(params: DataFrame, template) -> list[tuple[str, np.ndarray]
 
 
 # M2 -----------------------------------------------------------------------------------------
-def with_shards(df: DataFrame, key: str, client_col: str = "client_id", max_rows_per_shard: int = 200_000,
-                seed: int = 42) -> DataFrame:
-    """shard_id = hash(key) mod ceil(n_client / max_rows_per_shard): one shard reproduces the
-    reference's single local run; a huge client is split so no task holds it whole."""
-    sizes = {r[0]: r[1] for r in df.groupBy(client_col).count().collect()}  # one row per client
-    shards = {c: max(1, math.ceil(n / max_rows_per_shard)) for c, n in sizes.items()}
-    if all(s == 1 for s in shards.values()):
-        return df.withColumn("shard_id", F.lit(0))
-    m = F.create_map(*[x for c, s in shards.items() for x in (F.lit(c), F.lit(s))])
+def with_shards(df: DataFrame, key: str, n_shards: int = 1, seed: int = 42) -> DataFrame:
+    """shard_id = hash(key) mod n_shards. One shard per client reproduces the reference's single
+    local run; with more, each trains on its part and the models are averaged, which is another
+    algorithm. So the number is a parameter of the run, never derived from the data's size."""
     h = F.conv(F.substring(hash_hex(key, seed), 1, 8), 16, 10).cast("long")
-    return df.withColumn("shard_id", (h % F.element_at(m, F.col(client_col))).cast("int"))
+    return df.withColumn("shard_id", (h % F.lit(n_shards)).cast("int"))
 
 
 def local_train(df: DataFrame, model, key: str, features: str = "features", label: str = "label",

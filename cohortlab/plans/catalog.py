@@ -1087,15 +1087,41 @@ def q_federated_train(spark, sf):
     return FED.federated_train(emb_clients(spark, sf), "vec_id", cfg).history
 
 
-@query("baseline_train", None)
-def q_baseline_train(spark, sf):
-    d = emb_clients(spark, sf)
-    model = TR.baseline_train(d.where("split = 'train'"), max_iter=50)
-    from pyspark.ml.functions import array_to_vector
+DP_ROUNDS = ("SELECT 'dp' AS experiment, CAST(r AS INTEGER) AS round, greatest(floor(5 * 0.6), 1) / 5.0 AS sample_rate, "
+             "CAST(1.5 AS DOUBLE) AS noise_multiplier FROM range(1, 4) t(r), (SELECT count(*) FROM embeddings)")
+
+
+@query("federated_dp", "SELECT round, metric, round(value + 1e-9, 6) + 0.0 AS value FROM (SELECT round, unnest(['epsilon', 'epsilon_round', 'delta']) "
+       f"AS metric, unnest([epsilon, epsilon_round, 1e-5]) AS value FROM ({LEDGER_SQL.replace(T.PRIVACY_ROUNDS_SQL, DP_ROUNDS)}))")
+def q_federated_dp(spark, sf):
+    """What private training spends, round by round, as its history records it."""
+    cfg = FED.FedConfig(strategy="dp", n_rounds=3, local_epochs=1, batch_size=64, noise_multiplier=1.5, fraction_fit=0.6,
+                        experiment="dp", n_shards=2, dp_secret=3)
+    h = FED.federated_train(emb_clients(spark, sf), "vec_id", cfg).history
+    return h.where("kind = 'privacy'").select("round", "metric", "value")
+
+
+@query("baseline_mlp", None)
+def q_baseline_mlp(spark, sf):
+    """The centralised baseline with a hidden layer."""
+    return _baseline_eval(emb_clients(spark, sf), hidden=(16,), max_iter=30)
+
+
+def _baseline_eval(d, **how):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    model = TR.baseline_train(d.where("split = 'train'"), **how)
     ev = d.where("split = 'val'").select(array_to_vector(F.col("features").cast("array<double>")).alias("fv"),
                                          F.col("label").alias("y_true"), "client_id")
     pred = model.transform(ev).withColumn("y_pred", F.col("prediction").cast("int"))
-    return M.eval_table(pred, "y_true", "y_pred")
+    # log probabilities are logits whose loss is the model's own
+    logits = F.transform(vector_to_array("probability"), lambda x: F.log(F.greatest(x, F.lit(1e-300))))
+    return M.eval_table(pred.withColumn("logits", logits), "y_true", "y_pred", logits="logits")
+
+
+@query("baseline_train", None)
+def q_baseline_train(spark, sf):
+    return _baseline_eval(emb_clients(spark, sf), max_iter=50)
 
 
 @query("score_linear", """

@@ -1,23 +1,24 @@
 """Federated round loop (M14-M17): sample -> local fit (executors) -> aggregate (executors)
 -> collect the model (driver, model-sized) -> evaluate (executors) -> append history.
 
-Each round is a handful of Spark jobs over the persisted/checkpointed training table; the
-model travels as a closure constant (bounded by the architecture), so lineage does not grow
-from round to round.
+Each round trains once: the clients' updates are written to the checkpoint folder and read by
+aggregation and fit metrics. The model travels as a closure constant (bounded by the
+architecture), so lineage does not grow from round to round. History stays a DataFrame.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import small
 from ..operators import metrics as M
 from ..operators import params as PM
-from ..operators import partition
+from ..operators import partition, privacy
 from ..operators import train as TR
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -34,9 +35,12 @@ class FedConfig:
     min_available_clients: int = 1
     server_momentum: float = 0.0
     clip_norm: float = 1.0          # DP
-    noise_multiplier: float = 0.0   # DP
+    noise_multiplier: float = 1.0   # DP; 0 is refused, it would give no privacy
+    clip_scope: str = "flat"        # DP: "flat" or "per_tensor"
+    delta: float = 1e-5             # DP
+    max_order: int = privacy.MAX_ORDER   # DP: highest Rényi order of the ledger
     dp_secret: int | None = None
-    max_rows_per_shard: int = 200_000
+    n_shards: int = 1               # parts that a client's rows are trained in
     seed: int = 42
     experiment: str = "run"
     round_overrides: dict = field(default_factory=dict)   # M16: {round: {"local_epochs": .., "mu": ..}}
@@ -45,14 +49,41 @@ class FedConfig:
 @dataclass
 class FedResult:
     model: list
-    history: DataFrame   # (experiment, strategy, round, scope, client_id, metric, value)
+    history: DataFrame   # (experiment, strategy, round, kind, scope, client_id, metric, value)
 
 
-def _evaluate(evald: DataFrame, model, features, label, client_col) -> list:
+HISTORY = ["experiment", "strategy", "round", "kind", "scope", "client_id", "metric", "value"]
+
+
+def _evaluated(evald: DataFrame, model, features, label, client_col) -> DataFrame:
     scored = TR.score(evald, model, features).withColumn("y_pred", M.argmax(F.col("logits")))
     scored = scored.withColumnRenamed(label, "y_true") if label != "y_true" else scored
     tab = M.round_eval(scored, "y_true", "y_pred", client_col, logits="logits")
-    return [(r[client_col], r["metric"], r["value"], r["scope"]) for r in tab.collect()]  # clients x metrics rows
+    return tab.select(F.lit("eval").alias("kind"), "scope", F.col(client_col).alias("client_id"), "metric", "value")
+
+
+def _fitted(updates: DataFrame) -> DataFrame:
+    """Training loss and examples of each client, and over all of them."""
+    per = updates.groupBy("client_id").agg(F.first("num_examples").cast("double").alias("n"), F.first("loss").alias("loss"))
+    whole = per.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("loss")) / F.sum("n")).alias("loss"))
+    both = per.withColumn("scope", F.lit("client")).unionByName(
+        whole.withColumn("scope", F.lit("global")).withColumn("client_id", F.lit(None).cast("int")))
+    pairs = F.array(F.struct(F.lit("loss").alias("metric"), F.col("loss").alias("value")),
+                    F.struct(F.lit("n").alias("metric"), F.col("n").alias("value")))
+    return both.select(F.lit("fit").alias("kind"), "scope", "client_id", F.explode(pairs).alias("s")).select(
+        "kind", "scope", "client_id", "s.metric", "s.value")
+
+
+def _ledger_rows(spark, cfg: FedConfig, rates: list) -> DataFrame:
+    """epsilon, epsilon_round and delta of every round so far, from the rounds' sample rates."""
+    rounds = spark.createDataFrame([(cfg.experiment, r, q, float(cfg.noise_multiplier)) for r, q in rates],
+                                   "experiment string, round int, sample_rate double, noise_multiplier double")
+    led = privacy.privacy_ledger(rounds, cfg.delta, cfg.max_order)
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in (
+        ("epsilon", F.col("epsilon")), ("epsilon_round", F.col("epsilon_round")), ("delta", F.lit(float(cfg.delta))))])
+    return led.select("round", F.lit("privacy").alias("kind"), F.lit("global").alias("scope"),
+                      F.lit(None).cast("int").alias("client_id"), F.explode(pairs).alias("s")).select(
+        "round", "kind", "scope", "client_id", "s.metric", "s.value")
 
 
 def federated_train(data: DataFrame, key: str, cfg: FedConfig, features: str = "features", label: str = "label",
@@ -60,35 +91,48 @@ def federated_train(data: DataFrame, key: str, cfg: FedConfig, features: str = "
     """``data`` carries ``client_id`` and ``split`` ('train' / 'val'). ``materialize``:
     'persist' (memory+disk) or 'checkpoint' (reliable copy in spark.checkpoint.dir)."""
     spark = data.sparkSession
+    ensure_checkpoint_dir(spark)
     strategy = cfg.strategy.lower()
     if strategy not in PM.STRATEGIES:
         raise ValueError(f"unknown strategy {cfg.strategy!r}; expected one of {sorted(PM.STRATEGIES)}")
+    private = strategy == "dp"
+    if private and cfg.noise_multiplier <= 0:
+        raise ValueError("strategy 'dp' needs a noise_multiplier above 0")
     data = data.persist(StorageLevel.MEMORY_AND_DISK)   # read by the size probes below and both splits
     meta = data.agg(F.max(F.size(features)).alias("f"), F.max(label).alias("k")).first()
     n_features, n_classes = int(meta["f"]), int(meta["k"]) + 1
     model = TR.init_model(TR.layer_dims(n_features, n_classes, cfg.hidden), cfg.seed)
-    train = TR.with_shards(data.where(F.col(split_col) == "train"), key, client_col, cfg.max_rows_per_shard, cfg.seed)
+    train = TR.with_shards(data.where(F.col(split_col) == "train"), key, cfg.n_shards, cfg.seed)
     evald = data.where(F.col(split_col) != "train").select(client_col, features, label)
     if materialize == "checkpoint":
         train, evald = train.checkpoint(eager=True), evald.checkpoint(eager=True)
     else:
         train, evald = train.persist(StorageLevel.MEMORY_AND_DISK), evald.persist(StorageLevel.MEMORY_AND_DISK)
-    clients = train.select(client_col).distinct()
-    rows = [(0, *r) for r in _evaluate(evald, model, features, label, client_col)]
-    velocity = None
+    clients = train.select(client_col).distinct().checkpoint()
+    n_clients = clients.count()
+    parts, rates, velocity = [], [], None
+
+    def keep(rnd: int, rows: DataFrame) -> None:
+        rows = rows.select(F.lit(cfg.experiment).alias("experiment"), F.lit(strategy).alias("strategy"),
+                           F.lit(rnd).alias("round"), "kind", "scope", "client_id", "metric", "value")
+        parts.append(rows.checkpoint())
+
+    keep(0, _evaluated(evald, model, features, label, client_col))
     for rnd in range(1, cfg.n_rounds + 1):
         ov = cfg.round_overrides.get(rnd, {})
         epochs, mu = ov.get("local_epochs", cfg.local_epochs), ov.get("mu", cfg.mu if strategy == "fedprox" else 0.0)
         sampled = partition.sample_clients(clients.withColumn("round", F.lit(rnd)), "round", client_col,
                                            cfg.fraction_fit, cfg.min_fit_clients, cfg.min_available_clients, cfg.seed,
                                            check=rnd == 1)   # same clients every round
-        part = train.join(F.broadcast(sampled.select(client_col)), client_col, "left_semi")  # one row per client
+        sampled = sampled.select(client_col).checkpoint()
+        rates.append((rnd, sampled.count() / n_clients))
+        part = train.join(small(sampled), client_col, "left_semi")
         shard_params = TR.local_train(part, model, key, features, label, client_col, epochs, cfg.batch_size,
                                       cfg.lr, mu, cfg.seed, rnd)
-        upd = TR.combine_shards(shard_params).withColumn("round", F.lit(rnd))
+        upd = TR.combine_shards(shard_params).withColumn("round", F.lit(rnd)).checkpoint()
         glob = spark.createDataFrame([(rnd, t, i, v) for t, i, v in TR.model_to_rows(model)],
                                      "round int, tensor string, idx int, value double")
-        agg = PM.aggregate_round(strategy, upd, glob, clip_norm=cfg.clip_norm,
+        agg = PM.aggregate_round(strategy, upd, glob, clip_norm=cfg.clip_norm, scope=cfg.clip_scope,
                                  noise_multiplier=cfg.noise_multiplier, secret=cfg.dp_secret)
         new_model = TR.model_from_table(agg, model)
         if cfg.server_momentum:
@@ -97,14 +141,15 @@ def federated_train(data: DataFrame, key: str, cfg: FedConfig, features: str = "
                                                        for (nm, v), (_, d) in zip(velocity, delta)]
             new_model = [(nm, b + v) for (nm, b), (_, v) in zip(model, velocity)]
         model = new_model
-        rows += [(rnd, *r) for r in _evaluate(evald, model, features, label, client_col)]
-    train.unpersist()
-    evald.unpersist()
-    data.unpersist()
-    hist = spark.createDataFrame(
-        [(cfg.experiment, strategy, int(r), scope, None if c is None else int(c), m, float(v) if v is not None else None)
-         for r, c, m, v, scope in rows],
-        "experiment string, strategy string, round int, scope string, client_id int, metric string, value double")
+        keep(rnd, _evaluated(evald, model, features, label, client_col).unionByName(_fitted(upd)))
+    for df in (train, evald, data):
+        df.unpersist()
+    hist = parts[0]
+    for rows in parts[1:]:
+        hist = hist.unionByName(rows)
+    if private and rates:
+        led = _ledger_rows(spark, cfg, rates).withColumn("experiment", F.lit(cfg.experiment)).withColumn("strategy", F.lit(strategy))
+        hist = hist.unionByName(led.select(*HISTORY).checkpoint())
     return FedResult(model, hist)
 
 
@@ -118,9 +163,6 @@ def sweep(data: DataFrame, key: str, configs: list[FedConfig], **kw) -> DataFram
 
 
 def global_history(history: DataFrame) -> DataFrame:
-    """History rows of the global scope in the (experiment, strategy, round, metric, value) shape."""
-    return history.where(F.col("scope") == "global").select("experiment", "strategy", "round", "metric", "value")
-
-
-def model_norm(model) -> float:
-    return float(np.sqrt(sum((a ** 2).sum() for _, a in model)))
+    """Evaluation rows of the global scope in the (experiment, strategy, round, metric, value)
+    shape that the history operators take."""
+    return history.where("scope = 'global' AND kind = 'eval'").select("experiment", "strategy", "round", "metric", "value")

@@ -31,7 +31,7 @@ def test_closed_form_first_step_matches_numpy_gradient(spark):
 
 def test_shards_cover_client_and_combine(spark):
     d = emb_clients(spark, SF_SMALL).where("split = 'train'")
-    sh = TR.with_shards(d, "vec_id", max_rows_per_shard=30)
+    sh = TR.with_shards(d, "vec_id", n_shards=3)
     assert sh.select("shard_id").distinct().count() > 1
     model = TR.init_model([64, 10])
     p = TR.combine_shards(TR.local_train(sh, model, "vec_id", epochs=1, batch_size=16, lr=0.01))
@@ -73,3 +73,60 @@ def test_round_overrides_and_sweep(spark):
     assert {r.experiment for r in h.select("experiment").distinct().collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         FED.federated_train(data, "vec_id", FED.FedConfig(strategy="nope"))
+
+
+@pytest.mark.parametrize("strategy", ["fedavg", "fednova", "dp"])
+def test_each_round_trains_once(spark, strategy, monkeypatch):
+    """One training call per (client, shard) and round, however many branches read the updates."""
+    calls = spark.sparkContext.accumulator(0)
+    plain = TR.local_train
+
+    def counted(*a, **kw):
+        def count(batches):
+            for pdf in batches:
+                calls.add(pdf[["client_id", "shard_id"]].drop_duplicates().shape[0])
+                yield pdf
+        out = plain(*a, **kw)
+        return out.repartition("client_id", "shard_id").mapInPandas(count, out.schema)
+
+    monkeypatch.setattr(TR, "local_train", counted)
+    cfg = FED.FedConfig(strategy=strategy, n_rounds=2, n_shards=2, dp_secret=1)
+    h = FED.federated_train(emb_clients(spark, SF_SMALL), "vec_id", cfg).history
+    h.count()
+    assert calls.value == 2 * 5 * 2
+    kinds = {r.kind for r in h.select("kind").distinct().collect()}
+    assert kinds == {"eval", "fit"} | ({"privacy"} if strategy == "dp" else set())
+
+
+def test_private_training_needs_noise_and_hides_its_secret(spark, capsys):
+    from cohortlab.operators import params as PM
+    from cohortlab.sources import tables as T
+
+    with pytest.raises(ValueError, match="noise_multiplier"):
+        FED.federated_train(emb_clients(spark, SF_SMALL), "vec_id", FED.FedConfig(strategy="dp", noise_multiplier=0.0))
+    u = T.client_updates(spark, SF_SMALL)
+    capsys.readouterr()
+    PM.dp_fedavg(u, PM.previous_round_global(u), 0.5, 1.0, secret=987654321987).explain(True)
+    assert "987654321987" not in capsys.readouterr().out
+
+
+def test_momentum_over_ten_thousand_rounds(spark):
+    from cohortlab.operators import params as PM
+
+    n = 10_000
+    r = np.random.default_rng(0).normal(size=n)
+    df = spark.createDataFrame([(i, "w", 0, float(x)) for i, x in enumerate(r)], "round int, tensor string, idx int, value double")
+    got = {x["round"]: x["velocity"] for x in PM.server_momentum(df, 0.9).collect()}
+    v = 0.0
+    for i, x in enumerate(r):
+        v = 0.9 * v + x
+        assert got[i] == pytest.approx(v, rel=1e-9, abs=1e-12)
+
+
+def test_params_to_arrays_and_back(spark):
+    from cohortlab.operators import params as PM
+
+    df = spark.createDataFrame([(1, [float(i) for i in range(6)])], "round int, w array<double>")
+    long = PM.explode_params(df, "w", ["round"], [("a", 4), ("b", 2)])
+    back = {x["tensor"]: x["values"] for x in PM.implode_params(long, ["round"]).collect()}
+    assert back == {"a": [0.0, 1.0, 2.0, 3.0], "b": [4.0, 5.0]}
