@@ -43,6 +43,17 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
+def normal_name(name: str) -> str:
+    """Trimmed, with runs of white space as one underscore: ``Flow Bytes/s`` is ``Flow_Bytes/s``."""
+    return "_".join(name.split())
+
+
+def matching_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The columns of ``df`` whose normalised names are among ``names``; missing ones are ignored."""
+    wanted = {normal_name(n) for n in names}
+    return [c for c in df.columns if normal_name(c) in wanted]
+
+
 # P1 -----------------------------------------------------------------------------------------
 def clean_inf(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """±inf and NaN -> NULL in ``cols`` (default: every floating column)."""
@@ -62,7 +73,7 @@ def drop_null_subset(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def remove_infinite_values(df: DataFrame, cols: Sequence[str] = RATE_COLUMNS) -> DataFrame:
     """Reference task 2: inf/NaN -> NULL in the rate columns, then drop rows NULL there."""
-    present = [c for c in cols if c in df.columns]
+    present = matching_columns(df, cols)
     return drop_null_subset(clean_inf(df, present), present)
 
 

@@ -1201,7 +1201,7 @@ def staged_event_csvs(spark, sf):
 @query("csv_scan", "SELECT event_id, value, event_type, CASE WHEN event_type IN ('click', 'view') THEN NULL "
                    "ELSE user_id END AS user_id FROM events")
 def q_csv_scan(spark, sf):
-    df = CSV.read_flow_csvs(spark, staged_event_csvs(spark, sf))
+    df = CSV.read_flow_csvs(spark, staged_event_csvs(spark, sf), types={"event_id": "bigint", "value": "double", "user_id": "bigint"})
     return df.select(F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"),
                      "event_type", F.col("user_id").cast("long").alias("user_id"))
 

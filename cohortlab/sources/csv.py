@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def _as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -35,17 +36,16 @@ def file_headers(spark: SparkSession, paths) -> DataFrame:
 
 
 def dedupe_names(names: Sequence[str]) -> list[str]:
-    """Trim header names; repeated names get '.1', '.2' ... like pandas."""
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        n = n.strip()
-        if n in seen:
-            seen[n] += 1
-            out.append(f"{n}.{seen[n]}")
-        else:
-            seen[n] = 0
-            out.append(n)
+    """Trim header names; repeated names get '.1', '.2' ... like pandas, skipping numbers that
+    the header itself uses."""
+    out: list[str] = []
+    given = [n.strip() for n in names]
+    for n in given:
+        name, k = n, 0
+        while name in out or (k and name in given):
+            k += 1
+            name = f"{n}.{k}"
+        out.append(name)
     return out
 
 
@@ -63,9 +63,14 @@ def rows_per_file(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def read_flow_csvs(spark: SparkSession, paths, infer_numeric: bool = True) -> DataFrame:
+def read_flow_csvs(spark: SparkSession, paths, infer_numeric: bool = True,
+                   types: dict[str, str] | None = None) -> DataFrame:
     """Read every CSV under ``paths`` (files, dirs or globs) into one DataFrame.
 
+    ``types`` (column name -> SQL type) casts those columns, NULL where a value doesn't parse, leaves
+    the others text and saves the pass over all rows that ``infer_numeric`` needs to find the
+    numeric columns.
+
     Raises FileNotFoundError when no file is found (the reference errors on an empty dir)."""
     try:
         meta = file_headers(spark, paths).collect()   # one row per file
@@ -89,6 +94,9 @@ def read_flow_csvs(spark: SparkSession, paths, infer_numeric: bool = True) -> Da
         df = df.where(F.col("_extra").isNull()).drop("_extra")
         parts.append(df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)]))
     out = union_by_name(parts)
+    if types is not None:
+        return out.select(*[F.expr(f"try_cast(trim(`{c}`) AS {types[c]})").alias(c) if c in types else F.col(f"`{c}`")
+                            for c in out.columns])
     return cast_numeric(out) if infer_numeric else out
 
 

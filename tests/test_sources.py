@@ -40,6 +40,25 @@ def test_csv_repeated_header_names(spark, tmp_path):
     assert tuple(df.first()) == (1.0, 2.0, 3.0)
 
 
+def test_csv_names_that_collide():
+    assert C.dedupe_names(["a", " a ", "a.1", "a"]) == ["a", "a.2", "a.1", "a.3"]
+
+
+def test_csv_types_are_cast_without_a_pass(spark, tmp_path):
+    d = tmp_path / "typed"
+    d.mkdir()
+    _write(d / "t.csv", "k,v,s\n1,2.5,x\nbad, 3 ,y\n")
+    df = C.read_flow_csvs(spark, str(d), types={"k": "int", "v": "double"})
+    assert [tuple(r) for r in df.orderBy("s").collect()] == [(1, 2.5, "x"), (None, 3.0, "y")]
+
+
+def test_rate_columns_are_found_by_normalised_name(spark):
+    from cohortlab.operators import clean
+
+    df = spark.createDataFrame([(1.0, 2.0), (math.inf, 2.0), (3.0, None)], "` Flow Bytes/s` double, `Flow_Packets/s` double")
+    assert clean.remove_infinite_values(df).count() == 1
+
+
 def test_csv_missing_dir_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         C.read_flow_csvs(spark, str(tmp_path / "nothing"))
