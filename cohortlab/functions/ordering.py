@@ -28,11 +28,16 @@ def hash_bucket(h: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
     return F.substring(h, 1, digits)
 
 
-def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int = 4096,
-                      rel_err: float = 1e-3, tiebreak: str | None = None) -> DataFrame:
+#: rows that a value bucket should hold, and the fewest and most buckets
+BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 100_000, 64, 65_536
+
+
+def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int | None = None,
+                      rel_err: float | None = None, tiebreak: str | None = None) -> DataFrame:
     """Add ``out`` = bucket id monotone in ``col`` (ml ``Bucketizer``: JVM-side binary search).
 
-    Bounds come from ``approxQuantile`` (at most ``n_buckets`` doubles on the driver). A value
+    ``n_buckets`` follows the row count if it isn't given, so that buckets keep their size. Bounds
+    come from ``approxQuantile`` (at most ``n_buckets`` doubles on the driver). A value
     that repeats among the bounds holds at least ~1/n_buckets of all rows; it gets a bucket of
     its own, and with ``tiebreak`` (a hex string column; order ties by it) that bucket is
     split again into as many sub-buckets as bounds it spans — ``prefix * c // 65536`` of the
@@ -45,6 +50,10 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
 
     from pyspark.ml.feature import Bucketizer
 
+    if n_buckets is None:
+        n_buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, df.count() // BUCKET_ROWS))
+    if rel_err is None:
+        rel_err = min(1e-3, 1 / (4 * n_buckets))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     raw = [float(x) for x in df.approxQuantile(col, probs, rel_err) if x is not None]
     finite = [b for b in raw if math.isfinite(b)]
@@ -54,7 +63,7 @@ def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int
     spans = {v: c for v, c in Counter(finite).items() if c > noise}
     heavy = sorted(spans)
     bounds = sorted(set(finite) | {math.nextafter(v, math.inf) for v in heavy})
-    splits = [float("-inf")] + [b for b in bounds if math.isfinite(b)] + [float("inf")]
+    splits = [float("-inf"), *([b for b in bounds if math.isfinite(b)] or [0.0]), float("inf")]
     tmp = f"{out}_in"
     bk = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
     res = bk.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import f1_of, safe_ratio
+from ..functions.exprs import f1_of, materialize, safe_ratio
 from ..functions.ordering import running_sums, with_value_bucket
 
 
@@ -38,12 +38,12 @@ def binary_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred"
 
 
 # V3 -----------------------------------------------------------------------------------------
-def auc_roc(df: DataFrame, y_true: str = "y_true", score: str = "score", n_buckets: int = 4096) -> DataFrame:
+def auc_roc(df: DataFrame, y_true: str = "y_true", score: str = "score", n_buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties counted 1/2: Σ_s pos(s)·(neg_below(s) + neg(s)/2) / (P·N).
     NULL when only one class is present (the reference skips AUC then)."""
     g = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(y_true) == 1).alias("pos"), F.count_if(F.col(y_true) != 1).alias("neg"))
-    b = with_value_bucket(g, "score", "_sb", n_buckets)
+    b = with_value_bucket(materialize(g), "score", "_sb", n_buckets)   # read for bounds, totals and sums
     rs = running_sums(b, "score", ["neg"], F.col("_sb"))
     agg = rs.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_num"),
                  F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -207,7 +207,6 @@ def eval_counts(df, y_true="y_true", y_pred="y_pred", group_cols: Sequence[str]
     if logits:
         aggs.append(F.sum(cross_entropy_col(F.col(logits), F.col(y_true))).alias("ce_sum"))
     c = df.groupBy(*group_cols, F.col(y_true).alias("y_true"), F.col(y_pred).alias("y_pred")).agg(*aggs)
-    from ..functions.exprs import materialize
     return materialize(c)
 
 

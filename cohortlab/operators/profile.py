@@ -83,7 +83,7 @@ def imbalance_ratio(df: DataFrame, label_col: str = "label") -> DataFrame:
 # E6 -----------------------------------------------------------------------------------------
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
                     n_buckets: int = 1024, max_rows_per_task: int = 4_000_000,
-                    sub_buckets: int = 1024, max_refinements: int = 8) -> DataFrame:
+                    sub_buckets: int = 1024) -> DataFrame:
     """(column, p, q): linear-interpolated exact quantiles of the finite values.
 
     Quantile SELECTION instead of a full sort: (1) ``approxQuantile`` bounds cut each column
@@ -103,7 +103,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     vals = df.select(*[finite(c).alias(c) for c in cols])
     bprobs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = vals.approxQuantile(cols, bprobs, 1e-3)   # bounds need only be roughly even
-    splits = [[float("-inf")] + sorted(set(b for b in bs if b is not None and b == b)) + [float("inf")] for bs in bounds]
+    splits = [[float("-inf"), *(sorted(set(b for b in bs if b is not None and b == b)) or [0.0]), float("inf")] for bs in bounds]
     bk = Bucketizer(splitsArray=splits, inputCols=cols, outputCols=[f"b__{c}" for c in cols], handleInvalid="keep")
     structs = [F.struct(F.lit(c).alias("column"), F.col(_q(c)).alias("v"), F.col(_q(f"b__{c}")).cast("int").alias("bk"))
                for c in cols]
@@ -147,7 +147,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
     def refinable(e):
         return e[6] > max_rows_per_task and e[3] < e[4] and math.isfinite(e[3]) and math.isfinite(e[4])
 
-    for _ in range(max_refinements):
+    while True:
         ivs = sorted({(e[0], e[3], e[4]) for e in need if refinable(e)})
         if not ivs:
             break
@@ -168,7 +168,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
                 continue
             parts = [(n, lo, hi) for _, n, lo, hi in sorted(per_iv[i], key=lambda x: x[0])]
             lo, hi, r, n = locate(parts, e[5] - 1)
-            progressed |= n < e[6]
+            progressed |= (lo, hi, n) != (e[3], e[4], e[6])   # an interval of one value is its own answer
             e[3], e[4], e[5], e[6] = lo, hi, r, n
         if not progressed:
             break
@@ -191,6 +191,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
         picked = dv.join(nd, (F.col("iv") == F.col("n_iv")) & (F.col("rn") > F.col("cum") - F.col("c"))
                          & (F.col("rn") <= F.col("cum")))
         parts.append(picked.select("column", "p", (F.col("v") * F.col("w")).alias("wv")))
+    if not parts:   # no finite value in any column
+        return spark.createDataFrame([], "column string, p double, q double")
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

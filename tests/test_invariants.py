@@ -121,3 +121,17 @@ def test_sample_clients_min_available(spark):
     c = spark.createDataFrame([(1, 0)], "round int, client_id int")
     with pytest.raises(ValueError):
         partition.sample_clients(c, min_available=2)
+
+
+def test_profile_of_columns_without_finite_values(spark):
+    from cohortlab.operators import profile
+
+    df = spark.createDataFrame([(float("inf"), None), (None, None)], "a double, b double")
+    rows = {r["column"]: r for r in profile.profile_describe(df).collect()}
+    assert rows["a"]["count"] == 0 and rows["a"]["n_inf"] == 1 and rows["a"]["p50"] is None and rows["b"]["n_inf"] == 0
+
+
+def test_days_of_rows_without_time(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, None), (3, "2024-01-02 00:00:00")], "id int, s string")
+    got = partition.partition_by_day(df.withColumn("ts", F.to_timestamp("s")), "ts", n_clients=5)
+    assert {r["id"]: r["client_id"] for r in got.collect()} == {1: 0, 2: 1, 3: 1}
