@@ -130,16 +130,15 @@ def sample_clients(clients: DataFrame, round_col: str = "round", client_col: str
                    check: bool = True) -> DataFrame:
     """Per round keep ``max(int(n*fraction), min_fit)`` clients in md5(client:seed:round) order.
     Error if a round has fewer than ``min_available`` clients (one small job; ``check=False``
-    skips it when the caller already checked the same clients table). The clients table is small
-    (rounds x clients) but is ranked per round, never globally."""
-    w = Window.partitionBy(round_col)
-    h = hash_hex(client_col, seed, F.col(round_col))
-    ranked_ = (clients.withColumn("_n", F.count(F.lit(1)).over(w))
-               .withColumn("_r", F.row_number().over(w.orderBy(h, F.col(client_col)))))
-    if check and ranked_.where(F.col("_n") < min_available).limit(1).count():
+    skips it when the caller already checked the same clients table). The quota is a cut in hash
+    order, so no task ranks a round's clients."""
+    if check and clients.groupBy(round_col).count().where(F.col("count") < min_available).limit(1).count():
         raise ValueError(f"a round has fewer than min_available={min_available} clients")
-    quota = F.greatest(F.floor(F.col("_n") * F.lit(fraction)).cast("long"), F.lit(min_fit))
-    return ranked_.where(F.col("_r") <= quota).drop("_n", "_r")
+    if fraction >= 1.0:
+        return clients
+    quota = F.greatest(F.floor(F.col("_gn") * F.lit(fraction)).cast("long"), F.lit(min_fit).cast("long"))
+    d = _with_hash(clients, client_col, seed, F.col(round_col))
+    return rank_cuts(d, "_h", client_col, F.array(quota), partition_by=[round_col], out="_past").where("_past = 0").drop("_h", "_past")
 
 
 # X9 -----------------------------------------------------------------------------------------
