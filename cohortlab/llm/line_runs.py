@@ -66,6 +66,13 @@ class LineRuns:
         same = [F.col(k) == F.col(f"{k}r") for k in KEY]
         return lines.join(heavy.hint("merge"), [*same, F.col("_ln_doc") < F.col("max_doc")], "left_anti")
 
+    def step(self, lines: DataFrame) -> DataFrame:
+        """A batch's lines that survive the runs so far, written, and added as its run. Written, so
+        that the join that comes last has an exchange of its own, whose hot keys can be split."""
+        mine = cut(self.surviving(lines)) if self.levels else lines
+        self.add(mine)
+        return mine
+
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE_SPACE)))
@@ -102,8 +109,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
     lines = cut(lines.withColumn("_ln_batch", F.pmod(F.xxhash64("_ln_doc"), F.lit(batches)).cast("int")))
     runs, left = LineRuns(min_docs, fanout), None
     for b in range(batches):
-        mine = runs.surviving(lines.where(F.col("_ln_batch") == b))
-        runs.add(mine)
+        mine = runs.step(lines.where(F.col("_ln_batch") == b))
         left = mine if left is None else left.unionByName(mine)
     kept = runs.surviving(left).groupBy("_ln_doc", "_ln_text").agg(F.collect_list("at").alias("_ln_kept"))
     d = d.join(kept, ["_ln_doc", "_ln_text"], "left")
