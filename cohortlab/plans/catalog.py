@@ -424,6 +424,15 @@ def q_load_split(spark, sf):
     return sinks.load_split(spark, path, "test").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
 
 
+@query("processed_roundtrip", f"SELECT split, label_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({PREP_SPLIT}) GROUP BY ALL")
+def q_processed_roundtrip(spark, sf):
+    """The whole preprocessing written partitioned by split, and both splits read back."""
+    path = staging_dir(spark, "prep")
+    prep_pipeline(T.repeated_dirty_flows(spark, sf), "event_id", "label", rate_cols=["value"], output_dir=path)
+    back = sinks.load_split(spark, f"{path}/data", "train").unionByName(sinks.load_split(spark, f"{path}/data", "test"))
+    return back.groupBy("split", "label_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
 @query("round_history_roundtrip", f"SELECT experiment, kind, metric, count(*) AS n, round(sum(value) + 1e-9, 6) + 0.0 AS total FROM "
        f"(SELECT experiment, 'eval' AS kind, metric, value FROM ({T.RUN_HISTORY_SQL}) WHERE metric <> 'n' UNION ALL "
        f"SELECT experiment, 'fit', metric, value FROM ({T.RUN_HISTORY_SQL}) WHERE metric = 'n') WHERE experiment <> 'click' GROUP BY ALL")
@@ -1081,6 +1090,36 @@ def q_local_train(spark, sf):
     return TR.combine_shards(p)
 
 
+# first Adam step from zero weights on all rows of a client: W -= lr * g / (|g| + 1e-8)
+FIRST_STEP_SQL = """
+WITH x AS (SELECT vec_id % 5 AS c, label, unnest(range(0, len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+kk AS (SELECT DISTINCT label AS k FROM embeddings),
+n AS (SELECT vec_id % 5 AS c, count(*) AS n FROM embeddings GROUP BY 1),
+nk AS (SELECT vec_id % 5 AS c, label AS k, count(*) AS nk FROM embeddings GROUP BY ALL),
+s AS (SELECT c, j, sum(v) AS s FROM x GROUP BY ALL),
+sk AS (SELECT c, label AS k, j, sum(v) AS sk FROM x GROUP BY ALL),
+g AS (SELECT s.c, 'W0' AS tensor, kk.k * (SELECT max(j) + 1 FROM s) + s.j AS idx,
+             (s.s / (SELECT count(*) FROM kk) - coalesce(sk.sk, 0)) / n.n AS g
+      FROM s CROSS JOIN kk JOIN n USING (c) LEFT JOIN sk ON sk.c = s.c AND sk.k = kk.k AND sk.j = s.j
+      UNION ALL
+      SELECT n.c, 'b0', kk.k, 1.0 / (SELECT count(*) FROM kk) - coalesce(nk.nk, 0) / n.n
+      FROM n CROSS JOIN kk LEFT JOIN nk ON nk.c = n.c AND nk.k = kk.k)
+SELECT CAST(c AS INTEGER) AS client_id, tensor, CAST(idx AS INTEGER) AS idx, round(-0.1 * g / (abs(g) + 1e-8) + 1e-9, 6) + 0.0 AS value FROM g"""
+
+
+@query("local_train_first_step", FIRST_STEP_SQL)
+def q_local_train_first_step(spark, sf):
+    """Local training itself, one step over all of a client's rows from a zero linear model."""
+    import numpy as np
+
+    e = T.table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 5).cast("int").alias("client_id"),
+                                                F.col("embedding").alias("features"), F.col("label").cast("int").alias("label"))
+    meta = e.agg(F.max(F.size("features")).alias("f"), F.max("label").alias("k")).first()
+    zero = [("W0", np.zeros((meta["k"] + 1, meta["f"]))), ("b0", np.zeros(meta["k"] + 1))]
+    p = TR.local_train(e, zero, "vec_id", epochs=1, batch_size=1 << 40, lr=0.1)
+    return TR.combine_shards(p).select("client_id", "tensor", "idx", "value")
+
+
 @query("federated_train", None)
 def q_federated_train(spark, sf):
     cfg = FED.FedConfig(strategy="fedavg", n_rounds=3, local_epochs=2, batch_size=32, lr=0.01)

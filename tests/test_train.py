@@ -130,3 +130,24 @@ def test_params_to_arrays_and_back(spark):
     long = PM.explode_params(df, "w", ["round"], [("a", 4), ("b", 2)])
     back = {x["tensor"]: x["values"] for x in PM.implode_params(long, ["round"]).collect()}
     assert back == {"a": [0.0, 1.0, 2.0, 3.0], "b": [4.0, 5.0]}
+
+
+def test_proximal_term_over_several_steps():
+    """Three full-batch steps with the proximal term, against a plain restatement."""
+    r = np.random.default_rng(5)
+    X, y = r.normal(size=(40, 6)), r.integers(0, 3, 40)
+    W, b = r.normal(size=(3, 6)), r.normal(size=3)
+    got, steps, _ = TR.train_local([("W0", W), ("b0", b)], X, y, epochs=3, batch_size=100, lr=0.05, mu=0.7)
+    assert steps == 3
+    w = np.concatenate([W, b[:, None]], axis=1)
+    start, first, second = w.copy(), np.zeros_like(w), np.zeros_like(w)
+    Z = np.concatenate([X, np.ones((40, 1))], axis=1)
+    for t in (1, 2, 3):
+        e = np.exp(Z @ w.T)
+        p = e / e.sum(axis=1, keepdims=True)
+        g = (p - np.eye(3)[y]).T @ Z / 40 + 0.7 * (w - start)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w = w - 0.05 * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-8)
+    assert np.allclose(got[0][1], w[:, :6], atol=1e-10) and np.allclose(got[1][1], w[:, 6], atol=1e-10)
+    free, _, _ = TR.train_local([("W0", W), ("b0", b)], X, y, epochs=3, batch_size=100, lr=0.05, mu=0.0)
+    assert not np.allclose(free[0][1], got[0][1])
