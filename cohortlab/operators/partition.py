@@ -7,7 +7,6 @@ ranks are ranked; every other row is assigned by comparing its hash with the thr
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
