@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shingles import constants, each_slice, folded, mix
+from .shingles import each_slice, folded, mix
 from .ship import by_value
 from .storage import cut, sized, staged
 from .text import quoted
