@@ -7,7 +7,6 @@ ranks are ranked; every other row is assigned by comparing its hash with the thr
 """
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..functions.ordering import rank_cuts, small
 from ..session import ensure_checkpoint_dir
 from .clean import family_expr, family_index_expr
 
+
 def _with_hash(df: DataFrame, key: str, seed: int, *salt) -> DataFrame:
     return df.withColumn("_h", hash_hex(key, seed, *salt))
 
