@@ -2,8 +2,10 @@
 
 Cells are trained on a bounded sample. Every vector lives in the cell of its nearest centroid
 and also visits the cells whose boundary with its own is near, so that pairs on either side of a
-boundary meet. Within a cell, blocks of rows are multiplied pairwise; each block returns how many
-links every vector has and a forest that spans them, never the pairs.
+boundary meet. The number of cells is the one that costs least on the sample, down to a single
+cell, so it bears on the work and not on the result. Within a cell, blocks of rows are multiplied
+pairwise; each block returns how many links every vector has and a forest that spans them, never
+the pairs.
 """
 from __future__ import annotations
 
@@ -23,14 +25,12 @@ THRESHOLD = 0.9
 SAMPLE = 20_000
 MAX_CELLS = 4096
 ROUNDS = 8
-#: A vector visits a cell if it is within this distance of the boundary. Two unit vectors with
-#: cosine t are sqrt(2 - 2t) apart; half of that would make the search exact whatever the data.
-#: At 0.1 a pair is missed only if over 0.2 of its difference points across the boundary: never
-#: at cosine 0.98 or more, and for 2 pairs of 10,000 at cosine 0.9 where differences point
-#: anywhere in 64 dimensions (measured; 23 at 0.08, none at 0.14). Visits, and with them work and
-#: shuffle, grow steeply with the margin.
-MARGIN = 0.1
-BLOCK = 1024
+#: rows of a block on either side of a task, and of the products that it is taken apart into
+BLOCK = 4096
+CHUNK = 1024
+#: sending a row to a task costs about as much as so many products
+ROW_COST = 1000
+
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -65,14 +65,49 @@ def places(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.
     return home, row, cell
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    return x @ y.T >= threshold
+def reach(threshold: float) -> float:
+    """The margin that no link escapes: two unit vectors with cosine t are sqrt(2 - 2t) apart, so
+    of two on either side of a boundary one is within half of that, whatever the data."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) / 2 + 1e-9
+
+
+def fitted(x: np.ndarray, n: int, margin: float, block: int) -> np.ndarray:
+    """Centroids for ``n`` vectors of which the unit rows ``x`` are a sample: as many as cost
+    least in products and rows sent, from the square root of ``n`` down to one."""
+    best, least = x[:1], n * (n / 2 + ROW_COST * np.ceil(n / block))
+    k = min(len(x), MAX_CELLS, int(np.sqrt(n)))
+    while k > 1:
+        c, lives, out = spherical_kmeans(x, k), np.zeros(k), np.zeros(k)
+        for a in range(0, len(x), 2048):
+            home, _, cell = places(x[a:a + 2048], c, margin)
+            lives += np.bincount(home, minlength=k)
+            out += np.bincount(cell, minlength=k)
+        lives, out = lives * (n / len(x)), out * (n / len(x))
+        b_in, b_out = np.ceil(lives / block), np.ceil(out / block)
+        cost = (lives * (lives / 2 + out) + ROW_COST * (lives * (1 + b_in + b_out) + out * (1 + b_in))).sum()
+        if cost < least:
+            best, least = c, cost
+        k //= 4
+    return best
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the unit rows with cosine ``threshold`` or more in double precision. Products
+    are taken in single precision; those that its rounding leaves open are taken again."""
+    s = x.astype(np.float32) @ y.astype(np.float32).T
+    unsure = (x.shape[1] + 8) * 2.0 ** -23
+    a, b = np.nonzero(s >= threshold - unsure)
+    some = np.flatnonzero(s[a, b] < threshold + unsure)
+    fits = np.ones(len(a), bool)
+    for k in range(0, len(some), 1 << 14):
+        i = some[k:k + (1 << 14)]
+        fits[i] = (x[a[i]] * y[b[i]]).sum(axis=1) >= threshold
+    return a[fits], b[fits]
 
 
-def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
-    """Smallest index that each of 0..n-1 is tied to by the index pairs."""
-    root = np.arange(n)
-    a, b = pairs
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root``, the smallest index that each index is tied to, after the further ties (a, b)."""
+    a, b = root[a], root[b]
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -90,28 +125,36 @@ def _compare(ids, home, x, weight, visits, left, right, cell, threshold):
     """Link counts and spanning ties between the rows ``left`` and ``right`` (index arrays) of one
     block, the same array or disjoint ones. A pair of a resident and a visitor that meets in both
     homes counts in the lower one."""
-    hit = linked(x[left], x[right], threshold)
-    if left is right:
-        np.fill_diagonal(hit, False)
-    if left is not right:
-        # a visitor whose home comes first meets there the residents that visit its home
-        a, b = np.nonzero(hit & (home[right] < cell)[None, :])
-        there = [home[right[j]] in visits[left[i]] for i, j in zip(a.tolist(), b.tolist())]
-        hit[a[there], b[there]] = False
-    rows, count = left, hit @ weight[right]
-    if left is not right:
-        rows, count = np.concatenate([left, right]), np.concatenate([count, weight[left] @ hit])
-    order = np.argsort(ids[rows], kind="stable")
-    by_id, count = rows[order], count[order]
-    a, b = np.nonzero(hit)
-    spot = np.empty(len(ids), dtype=np.int64)
-    spot[by_id] = np.arange(len(by_id))
-    root = _roots(len(by_id), np.stack([spot[left[a]], spot[right[b]]]))
-    return by_id, count, ids[by_id[root]]
+    count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    by_id = np.argsort(ids, kind="stable")
+    spot = np.empty(len(ids), np.int64)
+    spot[by_id] = root
+    # a visitor whose home comes first meets there the residents that visit its home
+    lower = np.unique(home[home < cell])
+    met = np.zeros((len(ids), len(lower)), bool)
+    if len(lower):
+        row, to = np.repeat(left, [len(visits[i]) for i in left]), np.concatenate([visits[i] for i in left])
+        at = np.minimum(np.searchsorted(lower, to), len(lower) - 1)
+        met[row[lower[at] == to], at[lower[at] == to]] = True
+    for i in range(0, len(left), CHUNK):
+        for j in range(i if left is right else 0, len(right), CHUNK):
+            own, other = left[i:i + CHUNK], right[j:j + CHUNK]
+            a, b = linked(x[own], x[other], threshold)
+            if left is right and i == j:
+                a, b = a[a < b], b[a < b]
+            a, b = own[a], other[b]
+            if len(lower):
+                at = np.minimum(np.searchsorted(lower, home[b]), len(lower) - 1)
+                here = ~((home[b] < cell) & met[a, at])
+                a, b = a[here], b[here]
+            np.add.at(count, a, weight[b])
+            np.add.at(count, b, weight[a])
+            root = _roots(root, spot[a], spot[b])
+    return by_id, count[by_id], ids[by_id[root]]
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
-                 margin: float = MARGIN, sample: int = SAMPLE, cells: int | None = None,
+                 margin: float | None = None, sample: int = SAMPLE, cells: int | None = None,
                  block: int = BLOCK) -> DataFrame:
     """One row per vector: ``key``, ``n_links`` (other vectors found at cosine ``threshold`` or more),
     ``component_id`` (smallest id reachable over links, its own included) and ``kept``
@@ -119,12 +162,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
     nor do those of another length than the most frequent one. Equal vectors are collapsed first
-    and count as links of each other. ``cells`` follows the square root of the number of vectors
-    unless it is given. Rows with a null id link with nothing and aren't kept; rows
-    with one id and different vectors are linked through that id. ``margin`` bounds the search;
-    half of sqrt(2 - 2 threshold) makes it exact. ``vectors`` may have any other columns.
+    and count as links of each other. Every link is found, however many ``cells`` there are
+    (``fitted`` unless given); only a ``margin`` below ``reach(threshold)`` can miss some. Rows with
+    a null id link with nothing and aren't kept; rows with one id and different vectors are linked
+    through that id. ``vectors`` may have any other columns.
     """
     spark = vectors.sparkSession
+    margin = reach(threshold) if margin is None else margin
     single = dict(vectors.dtypes)[vector] == "array<float>"   # travels as it is; cosines are in double precision
     v = F.col(vector).cast("array<double>")
     fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -147,8 +191,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias(
             "component_id"), F.col("id").isNotNull().alias("kept"))
     x = unit(np.array([r["v"] for r in drawn], dtype=np.float64))
-    cells = min(len(x), MAX_CELLS, cells or max(1, int(np.sqrt(n))))
-    model = spark.sparkContext.broadcast(spherical_kmeans(x, cells))
+    model = spark.sparkContext.broadcast(
+        spherical_kmeans(x, min(len(x), MAX_CELLS, cells)) if cells else fitted(x, n, margin, block))
     kind = "float" if single else "double"
 
     def assign(batches):

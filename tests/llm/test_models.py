@@ -129,6 +129,35 @@ def test_vector_recall_in_production_settings(spark):
     assert got.agg(F.sum("n_links")).first()[0] >= 0.995 * want
 
 
+def uneven(n, dim=64):
+    """Vectors that spread unevenly over their dimensions, each with one at cosine 0.901 whose
+    difference spreads the same way."""
+    r, spread = np.random.default_rng(11), 0.7 ** np.arange(dim)
+    x = embed_cells.unit(r.normal(size=(n, dim)) * spread)
+    off = r.normal(size=(n, dim)) * spread
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    return np.concatenate([x, 0.901 * x + math.sqrt(1 - 0.901 ** 2) * embed_cells.unit(off)])
+
+
+@pytest.mark.parametrize("cells", [None, 70])
+def test_every_link_of_uneven_vectors(spark, cells):
+    x = uneven(2500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embed_cells.near_vectors(df, cells=cells).collect()
+    x = embed_cells.unit(x)
+    want = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
+
+
+def test_cells_are_as_many_as_pay():
+    r = np.random.default_rng(12)
+    apart = embed_cells.unit(r.normal(size=(5000, 64)))
+    groups = embed_cells.unit(r.normal(size=(50, 64))[r.integers(50, size=5000)] + 0.05 * r.normal(size=(5000, 64)))
+    margin = embed_cells.reach(0.9)
+    assert len(embed_cells.fitted(groups, 200_000, margin, embed_cells.BLOCK)) > 1
+    assert len(embed_cells.fitted(apart, 6000, margin, embed_cells.BLOCK)) == 1
+
+
 def test_vectors_empty(spark):
     df, _ = vectors(spark)
     assert embed_cells.near_vectors(df.limit(0)).count() == 0
