@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .ship import by_value
-from .storage import cut
+from .storage import cut, sized
 from .text import hash128
 
 by_value(__name__)
@@ -160,10 +160,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     ``component_id`` (smallest id reachable over links, its own included) and ``kept``
     (``key`` = ``component_id``).
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
-    nor do those of another length than the most frequent one. Equal vectors are collapsed first
-    and count as links of each other. Every link is found, however many ``cells`` there are
-    (``fitted`` unless given); only a ``margin`` below ``reach(threshold)`` can miss some. Rows with
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
+    Vectors of different lengths don't link; each length has cells of its own. Equal vectors are
+    collapsed first and count as links of each other. Every link is found, however many ``cells`` there are
+    of a length (``fitted`` unless given); only a ``margin`` below ``reach(threshold)`` can miss some. Rows with
     a null id link with nothing and aren't kept; rows with one id and different vectors are linked
     through that id. ``vectors`` may have any other columns.
     """
@@ -171,49 +171,66 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     margin = reach(threshold) if margin is None else margin
     single = dict(vectors.dtypes)[vector] == "array<float>"   # travels as it is; cosines are in double precision
     v = F.col(vector).cast("array<double>")
-    fine = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
                       & F.exists(v, lambda x: x != 0) & F.col(key).isNotNull(), F.lit(False))
-    d = vectors.select(F.col(key).cast("long").alias("id"), F.when(fine, F.col(vector) if single else v).alias("v"))
+    d = vectors.select(F.col(key).cast("long").alias("id"), F.when(whole, F.col(vector) if single else v).alias("v"))
     h1, h2 = hash128(F.col("v"))
-    rows = cut(d.select("id", F.size("v").alias("dim"), h1.alias("h1"), h2.alias("h2"),
-                        F.col("v").isNotNull().alias("fine")))
-    dims = rows.where("fine").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim, n = (dims[0]["dim"], dims[0]["count"]) if dims else (0, 0)
-    same = rows.where(F.col("fine") & (F.col("dim") == dim))
-    classes = cut(same.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
-    of_class = rows.join(classes, ["h1", "h2"], "left").withColumn(
-        "rep", F.when(F.col("fine") & (F.col("dim") == dim), F.col("rep")))
-    once = d.where(F.col("v").isNotNull() & (F.size("v") == dim)).withColumn("h1", h1).withColumn("h2", h2)
-    reps = once.join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["id", "h1", "h2"]).select("id", "v", "w")
-    # training rows: the smallest hashes of the ids, so that the sample is the same at every run
-    drawn = reps.select("v").orderBy(F.xxhash64("id"), "id").limit(sample).collect() if n else []
-    if not drawn:
+    fine = F.col("v").isNotNull()
+    rows = cut(d.select("id", F.size("v").alias("dim"), h1.alias("h1"), h2.alias("h2"), fine.alias("fine")))
+    dims = {r["dim"]: r["count"] for r in rows.where("fine").groupBy("dim").count().orderBy("dim").collect()}
+    if not dims:
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias(
             "component_id"), F.col("id").isNotNull().alias("kept"))
-    x = unit(np.array([r["v"] for r in drawn], dtype=np.float64))
-    model = spark.sparkContext.broadcast(
-        spherical_kmeans(x, min(len(x), MAX_CELLS, cells)) if cells else fitted(x, n, margin, block))
+    same = rows.where("fine")
+    classes = cut(same.groupBy("dim", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")))
+    of_class = rows.join(classes, ["dim", "h1", "h2"], "left").withColumn("rep", F.when(F.col("fine"), F.col("rep")))
+    once = d.where(fine).withColumn("dim", F.size("v")).withColumn("h1", h1).withColumn("h2", h2)
+    reps = once.join(classes, ["dim", "h1", "h2"]).where("id = rep").dropDuplicates(["id", "dim", "h1", "h2"]).select("id", "v", "w")
+    # lengths with few vectors have one cell, which takes no training; the others share the sample
+    large = {dim: n for dim, n in dims.items() if cells or n > block}
+    models, first = {}, 0
+    for dim, n in dims.items():
+        model = None
+        if dim in large:
+            # training rows: the smallest hashes of the ids, so that the sample is the same at every run
+            share = max(1, sample * n // sum(large.values()))
+            drawn = reps.where(F.size("v") == dim).select("v").orderBy(F.xxhash64("id"), "id").limit(share).collect()
+            x = unit(np.array([r["v"] for r in drawn], dtype=np.float64))
+            model = spherical_kmeans(x, min(len(x), MAX_CELLS, cells)) if cells else fitted(x, n, margin, block)
+        models[dim] = first, model if model is not None and len(model) > 1 else None
+        first += 1 if model is None else len(model)
+    models = spark.sparkContext.broadcast(models)
     kind = "float" if single else "double"
 
     def assign(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for part in range(0, batch.num_rows, 2048):
-                b = batch.slice(part, 2048)
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-                flat = flat.reshape(-1, dim)
-                x = unit(flat.astype(np.float64))
-                home, row, cell = places(x, model.value, margin)
-                to = np.split(cell, np.searchsorted(row, np.arange(1, len(x))))
-                who = np.concatenate([np.arange(len(x)), row])
-                flat_x = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * dim),
-                                                  pa.array(flat[who].reshape(-1)))
-                visits = pa.array([to[i].tolist() for i in who.tolist()], type=pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).take(pa.array(who)), b.column(2).take(pa.array(who)),
-                    pa.array(home[who].astype(np.int32)), pa.array(np.concatenate([home, cell]).astype(np.int32)),
-                    visits, flat_x], names=["id", "w", "home", "cell", "visits", "x"])
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size).tolist():
+                first, model = models.value[dim]
+                own = np.flatnonzero(size == dim)
+                for part in range(0, len(own), 2048):
+                    b = batch.take(pa.array(own[part:part + 2048]))
+                    flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    if model is None:
+                        home, row, cell = np.zeros(len(flat), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    else:
+                        home, row, cell = places(unit(flat.astype(np.float64)), model, margin)
+                    home, cell = home + first, cell + first
+                    to = np.split(cell, np.searchsorted(row, np.arange(1, len(flat))))
+                    rows, cells_of = np.concatenate([np.arange(len(flat)), row]), np.concatenate([home, cell])
+                    step = max(1, (1 << 22) // dim)   # a row of many visits is many rows
+                    for k in range(0, len(rows), step):
+                        who = rows[k:k + step]
+                        flat_x = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * dim),
+                                                          pa.array(flat[who].reshape(-1)))
+                        visits = pa.array([to[i].tolist() for i in who.tolist()], type=pa.list_(pa.int32()))
+                        yield pa.RecordBatch.from_arrays([
+                            b.column(0).take(pa.array(who)), b.column(2).take(pa.array(who)),
+                            pa.array(home[who].astype(np.int32)), pa.array(cells_of[k:k + step].astype(np.int32)),
+                            visits, flat_x], names=["id", "w", "home", "cell", "visits", "x"])
 
     placed = reps.mapInArrow(assign, f"id long, w long, home int, cell int, visits array<int>, x array<{kind}>")
     placed = cut(placed)
@@ -221,8 +238,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     sizes = placed.groupBy("cell").agg(F.sum(lives.cast("int")).alias("n_in"), F.sum((~lives).cast("int")).alias("n_out"))
     sizes = sizes.select("cell", F.ceil(F.col("n_in") / block).cast("int").alias("b_in"),
                          F.greatest(F.lit(1), F.ceil(F.col("n_out") / block).cast("int")).alias("b_out"))
-    # one row a cell, MAX_CELLS at most
-    p = placed.join(F.broadcast(sizes), "cell").where("b_in > 0")
+    # one row a cell, MAX_CELLS a length at most
+    p = placed.join(sized(cut(sizes)), "cell").where("b_in > 0")
     own = F.pmod(F.xxhash64("id"), F.when(lives, F.col("b_in")).otherwise(F.col("b_out"))).cast("int")
     p = p.withColumn("own", own)
     blocks = F.sequence(F.lit(0), F.col("b_in") - 1)
@@ -255,7 +272,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         return pd.DataFrame({"id": ids[rows][some], "n": n[some], "root": root[some]})
 
     found = cut(p.groupBy("cell", "i", "j", "visit").applyInPandas(compare, "id long, n long, root long"))
-    several = same.select("id", "h1", "h2").distinct().groupBy("id").count().where("count > 1").select("id")
+    several = same.select("id", "dim", "h1", "h2").distinct().groupBy("id").count().where("count > 1").select("id")
     ties = of_class.where("rep is not null").join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     edges = found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(ties)
     groups = cut(components(edges))

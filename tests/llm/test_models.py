@@ -149,6 +149,18 @@ def test_every_link_of_uneven_vectors(spark, cells):
     assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("cells", [None, 20])
+def test_every_length_is_compared(spark, cells):
+    parts = [uneven(300, dim) for dim in (64, 24, 3)] + [np.array([[1.0], [2.0], [-1.0]])]
+    parts[1] = np.concatenate([parts[1], parts[1][:5]])
+    rows = [v.tolist() for x in parts for v in x]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)
+    got = embed_cells.near_vectors(df, cells=cells).collect()
+    want = [int(n) for x in map(embed_cells.unit, parts) for n in (x @ x.T >= 0.9).sum(axis=1) - 1]
+    assert [r["n_links"] for r in sorted(got)] == want
+    assert want[-3:] == [1, 1, 0] and [r["kept"] for r in sorted(got)][-3:] == [True, False, True]
+
+
 def test_cells_are_as_many_as_pay():
     r = np.random.default_rng(12)
     apart = embed_cells.unit(r.normal(size=(5000, 64)))
