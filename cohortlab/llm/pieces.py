@@ -30,7 +30,8 @@ SEED = 20
 #: weights are raised to this power: above 1 the likeliest segmentations win more often
 SHARPNESS = 1.0
 MARK = "▁"
-#: longer tokens are cut into parts of this many characters
+#: longer tokens are taken apart into parts of about this many characters, at places that no piece
+#: crosses; a longer stretch without such a place stays whole
 TOKEN_CHARS = 240
 SLICE_BYTES = 3 << 20
 # Lone surrogates never stand in a text: one for a mark that the text itself has, one before the
@@ -112,6 +113,34 @@ class Vocabulary:
             left = left[(there >= 0) & (there != key[left])]
         return out
 
+    def parts(self, token: str) -> list[str]:
+        """The token (without the mark in front) cut where no piece crosses, so that its lattice is
+        the product of the parts' lattices; later parts begin with LATER_PART."""
+        if len(token) <= TOKEN_CHARS:
+            return [token]
+        chars = np.frombuffer((MARK + token).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, node, alive = self.classes[chars], self.opening[chars], np.arange(len(chars))
+        crossing = np.zeros(len(chars) + 1, np.int64)
+        for length in range(2, self.longest + 1):
+            on = (node >= 0) & (alive + length <= len(chars))
+            alive, node = alive[on], node[on]
+            if not len(alive):
+                break
+            node = self.further(node, kinds[alive + (length - 1)])
+            who = alive[(node >= 0) & (self.piece[node] >= 0)]
+            crossing[who + 1] += 1
+            crossing[who + length] -= 1
+        free = np.flatnonzero(np.cumsum(crossing)[2:-1] == 0) + 1
+        cuts = [0]
+        while len(token) - cuts[-1] > TOKEN_CHARS:
+            k = np.searchsorted(free, cuts[-1] + TOKEN_CHARS, side="right")
+            if k and free[k - 1] > cuts[-1]:
+                k -= 1
+            if k == len(free):
+                break
+            cuts.append(int(free[k]))
+        return [(LATER_PART if a else "") + token[a:b] for a, b in zip(cuts, [*cuts[1:], len(token)])]
+
 
 class Lattice:
     """Lattices of some distinct tokens. A state is a position in a token; states are numbered by
@@ -128,7 +157,7 @@ class Lattice:
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         base = np.concatenate([[0], np.cumsum(size + 1)])
         at = np.arange(base[-1]) - np.repeat(base[:-1], size + 1)
-        order = np.argsort(at.astype(np.uint16), kind="stable")
+        order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order), dtype=np.int32)
         self.steps = np.concatenate([[0], np.cumsum(np.bincount(at))])
@@ -242,8 +271,7 @@ def encode_texts(texts: list[str], seeds: np.ndarray, v: Vocabulary) -> tuple[np
             text = text.replace(MARK, OWN_MARK)
         parts = text.split(" ") if text else []
         if len(text) > TOKEN_CHARS and max(map(len, parts)) > TOKEN_CHARS:
-            parts = [(LATER_PART if k else "") + p[k:k + TOKEN_CHARS] for p in parts
-                     for k in range(0, max(1, len(p)), TOKEN_CHARS)]
+            parts = [part for p in parts for part in v.parts(p)]
         tokens += [number[p] for p in parts]
         n_tokens.append(len(parts))
     n_tokens = np.array(n_tokens, np.int64)

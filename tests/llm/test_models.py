@@ -229,6 +229,45 @@ def test_sampling_has_the_lattice_probabilities(token):
         assert abs(seen[w] / n - p) < 0.012
 
 
+@pytest.mark.parametrize("token", ["therein" * 45, "a" * 300, "日本語テスト" * 45, ("under" * 9 + "\n") * 7])
+def test_long_tokens_have_the_whole_lattice(token):
+    """How often a piece ends at a place is as the lattice of the uncut token says."""
+    import sentencepiece
+
+    sp, v, s = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), VOCABULARY, pieces.MARK + token
+
+    def arcs():
+        for a in range(len(s)):
+            yield a, a + 1, v.score[-1] if sp.id_to_piece(sp.piece_to_id(s[a])) != s[a] else v.score[sp.piece_to_id(s[a])]
+            for b in range(a + 2, min(len(s), a + v.longest) + 1):
+                i = sp.piece_to_id(s[a:b])
+                if sp.id_to_piece(i) == s[a:b] and np.isfinite(v.score[i]):
+                    yield a, b, v.score[i]
+
+    every = list(arcs())
+    ahead, back = np.full((2, len(s) + 1), -np.inf)
+    ahead[0] = back[-1] = 0
+    for a, b, w in every:
+        ahead[b] = np.logaddexp(ahead[b], ahead[a] + w)
+    for a, b, w in reversed(every):
+        back[a] = np.logaddexp(back[a], back[b] + w)
+    n = 4000
+    ids, size = pieces.encode_texts([token] * n, pieces.mix(np.arange(n, dtype=np.uint64)), v)
+    # places in bytes: a character without a piece of its own ends with its last byte
+    ends = np.cumsum(np.diff(v.shown_at)[ids]).reshape(-1)
+    whole = len(token.encode()) + 1
+    seen = np.bincount((ends - 1) % whole + 1, minlength=whole + 1) / n
+    byte = np.cumsum([0, 1, *(len(c.encode()) for c in token)])
+    assert np.abs(seen[byte[1:]] - np.exp(ahead + back - ahead[-1])[1:]).max() < 0.05
+
+
+def test_a_token_longer_than_16_bits_count():
+    token = "ab" * 35_000
+    ids, n = pieces.encode_texts([token], pieces.mix(np.arange(1, dtype=np.uint64)), VOCABULARY)
+    back, _ = pieces.decode_pieces(ids, n, VOCABULARY)
+    assert back.tobytes().decode() == token
+
+
 def test_pipeline(spark):
     """Each stage's decisions against plain Python on the stage before."""
     import corpus_pipeline as cp
