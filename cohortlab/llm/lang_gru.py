@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import arrow_bytes, slices
+from .shingles import SLICE_BYTES, arrow_bytes, slices
 from .ship import by_value, map_batches
 from .text import others
 
@@ -24,7 +24,9 @@ WINDOW = 96
 #: Training data: windows from at most this many documents, spread evenly over the languages.
 SAMPLE_DOCS = 3000
 WINDOWS_A_DOC = 2
-MAX_LANGUAGES = 64
+#: the share of a language that there are too many others for
+LEAST_DOCS = 8
+#: for 64 languages or fewer; more take as many more steps
 STEPS = 240
 BATCH = 192
 LEARNING_RATE = 0.02
@@ -203,8 +205,9 @@ class Reader:
         sums = np.zeros((len(text), self.out[0].shape[0]))
         order = np.argsort(-length, kind="stable")
         step = np.arange(WINDOW)[:, None]
-        for a in range(0, len(order), LANES):
-            own = order[a:a + LANES]
+        lanes = max(1, LANES // -(-sums.shape[1] // 64))
+        for a in range(0, len(order), lanes):
+            own = order[a:a + lanes]
             span = step[:length[own[0]]]
             at = start[own][None, :] + span
             x = np.where(span < length[own][None, :], raw[np.minimum(at, len(raw) - 1)].astype(np.int64), PAD)
@@ -222,33 +225,37 @@ def held_out(key: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, text: str, lang: str, key: str, sample: int = SAMPLE_DOCS,
-                     per_doc: int = WINDOWS_A_DOC, most: int = MAX_LANGUAGES):
+                     per_doc: int = WINDOWS_A_DOC, least: int = LEAST_DOCS):
     """(windows, labels, languages) of about ``sample`` labelled documents outside the held-out
-    part: an equal share for each of the ``most`` most frequent languages, chosen by the hash of
-    the id; windows begin at places chosen by hash. Twice the sample is never exceeded."""
+    part: an equal share for each language, ``least`` documents if that is more, chosen by the
+    hash of the id and one at any rate; windows begin at places chosen by hash. Equal rows count
+    once, and twice the sample (or least shares) is never exceeded."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}") & ~held_out(F.col(key)))
     known = known.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    known = known.withColumn("draw", F.xxhash64(F.lit("language"), "key", F.xxhash64("text")) / F.lit(float(1 << 64)) + 0.5)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min("draw").alias("first")).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64), []
-    share = sample / len(languages)
-    draw = F.xxhash64(F.lit("language"), "key", F.xxhash64("text")) / F.lit(float(1 << 64)) + 0.5
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (draw < share / r["count"]))
+    share = max(sample / len(languages), least)
+    # the first draw of a language is taken whatever its share
+    upto = docs.sparkSession.createDataFrame([(r["lang"], max(r["first"], share / r["count"])) for r in counts],
+                                             "lang string, upto double")
     places = [F.pmod(F.xxhash64(F.lit(i), "key"), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)) + 1
               for i in range(per_doc)]
     cut = [F.substring(F.col("text"), p.cast("int"), F.lit(WINDOW)) for p in places]
-    rows = known.where(wanted).select("lang", F.xxhash64("key").alias("h"), F.array(*cut).alias("cut")).limit(2 * sample).collect()
+    wanted = known.join(F.broadcast(upto), "lang").where("draw <= upto")
+    rows = wanted.select("lang", F.xxhash64("key").alias("h"), F.array(*cut).alias("cut")).distinct().limit(
+        2 * int(np.ceil(share * len(languages)))).collect()
     rows = sorted(rows, key=lambda r: (r["h"], r["lang"], r["cut"]))
+    number = {g: k for k, g in enumerate(languages)}
     x, y = [], []
     for r in rows:
         for piece in r["cut"]:
             b = np.frombuffer(piece.encode()[:WINDOW], np.uint8)
             if len(b):
                 x.append(np.concatenate([b.astype(np.int64), np.full(WINDOW - len(b), PAD)]))
-                y.append(languages.index(r["lang"]))
+                y.append(number[r["lang"]])
     return np.array(x).reshape(-1, WINDOW), np.array(y, dtype=np.int64), languages
 
 
@@ -267,7 +274,8 @@ def identify_language(docs: DataFrame, text: str = "text", lang: str = "lang", k
     empty = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     if not len(x):
         return docs.select(*own, empty.alias(out))
-    reader = Reader(train(x, y, languages, **training))
+    more = -(-len(languages) // 64)
+    reader = Reader(train(x, y, languages, **{"steps": STEPS * more} | training))
     read = F.when(F.col(text).rlike("\\p{L}"), F.col(text)).otherwise(F.lit("")).alias("_lg_text")
     d = docs.select(*own, read)
     schema = docs.select(*own, empty.alias(out)).schema
@@ -277,7 +285,7 @@ def identify_language(docs: DataFrame, text: str = "text", lang: str = "lang", k
 
         for batch in batches:
             raw, offs = arrow_bytes(batch.column(batch.num_columns - 1))
-            for a, b in slices(offs):
+            for a, b in slices(offs, SLICE_BYTES // more):
                 p = reader.read(raw, offs[a:b + 1])
                 none = np.diff(offs[a:b + 1]) == 0
                 best = p.argmax(axis=1)

@@ -85,6 +85,16 @@ def test_language_odd(spark):
     assert lang_gru.identify_language(odd.table(spark, [])).count() == 0
 
 
+def test_every_language_is_a_class(spark):
+    rows = [(k * 1000 + i, chr(0x4E00 + k) * 30, f"l{k:03}") for k in range(80) for i in range(400 if k == 3 else 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    x, y, languages = lang_gru.training_windows(df, "text", "lang", "doc_id", sample=100)
+    assert languages == sorted({r[2] for r in rows}) and set(y.tolist()) == set(range(80))
+    assert np.bincount(y).max() < 60
+    for w, k in zip(x, y):
+        assert bytes(w[:3].astype(np.uint8).tolist()).decode() == chr(0x4E00 + k)
+
+
 def vectors(spark):
     r = np.random.default_rng(6)
     out = []
