@@ -27,7 +27,6 @@ RULES = (
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.1
-MAX_TOKENS = 3
 LABEL = "label="
 
 
@@ -70,12 +69,11 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
+               min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules (tokens, verdict, confidence, support, anchor) mined from rows (tokens, verdict).
 
-    A rule needs ``min_support`` of the labelled URLs, ``min_confidence`` and ``min_lift``, has
-    ``max_tokens`` tokens at most, and goes if some of its tokens alone give the same verdict
-    with as much confidence. ``anchor`` is its rarest token. No labelled row gives no rule.
+    A rule needs ``min_support`` of the labelled URLs, ``min_confidence`` and ``min_lift``, and
+    goes if some of its tokens alone give the same verdict with as much confidence. ``anchor`` is its rarest token. No labelled row gives no rule.
     """
     both = labelled.where(F.col("verdict").isNotNull()).select(
         F.concat(F.col("tokens"), F.array(F.concat(F.lit(LABEL), F.col("verdict")))).alias("items"))
@@ -85,18 +83,30 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
             [], "tokens array<string>, verdict string, confidence double, support double, anchor string")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(both)
     rules = model.associationRules.where(
-        F.col("consequent")[0].startswith(LABEL) & (F.size("antecedent") <= max_tokens)
+        F.col("consequent")[0].startswith(LABEL)
         & ~F.exists("antecedent", lambda x: x.startswith(LABEL)) & (F.col("lift") >= min_lift))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"),
                              F.substring(F.col("consequent")[0], len(LABEL) + 1, 1 << 30).alias("verdict"),
                              "confidence", "support"))
-    parts = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("_t"))
-    subsets = parts.select("tokens", "verdict", "confidence", F.array("_t").alias("part")).unionByName(
-        parts.select("tokens", "verdict", "confidence", F.array_remove("tokens", F.col("_t")).alias("part")))
-    shorter = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("_c"))
-    idle = subsets.where(F.size("part") < F.size("tokens")).join(shorter, ["part", "verdict"]).where(
-        F.col("_c") >= F.col("confidence")).select("tokens", "verdict").distinct()
-    kept = rules.join(idle, ["tokens", "verdict"], "left_anti")
+    # by size, smallest first: the most confidence that a rule on fewer tokens of a frequent set has
+    marked = lambda x: x.startswith(LABEL)
+    sets = model.freqItemsets.where(F.exists("items", marked) & (F.size("items") > 1)).select(
+        F.array_sort(F.filter("items", lambda x: ~marked(x))).alias("tokens"),
+        F.substring(F.filter("items", marked)[0], len(LABEL) + 1, 1 << 30).alias("verdict"))
+    sets = cut(sets.join(rules, ["tokens", "verdict"], "left"))
+    kept, below = rules.limit(0), None
+    for size in range(1, (sets.agg(F.max(F.size("tokens"))).first()[0] or 0) + 1):
+        level = sets.where(F.size("tokens") == size)
+        if below is None:
+            level = level.withColumn("_c", F.lit(None).cast("double"))
+        else:
+            parts = level.select("tokens", "verdict", F.explode("tokens").alias("_t")).select(
+                "tokens", "verdict", F.array_remove("tokens", F.col("_t")).alias("part"))
+            level = level.join(parts.join(below, ["part", "verdict"]).groupBy("tokens", "verdict").agg(
+                F.max("_c").alias("_c")), ["tokens", "verdict"], "left")
+        level = cut(level)
+        kept = kept.unionByName(level.where("confidence > coalesce(_c, 0)").drop("_c"))
+        below = level.select(F.col("tokens").alias("part"), "verdict", F.greatest("confidence", "_c").alias("_c"))
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("_t"), "freq")
     rarest = kept.select("tokens", "verdict", F.explode("tokens").alias("_t")).join(single, "_t").groupBy(
         "tokens", "verdict").agg(F.min(F.struct("freq", "_t"))["_t"].alias("anchor"))

@@ -206,6 +206,16 @@ def test_mined_url_rules(spark):
         assert x["url_verdict"]["mined"] == (best[3] if best else None)
 
 
+def test_a_rule_of_four_tokens(spark):
+    """Only host, folder, suffix and argument together say block; three of them are right in a third."""
+    urls = [(f"http://h{h}.com/{f}/x.{s}?{q}=1", "block" if (h, f, s, q) == (0, "a", "php", "id") else "allow")
+            for h in range(3) for f in "abc" for s in ("php", "html", "asp") for q in ("id", "to", "go")]
+    labelled = spark.createDataFrame(urls, "url string, verdict string")
+    got = url_rules.judge_urls(labelled, labelled, rules=(), min_support=0.01).collect()
+    assert all(r["url_verdict"]["verdict"] == r["verdict"] for r in got)
+    assert {len(r["url_verdict"]["mined"]) for r in got if r["verdict"] == "block"} == {4}
+
+
 def test_url_rules_without_labels(spark):
     empty = spark.createDataFrame([], "url string, verdict string")
     pages = spark.createDataFrame([(1, "x://a.b.net/")], "page_id long, url string")
