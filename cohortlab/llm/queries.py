@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, embed_cells, lang_gru, line_runs, parity_join, pieces, quality, secret_scan, shards, url_rules
+from . import (curriculum, embed_cells, exact_dedup, fill_middle, lang_gru, line_runs, parity_join, pieces, quality,
+               secret_scan, shards, turn_repair, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -227,3 +228,35 @@ def op7_sampled_pieces(spark, sf_dir):
     p = F.col("pieces")
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", p["n"].alias("n_pieces"), p["lossless"].alias("lossless"), p["ids"].alias("ids"))
+
+
+# --- 11: fill-in-middle ----------------------------------------------------------------------
+@query("op11_fill_middle")
+def op11_fill_middle(spark, sf_dir):
+    x = F.col("fim")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_middle.fill_in_middle(docs).select(
+        "doc_id", *[x[c].alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(x["output"], 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(x["output"], x["form"]), 256).alias("restored_sha256"))
+
+
+# --- 12: exact dedup -------------------------------------------------------------------------
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x09-\x0D ]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)"""
+
+
+@query("op12_heavy_hitters", OP12_SQL)
+def op12_heavy_hitters(spark, sf_dir):
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+# --- 13: conversation structure repair -------------------------------------------------------
+@query("op13_turn_grammar")
+def op13_turn_grammar(spark, sf_dir):
+    return turn_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
