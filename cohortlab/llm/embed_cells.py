@@ -4,8 +4,9 @@ Cells are trained on a bounded sample. Every vector lives in the cell of its nea
 and also visits the cells whose boundary with its own is near, so that pairs on either side of a
 boundary meet. The number of cells is the one that costs least on the sample, down to a single
 cell, so it bears on the work and not on the result. Within a cell, blocks of rows are multiplied
-pairwise; each block returns how many links every vector has and a forest that spans them, never
-the pairs.
+pairwise: first their heads, a few coordinates in the directions that matter most, which rule out
+most pairs for certain, then what is left. Each block returns how many links every vector has and
+a forest that spans them, never the pairs.
 """
 from __future__ import annotations
 
@@ -21,18 +22,26 @@ from .text import hash128
 by_value(__name__)
 
 THRESHOLD = 0.9
-#: vectors that the cells are trained on at most, and the most cells; the model stays a few MB
-SAMPLE = 20_000
+#: vectors that the cells are trained on, of all lengths, and their bytes at most; a cell has some of them
+SAMPLE = 8192
+SAMPLE_BYTES = 1 << 25
+ROWS_A_CELL = 20
 MAX_CELLS = 4096
 ROUNDS = 8
-#: rows of a block on either side of a task, and of the products that it is taken apart into
-BLOCK = 4096
+#: lengths with fewer vectors have one cell, which takes no training
+LEAST = 4096
+#: rows and bytes of a block on either side of a task at most; a cell is taken apart into SHARES blocks
+#: or more, each in products of CHUNK rows
+BLOCK = 1 << 16
+BLOCK_BYTES = 1 << 25
+SHARES = 8
 CHUNK = 1024
+#: directions of a head at most
+HEAD = 64
 #: sending a row to a task costs about as much as so many products
 ROW_COST = 1000
 
 
-
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision; zero and non-finite rows become nan."""
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
@@ -73,16 +82,18 @@ def reach(threshold: float) -> float:
 
 def fitted(x: np.ndarray, n: int, margin: float, block: int) -> np.ndarray:
     """Centroids for ``n`` vectors of which the unit rows ``x`` are a sample: as many as cost
-    least in products and rows sent, from the square root of ``n`` down to one."""
+    least in products and rows sent, from the square root of ``n`` down to one. They are trained on
+    three quarters of the sample, and judged on the rest."""
+    train, held = x[:len(x) * 3 // 4], x[len(x) * 3 // 4:]
     best, least = x[:1], n * (n / 2 + ROW_COST * np.ceil(n / block))
-    k = min(len(x), MAX_CELLS, int(np.sqrt(n)))
+    k = min(len(train) // ROWS_A_CELL, MAX_CELLS, int(np.sqrt(n)))
     while k > 1:
-        c, lives, out = spherical_kmeans(x, k), np.zeros(k), np.zeros(k)
-        for a in range(0, len(x), 2048):
-            home, _, cell = places(x[a:a + 2048], c, margin)
+        c, lives, out = spherical_kmeans(train, k), np.zeros(k), np.zeros(k)
+        for a in range(0, len(held), 2048):
+            home, _, cell = places(held[a:a + 2048], c, margin)
             lives += np.bincount(home, minlength=k)
             out += np.bincount(cell, minlength=k)
-        lives, out = lives * (n / len(x)), out * (n / len(x))
+        lives, out = lives * (n / len(held)), out * (n / len(held))
         b_in, b_out = np.ceil(lives / block), np.ceil(out / block)
         cost = (lives * (lives / 2 + out) + ROW_COST * (lives * (1 + b_in + b_out) + out * (1 + b_in))).sum()
         if cost < least:
@@ -91,16 +102,45 @@ def fitted(x: np.ndarray, n: int, margin: float, block: int) -> np.ndarray:
     return best
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def directions(x: np.ndarray) -> np.ndarray:
+    """Orthonormal columns that hold most of the unit rows ``x``: an eighth of the dimensions, 16 at
+    least, ``HEAD`` at most, by two rounds of subspace iteration."""
+    dim = x.shape[1]
+    q = np.random.default_rng(11).normal(size=(dim, min(dim, HEAD, max(16, dim // 8))))
+    for _ in range(3):
+        q = np.linalg.qr(x.T @ (x @ q) + 1e-9 * q)[0]
+    return q
+
+
+def heads(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates of the unit rows along the basis, and the length of what is left. The product of
+    two heads is no less than that of the vectors."""
+    h = x @ basis
+    return np.column_stack([h, np.sqrt(np.maximum(0.0, 1 - (h * h).sum(axis=1)))]).astype(np.float32)
+
+
+def block_rows(n: int, dim: int) -> int:
+    """Rows of a block for ``n`` vectors: an even share of them, as far as a task can hold it."""
+    return max(1, min(max(1024, -(-n // SHARES)), BLOCK, BLOCK_BYTES // (8 * dim)))
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float, hx: np.ndarray | None = None,
+           hy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of the unit rows with cosine ``threshold`` or more in double precision. Products
-    are taken in single precision; those that its rounding leaves open are taken again."""
-    s = x.astype(np.float32) @ y.astype(np.float32).T
-    unsure = (x.shape[1] + 8) * 2.0 ** -23
-    a, b = np.nonzero(s >= threshold - unsure)
-    some = np.flatnonzero(s[a, b] < threshold + unsure)
-    fits = np.ones(len(a), bool)
-    for k in range(0, len(some), 1 << 14):
-        i = some[k:k + (1 << 14)]
+    are taken in single precision; those that its rounding leaves open are taken again. Pairs whose
+    ``heads`` fall short are left out before, unless too many don't."""
+    unsure, fits = (x.shape[1] + 8) * 2.0 ** -23, None
+    if hx is not None:
+        a, b = np.nonzero(hx @ hy.T >= threshold - (hx.shape[1] + 8) * 2.0 ** -22)
+        if 16 * len(a) <= len(x) * len(y):
+            some, fits = np.arange(len(a)), np.ones(len(a), bool)
+    if fits is None:
+        s = x.astype(np.float32) @ y.astype(np.float32).T
+        a, b = np.nonzero(s >= threshold - unsure)
+        some, fits = np.flatnonzero(s[a, b] < threshold + unsure), np.ones(len(a), bool)
+    step = max(1, (1 << 20) // x.shape[1])
+    for k in range(0, len(some), step):
+        i = some[k:k + step]
         fits[i] = (x[a[i]] * y[b[i]]).sum(axis=1) >= threshold
     return a[fits], b[fits]
 
@@ -108,6 +148,8 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
 def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``root``, the smallest index that each index is tied to, after the further ties (a, b)."""
     a, b = root[a], root[b]
+    if (a == b).all():
+        return root
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -121,7 +163,7 @@ def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(ids, home, x, weight, visits, left, right, cell, threshold):
+def _compare(ids, home, x, weight, visits, left, right, cell, threshold, head=None):
     """Link counts and spanning ties between the rows ``left`` and ``right`` (index arrays) of one
     block, the same array or disjoint ones. A pair of a resident and a visitor that meets in both
     homes counts in the lower one."""
@@ -139,7 +181,7 @@ def _compare(ids, home, x, weight, visits, left, right, cell, threshold):
     for i in range(0, len(left), CHUNK):
         for j in range(i if left is right else 0, len(right), CHUNK):
             own, other = left[i:i + CHUNK], right[j:j + CHUNK]
-            a, b = linked(x[own], x[other], threshold)
+            a, b = linked(x[own], x[other], threshold, *([head[own], head[other]] if head is not None else []))
             if left is right and i == j:
                 a, b = a[a < b], b[a < b]
             a, b = own[a], other[b]
@@ -153,9 +195,33 @@ def _compare(ids, home, x, weight, visits, left, right, cell, threshold):
     return by_id, count[by_id], ids[by_id[root]]
 
 
+def _samples(once: DataFrame, classes: DataFrame, large: dict[int, int], sample: int) -> dict[int, np.ndarray]:
+    """Unit rows drawn from the distinct vectors of each length by a hash of their ids: as many rows
+    of a length as its share, and no more bytes than ``SAMPLE_BYTES``. The draw is a condition on each
+    row, so no task gives more than its part, and the sample is the same at every run."""
+    spark, total = once.sparkSession, sum(large.values())
+    rows = {dim: sample * n / total for dim, n in large.items()}
+    fits = min(1.0, SAMPLE_BYTES / sum(4 * dim * k for dim, k in rows.items()))
+    cuts = spark.createDataFrame([(dim, min(1.0, fits * rows[dim] / n)) for dim, n in large.items()], "dim int, share double")
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "rep", "h1"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = classes.join(sized(cuts), "dim").where(draw < F.col("share")).select("dim", "h1", "h2", F.col("rep").alias("id"))
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    found = once.join(F.broadcast(drawn), ["dim", "h1", "h2", "id"]).select(
+        "dim", "id", "h1", F.transform("v", lambda x: x / most).cast("array<float>").alias("v")).toArrow()
+    size, key = found["dim"].to_numpy(), np.column_stack([found["id"].to_numpy(), found["h1"].to_numpy()])
+    out = {}
+    for dim in np.unique(size).tolist():
+        own = np.flatnonzero(size == dim)
+        _, one = np.unique(key[own], axis=0, return_index=True)
+        flat = found["v"].combine_chunks().take(own[one]).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        # ids may follow the data's order: take the rows in another one
+        out[dim] = unit(flat.astype(np.float64))[np.random.default_rng(3).permutation(len(one))]
+    return out
+
+
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
                  margin: float | None = None, sample: int = SAMPLE, cells: int | None = None,
-                 block: int = BLOCK) -> DataFrame:
+                 block: int | None = None) -> DataFrame:
     """One row per vector: ``key``, ``n_links`` (other vectors found at cosine ``threshold`` or more),
     ``component_id`` (smallest id reachable over links, its own included) and ``kept``
     (``key`` = ``component_id``).
@@ -163,7 +229,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
     Vectors of different lengths don't link; each length has cells of its own. Equal vectors are
     collapsed first and count as links of each other. Every link is found, however many ``cells`` there are
-    of a length (``fitted`` unless given); only a ``margin`` below ``reach(threshold)`` can miss some. Rows with
+    of a length (``fitted`` unless given); only a ``margin`` below ``reach(threshold)`` can miss some. The driver
+    gets a sample of about ``sample`` vectors, ``SAMPLE_BYTES`` at most. Rows with
     a null id link with nothing and aren't kept; rows with one id and different vectors are linked
     through that id. ``vectors`` may have any other columns.
     """
@@ -186,18 +253,16 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     of_class = rows.join(classes, ["dim", "h1", "h2"], "left").withColumn("rep", F.when(F.col("fine"), F.col("rep")))
     once = d.where(fine).withColumn("dim", F.size("v")).withColumn("h1", h1).withColumn("h2", h2)
     reps = once.join(classes, ["dim", "h1", "h2"]).where("id = rep").dropDuplicates(["id", "dim", "h1", "h2"]).select("id", "v", "w")
-    # lengths with few vectors have one cell, which takes no training; the others share the sample
-    large = {dim: n for dim, n in dims.items() if cells or n > block}
+    large = {dim: n for dim, n in dims.items() if cells or n > LEAST}
+    samples = _samples(once, classes, large, sample) if large else {}
     models, first = {}, 0
+    sizes_of = {dim: block or block_rows(n, dim) for dim, n in dims.items()}
     for dim, n in dims.items():
-        model = None
-        if dim in large:
-            # training rows: the smallest hashes of the ids, so that the sample is the same at every run
-            share = max(1, sample * n // sum(large.values()))
-            drawn = reps.where(F.size("v") == dim).select("v").orderBy(F.xxhash64("id"), "id").limit(share).collect()
-            x = unit(np.array([r["v"] for r in drawn], dtype=np.float64))
-            model = spherical_kmeans(x, min(len(x), MAX_CELLS, cells)) if cells else fitted(x, n, margin, block)
-        models[dim] = first, model if model is not None and len(model) > 1 else None
+        model, basis, x = None, None, samples.get(dim)
+        if x is not None and len(x):
+            model = spherical_kmeans(x, min(len(x), MAX_CELLS, cells)) if cells else fitted(x, n, margin, sizes_of[dim])
+            basis = directions(x) if dim > 16 else None
+        models[dim] = first, model if model is not None and len(model) > 1 else None, basis
         first += 1 if model is None else len(model)
     models = spark.sparkContext.broadcast(models)
     kind = "float" if single else "double"
@@ -209,7 +274,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
         for batch in batches:
             size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
             for dim in np.unique(size).tolist():
-                first, model = models.value[dim]
+                first, model, _ = models.value[dim]
                 own = np.flatnonzero(size == dim)
                 for part in range(0, len(own), 2048):
                     b = batch.take(pa.array(own[part:part + 2048]))
@@ -235,9 +300,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     placed = reps.mapInArrow(assign, f"id long, w long, home int, cell int, visits array<int>, x array<{kind}>")
     placed = cut(placed)
     lives = F.col("cell") == F.col("home")
-    sizes = placed.groupBy("cell").agg(F.sum(lives.cast("int")).alias("n_in"), F.sum((~lives).cast("int")).alias("n_out"))
-    sizes = sizes.select("cell", F.ceil(F.col("n_in") / block).cast("int").alias("b_in"),
-                         F.greatest(F.lit(1), F.ceil(F.col("n_out") / block).cast("int")).alias("b_out"))
+    sizes = placed.groupBy("cell").agg(F.sum(lives.cast("int")).alias("n_in"), F.sum((~lives).cast("int")).alias("n_out"),
+                                       F.first(F.size("x")).alias("dim"))
+    # a row a length
+    sizes = sizes.join(sized(spark.createDataFrame(list(sizes_of.items()), "dim int, block int")), "dim")
+    sizes = sizes.select("cell", F.ceil(F.col("n_in") / F.col("block")).cast("int").alias("b_in"),
+                         F.greatest(F.lit(1), F.ceil(F.col("n_out") / F.col("block")).cast("int")).alias("b_out"))
     # one row a cell, MAX_CELLS a length at most
     p = placed.join(sized(cut(sizes)), "cell").where("b_in > 0")
     own = F.pmod(F.xxhash64("id"), F.when(lives, F.col("b_in")).otherwise(F.col("b_out"))).cast("int")
@@ -267,7 +335,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             left, right = at[own == i], at[own == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"id": ids[:0], "n": w[:0], "root": ids[:0]})
-        rows, n, root = _compare(ids, home, x, w, visits, left, right, cell, threshold)
+        basis = models.value[x.shape[1]][2]
+        head = heads(x, basis) if basis is not None else None
+        rows, n, root = _compare(ids, home, x, w, visits, left, right, cell, threshold, head)
         some = (n > 0) | (root != ids[rows])
         return pd.DataFrame({"id": ids[rows][some], "n": n[some], "root": root[some]})
 

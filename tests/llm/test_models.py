@@ -180,6 +180,57 @@ def test_cells_are_as_many_as_pay():
     assert len(embed_cells.fitted(apart, 6000, margin, embed_cells.BLOCK)) == 1
 
 
+def test_cells_of_grouped_vectors(spark, monkeypatch):
+    """Production settings, enough vectors in groups that cells pay: they are used, and all links found."""
+    r = np.random.default_rng(12)
+    centre = embed_cells.unit(r.normal(size=(120, 24)))
+    x = embed_cells.unit(np.concatenate([centre[r.integers(120, size=6000)] + 0.07 * r.normal(size=(6000, 24)), centre]))
+    used, fitted = [], embed_cells.fitted
+
+    def spied(*how):
+        used.append(len(fitted(*how)))
+        return fitted(*how)
+
+    monkeypatch.setattr(embed_cells, "fitted", spied)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embed_cells.near_vectors(df).collect()))
+    assert used and used[0] > 1
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    at = brute.groups(range(len(x)), zip(*[i.tolist() for i in np.nonzero(np.triu(hit))]))
+    assert got == [(i, int(n), at[i], at[i] == i) for i, n in enumerate(hit.sum(axis=1))]
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """In rows and in bytes, and drawn by each row for itself."""
+    r = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, r.normal(size=6).tolist()) for i in range(3000)], "vec_id long, embedding array<double>")
+    seen, samples = [], embed_cells._samples
+
+    def spied(*how):
+        seen.append(samples(*how))
+        return seen[-1]
+
+    monkeypatch.setattr(embed_cells, "_samples", spied)
+    embed_cells.near_vectors(df, cells=4, sample=500).count()
+    monkeypatch.setattr(embed_cells, "SAMPLE_BYTES", 6 * 4 * 100)
+    embed_cells.near_vectors(df, cells=4, sample=500).count()
+    assert 400 < len(seen[0][6]) < 600 and 60 < len(seen[1][6]) < 140
+
+
+def test_heads_rule_out_no_link():
+    r = np.random.default_rng(14)
+    x = embed_cells.unit(r.normal(size=(700, 40)) * np.linspace(2, 0.1, 40))
+    y = embed_cells.unit(x[:300] + 0.4 * embed_cells.unit(r.normal(size=(300, 40))))
+    q = embed_cells.directions(x)
+    assert np.allclose(q.T @ q, np.eye(q.shape[1])) and q.shape[1] < 40
+    hx, hy = embed_cells.heads(x, q), embed_cells.heads(y, q)
+    assert (hx.astype(float) @ hy.T >= x @ y.T - 1e-5).all()
+    for t in (0.5, 0.9):
+        got = set(zip(*[i.tolist() for i in embed_cells.linked(x, y, t, hx, hy)]))
+        assert got == set(zip(*[i.tolist() for i in np.nonzero(x @ y.T >= t)])) and got
+
+
 def test_vectors_empty(spark):
     df, _ = vectors(spark)
     assert embed_cells.near_vectors(df.limit(0)).count() == 0
