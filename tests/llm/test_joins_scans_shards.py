@@ -216,6 +216,37 @@ def test_a_rule_of_four_tokens(spark):
     assert {len(r["url_verdict"]["mined"]) for r in got if r["verdict"] == "block"} == {4}
 
 
+def test_a_url_with_many_arguments(spark):
+    """Thirty arguments on one labelled URL, and on each hundredth of ten thousand."""
+    import time
+
+    args = "&".join(f"k{i}=1" for i in range(30))
+    few = [(f"http://h{i % 7}.com/{'ab'[i % 2]}/x{i}", "block" if i % 2 else "allow") for i in range(60)]
+    many = [(f"http://h{i % 7}.com/{'abc'[i % 3]}/x{i}" + (f"?{args}" if i % 100 == 0 else ""),
+             "block" if i % 3 == 0 or i % 200 == 0 else "allow") for i in range(10_000)]
+    for urls in (few + [(f"http://odd.org/p?{args}", "block")], many):
+        labelled, began = spark.createDataFrame(urls, "url string, verdict string"), time.time()
+        rules, members = url_rules.mine_rules(labelled.select(url_rules.url_tokens(
+            F.col("url"), url_rules.host_and_path(F.col("url"))["host"], url_rules.host_and_path(F.col("url"))["path"]).alias("tokens"), "verdict"))
+        rules = rules.collect()
+        assert time.time() - began < 60
+        # all thirty are one item, so rules that need one of them need no second
+        item = {r["token"]: r["item"] for r in members.collect()}
+        named = {item[f"arg:k{i}"] for i in range(30) if f"arg:k{i}" in item}
+        assert len(named) <= 1 and len(rules) < 40
+    got = url_rules.judge_urls(spark.createDataFrame(few + [(f"http://odd.org/p?{args}", "block"), ("http://new.org/?k7=2", "block")],
+                                                     "url string, verdict string"),
+                               spark.createDataFrame(few + [(f"http://odd.org/p?{args}", "block")], "url string, verdict string"), rules=())
+    assert all(r["url_verdict"]["verdict"] == r["verdict"] for r in got.collect())
+
+
+def test_url_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "x://a.b.net/", 5, 6)], "page_id long, url string, url_parts int, `url_set` int")
+    labelled = spark.createDataFrame([("x://a.b.org/", "allow", 1)], "url string, verdict string, _url_parts int")
+    got = url_rules.judge_urls(pages, labelled)
+    assert got.columns == [*pages.columns, "url_verdict"] and tuple(got.first())[2:4] == (5, 6)
+
+
 def test_url_rules_without_labels(spark):
     empty = spark.createDataFrame([], "url string, verdict string")
     pages = spark.createDataFrame([(1, "x://a.b.net/")], "page_id long, url string")
