@@ -35,8 +35,19 @@ class Automaton:
                 end = i + 1
         return end
 
+    def visits(self, data: bytes, backward: bool = False) -> list[int]:
+        """Positions behind whose byte the automaton accepts, reading from one end to the other."""
+        state, rows, accept, out = self.start, self.rows, self.accept_list, []
+        kinds = data.translate(self.class_bytes)
+        for i in range(len(data) - 1, -1, -1) if backward else range(len(data)):
+            state = rows[state][kinds[i]]
+            if accept[state]:
+                out.append(i)
+        return out
+
     def __post_init__(self):
         self.rows, self.class_list, self.accept_list = self.table.tolist(), self.classes.tolist(), self.accept.tolist()
+        self.class_bytes = self.classes.astype(np.uint8).tobytes()
 
 
 class _Builder:
@@ -163,15 +174,25 @@ class _Pattern:
         return tree
 
 
-def compiled(rules: list[tuple[str, bool]], search: bool) -> Automaton:
+def _flipped(tree) -> tuple:
+    """The tree of the same strings read from their ends."""
+    if tree[0] == "seq":
+        return "seq", [_flipped(t) for t in reversed(tree[1])]
+    if tree[0] == "or":
+        return "or", [_flipped(t) for t in tree[1]]
+    return ("times", _flipped(tree[1]), *tree[2:]) if tree[0] == "times" else tree
+
+
+def compiled(rules: list[tuple[str, bool]], search: bool, backward: bool = False) -> Automaton:
     """One automaton for the rules (pattern, letters in either case); bit i of ``accept`` stands
-    for rule i. ``search``: a match may begin at any byte."""
+    for rule i. ``search``: a match may begin at any byte. ``backward``: it reads from the end."""
     nfa = _Builder()
     first, ends = nfa.state(), {}
     for i, (pattern, either_case) in enumerate(rules):
         s = nfa.state()
         nfa.empty[first].append(s)
-        e = nfa.build(_Pattern(pattern, either_case).either(), s)
+        tree = _Pattern(pattern, either_case).either()
+        e = nfa.build(_flipped(tree) if backward else tree, s)
         ends[e] = ends.get(e, 0) | 1 << i
     sets = sorted({s for es in nfa.edges for s, _ in es}, key=sorted)
     marks = np.array([[b in s for s in sets] for b in range(256)], dtype=np.uint8).reshape(256, -1)

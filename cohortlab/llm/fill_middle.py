@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import arrow_bytes, slices
+from .shingles import arrow_bytes, code_points, slices
 from .ship import by_value
 from .text import free_name, others, quoted
 
@@ -22,8 +22,6 @@ SEED = 7
 RATE = 100
 SUFFIX_FIRST = 50
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
-#: bytes whose code points are counted at a time
-PIECE = 1 << 22
 
 
 class OffsetSet:
@@ -68,17 +66,6 @@ class OffsetSet:
         return self.bases[c] + 64 * i + int(np.flatnonzero(word)[k])
 
 
-def code_points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Number of code points that begin before each of the sorted byte positions ``at``."""
-    out, seen = np.empty(len(at), np.int64), 0
-    for a in range(0, max(1, len(raw)), PIECE):
-        lead = np.concatenate([[0], np.cumsum((raw[a:a + PIECE] & 0xC0) != 0x80)])
-        i, j = np.searchsorted(at, [a, a + PIECE + (a + PIECE >= len(raw))])
-        out[i:j] = seen + lead[at[i:j] - a]
-        seen += int(lead[-1])
-    return out
-
-
 def line_cuts(raw: np.ndarray, offs: np.ndarray):
     """For each text: the offsets where lines end, and 0."""
     raw, offs = raw[offs[0]:offs[-1]], offs - offs[0]

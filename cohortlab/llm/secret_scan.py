@@ -2,8 +2,10 @@
 
 The rules' regular expressions become one minimal automaton. A slice of texts is cut into lanes
 of a few hundred bytes at bytes that take every state back to the start, so that no match
-crosses a cut; all lanes step through the transition array together. Few lanes meet an accepting
-state. In those, each rule's own automaton gives its matches: leftmost, longest, non-overlapping.
+crosses a cut; all lanes step through the transition array together, and the last few long ones
+one after the other. Few lanes meet an accepting state. In those, one pass from the end marks where
+each rule's matches begin, and its own automaton gives them: leftmost, longest, non-overlapping. So
+every byte is stepped a bounded number of times, whatever the text.
 """
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import compiled
-from .shingles import arrow_bytes, slices
+from .shingles import arrow_bytes, code_points, slices
 from .ship import by_value, map_batches
 from .text import others
 
@@ -55,6 +57,8 @@ RULES = BASE + MORE
 #: tail bytes behind a head that make a lane worth a closer look
 HINT = 4
 LANE = 256
+#: lanes that are left to be stepped byte by byte
+FEW = 64
 
 
 class Scanner:
@@ -63,6 +67,7 @@ class Scanner:
         hints = [(r.hint or f"{r.head}{r.tail}{{{min(r.least, HINT) if r.head else r.least}}}", r.either_case) for r in rules]
         self.all = compiled(hints, search=True)
         self.whole = [compiled([(f"{r.head}{r.tail}+", r.either_case)], search=False) for r in rules]
+        self.begins = [compiled([(f"{r.head}{r.tail}+", r.either_case)], search=True, backward=True) for r in rules]
         self.heads = [compiled([(r.head, r.either_case)], search=False) for r in rules]
         n, width = self.all.table.shape
         if n * width >= 1 << 31:
@@ -70,6 +75,7 @@ class Scanner:
         self.step = (self.all.table * width).astype(np.int32).reshape(-1)
         self.width = width
         self.marks = np.repeat(self.all.accept, width)
+        self.step_list, self.mark_list = self.step.tolist(), self.marks.tolist()
         back = (self.all.table == self.all.start).all(axis=0)
         self.resets = back[self.all.classes]
 
@@ -85,11 +91,20 @@ class Scanner:
         kinds = self.all.classes[raw[a:b]]
         state = np.full(len(order), self.all.start * self.width, dtype=np.int32)
         mask = np.zeros(len(order), dtype=np.int64)
-        live = np.searchsorted(-longest, -np.arange(1, (longest[0] if len(longest) else 0) + 1), side="right")
+        together = int(longest[FEW]) if len(longest) > FEW else 0
+        live = np.searchsorted(-longest, -np.arange(1, together + 1), side="right")
         begin = begin - a
         for t, n in enumerate(live.tolist()):
             state[:n] = self.step[state[:n] + kinds[begin[:n] + t]]
             mask[:n] |= self.marks[state[:n]]
+        step, marks = self.step_list, self.mark_list
+        for i in range(min(FEW, len(order))):
+            now, seen = int(state[i]), int(mask[i])
+            for c in kinds[begin[i] + together:begin[i] + longest[i]].tobytes():
+                now = step[now + c]
+                if marks[now]:
+                    seen |= marks[now]
+            mask[i] = seen
         out = np.empty_like(mask)
         out[order] = mask
         return start, start + size, out
@@ -97,15 +112,12 @@ class Scanner:
     def matches(self, data: bytes, mask: int):
         """(rule, start, end) of every match in a lane, in bytes."""
         for i, r in enumerate(self.rules):
-            at = 0
-            while mask >> i & 1 and at < len(data):
-                end = self.whole[i].longest(data, at)
-                if end < 0:
-                    at += 1
-                    continue
-                if end - self.heads[i].longest(data, at) >= r.least:
-                    yield i, at, end
-                at = end
+            end = 0
+            for at in reversed(self.begins[i].visits(data, backward=True) if mask >> i & 1 else []):
+                if at >= end:
+                    end = self.whole[i].longest(data, at)
+                    if end - self.heads[i].longest(data, at) >= r.least:
+                        yield i, at, end
 
     def spans(self, raw: np.ndarray, offs: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """By text: sorted (start, rule, end), in code points."""
@@ -116,10 +128,9 @@ class Scanner:
             for rule, a, b in self.matches(raw[start[k]:end[k]].tobytes(), int(mask[k])):
                 found.setdefault(text, []).append((int(start[k]) + a, rule, int(start[k]) + b))
         for text, own in found.items():
-            lead = (raw[offs[text]:offs[text + 1]] & 0xC0) != 0x80
-            point = np.concatenate([[0], np.cumsum(lead)])
-            first = int(offs[text])
-            found[text] = sorted((int(point[a - first]), r, int(point[b - first])) for a, r, b in own)
+            at = np.unique([x - int(offs[text]) for a, _, b in own for x in (a, b)])
+            point = dict(zip((at + int(offs[text])).tolist(), code_points(raw[offs[text]:offs[text + 1]], at).tolist()))
+            found[text] = sorted((point[a], r, point[b]) for a, r, b in own)
         return found
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.llm import exact_dedup, fill_middle, turn_grammar, turn_repair
+from cohortlab.llm import exact_dedup, fill_middle, shingles, turn_grammar, turn_repair
 from cohortlab.llm.queries import QUERIES
 
 from . import brute, odd
@@ -86,12 +86,12 @@ def test_all_kinds_of_containers():
 
 
 def test_code_points_in_pieces(monkeypatch):
-    monkeypatch.setattr(fill_middle, "PIECE", 7)
+    monkeypatch.setattr(shingles, "PIECE", 7)
     text = "aé日本\n😀b\n" * 9
     raw = np.frombuffer(text.encode(), np.uint8)
     at = np.array([len(text[:i].encode()) for i in range(len(text) + 1)])
-    assert fill_middle.code_points(raw, at).tolist() == list(range(len(text) + 1))
-    assert fill_middle.code_points(raw[:0], np.array([0])).tolist() == [0]
+    assert shingles.code_points(raw, at).tolist() == list(range(len(text) + 1))
+    assert shingles.code_points(raw[:0], np.array([0])).tolist() == [0]
 
 
 # --- 12 ---
