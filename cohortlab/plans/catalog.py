@@ -783,6 +783,7 @@ def q_eval_report(spark, sf):
 # ---------------------------------------------------------------------------------------------
 # parameter aggregation (M5-M10, M12, M13) and privacy ledger
 from ..functions.exprs import r6  # noqa: E402
+from ..operators import blocks  # noqa: E402
 from ..operators import params as PM  # noqa: E402
 from ..operators import privacy  # noqa: E402
 
@@ -800,17 +801,17 @@ def _r6_value(df, col="value"):
 
 @query("param_explode", f"SELECT round, client_id, tensor, idx, value FROM ({UPD})")
 def q_param_explode(spark, sf):
-    return T.client_updates(spark, sf).select("round", "client_id", "tensor", "idx", "value")
+    return T.client_updates(spark, sf, blocked=False).select("round", "client_id", "tensor", "idx", "value")
 
 
 @query("param_count", f"SELECT tensor, count(DISTINCT idx) AS numel, count(*) AS n_values FROM ({UPD}) GROUP BY tensor")
 def q_param_count(spark, sf):
-    return PM.param_count(T.client_updates(spark, sf))
+    return PM.param_count(T.client_updates(spark, sf, blocked=False))
 
 
 @query("fedavg", f"SELECT round, tensor, idx, round(value + 1e-9, 6) + 0.0 AS value FROM ({FEDAVG_SQL})")
 def q_fedavg(spark, sf):
-    return _r6_value(PM.fedavg(T.client_updates(spark, sf)))
+    return _r6_value(blocks.exploded(PM.fedavg(T.client_updates(spark, sf)), PM.BY))
 
 
 def _upd_global(spark, sf):
@@ -832,7 +833,7 @@ s AS (SELECT round, tensor, idx, first(w_g) AS w_g, sum(num_examples * (w_g - va
 SELECT round, tensor, idx, round(w_g - (nt / nn) * (ss / nn) + 1e-9, 6) + 0.0 AS value FROM s JOIN r USING (round)""")
 def q_fednova(spark, sf):
     u, g = _upd_global(spark, sf)
-    return _r6_value(PM.fednova(u, g))
+    return _r6_value(blocks.exploded(PM.fednova(u, g), PM.BY))
 
 
 DELTA_SQL = (f"SELECT a.round, a.tensor, a.idx, a.value - g.value AS value FROM ({FEDAVG_SQL}) a "
@@ -844,9 +845,10 @@ DELTA_SQL = (f"SELECT a.round, a.tensor, a.idx, a.value - g.value AS value FROM
        "GROUP BY ALL")
 def q_server_momentum(spark, sf):
     u, g = _upd_global(spark, sf)
-    d = PM.fedavg(u).join(g.withColumnRenamed("value", "_g"), PM.KEY).select(
-        *PM.KEY, (F.col("value") - F.col("_g")).alias("value"))
-    return _r6_value(PM.server_momentum(d, 0.9), "velocity")
+    key = ["round", "tensor", "block"]
+    d = PM.fedavg(u).join(g.withColumnRenamed("values", "_g"), key).select(*key, blocks.plus("values", "_g", -1.0).alias("values"))
+    v = PM.server_momentum(d, 0.9).withColumnRenamed("velocity", "values")
+    return _r6_value(blocks.exploded(v, PM.BY, value="velocity"), "velocity")
 
 
 def _clip_sql(per_tensor: bool, C: float = 0.5):
@@ -861,8 +863,8 @@ for _pt, _nm in [(False, "dp_clip_flat"), (True, "dp_clip_per_tensor")]:
     def _mk(pt):
         def fn(spark, sf):
             u, g = _upd_global(spark, sf)
-            return _r6_value(PM.dp_clip(u, g, 0.5, "per_tensor" if pt else "flat").select(
-                "round", "client_id", "tensor", "idx", "delta"), "delta")
+            c = PM.dp_clip(u, g, 0.5, "per_tensor" if pt else "flat").withColumnRenamed("delta", "values")
+            return _r6_value(blocks.exploded(c, ["round", "client_id"], value="delta"), "delta")
         return fn
     query(_nm, f"SELECT round, client_id, tensor, idx, round(delta + 1e-9, 6) + 0.0 AS delta FROM ({_clip_sql(_pt)})")(_mk(_pt))
 
@@ -878,7 +880,7 @@ s AS (SELECT round, tensor, idx, first(w_g) AS w_g, sum(delta) AS sd,
 SELECT round, tensor, idx, round(w_g + (sd + 0.5 * {GAUSS_SQL}) / mm + 1e-9, 6) + 0.0 AS value FROM s JOIN m USING (round)""")
 def q_dp_noise_fixed_seed(spark, sf):
     u, g = _upd_global(spark, sf)
-    return _r6_value(PM.dp_fedavg(u, g, clip_norm=0.5, noise_multiplier=1.0, secret=7))
+    return _r6_value(blocks.exploded(PM.dp_fedavg(u, g, clip_norm=0.5, noise_multiplier=1.0, secret=7), PM.BY))
 
 
 CM_ = T.CLIENT_METRICS_SQL

@@ -211,16 +211,17 @@ LOGITS_SQL = (
 UPDATE_TENSORS = [("w", 48), ("b", 16)]
 
 
-def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def client_updates(spark: SparkSession, sf_dir: str, blocked: bool = True) -> DataFrame:
     """embeddings as client updates: round = vec_id div 5, client_id = vec_id % 5,
-    num_examples = label + 1, tau = 1 + label % 3; vector exploded to (tensor, idx, value)."""
+    num_examples = label + 1, tau = 1 + label % 3; vectors as blocks, or exploded to (tensor, idx, value)."""
+    from ..operators.blocks import from_arrays
     from ..operators.params import explode_params
 
     e = table(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 5).cast("int").alias("round"), (F.col("vec_id") % 5).cast("int").alias("client_id"),
         (F.col("label") + 1).cast("int").alias("num_examples"), (F.col("label") % 3 + 1).cast("int").alias("tau"),
         "embedding")
-    return explode_params(e, "embedding", ["round", "client_id", "num_examples", "tau"], UPDATE_TENSORS)
+    return (from_arrays if blocked else explode_params)(e, "embedding", ["round", "client_id", "num_examples", "tau"], UPDATE_TENSORS)
 
 
 UPDATES_SQL = (
