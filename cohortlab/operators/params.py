@@ -184,8 +184,11 @@ def dp_fedavg(updates: DataFrame, global_model: DataFrame, clip_norm, noise_mult
     is a value in a one-row table, not a literal, so neither plans nor event logs show it. A
     fixed one is for tests only; by default a fresh one is drawn from the OS RNG. ``clip_norm`` and
     ``noise_multiplier`` are numbers, or columns of ``updates`` named by ``by``'s configurations."""
-    if secret is None:
-        import secrets
+    import secrets
+
+    if isinstance(secret, dict):   # by configuration
+        secret = {c: secrets.randbits(63) if x is None else x for c, x in secret.items()}
+    elif secret is None:
         secret = secrets.randbits(63)
     u = _blocked(updates, [*by, *CLIENT])
     number = lambda x: F.lit(float(x)) if isinstance(x, (int, float)) else F.first(x)
@@ -196,8 +199,9 @@ def dp_fedavg(updates: DataFrame, global_model: DataFrame, clip_norm, noise_mult
 
 
 def _noised(s: DataFrame, secret, spark, by: Sequence[str]) -> DataFrame:
-    hidden = spark.createDataFrame(spark.sparkContext.parallelize([(0, str(secret))], 1), "_zero int, _secret string")
-    s = s.withColumn("_zero", F.lit(0)).join(F.broadcast(hidden), "_zero")
+    own = secret if isinstance(secret, dict) else {0: secret}
+    hidden = spark.createDataFrame(spark.sparkContext.parallelize([(c, str(x)) for c, x in own.items()], 1), "_zero int, _secret string")
+    s = s.withColumn("_zero", F.col("config_id") if isinstance(secret, dict) else F.lit(0)).join(F.broadcast(hidden), "_zero")
     at = F.sequence(F.lit(0), F.size("_sum") - 1)
     noise = F.transform(at, lambda i: F.col("_std") * gaussian_from_hash(
         noise_hash(F.col("_secret"), idx_col=F.col("block") * B.BLOCK + i)))

@@ -783,6 +783,7 @@ def q_eval_report(spark, sf):
 # ---------------------------------------------------------------------------------------------
 # parameter aggregation (M5-M10, M12, M13) and privacy ledger
 from ..functions.exprs import r6  # noqa: E402
+from ..functions.exprs import materialize  # noqa: E402
 from ..operators import blocks  # noqa: E402
 from ..operators import params as PM  # noqa: E402
 from ..operators import privacy  # noqa: E402
@@ -1118,7 +1119,7 @@ def q_local_train_first_step(spark, sf):
                                                 F.col("embedding").alias("features"), F.col("label").cast("int").alias("label"))
     meta = e.agg(F.max(F.size("features")).alias("f"), F.max("label").alias("k")).first()
     zero = [("W0", np.zeros((meta["k"] + 1, meta["f"]))), ("b0", np.zeros(meta["k"] + 1))]
-    p = TR.local_train(e, zero, "vec_id", epochs=1, batch_size=1 << 40, lr=0.1)
+    p = TR.full_batch_train(e, zero, epochs=1, lr=0.1)
     return TR.combine_shards(p).select("client_id", "tensor", "idx", "value")
 
 
@@ -1128,6 +1129,97 @@ def q_federated_train(spark, sf):
     return FED.federated_train(emb_clients(spark, sf), "vec_id", cfg).history
 
 
+@query("federated_published", None)
+def q_federated_published(spark, sf):
+    """The published network, normalised and with dropout, at its stated settings but for two rounds."""
+    return FED.federated_train(emb_clients(spark, sf), "vec_id", FED.published(n_rounds=2, batch_size=64)).history
+
+
+def emb_split(spark, sf):
+    """Embeddings as client rows by id: client = vec_id % 5, every fourth for evaluation."""
+    v = F.col("vec_id")
+    return T.table(spark, sf, "embeddings").select(
+        "vec_id", (v % 5).cast("int").alias("client_id"), F.col("embedding").alias("features"), F.col("label").cast("int").alias("label"),
+        F.when(F.floor(v / 5) % 4 == 0, "val").otherwise("train").alias("split"))
+
+
+def first_round_sql(runs: dict) -> str:
+    """Global loss, accuracy and rows before and after one round from zero weights: each client makes one Adam
+    step over all of its rows (W -= lr * g / (|g| + 1e-8)), models are averaged by rows. ``runs``: lr by experiment."""
+    listed = ", ".join(f"('{e}', CAST({lr} AS DOUBLE))" for e, lr in runs.items())
+    return f"""
+WITH cfg(experiment, lr) AS (VALUES {listed}),
+e AS (SELECT vec_id, vec_id % 5 AS c, label, embedding, (vec_id // 5) % 4 = 0 AS val FROM embeddings),
+tr AS (SELECT * FROM e WHERE NOT val), kk AS (SELECT DISTINCT CAST(unnest(range(0, (SELECT max(label) + 1 FROM embeddings))) AS BIGINT) AS k),
+x AS (SELECT c, label, unnest(range(0, len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM tr
+      UNION ALL SELECT c, label, -1, 1.0 FROM tr),
+n AS (SELECT c, count(*) AS n FROM tr GROUP BY 1),
+s AS (SELECT c, j, sum(v) AS s FROM x GROUP BY ALL), sk AS (SELECT c, label AS k, j, sum(v) AS sk FROM x GROUP BY ALL),
+g AS (SELECT s.c, kk.k, s.j, n.n, (s.s / (SELECT count(*) FROM kk) - coalesce(sk.sk, 0)) / n.n AS g
+      FROM s CROSS JOIN kk JOIN n USING (c) LEFT JOIN sk ON sk.c = s.c AND sk.k = kk.k AND sk.j = s.j),
+w AS (SELECT experiment, k, j, sum(n * (-lr * g / (abs(g) + 1e-8))) / sum(n) AS w FROM g CROSS JOIN cfg GROUP BY ALL),
+ev AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM e WHERE val
+       UNION ALL SELECT vec_id, label, -1, 1.0 FROM e WHERE val),
+z AS (SELECT experiment, 1 AS round, vec_id, label, k, sum(v * w) AS z FROM ev JOIN w USING (j) GROUP BY ALL
+      UNION ALL SELECT experiment, 0, vec_id, label, k, 0.0 FROM e CROSS JOIN kk CROSS JOIN cfg WHERE val),
+r AS (SELECT experiment, round, vec_id, max(z) + ln(sum(exp(z - mz))) - max(CASE WHEN k = label THEN z END) AS loss,
+             arg_max(k, (z, -k)) = any_value(label) AS hit
+      FROM (SELECT *, max(z) OVER (PARTITION BY experiment, round, vec_id) AS mz FROM z) GROUP BY ALL)
+SELECT experiment, CAST(round AS INTEGER) AS round, metric, round(value + 1e-9, 6) + 0.0 AS value FROM (
+  SELECT experiment, round, unnest(['loss', 'accuracy', 'n']) AS metric, unnest([loss, accuracy, n]) AS value FROM (
+    SELECT experiment, round, avg(loss) AS loss, avg(CAST(hit AS DOUBLE)) AS accuracy, CAST(count(*) AS DOUBLE) AS n
+    FROM r GROUP BY experiment, round))"""
+
+
+def first_rounds(history):
+    return FED.global_history(history).where(F.col("metric").isin("loss", "accuracy", "n")).select("experiment", "round", "metric", "value")
+
+
+def first_config(experiment, lr, **kw):
+    return FED.FedConfig(experiment=experiment, lr=lr, zero_init=True, batch_size=None, **{"n_rounds": 1, **kw})
+
+
+@query("federated_first_round", first_round_sql({"one": 0.1}))
+def q_federated_first_round(spark, sf):
+    """The round loop itself, against the closed form of its first round."""
+    return first_rounds(FED.federated_train(emb_split(spark, sf), "vec_id", first_config("one", 0.1)).history)
+
+
+@query("sweep", first_round_sql({"slow": 0.01, "middle": 0.1, "fast": 0.5, "override": 0.1}))
+def q_sweep(spark, sf):
+    """Four configurations side by side; an override of the round takes one's epochs from three to one."""
+    runs = [first_config("slow", 0.01), first_config("middle", 0.1), first_config("fast", 0.5),
+            first_config("override", 0.1, local_epochs=3, round_overrides={1: {"local_epochs": 1}})]
+    return first_rounds(FED.sweep(emb_split(spark, sf), "vec_id", runs))
+
+
+@query("resume", first_round_sql({"again": 0.1}))
+def q_resume(spark, sf):
+    """A run that ends after its first evaluation, goes on from its folder, and is then started once more."""
+    d, root = emb_split(spark, sf), staging_dir(spark, "rounds")
+    for n in (0, 1, 1):
+        h = FED.federated_train(d, "vec_id", first_config("again", 0.1, n_rounds=n), run_dir=root).history
+    return first_rounds(h)
+
+
+@query("merged_moments", """
+SELECT tensor, CAST(idx AS INTEGER) AS idx, round(unnest(v) + 1e-9, 6) + 0.0 AS value FROM (
+  SELECT unnest(['mean0', 'spread0']) AS tensor, idx, unnest([[avg(v)], [sum(v * v) - count(*) * avg(v) * avg(v)]]) AS v
+  FROM (SELECT unnest(range(0, len(embedding))) AS idx, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY idx)
+UNION ALL SELECT 'count0', 0, round(CAST(count(*) AS DOUBLE) + 1e-9, 6) + 0.0 FROM embeddings""")
+def q_merged_moments(spark, sf):
+    """What normalised layers keep, client by client, merged into the moments of all rows."""
+    import numpy as np
+
+    e = emb_split(spark, sf)
+    dim = e.agg(F.max(F.size("features"))).first()[0]
+    # an identity layer, so that what is normalised are the features
+    model = [(nm, np.eye(dim) if nm == "W0" else a) for nm, a in TR.init_model([dim, dim, 2], norm=True, zero=True)]
+    parts = TR.local_train(e.withColumn("label", F.lit(0)), model, "vec_id", epochs=1, batch_size=50, lr=0.0)
+    parts = materialize(parts.where(TR.is_moment()))
+    return blocks.exploded(TR.merged_moment_blocks(parts, ["config_id"]), [])
+
+
 DP_ROUNDS = ("SELECT 'dp' AS experiment, CAST(r AS INTEGER) AS round, greatest(floor(5 * 0.6), 1) / 5.0 AS sample_rate, "
              "CAST(1.5 AS DOUBLE) AS noise_multiplier FROM range(1, 4) t(r), (SELECT count(*) FROM embeddings)")
 
@@ -1165,6 +1257,27 @@ def q_baseline_train(spark, sf):
     return _baseline_eval(emb_clients(spark, sf), max_iter=50)
 
 
+@query("score", """
+WITH x AS (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+h AS (SELECT vec_id, u, greatest(sum(v * ((j * 7 + u * 11) % 13 - 6) / 10.0) + any_value(u - 2) / 4.0, 0.0) AS h
+      FROM x, range(0, 6) t(u) GROUP BY vec_id, u),
+z AS (SELECT vec_id, k, sum(h * ((u * 5 + k * 3) % 11 - 5) / 8.0) + any_value(k) / 16.0 AS z FROM h, range(0, 4) t(k) GROUP BY vec_id, k)
+SELECT vec_id, CAST(arg_max(k, z) AS INTEGER) AS y_pred, round(max(z) + 1e-9, 6) + 0.0 AS max_logit, round(min(z) + 1e-9, 6) + 0.0 AS min_logit
+FROM z GROUP BY vec_id""")
+def q_score(spark, sf):
+    """Batch scoring with a hidden layer of fixed weights."""
+    import numpy as np
+
+    e = T.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"))
+    dim = e.agg(F.max(F.size("features"))).first()[0]
+    j, u, k = np.arange(dim), np.arange(6), np.arange(4)
+    model = [("W0", ((j[None, :] * 7 + u[:, None] * 11) % 13 - 6) / 10.0), ("b0", (u - 2) / 4.0),
+             ("W1", ((u[None, :] * 5 + k[:, None] * 3) % 11 - 5) / 8.0), ("b1", k / 16.0)]
+    z = TR.score(e, model)
+    return z.select("vec_id", M.argmax(F.col("logits")).cast("int").alias("y_pred"), F.array_max("logits").alias("max_logit"),
+                    F.array_min("logits").alias("min_logit"))
+
+
 @query("score_linear", """
 WITH x AS (SELECT vec_id, label, j, CAST(embedding[j] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(j)),
 c AS (SELECT label AS k, j, avg(v) AS w FROM x GROUP BY ALL),

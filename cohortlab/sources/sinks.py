@@ -35,6 +35,12 @@ def append_round_history(history: DataFrame, path: str) -> None:
     history.write.mode("append").partitionBy("experiment").parquet(path)
 
 
+def write_rounds(rows: DataFrame, path: str) -> None:
+    """Write rows that carry ``experiment`` and ``round`` in the place of those of the same experiments
+    and rounds: written twice, they are there once."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "round").parquet(path)
+
+
 def read_round_history(spark: SparkSession, path: str, experiment: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.where(F.col("experiment") == experiment) if experiment else df
