@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import before_in_bucket, bucket_of, bucket_sums, offsets, order_hash, positions
+from .order import bucket_of, bucket_sums, offsets, order_hash, positions, with_before
 from .storage import cut
-from .text import let, n_words, others, quoted
+from .text import aside, free_name, let, n_words, others, quoted
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -78,8 +78,10 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     source's words miss the target by half a document at most. Ties (repeated or null keys) are
     ordered by the text's hash; equal rows are interchangeable. Null sources form one source,
     last in order. Documents without words take nothing. An existing column called ``out`` is
-    replaced; names beginning with ``_mix_`` are reserved.
+    replaced; all others stay, whatever their names.
     """
+    docs, named, back = aside(docs, "_mix_")
+    text, source, key = named(text), named(source), named(key)
     n_rows = docs.count()
     d = docs.select("*", n_words(text).alias("_mix_size"), F.xxhash64(F.col(text)).alias("_mix_text"),
                     order_hash(F.col(key), SEED).alias("_mix_h"),
@@ -87,7 +89,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
                     F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_mix_source"))
     d = d.withColumn("_mix_b", bucket_of(F.col("_mix_h"), n_rows))
     group = ["_mix_none", "_mix_source"]
-    table = bucket_sums(d, group, "_mix_b", {"_mix_words": F.col("_mix_size")})
+    table = bucket_sums(d, group, "_mix_b", {"_mix_words": F.col("_mix_size"), "_mix_n": F.lit(1)})
     sources = positions(table.groupBy(*group).agg(F.sum("_mix_words").alias("source_size")),
                         [F.col(c).asc() for c in group], "_mix_at")
     turn = F.col("_mix_at") % len(weights)
@@ -97,8 +99,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     few = sources.count() <= BROADCAST_SOURCES
     sources = sources.select(*group, "_mix_at", F.col("source_size").alias("_mix_all"), F.col("target").alias("_mix_target"))
     start = start.join(F.broadcast(sources) if few else sources, group)
-    first = before_in_bucket(F.col("_mix_size"), group, "_mix_b", ["_mix_h", key, "_mix_text", "_mix_size"])
-    d = d.withColumn("_mix_in", first).join(start, [*group, "_mix_b"])
+    d = with_before(d, F.col("_mix_size"), group, "_mix_b", ["_mix_h", key, "_mix_text", "_mix_size"], table, "_mix_n", n_rows, "_mix_in")
+    d = d.join(start, [*group, "_mix_b"])
     middle = F.col("_mix_start") + F.col("_mix_in") + F.col("_mix_size") / F.lit(2.0)
     size, target, whole = F.col("_mix_size"), F.col("_mix_target"), F.col("_mix_all")
 
@@ -112,7 +114,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     mixed = let(let(middle, repeats), lambda p: F.struct(
         size.alias("size"), whole.alias("source_size"), target.alias("target"), p.alias("positions"),
         (size * F.size(p)).cast("long").alias("taken")))
-    return d.select(*others(docs, out), mixed.alias(out))
+    return back(d.select(*others(docs, out), mixed.alias(out)))
 
 
 def by_position(mixed: DataFrame, out: str = "mix", key: str = "doc_id") -> DataFrame:
@@ -120,11 +122,12 @@ def by_position(mixed: DataFrame, out: str = "mix", key: str = "doc_id") -> Data
     follow, spread evenly by their hash, as a reserve."""
     reserve = F.lit(1.0) + order_hash(F.col(key), SEED) / F.lit(float(1 << 60))
     at = F.coalesce(F.get(quoted(out)["positions"], F.lit(0)), reserve)
-    d = mixed.withColumn("_mix_pos", at)
-    return d.repartitionByRange(F.col("_mix_pos")).sortWithinPartitions("_mix_pos", key).drop("_mix_pos")
+    pos = free_name(mixed, "mix_pos")
+    return mixed.withColumn(pos, at).repartitionByRange(F.col(pos)).sortWithinPartitions(pos, quoted(key)).drop(pos)
 
 
 def training_rows(mixed: DataFrame, out: str = "mix", key: str = "doc_id") -> DataFrame:
     """The mix itself: one row per document and repeat, range-sorted by training time."""
-    d = mixed.select(*others(mixed, out), F.explode(quoted(out)["positions"]).alias("_mix_pos"))
-    return d.repartitionByRange(F.col("_mix_pos")).sortWithinPartitions("_mix_pos", key).drop("_mix_pos")
+    pos = free_name(mixed, "mix_pos")
+    d = mixed.select(*others(mixed, out), F.explode(quoted(out)["positions"]).alias(pos))
+    return d.repartitionByRange(F.col(pos)).sortWithinPartitions(pos, quoted(key)).drop(pos)

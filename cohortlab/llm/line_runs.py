@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import WHITE_SPACE, ascii_lower, hash128, let, others
+from .text import WHITE_SPACE, ascii_lower, aside, hash128, let, others
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -96,9 +96,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
     has ``min_chars`` code points or more and stands in ``min_docs`` documents or more go from
     all but the document with the largest id. Rows with one id are one document; a null id is
     one document, smaller than all others. A null or empty text is one empty line. Keys are
-    compared by 128-bit hash. An existing column called ``out`` is replaced; names beginning
-    with ``_ln_`` are reserved.
+    compared by 128-bit hash. An existing column called ``out`` is replaced; all others stay,
+    whatever their names.
     """
+    docs, named, back = aside(docs, "_ln_")
+    text, key = named(text), named(key)
     least = F.lit(-(1 << 63)).cast("long")
     d = docs.select("*", F.coalesce(F.col(key).cast("long"), least).alias("_ln_doc"),
                     F.xxhash64(F.col(text)).alias("_ln_text"))
@@ -122,4 +124,4 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
             F.size(ls).cast("long").alias("n_lines"), (F.size(ls) - F.size(stay)).cast("long").alias("n_dropped"),
             F.array_join(F.transform(stay, lambda i: F.get(ls, i)), "\n").alias("text")))
 
-    return d.select(*others(docs, out), let(_lines(F.col(text)), rebuilt).alias(out))
+    return back(d.select(*others(docs, out), let(_lines(F.col(text)), rebuilt).alias(out)))

@@ -10,14 +10,14 @@ first such word stands among the first D + 1 filled words of either set: only th
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .shingles import each_slice, folded, mix
 from .ship import by_value
 from .storage import cut, sized, staged
-from .text import quoted
+from .text import aside, quoted
 
 by_value(__name__)
 
@@ -198,6 +198,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return cut(both.where(100 * shared >= percent * (F.col("n") + F.col("m") - shared)).select("u", "v").distinct())
 
 
+def _spread(rows: DataFrame, value: str) -> DataFrame:
+    """(sig, low) of the buckets that hold more than one ``value``: an aggregate, combined before the
+    shuffle, and written, so that the join back to the rows can be split where a bucket is hot."""
+    ends = rows.groupBy("sig").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return cut(ends.where("low < high").select("sig", "low"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per document: ``key``, ``n_shingles`` and ``component_id``, the smallest id reachable
     over links of similarity ``percent`` or more, its own included.
@@ -233,19 +240,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     sketches = rows.where("id is not null and n > 0").select("id", "n", *SKETCH).distinct()
     wide = rows.where("id is not null and wide is not null").select("id", "n", "wide").join(several, "id", "left_anti")
     with staged(docs.sparkSession) as stage:
-        bucket = Window.partitionBy("sig")
         sent = _signature_rows(known, bands)
-        shared = sent.withColumn("k", F.count(F.lit(1)).over(bucket)).where("k > 1").select("sig", "id")
-        shared = shared.join(sized(moved), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
-        shared = shared.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket))
-        shared = stage(shared.where("low < high").select("sig", "id", "low"))
+        shared = sent.join(_spread(sent, "id").select("sig"), "sig", "left_semi")
+        shared = stage(shared.join(sized(moved), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct())
+        shared = stage(shared.join(_spread(shared, "id"), "sig"))
         stars = shared.where("id > low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
         links = cut(_verified(known, _likely_wide(_likely(stars, sketches, percent), wide, percent), percent).unionByName(tied))
         first = cut(components(links))
         placed = shared.join(sized(first), F.col("id") == F.col("node"), "left").select(
             "sig", "id", F.coalesce("component", "id").alias("c"))
-        placed = placed.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket))
-        sides = stage(placed.where("lo < hi").select("sig", "id", "c").join(sketches, "id"))
+        sides = stage(placed.join(_spread(placed, "c").select("sig"), "sig", "left_semi").join(sketches, "id"))
         a, b = sides.alias("a"), sides.alias("b")
         met = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
         across = a.join(b, met & _may_be_similar("a", "b", percent)).select(
@@ -260,6 +264,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """The documents, one of each group: the one with the smallest id. Of rows with that id one
     stays, the first in the order of its columns. Rows with a null id all stay."""
+    docs, named, back = aside(docs, "_pj_")
+    text, key = named(text), named(key)
     groups = near_duplicates(docs, text, key, percent)
     lost = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_pj_lost")).distinct()
     lost = cut(lost)
@@ -267,10 +273,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", percent:
     again = cut(groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_pj_again")).count()
                 .where("count > 1").select("_pj_again"))
     if again.isEmpty():
-        return stay
+        return back(stay)
     again = sized(again)
     single = stay.join(again, stay[key] == F.col("_pj_again"), "left_anti")
     repeated = stay.join(again, stay[key] == F.col("_pj_again"), "left_semi")
     one = repeated.groupBy(F.col(key).alias("_pj_key")).agg(
         F.min(F.struct(*[quoted(c) for c in docs.columns])).alias("_pj_row"))
-    return single.unionByName(one.select("_pj_row.*"))
+    return back(single.unionByName(one.select("_pj_row.*")))

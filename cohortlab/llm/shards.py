@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .order import before_in_bucket, bucket_of, bucket_sums, offsets, order_hash
+from .order import bucket_of, bucket_sums, offsets, order_hash, with_before
 from .ship import by_value
-from .text import others
+from .text import aside, others
 
 by_value(__name__)
 
@@ -52,8 +52,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str =
 
     The shard follows from ``key`` and the number of shards alone; null keys count as one empty
     key, repeated keys share a shard. Slots follow the key's hash; ties are ordered by key, text
-    hash and size, and equal rows are interchangeable. Names beginning with ``_sh_`` are reserved.
+    hash and size, and equal rows are interchangeable. An existing column called ``out`` is replaced;
+    all others stay, whatever their names.
     """
+    docs, named, back = aside(docs, "_sh_")
+    text, key = named(text), named(key)
     n_rows = docs.count()
     d = docs.select("*", order_hash(F.col(key), SEED).alias("_sh_h"), F.xxhash64(F.col(text)).alias("_sh_text"),
                     (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_sh_size"))
@@ -64,10 +67,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", key: str =
     table = bucket_sums(d, ["_sh_at"], "_sh_b", {"_sh_n": one})
     start = offsets(table, ["_sh_at"], "_sh_b", "_sh_n", "_sh_start")
     order = ["_sh_h", key, "_sh_text", "_sh_size"]
-    d = d.withColumn("_sh_in", before_in_bucket(one, ["_sh_at"], "_sh_b", order)).join(start, ["_sh_at", "_sh_b"])
+    d = with_before(d, one, ["_sh_at"], "_sh_b", order, table, "_sh_n", n_rows, "_sh_in").join(start, ["_sh_at", "_sh_b"])
     info = F.struct(F.col("_sh_at").alias("shard"), F.col("_sh_grown").alias("grown_shard"),
                     (F.col("_sh_start") + F.col("_sh_in")).alias("slot"), F.col("_sh_size").alias("size"))
-    return d.select(*others(docs, out), info.alias(out))
+    return back(d.select(*others(docs, out), info.alias(out)))
 
 
 def write_shards(sharded: DataFrame, path: str, out: str = "shard_info") -> None:

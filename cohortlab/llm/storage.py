@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-#: rows of two or three numbers that are sent to every task at most
+#: rows that are sent to every task at most, and their bytes as the schema lets one guess
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 1 << 26
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,7 +42,13 @@ def staged(spark: SparkSession):
             spark.range(0).write.mode("overwrite").parquet(p)
 
 
+def guessed_bytes(df: DataFrame) -> int:
+    """Bytes of a row: 8 a number, 32 a string, 256 an array or a struct."""
+    return sum({"string": 32, "binary": 32}.get(t, 256 if t.startswith(("array", "map", "struct")) else 8) for _, t in df.dtypes)
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` for the small side of a join: sent to every task if it has ``limit`` rows or fewer
-    (counted), else left to a shuffle. Only for narrow rows that are cheap to count."""
-    return F.broadcast(df) if df.count() <= limit else df
+    (counted) and no more than about ``BROADCAST_BYTES``, else left to a shuffle. Only for narrow rows that
+    are cheap to count."""
+    return F.broadcast(df) if df.count() <= min(limit, BROADCAST_BYTES // guessed_bytes(df)) else df

@@ -51,6 +51,25 @@ def others(df, out: str) -> list[Column]:
     return [quoted(c) for c in df.columns if c.lower() != out.lower()]
 
 
+def aside(df, prefix: str):
+    """(``df`` with the columns that begin with ``prefix`` called otherwise, a function from their old names
+    to the new ones, a function that gives a result the old ones back)."""
+    new, taken = {}, {c.lower() for c in df.columns}
+    for c in df.columns:
+        if c.lower().startswith(prefix):
+            name = f"c{len(new)}"
+            while name in taken:
+                name = "_" + name
+            new[c] = name
+            taken.add(name)
+    if not new:
+        return df, lambda name: name, lambda out: out
+    old, lower = {v: k for k, v in new.items()}, {k.lower(): v for k, v in new.items()}
+    moved = df.select(*[quoted(c).alias(new.get(c, c)) for c in df.columns])
+    return (moved, lambda name: lower.get(name.lower(), name),
+            lambda out: out.select(*[quoted(c).alias(old.get(c, c)) for c in out.columns]))
+
+
 def free_name(df, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` is called so (names are
     compared without case, as Spark resolves them)."""

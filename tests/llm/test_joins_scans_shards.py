@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.llm import parity_join, secret_scan, shards, url_rules
+from cohortlab.llm import line_runs, parity_join, pieces, secret_scan, shards, url_rules
 from cohortlab.llm.automaton import compiled
 from cohortlab.llm.graph import components
 from cohortlab.llm.queries import QUERIES
@@ -52,6 +52,18 @@ def test_a_chain_is_one_component(spark):
     assert sorted(map(tuple, got)) == sorted(brute.near_duplicates([d[:2] for d in docs]))
 
 
+def test_a_sketch_word_of_many_documents(spark):
+    """Boiler plate gives ten thousand short documents one bucket; all of them are still told apart."""
+    r = random.Random(30)
+    plate = " ".join(f"p{i}" for i in range(12))
+    docs = [(i, f"{plate} " + " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) + str(r.randrange(10 ** 6)) for _ in range(8)), None, None)
+            for i in range(10_000)]
+    docs += [(20_000 + i, docs[i][1] + ("" if i % 2 else " end"), None, None) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in parity_join.near_duplicates(odd.table(spark, docs)).collect()}
+    assert len(got) == len(docs) and all(got[20_000 + i] == i for i in range(40))
+    assert sum(c != d for d, c in got.items()) == 40
+
+
 def test_keep_one(spark):
     docs = odd.table(spark)
     kept = parity_join.keep_one(docs)
@@ -179,6 +191,36 @@ def test_shards(spark):
     assert shards.shard(odd.table(spark, [])).count() == 0
 
 
+def test_half_of_the_rows_have_one_id(spark):
+    """Repeated ids, and among them equal rows, get slots of their own and are mixed like others."""
+    from cohortlab.llm import curriculum
+
+    rows = [(7, f"one two {i % 5}", "en", "a") for i in range(6000)] + [(None, "x y", "en", "a")] * 200
+    rows += [(i, "some words of a text", "en", "b") for i in range(100, 6000)]
+    docs = odd.table(spark, rows).withColumn("_sh_h", F.lit("own")).withColumn("_mix_b", F.lit("mine"))
+    got = shards.shard(docs)
+    assert got.columns == [*docs.columns, "shard_info"]
+    got = got.select("shard_info.*", "doc_id", "_sh_h").collect()
+    assert len(got) == len(rows) and {r["_sh_h"] for r in got} == {"own"} and len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    mixed = curriculum.mix_sources(docs)
+    assert mixed.columns == [*docs.columns, "mix"]
+    mixed = mixed.select("source", "mix.*", "_mix_b").collect()
+    for source in "ab":
+        own = [r for r in mixed if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5 and {r["_mix_b"] for r in own} == {"mine"}
+
+
+def test_columns_of_any_name(spark):
+    docs = odd.table(spark)
+    for name in ("_ln_doc", "_PJ_lost", "_pc_seed", "c0"):
+        docs = docs.withColumn(name, F.lit(name))
+    for found in (line_runs.dedup_lines(docs), parity_join.keep_one(docs), pieces.encode(docs)):
+        r = found.first()
+        assert found.columns[:len(docs.columns)] == docs.columns and all(r[n] == n for n in ("_ln_doc", "_PJ_lost", "_pc_seed", "c0"))
+
+
 def test_jump_is_the_published_function():
     keys = [0, 1, 7, 12345678901234567, (1 << 63) + 5, (1 << 64) - 1]
     for n in (1, 2, 8, 9, 1000):
