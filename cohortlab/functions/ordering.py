@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import radix
 
 # Hex digits of the md5 prefix used as bucket; 4 digits = 65,536 buckets, i.e. about
 # 1.5 M rows per ranking task at 10^11 rows.
@@ -28,55 +29,41 @@ def hash_bucket(h: Column, digits: int = HASH_BUCKET_DIGITS) -> Column:
     return F.substring(h, 1, digits)
 
 
-#: rows that a value bucket should hold, and the fewest and most buckets
-BUCKET_ROWS, MIN_BUCKETS, MAX_BUCKETS = 100_000, 64, 65_536
+#: rows that a value bucket may hold, and the most buckets
+BUCKET_ROWS, MAX_BUCKETS = 100_000, 65_536
 
 
 def with_value_bucket(df: DataFrame, col: str, out: str = "_vb", n_buckets: int | None = None,
-                      rel_err: float | None = None, tiebreak: str | None = None) -> DataFrame:
-    """Add ``out`` = bucket id monotone in ``col`` (ml ``Bucketizer``: JVM-side binary search).
-
-    ``n_buckets`` follows the row count if it isn't given, so that buckets keep their size. Bounds
-    come from ``approxQuantile`` (at most ``n_buckets`` doubles on the driver). A value
-    that repeats among the bounds holds at least ~1/n_buckets of all rows; it gets a bucket of
-    its own, and with ``tiebreak`` (a hex string column; order ties by it) that bucket is
-    split again into as many sub-buckets as bounds it spans — ``prefix * c // 65536`` of the
-    tiebreak's 4-hex-digit prefix, monotone in the tiebreak — so every sub-bucket holds about
-    1/n_buckets of the rows and the bucket count stays below ~2 x n_buckets. Without
-    ``tiebreak`` equal values share one bucket, which running sums over ties rely on.
-    ``out`` is a BIGINT and never NULL: NULLs come first, in buckets by the tiebreak.
-    """
-    from collections import Counter
-
-    from pyspark.ml.feature import Bucketizer
-
-    if n_buckets is None:
-        n_buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, df.count() // BUCKET_ROWS))
-    if rel_err is None:
-        rel_err = min(1e-3, 1 / (4 * n_buckets))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    raw = [float(x) for x in df.approxQuantile(col, probs, rel_err) if x is not None]
-    finite = [b for b in raw if math.isfinite(b)]
-    # approxQuantile may repeat a bound up to ~rel_err x n_buckets times by itself; only a value
-    # repeated beyond that really holds several buckets' worth of rows
-    noise = max(1, math.ceil(2 * rel_err * n_buckets))
-    spans = {v: c for v, c in Counter(finite).items() if c > noise}
-    heavy = sorted(spans)
-    bounds = sorted(set(finite) | {math.nextafter(v, math.inf) for v in heavy})
-    splits = [float("-inf"), *([b for b in bounds if math.isfinite(b)] or [0.0]), float("inf")]
-    tmp = f"{out}_in"
-    bk = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    res = bk.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
-    vb = F.col(out).cast("long") * F.lit(65536)
-    prefix = F.lit(0) if tiebreak is None else F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
-    if tiebreak is not None and heavy:
-        # bucket i is [splits[i], splits[i+1]); a heavy value v starts its own bucket. The span
-        # per bucket is an array literal indexed by bucket id: O(1) per row, no map scan.
-        span_of = [spans.get(lo, 0) for lo in splits[:-1]]
-        span = F.try_element_at(F.array(*[F.lit(x) for x in span_of]), F.col(out).cast("int") + 1)
-        vb = vb + F.when(span > 0, F.floor(prefix * span / F.lit(65536)).cast("long")).otherwise(F.lit(0))
-    # NULLs sort first: buckets of their own below all others
-    return res.withColumn(out, F.coalesce(vb, prefix - F.lit(65536)))
+                      tiebreak: str | None = None) -> DataFrame:
+    """Add ``out`` = a bucket (a struct) monotone in ``col``, of ``BUCKET_ROWS`` rows or fewer.
+
+    Buckets are prefixes of the values' order-preserving images (``radix``): 16 bits, or 16 more where a prefix
+    holds too many rows, up to single values; ``n_buckets`` asks for about so many buckets instead. The
+    prefixes split are joined as small tables, as many rows at most as there are buckets. A single value
+    with too many rows is split again by ``tiebreak`` (a hex string column; order ties by it): ``prefix * c //
+    65536`` of its first 4 digits, c being the buckets that it should fill. Without ``tiebreak`` equal
+    values share one bucket, which running sums over ties rely on. ``out`` is never null: nulls come
+    first, in buckets by the tiebreak."""
+    img, prefix = f"{out}_img", F.lit(0).cast("long")
+    if tiebreak is not None:
+        prefix = F.conv(F.substring(F.col(tiebreak), 1, 4), 16, 10).cast("long")
+    d = df.withColumn(img, radix.image(F.col(col)))
+    images = d.select(F.col(img).alias("_img"))
+    n = df.count()
+    most = max(1, n // n_buckets) if n_buckets else max(BUCKET_ROWS, n // MAX_BUCKETS)
+    part, sub = radix.leading(img, 16) * F.lit(1 << 48), F.lit(0).cast("long")
+    hot = radix.hot_prefixes(images, most) if n > most else []
+    for bits, table in hot:
+        name = f"{out}_n{bits}"
+        t = F.broadcast(table.select(F.col("part").alias(f"{out}_p"), F.col("n").alias(name)))
+        d = d.join(t, radix.leading(img, bits) == F.col(f"{out}_p"), "left").drop(f"{out}_p")
+        if bits < radix.BITS:
+            finer = radix.leading(img, bits + 16) * F.lit(1 << (48 - bits)) if bits < 48 else F.col(img)
+            part = F.when(F.col(name).isNotNull(), finer).otherwise(part)
+        elif tiebreak is not None:
+            span = F.ceil(F.col(name) / F.lit(most))
+            sub = F.when(F.col(name).isNotNull(), F.floor(prefix * span / F.lit(65536))).otherwise(sub).cast("long")
+    return d.withColumn(out, F.struct(part.alias("part"), sub.alias("sub"))).drop(img, *[f"{out}_n{bits}" for bits, _ in hot])
 
 
 def row_tiebreak(df: DataFrame, cols: Sequence[str] | None = None) -> Column:

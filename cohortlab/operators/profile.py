@@ -3,19 +3,19 @@
 Every per-column statistic is computed in ONE aggregate over all columns (one scan,
 partial aggregation) and then unpivoted into a long (column, stat...) table. Exact
 quantiles avoid ``percentile()`` (which buffers a whole column in one task): values are
-unpivoted, bucketed by per-feature quantile bounds, and only the rows of the buckets holding
-the target ranks are looked at (as distinct values with counts); the 2 values per requested
+unpivoted and counted by the leading bits of their order-preserving images, and only those under the
+prefixes that hold the target ranks are looked at again; the 2 values per requested
 probability are interpolated.
 """
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import combine_rows
+from ..functions import radix
+from ..functions.exprs import combine_rows, materialize
 from .clean import numeric_columns
 
 
@@ -81,139 +81,112 @@ def imbalance_ratio(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 # E6 -----------------------------------------------------------------------------------------
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
-                    n_buckets: int = 1024, max_rows_per_task: int = 4_000_000,
-                    sub_buckets: int = 1024) -> DataFrame:
-    """(column, p, q): linear-interpolated exact quantiles of the finite values.
+def _values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long (column, v, img) of the finite values."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), finite(c).alias("v")) for c in cols])
+    long = df.select(F.explode(each).alias("s")).select("s.column", "s.v").where("v is not null")
+    return long.withColumn("img", radix.image(F.col("v")))
+
 
-    Quantile SELECTION instead of a full sort: (1) ``approxQuantile`` bounds cut each column
-    into ~n_buckets value buckets; (2) one aggregate counts values (and their min/max) per
-    (column, bucket) — at most F x n_buckets rows reach the driver; (3) the driver places each
-    target rank in one bucket, i.e. in a value interval [lo, hi] with a rank inside it;
-    (4) while such an interval still holds more than ``max_rows_per_task`` values it is cut
-    into ``sub_buckets`` equal-width sub-ranges by one more aggregate (targets x sub_buckets
-    rows to the driver), so no final interval is bigger than one task should sort;
-    (5) only the values of the final intervals are collapsed to (value, count) — a hot value
-    held by a third of all rows is one row — and ranked with a running count."""
-    from pyspark.ml.feature import Bucketizer
+def _parts(values: DataFrame, bits: int, up=None, *more) -> DataFrame:
+    """(column, up, part, n, lo, hi, more...): values by the leading ``bits`` of their images."""
+    up = F.lit(0).cast("long") if up is None else up
+    return values.groupBy("column", up.alias("up"), radix.leading("img", bits).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), *more)
+
+
+def _selected(values: DataFrame, counts: DataFrame, bits: int, probs: Sequence[float], step: int, max_rows_per_task: int) -> DataFrame:
+    """(column, p, q) from the first counts: interpolated between the values at two ranks each."""
     from pyspark.sql import Window
 
-    spark = df.sparkSession
-    cols = list(cols)
-    vals = df.select(*[finite(c).alias(c) for c in cols])
-    bprobs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = vals.approxQuantile(cols, bprobs, 1e-3)   # bounds need only be roughly even
-    splits = [[float("-inf"), *(sorted(set(b for b in bs if b is not None and b == b)) or [0.0]), float("inf")] for bs in bounds]
-    bk = Bucketizer(splitsArray=splits, inputCols=cols, outputCols=[f"b__{c}" for c in cols], handleInvalid="keep")
-    structs = [F.struct(F.lit(c).alias("column"), F.col(_q(c)).alias("v"), F.col(_q(f"b__{c}")).cast("int").alias("bk"))
-               for c in cols]
-    long = bk.transform(vals).select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(
-        F.col("v").isNotNull())
-    counts = long.groupBy("column", "bk").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                              F.max("v").alias("hi")).collect()   # <= F x n_buckets rows
-
-    def locate(parts, rank0):
-        """parts: [(n, lo, hi)] in value order -> (lo, hi, 1-based rank inside, n) of rank0."""
-        acc = 0
-        for n, lo, hi in parts:
-            if acc <= rank0 < acc + n:
-                return lo, hi, rank0 - acc + 1, n
-            acc += n
-        raise AssertionError("rank outside the counted range")
-
-    per_col: dict[str, list] = {}
-    for r in counts:
-        per_col.setdefault(r["column"], []).append((r["bk"], r["n"], r["lo"], r["hi"]))
-    need = []   # [column, p, weight, lo, hi, rank inside [lo, hi], values in [lo, hi]]
-    for c, lst in per_col.items():
-        parts = [(n, lo, hi) for _, n, lo, hi in sorted(lst, key=lambda x: x[0])]
-        total = sum(n for n, _, _ in parts)
+    spark = values.sparkSession
+    wanted = []
+    for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect():   # one row a column
         for p in probs:
-            pos = (total - 1) * p
-            lo_rank = int(pos)
-            frac = pos - lo_rank
-            need.append([c, float(p), 1.0 - frac, *locate(parts, lo_rank)])
-            if frac > 0:
-                need.append([c, float(p), frac, *locate(parts, lo_rank + 1)])
-
-    lv = long.select("column", "v")
-
-    def in_intervals(ivs):
-        """Values of the given (id, column, lo, hi) intervals: an equi-join on the column with
-        a range condition against a broadcast table of <= len(probs) x 2 x F rows."""
-        t = F.broadcast(spark.createDataFrame(ivs, "iv int, icol string, ilo double, ihi double"))
-        return lv.join(t, (F.col("column") == F.col("icol")) & (F.col("v") >= F.col("ilo")) & (F.col("v") <= F.col("ihi")))
-
-    def refinable(e):
-        return e[6] > max_rows_per_task and e[3] < e[4] and math.isfinite(e[3]) and math.isfinite(e[4])
-
-    while True:
-        ivs = sorted({(e[0], e[3], e[4]) for e in need if refinable(e)})
-        if not ivs:
-            break
-        rows = [(i, c, lo, hi) for i, (c, lo, hi) in enumerate(ivs)]
-        j = in_intervals(rows)
-        sb = F.least(F.floor((F.col("v") - F.col("ilo")) / (F.col("ihi") - F.col("ilo")) * F.lit(sub_buckets)),
-                     F.lit(sub_buckets - 1)).cast("int")
-        sub = j.groupBy("iv", sb.alias("sb")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                                  F.max("v").alias("hi")).collect()   # <= |ivs| x sub_buckets rows
-        per_iv: dict[int, list] = {}
-        for r in sub:
-            per_iv.setdefault(r["iv"], []).append((r["sb"], r["n"], r["lo"], r["hi"]))
-        index = {iv: i for i, iv in enumerate(ivs)}
-        progressed = False
-        for e in need:
-            i = index.get((e[0], e[3], e[4]))
-            if i is None or not refinable(e):
-                continue
-            parts = [(n, lo, hi) for _, n, lo, hi in sorted(per_iv[i], key=lambda x: x[0])]
-            lo, hi, r, n = locate(parts, e[5] - 1)
-            progressed |= (lo, hi, n) != (e[3], e[4], e[6])   # an interval of one value is its own answer
-            e[3], e[4], e[5], e[6] = lo, hi, r, n
-        if not progressed:
-            break
-
-    # a one-value interval is its own answer; the others: rank distinct values inside them
-    fixed = [(e[0], e[1], e[2] * e[3]) for e in need if e[3] == e[4]]
-    open_ = [e for e in need if e[3] != e[4]]
-    parts = []
-    if fixed:
-        parts.append(spark.createDataFrame(fixed, "column string, p double, wv double"))
-    if open_:
-        ivs = sorted({(e[0], e[3], e[4]) for e in open_})
-        index = {iv: i for i, iv in enumerate(ivs)}
-        dv = in_intervals([(i, c, lo, hi) for i, (c, lo, hi) in enumerate(ivs)]).groupBy("iv", "column", "v").agg(
-            F.count(F.lit(1)).alias("c"))
-        w = Window.partitionBy("iv").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        dv = dv.withColumn("cum", F.sum("c").over(w))
-        nd = F.broadcast(spark.createDataFrame([(index[(e[0], e[3], e[4])], e[5], e[1], e[2]) for e in open_],
-                                               "n_iv int, rn long, p double, w double"))
-        picked = dv.join(nd, (F.col("iv") == F.col("n_iv")) & (F.col("rn") > F.col("cum") - F.col("c"))
-                         & (F.col("rn") <= F.col("cum")))
-        parts.append(picked.select("column", "p", (F.col("v") * F.col("w")).alias("wv")))
-    if not parts:   # no finite value in any column
+            low, share = divmod((r["n"] - 1) * p, 1)
+            wanted += [(r["column"], 0, int(low), float(p), 1.0 - share)]
+            wanted += [(r["column"], 0, int(low) + 1, float(p), share)] if share > 0 else []
+    if not wanted:   # no finite value in any column
         return spark.createDataFrame([], "column string, p double, q double")
+    at = radix.placed(counts, wanted)
+    fixed, few = [], []   # values found; (column, prefix, its bits, rank inside, p, weight) in prefixes small enough to sort
+    while at:
+        fixed += [(r["column"], r["p"], r["weight"] * r["lo"]) for r in at if r["lo"] == r["hi"]]
+        few += [(r["column"], r["part"], bits, r["rank"], r["p"], r["weight"]) for r in at if r["lo"] < r["hi"] and r["n"] <= max_rows_per_task]
+        large = [r for r in at if r["lo"] < r["hi"] and r["n"] > max_rows_per_task]
+        if not large:
+            break
+        now, bits = bits, min(radix.BITS, bits + step)
+        inside = _within(values, {(r["column"], r["part"]) for r in large}, now)
+        counts = materialize(_parts(inside, bits, F.col("up")))
+        at = radix.placed(counts, [(r["column"], r["part"], r["rank"], r["p"], r["weight"]) for r in large])
+    parts = [spark.createDataFrame(fixed, "column string, p double, wv double")] if fixed else []
+    for depth in sorted({f[2] for f in few}):
+        own = [f for f in few if f[2] == depth]
+        v = _within(values, {(f[0], f[1]) for f in own}, depth).groupBy("column", "up", "v").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("column", "up").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        ranks = spark.createDataFrame([(c, up, rank, p, w) for c, up, _, rank, p, w in own],
+                                      "column string, up long, rank long, p double, w double")
+        v = v.withColumn("upto", upto).join(F.broadcast(ranks), ["column", "up"])
+        v = v.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        parts.append(v.select("column", "p", (F.col("v") * F.col("w")).alias("wv")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     return out.groupBy("column", "p").agg(F.sum("wv").alias("q"))
 
 
-def profile_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def _within(values: DataFrame, prefixes: set, bits: int) -> DataFrame:
+    """The values under the given (column, prefix), two a probability and column at most, with the prefix as ``up``."""
+    t = values.sparkSession.createDataFrame(sorted(prefixes), "column string, up long")
+    return values.withColumn("up", radix.leading("img", bits)).join(F.broadcast(t), ["column", "up"])
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
+                    n_buckets: int = 1 << 16, max_rows_per_task: int = 4_000_000, sub_buckets: int = 1 << 16) -> DataFrame:
+    """(column, p, q): linear-interpolated exact quantiles of the finite values.
+
+    Radix selection instead of a sort: one aggregate counts the values of all columns by the leading bits of
+    their order-preserving images (``n_buckets`` prefixes, a power of two); running counts tell which
+    prefix holds each rank. A prefix with over ``max_rows_per_task`` values is counted again by its next bits
+    (``sub_buckets``), three times at most by default. The values of the final prefixes are collapsed to (value, count), so
+    a hot value is one row, and ranked."""
+    values = _values(df, list(cols))
+    bits = (n_buckets - 1).bit_length()
+    counts = materialize(_parts(values, bits))
+    return _selected(values, counts, bits, probs, (sub_buckets - 1).bit_length(), max_rows_per_task)
+
+
+def profile_describe(df: DataFrame, cols: Sequence[str] | None = None, max_rows_per_task: int = 4_000_000) -> DataFrame:
     """count, mean, std (ddof 1), min, 25%, 50%, 75%, max of the finite values per numeric column,
-    and beside them how many values were infinite."""
+    and beside them how many values were infinite. One aggregate by column and leading bits holds the
+    moments and the counts that quantiles start from; one more scan finds the quantiles themselves."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    aggs = []
-    for c in cols:
-        x = finite(c)
-        aggs += [F.count(x).alias(f"count__{c}"), F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}"),
-                 F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"),
-                 F.count_if(F.abs(F.col(_q(c)).cast("double")) == float("inf")).alias(f"n_inf__{c}")]
-    basic = _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max", "n_inf"])
-    qs = exact_quantiles(df, cols).groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-    qs = qs.select("column", F.col("`0.25`").alias("p25"), F.col("`0.5`").alias("p50"), F.col("`0.75`").alias("p75"))
-    out = basic.join(qs, "column", "left")
-    return out.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max", "n_inf")
+    spark = df.sparkSession
+    every = F.array(*[F.struct(F.lit(c).alias("column"), finite(c).alias("v"),
+                               (F.abs(F.col(_q(c)).cast("double")) == float("inf")).alias("inf")) for c in cols])
+    long = df.select(F.explode(every).alias("s")).select("s.*").where("v is not null or inf")
+    long = long.withColumn("img", F.when(F.col("v").isNotNull(), radix.image(F.col("v"))))
+    counts = long.groupBy("column", F.lit(0).cast("long").alias("up"), radix.leading("img", 16).alias("part")).agg(
+        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"),
+        F.var_pop("v").alias("var"), F.count_if("inf").alias("n_inf"))
+    counts = materialize(counts)
+    # moments of the parts put together: their own spread, and that between their means
+    n = F.col("n")
+    whole = counts.groupBy("column").agg(
+        F.sum("n").alias("count"), F.try_divide(F.sum(n * F.col("mean")), F.sum("n")).alias("mean"), F.min("lo").alias("min"),
+        F.max("hi").alias("max"), F.sum("n_inf").alias("n_inf"))
+    apart = F.col("p.mean") - F.col("w.mean")
+    spread = counts.alias("p").join(whole.alias("w"), "column").groupBy("column").agg(
+        F.sum(F.col("p.n") * (F.col("p.var") + apart * apart)).alias("spread"))
+    finite_parts = counts.where("part is not null").select("column", "up", "part", "n", "lo", "hi")
+    qs = _selected(_values(df, cols), finite_parts, 16, (0.25, 0.5, 0.75), 16, max_rows_per_task)
+    at = [F.max(F.when(F.col("p") == p, F.col("q"))).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)]
+    out = spark.createDataFrame([(c,) for c in cols], "column string").join(whole, "column", "left").join(spread, "column", "left").join(
+        qs.groupBy("column").agg(*at), "column", "left")
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("spread") / (F.col("count") - 1)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("column", zero("count"), "mean", std.alias("std"), "min", "p25", "p50", "p75", "max", zero("n_inf"))
 
 
 # E7 -----------------------------------------------------------------------------------------

@@ -146,3 +146,45 @@ def test_cut_plans_do_not_shuffle_rows(spark, capsys):
         plan = capsys.readouterr().out
         assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan, plan
         assert "BroadcastExchange" in plan, plan
+
+
+def test_images_order_as_doubles_do(spark):
+    import math
+    import random
+    import struct
+
+    from cohortlab.functions import radix
+
+    r = random.Random(1)
+    xs = [0.0, -0.0, 1.0, -1.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, -math.inf]
+    xs += [2.0 ** k for k in range(-1074, 1024)] + [-math.nextafter(2.0 ** k, 0) for k in range(-1073, 1024)]
+    xs += [math.nextafter(2.0 ** k, math.inf) for k in range(-1074, 1023)]
+    xs += [struct.unpack("<d", r.randbytes(8))[0] for _ in range(3000)]
+    xs = [x for x in xs if x == x]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,), (math.nan,)], "x double")
+    got = df.select("x", radix.image(F.col("x")).alias("i")).collect()
+    for row in got[:len(xs)]:
+        bits = struct.unpack("<q", struct.pack("<d", abs(row["x"])))[0]
+        assert row["i"] == (-bits if row["x"] < 0 else bits), row
+    assert got[-2]["i"] == radix.NULL_IMAGE and got[-1]["i"] == radix.NAN_IMAGE
+
+
+def test_value_buckets_are_monotone_and_small(spark, monkeypatch):
+    import random
+
+    from cohortlab.functions import ordering
+
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(ordering, "MAX_BUCKETS", 1 << 20)
+    r = random.Random(2)
+    xs = [7.25] * 900 + [None] * 300 + [r.gauss(0, 1) for _ in range(1500)] + [1e9 + i * 1e-6 for i in range(400)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id long, x double").withColumn("t", hash_hex("id", 1))
+    b = ordering.with_value_bucket(df, "x", "b", tiebreak="t").select("x", "t", "b").collect()
+    rows = sorted(b, key=lambda row: (row["x"] is not None, row["x"] or 0.0, row["t"]))
+    assert [row["b"] for row in rows] == sorted(row["b"] for row in rows)
+    sizes = {}
+    for row in rows:
+        sizes[row["b"]] = sizes.get(row["b"], 0) + 1
+    assert max(sizes.values()) <= 90 and len(sizes) > 40
+    plain = {row["x"]: row["b"] for row in ordering.with_value_bucket(df, "x", "b").select("x", "b").collect()}
+    assert len({plain[7.25]}) == 1
