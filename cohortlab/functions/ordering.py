@@ -146,7 +146,9 @@ def rank_cuts(df: DataFrame, h: str, key: str, targets: Column, partition_by: Se
                          F.sum("_cut").over(upto).alias("_base")).checkpoint()
     hits = marks.where("_cut = 1 and _bkt is not null").groupBy(*g, "_bkt").agg(
         F.collect_list((F.col("_at") - F.col("_off")).cast("int")).alias("_ranks"))
-    sel = _join_null_safe(d.select(*g, "_bkt", F.col(h).alias("_xh"), F.col(key).alias("_xk")), small(hits.checkpoint()), [*g, "_bkt"])
+    # neither the buckets hit nor the groups with cuts are more than the cuts
+    few = marks.where("_cut = 1").count() <= MAX_BROADCAST_ROWS
+    sel = _join_null_safe(d.select(*g, "_bkt", F.col(h).alias("_xh"), F.col(key).alias("_xk")), hits, [*g, "_bkt"], broadcast=few)
     sel = sel.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bkt").orderBy("_xh", "_xk")))
     at = sel.select(*g, "_bkt", F.struct("_xh", "_xk").alias("_x"),
                     F.size(F.filter("_ranks", lambda x: x == F.col("_r"))).alias("_times")).where("_times > 0")
@@ -159,7 +161,7 @@ def rank_cuts(df: DataFrame, h: str, key: str, targets: Column, partition_by: Se
         found = at.groupBy(*g).agg(F.collect_list("_x").alias("_xs"))
         base = cuts.groupBy(*g).agg(F.count_if(F.col("_t") <= 0).cast("int").alias("_base"))
         per = _join_null_safe(base, found, g, "left").checkpoint()
-        res = _join_null_safe(d, small(per), g, "left")
+        res = _join_null_safe(d, per, g, "left", broadcast=few)
     beyond = F.filter("_xs", lambda x: (F.col(h) > x["_xh"]) | ((F.col(h) == x["_xh"]) & (F.col(key) > x["_xk"])))
     passed = F.coalesce(F.col("_base"), F.lit(0)) + F.coalesce(F.size(beyond), F.lit(0))
     passed = F.when(F.col("_xs").isNull(), F.coalesce(F.col("_base"), F.lit(0))).otherwise(passed)

@@ -9,6 +9,7 @@ nothing; client ids may be of any type.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,20 +49,20 @@ def _indexed_labels(counts: DataFrame) -> DataFrame:
         "_lab", (F.row_number().over(Window.orderBy("_lab")) - 1).cast("int").alias("_lix"))
 
 
-def client_vectors(df: DataFrame, client_col: str = "client_id", label_col: str = "label",
-                   counts: DataFrame | None = None) -> tuple[DataFrame, int]:
+def client_vectors(df: DataFrame | None, client_col: str = "client_id", label_col: str = "label",
+                   counts: DataFrame | None = None, k: int | None = None, ids: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """((client, p ARRAY<DOUBLE>), K) with p in sorted-label order over the union of labels,
     zeros for labels a client lacks, renormalised by ``sum + 1e-10`` as the reference does."""
     counts = counts if counts is not None else label_counts(df, client_col, label_col)
     labels = _indexed_labels(counts)
-    k = labels.count()
-    per_client = counts.join(labels, "_lab").groupBy(client_col).agg(
+    k = counts.agg(F.count_distinct("_lab")).first()[0] if k is None else k
+    per_client = counts.join(labels, "_lab").groupBy(*ids, client_col).agg(
         F.map_from_entries(F.collect_list(F.struct("_lix", "_cnt"))).alias("_m"), F.sum("_cnt").alias("_tot"))
     every = F.sequence(F.lit(0), F.lit(k - 1)) if k else F.array().cast("array<int>")
-    vec = per_client.select(client_col, F.transform(
+    vec = per_client.select(*ids, client_col, F.transform(
         every, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0)) / F.col("_tot")).alias("_p"))
     vec = vec.withColumn("_s", F.aggregate("_p", F.lit(0.0), lambda a, b: a + b) + F.lit(1e-10))
-    return vec.select(client_col, F.transform("_p", lambda x: x / F.col("_s")).alias("p")), k
+    return vec.select(*ids, client_col, F.transform("_p", lambda x: x / F.col("_s")).alias("p")), k
 
 
 def client_label_dist(df: DataFrame, client_col: str = "client_id", label_col: str = "label") -> DataFrame:
@@ -78,18 +79,18 @@ def client_label_dist(df: DataFrame, client_col: str = "client_id", label_col: s
 
 
 # H4 -----------------------------------------------------------------------------------------
-def _pairs(vec: DataFrame, client_col: str, n_clients: int, block: int = BLOCK_CLIENTS) -> DataFrame:
-    """All pairs of clients i < j: every client goes to the block pairs that its block is in."""
+def _pairs(vec: DataFrame, client_col: str, n_clients: int, block: int = BLOCK_CLIENTS, ids: Sequence[str] = ()) -> DataFrame:
+    """All pairs of clients i < j (of equal ``ids``): every client goes to the block pairs that its block is in."""
     blocks = max(1, math.ceil(n_clients / block))
     own = F.pmod(F.xxhash64(client_col), F.lit(blocks)).cast("int")
     v = vec.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     v = v.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
-    a = v.select("_lo", "_hi", F.col("_own").alias("_oi"), F.col(client_col).alias("client_i"), F.col("p").alias("p_i"),
+    a = v.select(*ids, "_lo", "_hi", F.col("_own").alias("_oi"), F.col(client_col).alias("client_i"), F.col("p").alias("p_i"),
                  F.col("q").alias("q_i"))
-    b = v.select("_lo", "_hi", F.col("_own").alias("_oj"), F.col(client_col).alias("client_j"), F.col("p").alias("p_j"),
+    b = v.select(*ids, "_lo", "_hi", F.col("_own").alias("_oj"), F.col(client_col).alias("client_j"), F.col("p").alias("p_j"),
                  F.col("q").alias("q_j"))
     meets = (F.col("_lo") == F.col("_hi")) | (F.col("_oi") != F.col("_oj"))
-    return a.join(b, ["_lo", "_hi"]).where(meets & (F.col("client_i") < F.col("client_j")))
+    return a.join(b, [*ids, "_lo", "_hi"]).where(meets & (F.col("client_i") < F.col("client_j")))
 
 
 def _abs_sum(a, b):
@@ -110,17 +111,28 @@ def pair_distances(df: DataFrame, client_col: str = "client_id", label_col: str
     emd_value: the reference formula, 1-D Wasserstein between the *sorted share values*
     (1/K)·Σ|sort p − sort q| (label-blind). emd_label: Wasserstein on label ids, Σ|ΔCDF|.
     tv_distance: ½Σ|p − q|. Vectors are sorted once per client, and each pair costs O(K)."""
-    vec, k = client_vectors(df, client_col, label_col)
-    vec = materialize(vec.withColumn("q", F.array_sort("p")))
-    pr = _pairs(vec, client_col, vec.count())
-    return pr.select("client_i", "client_j", (_abs_sum(F.col("q_i"), F.col("q_j")) / F.lit(float(max(k, 1)))).alias("emd_value"),
+    pr, k = _all_pairs(df, client_col, label_col)
+    return _distances(pr, k)
+
+
+def _all_pairs(df: DataFrame, client_col: str, label_col: str) -> tuple[DataFrame, int]:
+    """The pairs of clients with their vectors, and K: one aggregate over the rows, one over its counts."""
+    counts = label_counts(df, client_col, label_col)
+    n, k = counts.agg(F.count_distinct(client_col), F.count_distinct("_lab")).first()
+    vec, k = client_vectors(df, client_col, label_col, counts, k)
+    return _pairs(vec.withColumn("q", F.array_sort("p")), client_col, n), k
+
+
+def _distances(pr: DataFrame, k, *ids: str) -> DataFrame:
+    k = k if not isinstance(k, int) else F.lit(float(max(k, 1)))
+    return pr.select(*ids, "client_i", "client_j", (_abs_sum(F.col("q_i"), F.col("q_j")) / k).alias("emd_value"),
                      _cdf_distance(F.col("p_i"), F.col("p_j")).alias("emd_label"),
                      (F.lit(0.5) * _abs_sum(F.col("p_i"), F.col("p_j"))).alias("tv_distance"))
 
 
 # H5 -----------------------------------------------------------------------------------------
-def emd_stats(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(
+def emd_stats(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return pairs.groupBy(*by).agg(
         F.avg("emd_value").alias("mean_emd"), F.max("emd_value").alias("max_emd"),
         F.min("emd_value").alias("min_emd"), F.avg("emd_label").alias("mean_emd_label"),
         F.avg("tv_distance").alias("mean_tv"), F.count(F.lit(1)).alias("n_pairs"))
@@ -150,6 +162,23 @@ def partition_totals(df: DataFrame, client_col: str = "client_id", label_col: st
 
 
 # H8 -----------------------------------------------------------------------------------------
+def compare_schemes(schemes: dict[str, DataFrame], client_col: str = "client_id", label_col: str = "label") -> DataFrame:
+    """(scheme, mean_emd, mean_emd_label, mean_tv) of several assignments of rows to clients: one table of counts
+    by scheme, client and label, and one join for the pairs of all schemes."""
+    rows = None
+    for name, df in schemes.items():
+        d = df.select(F.lit(name).alias("scheme"), F.col(client_col).alias("client"), F.col(label_col).cast("string").alias("_lab"))
+        rows = d if rows is None else rows.unionByName(d)
+    counts = materialize(rows.where("_lab is not null").groupBy("scheme", "client", "_lab").agg(F.count(F.lit(1)).alias("_cnt")))
+    sizes = counts.groupBy("scheme").agg(F.count_distinct("client").alias("n"), F.count_distinct("_lab").alias("_k"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    vec, _ = client_vectors(None, "client", counts=counts, ids=["scheme"])
+    pairs = _pairs(vec.withColumn("q", F.array_sort("p")), "client", most, ids=["scheme"]).join(F.broadcast(sizes.drop("n")), "scheme")
+    # labels that a scheme lacks add nothing but length
+    d = _distances(pairs, F.col("_k"), "scheme")
+    return emd_stats(d, ["scheme"]).select("scheme", "mean_emd", "mean_emd_label", "mean_tv").orderBy("mean_emd", "scheme")
+
+
 def scheme_comparison(stats_by_scheme: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, st in stats_by_scheme.items():

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_hex, hex8_to_unit
-from ..functions.ordering import rank_cuts, small
+from ..functions.exprs import gaussian_from_hash, hash_hex, hex8_to_unit, materialize
+from ..functions.ordering import MAX_BROADCAST_ROWS, rank_cuts, small
 from ..session import ensure_checkpoint_dir
 from .clean import family_expr, family_index_expr
 
@@ -101,16 +101,84 @@ def dirichlet_thresholds(n_labels: int, n_clients: int, alpha: float, seed: int
     return out
 
 
-def partition_dirichlet(df: DataFrame, key: str, label_id_col: str, n_labels: int, n_clients: int = 10,
+#: draws of which a gamma variate is the first accepted; all are refused less than once in 10^20 times
+GAMMA_DRAWS = 16
+
+
+def keyed_gamma(text: Column, alpha: float) -> Column:
+    """Gamma(alpha, 1) variate that follows from ``text`` alone (Marsaglia and Tsang 2000, of alpha + 1, brought down
+    by a power of a uniform number). Draw t takes a normal and two uniform numbers from md5(``text:t``)."""
+    d = alpha + 1.0 - 1.0 / 3.0
+    c = 1.0 / (9.0 * d) ** 0.5
+
+    def draw(t):
+        h = F.md5(F.concat(text, F.lit(":"), t.cast("string")))
+        x = gaussian_from_hash(h)
+        v = F.pow(F.lit(1.0) + x * c, 3)
+        right = 0.5 * x * x + d - d * v + d * F.log(F.greatest(v, F.lit(1e-300)))
+        fits = (v > 0) & (F.log(hex8_to_unit(h, 17)) < right)
+        return F.struct(fits.alias("fits"), (F.lit(d) * v * F.pow(hex8_to_unit(h, 25), F.lit(1.0 / alpha))).alias("g"))
+
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(GAMMA_DRAWS - 1)), draw)
+    return F.get(F.filter(drawn, lambda x: x["fits"]), F.lit(0))["g"]
+
+
+def dirichlet_table(labels: DataFrame, n_clients: int, alpha: float, seed: int = 42) -> DataFrame:
+    """(label, cuts): for each distinct non-null label, of any type, its clients' cumulative shares, drawn from a
+    symmetric Dirichlet distribution by keyed gamma variates. One row a label, ``n_clients`` numbers a row."""
+    label = labels.columns[0]
+    each = labels.select(F.col(label).alias("label")).where("label is not null").distinct().select(
+        "label", F.explode(F.sequence(F.lit(0), F.lit(n_clients - 1))).alias("client"))
+    g = each.withColumn("g", keyed_gamma(F.concat_ws(":", F.col("label").cast("string"), F.col("client").cast("string"), F.lit(str(seed))), alpha))
+    g = g.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("client", "g"))), lambda x: x["g"]).alias("gs"),
+                               F.sum("g").alias("all"))
+    even = F.transform("gs", lambda x: F.lit(1.0 / n_clients))
+    shares = F.when(F.col("all") > 0, F.transform("gs", lambda x: x / F.col("all"))).otherwise(even)
+    total = F.aggregate(shares, F.array().cast("array<double>"), lambda done, x: F.concat(
+        done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + x)))
+    cuts = F.transform(total, lambda x, i: F.when(i == n_clients - 1, F.lit(1.0)).otherwise(F.round(x, 12)))
+    return g.select("label", cuts.alias("cuts"))
+
+
+def first_beyond(cuts: Column, u: Column, n: int) -> Column:
+    """Index of the first of ``n`` sorted numbers that is larger than ``u``, by bisection; n if none is."""
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        beyond = F.element_at(cuts, F.least(mid + 1, F.lit(n))) > u
+        go = at["lo"] < at["hi"]
+        return F.struct(F.when(go & ~beyond, mid + 1).otherwise(at["lo"]).cast("int").alias("lo"),
+                        F.when(go & beyond, mid).otherwise(at["hi"]).cast("int").alias("hi"))
+
+    start = F.struct(F.lit(0).cast("int").alias("lo"), F.lit(n).cast("int").alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve, lambda at: at["lo"])
+
+
+def partition_dirichlet(df: DataFrame, key: str, label_col: str, n_labels: int | None = None, n_clients: int = 10,
                         alpha: float = 0.1, seed: int = 42, thresholds=None, out: str = "client_id") -> DataFrame:
     """Non-IID label skew: row of class c goes to the first client whose cumulative share
-    exceeds u = uniform(md5(key:seed)). Row-wise: no shuffle at all."""
-    th = thresholds or dirichlet_thresholds(n_labels, n_clients, alpha, seed)
-    arr = F.array(*[F.array(*[F.lit(x) for x in row]) for row in th])
+    exceeds u = uniform(md5(key:seed)).
+
+    The shares are rows: a table (label, cuts) as ``dirichlet_table`` makes it from the labels that occur, or
+    ``thresholds``, such a table or a list of lists by label id. A row whose label is null or has no shares gets a
+    null client; ``without_client`` counts them. The table is sent to every task if it is small, else joined by
+    a shuffle, and searched by bisection, so plans don't grow with labels or clients."""
+    if thresholds is None:
+        thresholds = dirichlet_table(df.select(label_col), n_clients, alpha, seed)
+    elif not isinstance(thresholds, DataFrame):
+        kind = df.schema[label_col].dataType.simpleString()
+        thresholds = df.sparkSession.createDataFrame([(c, [float(x) for x in row]) for c, row in enumerate(thresholds)],
+                                                     "label long, cuts array<double>").withColumn("label", F.col("label").cast(kind))
+    table = materialize(thresholds.select(F.col("label").alias("_dl"), F.col("cuts").alias("_dc")))
+    table = F.broadcast(table) if table.count() * n_clients <= MAX_BROADCAST_ROWS else table
     u = hex8_to_unit(hash_hex(key, seed))
-    row = F.element_at(arr, F.col(label_id_col) + 1)
-    first = F.array_position(F.transform(row, lambda t: t > u), True) - 1
-    return df.withColumn(out, first.cast("int"))
+    at = F.when(F.col("_dc").isNotNull(), first_beyond(F.col("_dc"), u, n_clients))
+    return df.join(table, F.col(label_col) == F.col("_dl"), "left").withColumn(
+        out, F.least(at, F.lit(n_clients - 1)).cast("int")).drop("_dl", "_dc")
+
+
+def without_client(df: DataFrame, label_col: str, client_col: str = "client_id") -> DataFrame:
+    """(label, n): rows that got no client, by label."""
+    return df.where(F.col(client_col).isNull()).groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # X2 -----------------------------------------------------------------------------------------

@@ -92,11 +92,7 @@ def q_emd_stats(spark, sf):
            f"SELECT '{nm}' AS scheme, mean_emd, mean_emd_label, mean_tv FROM ({S.emd_stats_sql(S.dist_sql(src, digits=False))})"
            for nm, src in [("iid", IID), ("day", DAY), ("family", FAMILY)]) + ")")
 def q_scheme_comparison(spark, sf):
-    return hetero.scheme_comparison({
-        "iid": hetero.emd_stats(hetero.pair_distances(iid_flows(spark, sf))),
-        "day": hetero.emd_stats(hetero.pair_distances(day_flows(spark, sf))),
-        "family": hetero.emd_stats(hetero.pair_distances(family_flows(spark, sf))),
-    })
+    return hetero.compare_schemes({"iid": iid_flows(spark, sf), "day": day_flows(spark, sf), "family": family_flows(spark, sf)})
 
 
 @query("partition_iid", f"SELECT client_id, count(*) AS n_samples, CAST(sum(event_id) AS BIGINT) AS key_sum FROM ({IID}) GROUP BY 1")
@@ -303,6 +299,45 @@ def q_partition_dirichlet(spark, sf):
     return d.groupBy("client_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
 
 
+def _keyed_dirichlet_sql(n: int, alpha: float) -> str:
+    """Clients by keyed gamma variates of each label and client, as ``partition.keyed_gamma`` draws them."""
+    unit = lambda i: f"((('0x' || substr(hh, {i}, 8))::UBIGINT + 0.5) / 4294967296.0)"
+    d = alpha + 1.0 - 1.0 / 3.0
+    u = f"((('0x' || substr({S.h('event_id')}, 1, 8))::UBIGINT + 0.5) / 4294967296.0)"
+    return f"""
+WITH f AS ({S.FLOWS}), l AS (SELECT DISTINCT label FROM f WHERE label IS NOT NULL),
+h AS (SELECT label, client, t, md5(label || ':' || client || ':42:' || t) AS hh
+      FROM l, range(0, {n}) c(client), range(0, {partition.GAMMA_DRAWS}) a(t)),
+x AS (SELECT *, sqrt(-2 * ln({unit(1)})) * cos(2 * pi() * {unit(9)}) AS x FROM h),
+v AS (SELECT *, pow(1 + x * {1.0 / (9.0 * d) ** 0.5!r}, 3) AS v FROM x),
+g AS (SELECT label, client, arg_min({d!r} * v * pow({unit(25)}, {1.0 / alpha!r}), t) AS g FROM v
+      WHERE v > 0 AND ln({unit(17)}) < 0.5 * x * x + {d!r} - {d!r} * v + {d!r} * ln(greatest(v, 1e-300)) GROUP BY ALL),
+cuts AS (SELECT label, client, CASE WHEN client = {n - 1} THEN 1.0 ELSE round(sum(g) OVER (PARTITION BY label ORDER BY client)
+                / sum(g) OVER (PARTITION BY label), 12) END AS cut FROM g),
+r AS (SELECT f.event_id, f.label, {u} AS u FROM f)
+SELECT CAST(min(c.client) AS INTEGER) AS client_id, r.label, r.event_id FROM r LEFT JOIN cuts c ON c.label = r.label AND c.cut > r.u
+GROUP BY r.label, r.event_id"""
+
+
+@query("partition_dirichlet_n1000", "SELECT client_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum FROM "
+                                    f"({_keyed_dirichlet_sql(1000, 0.1)}) GROUP BY ALL")
+def q_partition_dirichlet_n1000(spark, sf):
+    """A thousand clients and text labels; shares drawn by keys that Spark and SQL share."""
+    d = partition.partition_dirichlet(T.flows(spark, sf), "event_id", "label", n_clients=1000, alpha=0.1)
+    return d.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("key_sum"))
+
+
+@query("assign_clients", "SELECT method, client_id, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS method, client_id FROM ({sql})" for m, sql in (("IID", IID), ("Day", DAY), ("family", FAMILY))) + ") GROUP BY ALL")
+def q_assign_clients(spark, sf):
+    """Assignments by name, in any case."""
+    flows, out = {"IID": cleaned_flows, "Day": T.flows, "family": T.flows}, None
+    for m, rows in flows.items():
+        a = partition.assign_clients(rows(spark, sf), m, "event_id", n_clients=5).select(F.lit(m).alias("method"), "client_id")
+        out = a if out is None else out.unionByName(a)
+    return out.groupBy("method", "client_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 CLIENT_ROUNDS = "SELECT DISTINCT CAST(dayofmonth(ts) AS INTEGER) AS round, CAST(user_id % 5 AS INTEGER) AS client_id FROM events"
 
 
@@ -1046,6 +1081,36 @@ def q_last_rounds(spark, sf):
     return H.last_rounds(T.run_history(spark, sf), 5)
 
 
+@query("label_map_roundtrip", f"SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM "
+                              f"(SELECT DISTINCT label FROM ({S.FLOWS}))")
+def q_label_map_roundtrip(spark, sf):
+    """The map of the labels, found under another name of their column, written as a document and read again."""
+    df = T.flows(spark, sf).withColumnRenamed("label", "Attack_Type")
+    path = staging_dir(spark, "label-map")
+    sinks.write_label_map(clean.label_map(df, clean.resolve_label_column(df)), path)
+    return sinks.read_label_map(spark, path)
+
+
+@query("metrics_roundtrip", f"SELECT experiment, metric, round(value + 1e-9, 6) + 0.0 AS value FROM ({LV})")
+def q_metrics_roundtrip(spark, sf):
+    """The last metrics of every experiment, a document each, read again."""
+    path, h = staging_dir(spark, "metrics"), T.run_history(spark, sf)
+    last = h.groupBy("experiment", "metric").agg(F.max_by("value", "round").alias("value"))
+    sinks.save_metrics(last, path, ["experiment"])
+    return sinks.read_metrics(spark, path, "experiment string")
+
+
+@query("summary_roundtrip", "")
+def q_summary_roundtrip(spark, sf):
+    """The comparison table, with what strategies lack, written and read again."""
+    path, t = staging_dir(spark, "summary"), H.comparison_table(T.run_history(spark, sf), CMP_METRICS)
+    sinks.write_summary(t, path)
+    return sinks.read_summary(spark, path, t.schema)
+
+
+ORACLE["summary_roundtrip"] = ORACLE["comparison_table"]
+
+
 @query("results_roundtrip", "")
 def q_results_roundtrip(spark, sf):
     """Nested results written as JSON, one folder a run, and read again with their schema."""
@@ -1252,6 +1317,26 @@ def _baseline_eval(d, **how):
     return M.eval_table(pred.withColumn("logits", logits), "y_true", "y_pred", logits="logits")
 
 
+@query("baseline_gradient", "SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, CAST(0.0 AS DOUBLE) AS gradient FROM "
+                            "(SELECT DISTINCT label AS k FROM embeddings), (SELECT unnest(range(-1, max(len(embedding)))) AS j FROM embeddings)")
+def q_baseline_gradient(spark, sf):
+    """The fitted linear baseline is a minimum: its mean gradient by class and feature, -1 being the intercept, to two digits."""
+    import numpy as np
+
+    e = emb_split(spark, sf)
+    fitted = TR.baseline_train(e, max_iter=200)
+    model = [("W0", fitted.coefficientMatrix.toArray()), ("b0", np.array(fitted.interceptVector.toArray()))]
+    sums = TR.gradients(TR.usable(e, "features", "label", model[0][1].shape[1]).withColumn("config_id", F.lit(0)).withColumn("client_id", F.lit(0)),
+                        TR.shipped(spark, {0: model}), "features", "label")
+    sums = materialize(sums)
+    n = sums.where("tensor = ''").select(F.col("values")[0].alias("_n"), F.lit(0).alias("client_id"))
+    long = blocks.exploded(sums.where("tensor <> ''"), ["client_id"]).join(F.broadcast(n), "client_id")
+    dim, w = model[0][1].shape[1], F.col("tensor") == "W0"
+    return long.select(F.when(w, F.floor(F.col("idx") / dim)).otherwise(F.col("idx")).cast("int").alias("k"),
+                       F.when(w, F.col("idx") % dim).otherwise(F.lit(-1)).cast("int").alias("j"),
+                       (F.round(F.col("value") / F.col("_n"), 2) + 0.0).alias("gradient"))
+
+
 @query("baseline_train", None)
 def q_baseline_train(spark, sf):
     return _baseline_eval(emb_clients(spark, sf), max_iter=50)
@@ -1352,6 +1437,30 @@ def staged_event_csvs(spark, sf):
     return [f"{base}/a", f"{base}/b"]
 
 
+@query("csv_scan_encodings", "SELECT event_id, value, CASE event_id % 3 WHEN 0 THEN 'Café ' ELSE 'Web ' END || event_type AS label, "
+                             "CASE event_id % 3 WHEN 1 THEN user_id END AS user_id FROM events")
+def q_csv_scan_encodings(spark, sf):
+    """The whole ``events`` as files of three kinds: latin-1 text; short rows; rows of which each is written once
+    more with a field too many, which has to go."""
+    base, ev = staging_dir(spark, "csv"), T.table(spark, sf, "events")
+    kind = F.col("event_id") % 3
+    name = F.concat(F.when(kind == 0, "Café ").otherwise("Web "), "event_type")
+    latin = ev.where(kind == 0).select("event_id", F.col("value").alias(" value"), name.alias("label "))
+    latin.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{base}/latin")
+    ev.where(kind == 1).select(name.alias("label"), "event_id", "user_id", "value").write.option("header", True).csv(f"{base}/plain")
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.col("value").cast("string"), name)
+    body = ev.where(kind == 2).select(F.explode(F.array(line, F.concat(line, F.lit(",,more")))).alias("line"))
+    # each file begins with a header: its first line
+    head = spark.range(0, 4, 1, 4).select(F.lit(-1).cast("long").alias("at"), F.col("id").alias("part"), F.lit("event_id,value,label,user_id").alias("line"))
+    body = body.select(F.xxhash64("line").alias("h"), "line").select(
+        F.abs(F.col("h") / 2).cast("long").alias("at"), F.pmod("h", F.lit(4)).alias("part"), "line").unionByName(head)
+    body = body.repartition(4, "part").sortWithinPartitions("part", "at")
+    body.select("part", F.col("line").alias("value")).write.partitionBy("part").text(f"{base}/long")
+    files = [f"{base}/latin", f"{base}/plain", f"{base}/long/*"]
+    df = CSV.read_flow_csvs(spark, files, types={"event_id": "bigint", "value": "double", "user_id": "bigint"})
+    return df.select("event_id", "value", "label", "user_id")
+
+
 @query("csv_scan", "SELECT event_id, value, event_type, CASE WHEN event_type IN ('click', 'view') THEN NULL "
                    "ELSE user_id END AS user_id FROM events")
 def q_csv_scan(spark, sf):

@@ -2,6 +2,8 @@
 is partitioned by the column readers filter on, so reads prune partitions."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,35 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite", single_file: b
     (df.coalesce(1) if single_file else df).write.mode(mode).json(path)
 
 
-write_label_map = write_json
-save_metrics = write_json
-write_summary = write_json
+def write_label_map(label_map: DataFrame, path: str, mode: str = "overwrite", single_file: bool = True) -> None:
+    """(label, label_id) as a JSON line a label, in the order of ids; a row a label, so one task has them."""
+    write_json(label_map.select("label", "label_id").orderBy("label_id"), path, mode, single_file)
+
+
+def read_label_map(spark: SparkSession, path: str) -> DataFrame:
+    """(label, label_id) of a written map."""
+    return spark.read.schema("label string, label_id int").json(path)
+
+
+def save_metrics(metrics: DataFrame, path: str, ids: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """(ids..., metric, value) as a document ``{ids..., "metrics": {metric: value, ...}}`` for each of the ids."""
+    docs = metrics.groupBy(*ids).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    write_json(docs, path, mode)
+
+
+def read_metrics(spark: SparkSession, path: str, ids: str = "") -> DataFrame:
+    """(ids..., metric, value) of saved metrics; ``ids`` are columns with types, as in a schema."""
+    df = spark.read.schema(f"{ids + ', ' if ids else ''}metrics map<string,double>").json(path)
+    return df.select(*[c for c in df.columns if c != "metrics"], F.explode("metrics").alias("metric", "value"))
+
+
+def write_summary(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A table of results, a JSON line a row, nulls included."""
+    summary.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def read_summary(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
 
 
 # S8 -----------------------------------------------------------------------------------------
