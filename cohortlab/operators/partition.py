@@ -153,26 +153,26 @@ def first_beyond(cuts: Column, u: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, halve, lambda at: at["lo"])
 
 
-def partition_dirichlet(df: DataFrame, key: str, label_col: str, n_labels: int | None = None, n_clients: int = 10,
+def partition_dirichlet(df: DataFrame, key: str, label_id_col: str, n_labels: int | None = None, n_clients: int = 10,
                         alpha: float = 0.1, seed: int = 42, thresholds=None, out: str = "client_id") -> DataFrame:
     """Non-IID label skew: row of class c goes to the first client whose cumulative share
     exceeds u = uniform(md5(key:seed)).
 
     The shares are rows: a table (label, cuts) as ``dirichlet_table`` makes it from the labels that occur, or
-    ``thresholds``, such a table or a list of lists by label id. A row whose label is null or has no shares gets a
+    ``thresholds``, such a table or a list of lists by label id; ``n_labels`` is no longer needed. A row whose label is null or has no shares gets a
     null client; ``without_client`` counts them. The table is sent to every task if it is small, else joined by
     a shuffle, and searched by bisection, so plans don't grow with labels or clients."""
     if thresholds is None:
-        thresholds = dirichlet_table(df.select(label_col), n_clients, alpha, seed)
+        thresholds = dirichlet_table(df.select(label_id_col), n_clients, alpha, seed)
     elif not isinstance(thresholds, DataFrame):
-        kind = df.schema[label_col].dataType.simpleString()
+        kind = df.schema[label_id_col].dataType.simpleString()
         thresholds = df.sparkSession.createDataFrame([(c, [float(x) for x in row]) for c, row in enumerate(thresholds)],
                                                      "label long, cuts array<double>").withColumn("label", F.col("label").cast(kind))
     table = materialize(thresholds.select(F.col("label").alias("_dl"), F.col("cuts").alias("_dc")))
     table = F.broadcast(table) if table.count() * n_clients <= MAX_BROADCAST_ROWS else table
     u = hex8_to_unit(hash_hex(key, seed))
     at = F.when(F.col("_dc").isNotNull(), first_beyond(F.col("_dc"), u, n_clients))
-    return df.join(table, F.col(label_col) == F.col("_dl"), "left").withColumn(
+    return df.join(table, F.col(label_id_col) == F.col("_dl"), "left").withColumn(
         out, F.least(at, F.lit(n_clients - 1)).cast("int")).drop("_dl", "_dc")
 
 

@@ -837,21 +837,21 @@ def _r6_value(df, col="value"):
 
 @query("param_explode", f"SELECT round, client_id, tensor, idx, value FROM ({UPD})")
 def q_param_explode(spark, sf):
-    return T.client_updates(spark, sf, blocked=False).select("round", "client_id", "tensor", "idx", "value")
+    return T.client_updates(spark, sf).select("round", "client_id", "tensor", "idx", "value")
 
 
 @query("param_count", f"SELECT tensor, count(DISTINCT idx) AS numel, count(*) AS n_values FROM ({UPD}) GROUP BY tensor")
 def q_param_count(spark, sf):
-    return PM.param_count(T.client_updates(spark, sf, blocked=False))
+    return PM.param_count(T.client_updates(spark, sf))
 
 
 @query("fedavg", f"SELECT round, tensor, idx, round(value + 1e-9, 6) + 0.0 AS value FROM ({FEDAVG_SQL})")
 def q_fedavg(spark, sf):
-    return _r6_value(blocks.exploded(PM.fedavg(T.client_updates(spark, sf)), PM.BY))
+    return _r6_value(blocks.exploded(PM.fedavg(T.client_updates(spark, sf, blocked=True)), PM.BY))
 
 
 def _upd_global(spark, sf):
-    u = T.client_updates(spark, sf)
+    u = T.client_updates(spark, sf, blocked=True)
     return u, PM.previous_round_global(u)
 
 

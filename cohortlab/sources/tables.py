@@ -211,7 +211,7 @@ LOGITS_SQL = (
 UPDATE_TENSORS = [("w", 48), ("b", 16)]
 
 
-def client_updates(spark: SparkSession, sf_dir: str, blocked: bool = True) -> DataFrame:
+def client_updates(spark: SparkSession, sf_dir: str, blocked: bool = False) -> DataFrame:
     """embeddings as client updates: round = vec_id div 5, client_id = vec_id % 5,
     num_examples = label + 1, tau = 1 + label % 3; vectors as blocks, or exploded to (tensor, idx, value)."""
     from ..operators.blocks import from_arrays
