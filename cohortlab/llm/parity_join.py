@@ -10,7 +10,7 @@ first such word stands among the first D + 1 filled words of either set: only th
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -25,6 +25,9 @@ by_value(__name__)
 PERCENT = 80
 BAND = 1.5
 BITS = 512
+#: large buckets are looked for on one document of LOOK: those with over HOT rows there, HOT_BUCKETS at most;
+#: their rows are spread over SPREAD places
+LOOK, HOT, HOT_BUCKETS, SPREAD = 64, 32, 100_000, 1024
 
 
 class Bands:
@@ -205,6 +208,25 @@ def _spread(rows: DataFrame, value: str) -> DataFrame:
     return cut(ends.where("low < high").select("sig", "low"))
 
 
+def _hot(docs: DataFrame, bands: Bands) -> DataFrame | None:
+    """Signatures of large buckets, ``HOT_BUCKETS`` at most, as one document of ``LOOK`` shows them. Which they are
+    bears on where rows are counted, not on what is found."""
+    some = docs.where(F.pmod(F.xxhash64(F.lit("look"), "id"), F.lit(LOOK)) == 0)
+    seen = cut(_signature_rows(some, bands).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
+    rows = seen.agg(F.sum("n")).first()[0]
+    return seen.where(F.col("n") > rows / HOT_BUCKETS).select("sig") if rows else None
+
+
+def _shared(sent: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The rows (sig, id) of buckets of more than one row. A hot bucket is known to have more, so its rows
+    needn't meet: they are spread."""
+    own = [F.lit(False).alias("hot")] if hot is None else [F.col("known").isNotNull().alias("hot")]
+    rows = sent if hot is None else sent.join(F.broadcast(hot.select(F.col("sig").alias("known"))), F.col("sig") == F.col("known"), "left")
+    rows = rows.select("sig", "id", *own)
+    bucket = Window.partitionBy("sig", F.when(F.col("hot"), F.pmod("id", F.lit(SPREAD))).otherwise(F.lit(0)))
+    return rows.withColumn("k", F.count(F.lit(1)).over(bucket)).where("hot or k > 1").select("sig", "id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per document: ``key``, ``n_shingles`` and ``component_id``, the smallest id reachable
     over links of similarity ``percent`` or more, its own included.
@@ -240,8 +262,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     sketches = rows.where("id is not null and n > 0").select("id", "n", *SKETCH).distinct()
     wide = rows.where("id is not null and wide is not null").select("id", "n", "wide").join(several, "id", "left_anti")
     with staged(docs.sparkSession) as stage:
-        sent = _signature_rows(known, bands)
-        shared = sent.join(_spread(sent, "id").select("sig"), "sig", "left_semi")
+        shared = _shared(_signature_rows(known, bands), _hot(known, bands))
         shared = stage(shared.join(sized(moved), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct())
         shared = stage(shared.join(_spread(shared, "id"), "sig"))
         stars = shared.where("id > low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
