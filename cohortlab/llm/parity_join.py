@@ -201,13 +201,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return cut(both.where(100 * shared >= percent * (F.col("n") + F.col("m") - shared)).select("u", "v").distinct())
 
 
-def _spread(rows: DataFrame, value: str) -> DataFrame:
-    """(sig, low) of the buckets that hold more than one ``value``: an aggregate, combined before the
-    shuffle, and written, so that the join back to the rows can be split where a bucket is hot."""
-    ends = rows.groupBy("sig").agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return cut(ends.where("low < high").select("sig", "low"))
-
-
 def _hot(docs: DataFrame, bands: Bands) -> DataFrame | None:
     """Signatures of large buckets, ``HOT_BUCKETS`` at most, as one document of ``LOOK`` shows them. Which they are
     bears on where rows are counted, not on what is found."""
@@ -217,14 +210,31 @@ def _hot(docs: DataFrame, bands: Bands) -> DataFrame | None:
     return seen.where(F.col("n") > rows / HOT_BUCKETS).select("sig") if rows else None
 
 
+def _bucket(known) -> Window:
+    """The bucket of a row, or for hot buckets (``known``) one of the places that it is spread over."""
+    return Window.partitionBy("sig", F.when(known, F.pmod("id", F.lit(SPREAD))).otherwise(F.lit(0)))
+
+
 def _shared(sent: DataFrame, hot: DataFrame | None) -> DataFrame:
     """The rows (sig, id) of buckets of more than one row. A hot bucket is known to have more, so its rows
-    needn't meet: they are spread."""
-    own = [F.lit(False).alias("hot")] if hot is None else [F.col("known").isNotNull().alias("hot")]
-    rows = sent if hot is None else sent.join(F.broadcast(hot.select(F.col("sig").alias("known"))), F.col("sig") == F.col("known"), "left")
-    rows = rows.select("sig", "id", *own)
-    bucket = Window.partitionBy("sig", F.when(F.col("hot"), F.pmod("id", F.lit(SPREAD))).otherwise(F.lit(0)))
-    return rows.withColumn("k", F.count(F.lit(1)).over(bucket)).where("hot or k > 1").select("sig", "id")
+    needn't meet."""
+    rows, known = sent, F.lit(False)
+    if hot is not None:
+        rows, known = sent.join(F.broadcast(hot.select(F.col("sig").alias("_sig"))), F.col("sig") == F.col("_sig"), "left"), F.col("_sig").isNotNull()
+    return rows.withColumn("k", F.count(F.lit(1)).over(_bucket(known))).where(known | (F.col("k") > 1)).select("sig", "id")
+
+
+def _mixed(rows: DataFrame, value: str, hot: DataFrame | None) -> DataFrame:
+    """The rows of buckets of more than one ``value``, with the smallest (``low``). Those of hot buckets are
+    found by an aggregate and sent to every task, a row a bucket."""
+    own, known, low, high = [F.col(c) for c in rows.columns], F.lit(False), F.min(value), F.max(value)
+    if hot is None:
+        bucket = _bucket(known)
+        return rows.withColumn("low", low.over(bucket)).withColumn("_high", high.over(bucket)).where("low < _high").drop("_high")
+    ends = rows.join(F.broadcast(hot), "sig", "left_semi").groupBy(F.col("sig").alias("_sig")).agg(low.alias("_lo"), high.alias("_hi"))
+    d, bucket = rows.join(F.broadcast(ends), F.col("sig") == F.col("_sig"), "left"), _bucket(F.col("_sig").isNotNull())
+    d = d.withColumn("low", F.coalesce("_lo", low.over(bucket))).withColumn("_high", F.coalesce("_hi", high.over(bucket)))
+    return d.where("low < _high").select(*own, "low")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -262,15 +272,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     sketches = rows.where("id is not null and n > 0").select("id", "n", *SKETCH).distinct()
     wide = rows.where("id is not null and wide is not null").select("id", "n", "wide").join(several, "id", "left_anti")
     with staged(docs.sparkSession) as stage:
-        shared = _shared(_signature_rows(known, bands), _hot(known, bands))
+        hot = _hot(known, bands)
+        shared = _shared(_signature_rows(known, bands), hot)
         shared = stage(shared.join(sized(moved), "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct())
-        shared = stage(shared.join(_spread(shared, "id"), "sig"))
-        stars = shared.where("id > low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
+        stars = _mixed(shared, "id", hot).where("id > low").select(F.col("low").alias("u"), F.col("id").alias("v")).distinct()
         links = cut(_verified(known, _likely_wide(_likely(stars, sketches, percent), wide, percent), percent).unionByName(tied))
         first = cut(components(links))
         placed = shared.join(sized(first), F.col("id") == F.col("node"), "left").select(
             "sig", "id", F.coalesce("component", "id").alias("c"))
-        sides = stage(placed.join(_spread(placed, "c").select("sig"), "sig", "left_semi").join(sketches, "id"))
+        sides = stage(_mixed(placed, "c", hot).drop("low").join(sketches, "id"))
         a, b = sides.alias("a"), sides.alias("b")
         met = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c"))
         across = a.join(b, met & _may_be_similar("a", "b", percent)).select(
