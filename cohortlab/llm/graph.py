@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
+#: rows of a task, of which there are FEW at least
+TASK_ROWS, FEW = 50_000, 8
+
 
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, component) for every node of the edges; component is the smallest id reachable.
@@ -13,7 +16,9 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     Each round hangs the larger neighbours of a node under its smallest one (large star), then
     the smaller neighbours (small star), until every component is a star around its smallest
     id. A round is two sums by node and two joins; minima are combined before the shuffle, and
-    the rounds grow with the logarithm of the longest path. Null ids are left out.
+    the rounds grow with the logarithm of the longest path. Null ids are left out. What a round
+    shuffles is in proportion to its edges, which are counted: so is the number of its tasks, where
+    that is below the session's, for a few edges in many partitions are mostly files.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e, state = cut(e), None
@@ -23,12 +28,14 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         state = tuple(now)
+        tasks = max(FEW, -(-now[0] // TASK_ROWS))
+        e = e.coalesce(tasks)
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")))
+        low = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")).coalesce(tasks))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u > v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        pairs = large.join(low, "u")
+        large = cut(large.where("u > v").coalesce(tasks).distinct().coalesce(tasks))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks))
+        pairs = large.join(low, "u").coalesce(tasks)
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pairs.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u > v").distinct())
+        e = cut(small.where("u > v").distinct().coalesce(tasks))
